@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import bpe, media, packing, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, each document ended by token 0."""
+    parts = packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(parts)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rules find in every document."""
     return secrets.report(secrets.findings(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests."""
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an 8-bit image and read back."""
+    return media.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_media_columns": op8_media_columns,
 }
 
 
