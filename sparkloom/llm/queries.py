@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, secrets
+from . import bpe, langid, media, packing, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,25 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.findings(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = langid.held_out()
+    found = langid.identify(docs, langid.learn(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and what they decode to, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade, its probability of the top grade, and whether it stays."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.rate(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an 8-bit image and read back."""
     return media.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -37,7 +51,9 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_media_columns": op8_media_columns,
 }
 
