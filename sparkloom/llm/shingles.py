@@ -73,15 +73,13 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
 
 def each(texts: Sequence[str | None], size: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text: its words' hashes and its shingles."""
-    part: list[str] = []
-    chars = 0
-    for t in [*texts, None]:
-        if t is not None or len(part) < len(texts):
-            part.append(t or "")
-            chars += len(part[-1])
-        if chars < SLICE_CHARS and not (t is None and len(part)):
-            continue
-        words, counts = word_hashes(part)
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (chars < SLICE_CHARS or end == at):
+            chars += len(texts[end] or "")
+            end += 1
+        words, counts = word_hashes([t or "" for t in texts[at:end]])
         for own in np.split(words, np.cumsum(counts)[:-1]):
             yield own, shingle_hashes(own, size)
-        part, chars = [], 0
+        at = end
