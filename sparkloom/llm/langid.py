@@ -37,6 +37,8 @@ LEAST_SHARE, LEAST_PART = 2e-5, 0.35
 MOST_GRAMS = 20_000
 #: log2 of the slots, and slots of an n-gram.
 SLOT_BITS, PROBES = 20, 2
+#: The least score of a text that is kept; a text in one of two equally likely languages has 0.5.
+KEEP = 0.3
 #: Code points in a slice.
 SLICE = 1 << 20
 
@@ -162,29 +164,46 @@ def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> Filters:
     return Filters.build(languages, kept)
 
 
+def predict(texts: Sequence[str | None], own: Filters) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    langs: list[str] = []
+    scores: list[float] = []
+    for hashes, owners, lettered in grams(texts):
+        n, first = len(lettered), len(langs)
+        if not own.languages:
+            langs += [UNKNOWN] * n
+            scores += [0.0] * n
+            continue
+        counts, _ = own.count(hashes, owners, first, n)
+        counts = np.maximum(counts, 0)
+        best, total = counts.argmax(axis=1), counts.sum(axis=1)
+        langs += [own.languages[b] if has else UNKNOWN for b, has in zip(best, lettered, strict=True)]
+        scores += np.where(lettered & (total > 0), counts[np.arange(n), best] / np.maximum(total, 1e-9), 0.0).clip(0, 1).tolist()
+    return langs, scores
+
+
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred and score of every text. The score is the language's part of all languages' corrected counts."""
     held = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of slots for every 8 languages
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, texts = held.value, batch.column("text").to_pylist()
-        langs, scores = [], []
-        for hashes, owners, lettered in grams(texts):
-            n, first = len(lettered), len(langs)
-            if not own.languages:
-                langs += [UNKNOWN] * n
-                scores += [0.0] * n
-                continue
-            counts, _ = own.count(hashes, owners, first, n)
-            counts = np.maximum(counts, 0)
-            best, total = counts.argmax(axis=1), counts.sum(axis=1)
-            langs += [own.languages[b] if has else UNKNOWN for b, has in zip(best, lettered, strict=True)]
-            scores += np.where(lettered & (total > 0), counts[np.arange(n), best] / np.maximum(total, 1e-9), 0.0).clip(0, 1).tolist()
+        langs, scores = predict(batch.column("text").to_pylist(), held.value)
         return pa.record_batch([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(by_slices(step), "doc_id long, lang_pred string, score double")
 
 
+def select(docs: DataFrame, filters: Filters, least: float = KEEP) -> DataFrame:
+    """The rows of docs in a known language with a score of `least` or more; all columns stay."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, scores = predict(batch.column("text").to_pylist(), held.value)
+        return batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(by_slices(step), docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a row is kept from training: its id's CRC-32 is divisible by 5."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))

@@ -166,3 +166,13 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
         return pa.record_batch(columns, ["doc_id", "expected_grade", "p_top", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(by_slices(step), "doc_id long, expected_grade double, p_top double, keep boolean")
+
+
+def select(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
+    """The rows of docs whose text has the top grade with probability `least` or more; all columns stay."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(held.value.tails(features(batch.column("text").to_pylist()))[:, -1] >= least)) if batch.num_rows else batch
+
+    return docs.mapInArrow(by_slices(step), docs.schema)
