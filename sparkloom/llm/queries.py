@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, media, neardup, packing, quality, secrets
-from .common import table
+from . import bpe, langid, media, mtree, neardup, packing, quality, secrets, sharding
+from .common import checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts)
 
 
+def op2_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for each row whose id is divisible by 50, by the inner product of quantised vectors."""
+    rows = mtree.quantised(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return mtree.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rules find in every document."""
     return secrets.report(secrets.findings(table(spark, sf_dir, "documents", "doc_id", "text")))
@@ -48,6 +56,14 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard after documents came in two arrivals."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wave = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    shards = sharding.ShardSet(spark, f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return sharding.ingest([docs.where(wave == 0), docs.where(wave == 1)], shards).read().select("doc_id", "shard")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of near duplicates and its number of links."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -55,11 +71,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_mtree_top_k": op2_mtree_top_k,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_media_columns": op8_media_columns,
+    "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
@@ -102,6 +120,23 @@ def secrets_sql() -> str:
     FROM documents d LEFT JOIN found USING (doc_id)"""
 
 
+TOP_K_SQL = """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    ),
+    ranked AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+      FROM scored
+    )
+    SELECT * FROM ranked WHERE rank <= 5"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_mtree_top_k": TOP_K_SQL,
     "op3_secret_scan": secrets_sql(),
 }
