@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mtree, neardup, packing, quality, secrets, sharding
+from . import bpe, htmltext, langid, media, mtree, neardup, packing, quality, secrets, sharding
 from .common import checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return htmltext.extract(pages, htmltext.train(pages))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and what they decode to, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_mtree_top_k": op2_mtree_top_k,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
+    "op5_html_text": op5_html_text,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_media_columns": op8_media_columns,
