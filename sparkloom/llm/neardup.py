@@ -41,12 +41,12 @@ THRESHOLD = 0.8
 #: A shingle is heavy if it makes up about this share of all; such are ordered last.
 HEAVY = 1 / 32768
 #: Shingle entries of a counting bucket, documents of a block, shingles of a comparing bucket.
-BUCKET, BLOCK, LOAD = 1_000_000, 256, 2_000_000
+BUCKET, BLOCK, LOAD = 2_000_000, 256, 2_000_000
 #: MinHash values, how many are compared at a time, and the posterior probability below which a pair is dropped.
 HASHES, STEP, TOLERANCE = 64, 16, 1e-9
 #: Candidates whose ids are broadcast at most (16 bytes each); above, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-_LAST = 1 << 40
+_LEVELS = 32767
 
 
 def _name(text: str, words: np.ndarray) -> int:
@@ -85,15 +85,18 @@ def classes(docs: DataFrame) -> DataFrame:
         n = len(names)
         return _batch(schema, [[1] * n + [0] * len(values), batch.column("doc_id").to_pylist() + values.tolist(), names + counts.tolist(), sizes + [0] * len(values)])
 
-    return docs.select("doc_id", "text").mapInArrow(by_slices(step, 4096), schema)
+    return docs.select("doc_id", "text").mapInArrow(by_slices(step, 2048), schema)
 
 
 def prefix_size(n: int, t: float = THRESHOLD) -> int:
     return n - math.ceil(t * n - 1e-9) + 1 if n else 0
 
 
-def _entries(docs: DataFrame, heavy: np.ndarray, buckets: int, t: float) -> DataFrame:
-    """Packed shingles by bucket of their hash: 48 bits each, the owner's number, and the owners' class, size and plain shingles."""
+def _entries(docs: DataFrame, heavy: np.ndarray, buckets: int, width: int, t: float) -> DataFrame:
+    """Packed shingles by bucket of their hash: `width` bytes each, the owner's number, whether forced, and the owners' classes.
+
+    An owner's number of plain shingles goes with its class in the first of its buckets, elsewhere -1.
+    """
     schema = "bucket int, hashes binary, owners binary, forced binary, table binary"
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -106,59 +109,82 @@ def _entries(docs: DataFrame, heavy: np.ndarray, buckets: int, t: float) -> Data
             common = heavy[np.minimum(at, len(heavy) - 1)] == x if len(heavy) else np.zeros(len(x), bool)
             plain = x[~common]
             extra = x[common][: max(0, prefix_size(len(x), t) - len(plain))]
-            hashes.append(np.concatenate((plain, extra)) >> 15)
+            hashes.append(np.concatenate((plain, extra)) >> (63 - 8 * width))
             owners.append(np.full(len(hashes[-1]), len(table), np.uint16))
             forced.append(np.arange(len(hashes[-1])) >= len(plain))
-            table.append((name, len(x), len(plain)))
+            table.append((name, len(plain)))
         columns: list[list] = [[], [], [], [], []]
         if table:
             h, o, f = np.concatenate(hashes), np.concatenate(owners), np.concatenate(forced)
-            bucket = ((h >> 16) * buckets) >> 32
+            bucket = ((h >> (8 * width - 32)) * buckets) >> 32
             order = np.lexsort((o, bucket))
             h, o, f, bucket = h[order], o[order], f[order], bucket[order]
             ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
-            rows = np.array(table, np.int64)
+            rows, told = np.array(table, np.int64), np.zeros(len(table), bool)
             for start, end in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
                 own, number = np.unique(o[start:end], return_inverse=True)
-                six = h[start:end].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
-                for c, v in zip(columns, (int(bucket[start]), six.tobytes(), number.astype(np.uint16).tobytes(), np.packbits(f[start:end]).tobytes(), rows[own].tobytes()), strict=True):
+                named = rows[own]
+                named[told[own], 1] = -1
+                told[own] = True
+                short = h[start:end].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+                for c, v in zip(columns, (int(bucket[start]), short.tobytes(), number.astype(np.uint16).tobytes(), np.packbits(f[start:end]).tobytes(), named.tobytes()), strict=True):
                     c.append(v)
         return _batch(schema, columns)
 
-    return docs.select("text").mapInArrow(by_slices(step, 4096), schema)
-
-
-def _repeated(key: tuple, group: pa.Table) -> pa.Table:
-    """The bucket's shingles that several classes have, and forced ones: (class, n, plain, number of classes, key)."""
-    parts = []
-    for row in group.to_pylist():
-        six = np.frombuffer(row["hashes"], np.uint8).reshape(-1, 6)
-        eight = np.zeros((len(six), 8), np.uint8)
-        eight[:, :6] = six
-        table = np.frombuffer(row["table"], np.int64).reshape(-1, 3)
-        own = table[np.frombuffer(row["owners"], np.uint16)]
-        flags = np.unpackbits(np.frombuffer(row["forced"], np.uint8), count=len(six)).astype(np.int64)
-        parts.append(np.column_stack((eight.view("<i8").ravel(), own, flags)))
-    x = np.concatenate(parts)
-    x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    x = x[np.concatenate(([True], (x[1:, :2] != x[:-1, :2]).any(axis=1)))]
-    _, place, counts = np.unique(x[:, 0], return_inverse=True, return_counts=True)
-    held = counts[place]
-    keep = (held > 1) | (x[:, 4] > 0)
-    x, held = x[keep], np.where(x[keep, 4] > 0, _LAST, held[keep])
-    return pa.table({"class": x[:, 1], "n": x[:, 2], "plain": x[:, 3], "held": held, "key": x[:, 0]})
-
-
-def candidate_keys(docs: DataFrame, heavy: np.ndarray, entries: int, t: float = THRESHOLD) -> DataFrame:
+    return docs.select("text").mapInArrow(by_slices(step, 2048), schema)
+
+
+def _repeated(width: int):
+    """A function for applyInArrow over a bucket: (class, code) of the shingles that several classes have, and of forced ones.
+
+    A code orders shingles: the number of classes, up to _LEVELS, or _LEVELS if forced, then the hash. Codes below
+    1 << 48 are a class's number of plain shingles.
+    """
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        hashes, owners, flags, tables, n = [], [], [], [], 0
+        for row in group.to_pylist():
+            short = np.frombuffer(row["hashes"], np.uint8).reshape(-1, width)
+            eight = np.zeros((len(short), 8), np.uint8)
+            eight[:, :width] = short
+            hashes.append(eight.view("<i8").ravel())
+            owners.append(np.frombuffer(row["owners"], np.uint16).astype(np.int32) + n)
+            flags.append(np.unpackbits(np.frombuffer(row["forced"], np.uint8), count=len(short)).astype(bool))
+            tables.append(np.frombuffer(row["table"], np.int64).reshape(-1, 2))
+            n += len(tables[-1])
+        table = np.concatenate(tables)
+        names, number = np.unique(table[:, 0], return_inverse=True)
+        h, f = np.concatenate(hashes), np.concatenate(flags)
+        own = number.astype(np.int32)[np.concatenate(owners)]
+        order = np.lexsort((own, h))
+        h, own, f = h[order], own[order], f[order]
+        once = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
+        h, own, f = h[once], own[once], f[once]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        held = np.repeat(np.diff(starts, append=len(h)), np.diff(starts, append=len(h)))
+        keep = (held > 1) | f
+        level = np.where(f[keep], _LEVELS, np.minimum(held[keep], _LEVELS - 1))
+        told = table[:, 1] >= 0
+        return pa.table({"class": np.concatenate((names[own[keep]], table[told, 0])), "code": np.concatenate((level << 48 | h[keep], table[told, 1]))})
+
+    return run
+
+
+def candidate_keys(docs: DataFrame, kinds: DataFrame, heavy: np.ndarray, entries: int, t: float = THRESHOLD) -> DataFrame:
     """(key, class) for the shared shingles among each class's first ones in the order of all shingles."""
     buckets = max(1, math.ceil(entries / BUCKET))
-    packed = _entries(docs, heavy, buckets, t)
-    shared = packed.groupBy("bucket").applyInArrow(_repeated, "class long, n long, plain long, held long, key long")
-    ordered = shared.groupBy("class").agg(F.first("n").alias("n"), F.first("plain").alias("plain"), F.array_sort(F.collect_list(F.struct("held", "key"))).alias("of"))  # no more than a document's shingles
-    alone = F.col("plain") - F.size(F.filter("of", lambda x: x["held"] < _LAST))
+    width = 5 if entries < 1 << 31 else 6  # enough bits that few different shingles share them; those only add candidates
+    packed = _entries(docs, heavy, buckets, width, t)
+    coded = packed.groupBy("bucket").applyInArrow(_repeated(width), "class long, code long")
+    codes = coded.groupBy("class").agg(F.collect_list("code").alias("codes"))  # about a document's shingles
+    level = F.lit(1 << 48)
+    shared, forced = F.array_sort(F.filter("codes", lambda x: x >= level)), F.lit(_LEVELS << 48)
+    both = codes.where(F.exists("codes", lambda x: x >= level)).withColumn("of", shared).withColumn("plain", F.array_max(F.filter("codes", lambda x: x < level)))
+    alone = F.col("plain") - F.size(F.filter("of", lambda x: x < forced))
     first = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
     room = (first - alone).cast("int")
-    return ordered.where(room > 0).select("class", F.explode(F.slice(F.col("of"), 1, room)).alias("x")).select("class", F.col("x.key").alias("key"))
+    found = both.join(kinds.select("class", "n"), "class").where(room > 0)
+    return found.select("class", F.explode(F.slice(F.col("of"), 1, room)).alias("key"))
 
 
 @functools.cache
@@ -277,7 +303,7 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     entries = kinds.agg(F.sum("n")).first()[0] or 0
     marks = first.where("doc = 0").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= HEAVY * entries / 2)
     heavy = np.sort(marks.select("a").toPandas()["a"].to_numpy(np.int64))  # at most 2 / HEAVY, as their counts sum to no more than the entries
-    keyed = cut(candidate_keys(docs, heavy, entries, t))
+    keyed = cut(candidate_keys(docs, kinds, heavy, entries, t))
     root = keyed.groupBy("key").agg(F.min("class").alias("b"), F.count("*").alias("m")).where("m > 1")
     tied = components(keyed.join(root, "key").select(F.col("class").alias("a"), "b"))
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / t) + 1e-6).cast("int")
