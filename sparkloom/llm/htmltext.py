@@ -39,7 +39,7 @@ DIM = PATH_DIM + WORD_DIM + MEASURES
 
 # Elements that don't end a block, that hold nothing to read, and that have no end tag.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN_TAGS = frozenset("head title noscript template svg math canvas iframe object audio video select option button textarea datalist map".split())
+HIDDEN_TAGS = frozenset("head title noscript template svg math canvas iframe object audio video select button textarea datalist map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements and words of classes that make up a page around its article, and those of articles.
 AROUND_TAGS = ("nav", "header", "footer", "aside", "form", "menu")
@@ -83,7 +83,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     root = np.zeros(PATH_DIM, np.float32)
     stack: list[tuple[str, np.ndarray, str]] = []
-    hidden, link = 0, 0
+    hidden, link = "", 0
     parts: list[str] = []
     linked = 0
 
@@ -106,15 +106,12 @@ def blocks(page: str) -> list[Block]:
         if not m[2]:
             continue
         end, tag = bool(m[1]), m[2].lower()
-        if tag in HIDDEN_TAGS:
-            if not end:
-                close()
-                hidden += not m[3].endswith("/")
-            else:
-                hidden = max(0, hidden - 1)
-        elif hidden:
-            if tag == "body":
-                hidden = 0
+        if hidden:
+            if (end and tag == hidden) or tag == "body":
+                hidden = ""
+        elif tag in HIDDEN_TAGS:
+            close()
+            hidden = "" if end or m[3].endswith("/") else tag
         elif tag == "br":
             parts.append(" ")
         elif tag in INLINE:

@@ -102,7 +102,7 @@ def search_page(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, ids: np
     start = nodes[1 : m + 1]
     stop = np.append(start[1:], n)
     parent, radius = nodes[m + 1 : m + 1 + n].view(float), nodes[m + 1 + n : 2 * m + 1 + n].view(float)
-    routing = nodes[2 * m + 1 + n :].reshape(m, -1)
+    routing = nodes[2 * m + 1 + n :].reshape(m, queries.shape[1])
     length = np.sqrt((queries.astype(float) ** 2).sum(1))
     to_routing = queries @ routing.T
     bound = to_routing + length[:, None] * radius
@@ -164,8 +164,8 @@ def _visits(pivots: dict[int, np.ndarray], radius: dict[int, np.ndarray]):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                q = np.frombuffer(row["queries"], np.int64).reshape(-1, row["dim"])
                 floor = np.frombuffer(row["floors"], np.int64)
+                q = np.frombuffer(row["queries"], np.int64).reshape(len(floor), row["dim"])
                 if row["dim"] in pivots and row["dim"] > 0:
                     bound = q @ pivots[row["dim"]].T + np.sqrt((q.astype(float) ** 2).sum(1))[:, None] * radius[row["dim"]]
                     out += [{**row, "pivot": int(p)} for p in np.flatnonzero((bound >= floor[:, None]).any(0)) if p != row["home"]]

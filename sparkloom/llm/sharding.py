@@ -86,16 +86,20 @@ class ShardSet:
         if not planned:
             return 0
         files = [r["file"] for r in planned]
-        parts = self.spark.createDataFrame(planned, "file string, part string")
-        rows = self.spark.read.option("basePath", f"{self.root}/data").parquet(*files)
+        parts = self.spark.createDataFrame(planned, "_of_file string, _part string")
+        rows = self._rows(files)
         columns = rows.columns
-        merged = rows.withColumn("_file", F.col("_metadata.file_path")).join(F.broadcast(parts), F.col("_file") == F.col("file")).select(*columns, F.col("part").alias("_part"))
+        merged = rows.withColumn("_file", F.col("_metadata.file_path")).join(F.broadcast(parts), F.col("_file") == F.col("_of_file")).select(*columns, "_part")
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         merged.repartition(len({r["part"] for r in planned}), "_part").write.option("compression", "zstd").partitionBy("_part").parquet(folder)
-        old = self.manifest(base).join(F.broadcast(parts), "file", "left_anti")
+        old = self.manifest(base).join(F.broadcast(parts), F.col("file") == F.col("_of_file"), "left_anti")
         self._commit(old.unionByName(self._listed(folder)), base)
         return len(files)
 
+    def _rows(self, files: list[str]) -> DataFrame:
+        """The rows of some shards; their folders' names are no columns."""
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*files)
+
     def expire(self, keep: int = 1) -> None:
         """Deletes shards and manifests that none of the newest `keep` versions names."""
         now = self.version()
@@ -116,8 +120,8 @@ class ShardSet:
         files = [r["file"] for r in self.manifest(version).select("file").collect()]
         if not files:
             raise ValueError("the version has no shards")
-        rows = self.spark.read.parquet(*files)
-        return rows.withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1))
+        rows = self._rows(files)
+        return rows.select(*[c for c in rows.columns if c != "shard"], F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1).alias("shard"))
 
 
 def ingest(arrivals: list[DataFrame], shards: ShardSet) -> ShardSet:
