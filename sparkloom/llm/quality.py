@@ -1,6 +1,6 @@
 """Quality by ordinal regression on graded ratings.
 
-A text's features are hashed words and punctuation, by presence, and steps of a
+A text's features are hashed words, beginnings of words and punctuation, by presence, and steps of a
 few measures of its form.  One weight a feature serves all grades; ordered
 thresholds turn the weights' sum into the probability of each grade or better.
 That gives an expected grade, and a tail probability for selection.
@@ -30,9 +30,11 @@ from .shingles import word_hashes
 TRAIN_ROWS = 16_000
 #: log2 of the buckets for words; buckets for punctuation and measures.
 WORD_BITS, OTHER = 18, 4096
+#: Beginnings of words, which are features too: their lengths.
+PREFIXES = (4, 5)
 #: A feature has a weight if its documents' grades are this many standard deviations from the sample's.
 LEAST_Z = 5.0
-#: Grades: 0 poor, 1 good but toxic, 2 good.
+#: Grades: a point for good quality and one for not being toxic.
 GRADES = 3
 #: A document is kept if its probability of the top grade is at least this.
 KEEP = 0.5
@@ -69,9 +71,11 @@ def features(texts: Sequence[str | None]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for at in range(0, len(texts), 64):
         own = [t or "" for t in texts[at : at + 64]]
-        hashes, counts = word_hashes(own)
-        for text, words in zip(own, np.split(hashes, np.cumsum(counts)[:-1]), strict=True):
-            buckets = np.unique(words >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+        hashes, counts, *begun = word_hashes(own, PREFIXES)
+        ends = np.cumsum(counts)[:-1]
+        parts = (np.split(x, ends) for x in (hashes, *begun))
+        for text, words, *others in zip(own, *parts, strict=True):
+            buckets = np.unique(np.concatenate((words, *others)) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
             out.append(np.concatenate((buckets, np.array(sorted(_form(text, words)), np.int32))))
     return out
 
@@ -91,7 +95,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(rows: Sequence[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def fit(rows: Sequence[np.ndarray], grades: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Cumulative-link regression by Adam over all rows; thresholds stay in order as sums of positive gaps."""
     size = (1 << WORD_BITS) + OTHER
     if len(np.unique(grades)) < 2:
@@ -136,7 +140,7 @@ def fit(rows: Sequence[np.ndarray], grades: np.ndarray, steps: int = 200, rate:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """grade and features of at most `rows` labelled documents, chosen by hash."""
     quality, toxic = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))
-    grade = F.when(quality == 0, 0).when(toxic == 1, 1).otherwise(2)
+    grade = (F.when(quality > 0, 1).otherwise(0) + F.when(toxic > 0, 0).otherwise(1)).cast("int")
     rated = labels.where(quality.isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # `rows` ids and grades at most
 

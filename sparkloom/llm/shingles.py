@@ -41,8 +41,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All words' hashes in order, and the number of words of each text."""
+def word_hashes(texts: Sequence[str], prefixes: Sequence[int] = ()) -> tuple[np.ndarray, ...]:
+    """All words' hashes in order, the number of words of each text, and hashes of the words' beginnings.
+
+    For each length in prefixes there is an array as long as the first; a word that isn't longer has its own hash there.
+    """
     joined = "\n".join(t.lower() for t in texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends_of_text = np.cumsum([len(t.lower()) + 1 for t in texts]) if len(texts) else np.empty(0, np.int64)
@@ -56,7 +59,13 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(values[points] * power[: len(points)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     counts = np.diff(np.searchsorted(starts, ends_of_text), prepend=0)
-    return hashes, counts
+    begun = []
+    for n in prefixes:
+        longer = np.flatnonzero(ends - starts > n)
+        own = hashes.copy()
+        own[longer] = mix((sums[starts[longer] + n] - sums[starts[longer]]) * inverse[starts[longer]] + np.uint64(n << 32))
+        begun.append(own)
+    return hashes, counts, *begun
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
