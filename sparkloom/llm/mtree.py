@@ -179,7 +179,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     low = np.iinfo(np.int64).min
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     distinct = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))  # k + 1 ids at most; a query's own may be one
-    sizes = {r["dim"]: r["n"] for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    sizes = {r["dim"]: r["n"] for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each length
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
         some = distinct.where(F.size("v") == dim).orderBy(F.xxhash64("v")).limit(min(PIVOTS, math.ceil(n / PAGE))).select("v").collect()  # PIVOTS vectors at most
@@ -205,8 +205,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     for r in pages.groupBy("dim", "pivot").agg(F.max("radius").alias("radius")).collect():  # a row for each pivot
         radius[r["dim"]][r["pivot"]] = r["radius"]
     asked = cut(queries.dropDuplicates(["vec_id"]).mapInArrow(_nearest(pivots), "vec_id long, v array<bigint>, dim int, pivot int"))
-    block = F.pmod(F.xxhash64("vec_id"), F.ceil(F.count("*").over(Window.partitionBy("dim", "pivot")) / BLOCK))
-    asked = asked.withColumn("block", block)
+    many = asked.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = asked.join(many, ["dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
 
     def blocks(rows: DataFrame) -> DataFrame:
         return rows.groupBy("dim", F.col("pivot").alias("home"), "block").applyInArrow(_blocks, "dim int, home int, query_ids binary, floors binary, queries binary")
