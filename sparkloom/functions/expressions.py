@@ -18,7 +18,7 @@ from .core import Expr, operand, path, resolve, type_of
 __all__ = (
     "func as_ count count_all count_if sum_ avg min_ max_ upper lower string_upper string_lower string_len concat string_concat "
     "array_length array_contains abs_ math_abs ceil math_ceil floor math_floor round_ math_round math_sum math_mean math_min math_max "
-    "time_now time_format type_is cast register"
+    "time_now time_format type_is cast to_datetime register"
 ).split()
 
 # Names of types, as Spark calls them.
@@ -131,6 +131,16 @@ def cast(x: Any, kind: str) -> Expr:
     return Expr(lambda df: _of(x, df).try_cast(TYPES.get(kind, kind)))
 
 
+def to_datetime(x: Any) -> Expr:
+    """A text with a zone, or without one as UTC, as a time; null where it is none."""
+
+    def build(df: DataFrame) -> Column:
+        own = F.trim(_of(x, df))
+        return F.when(own.rlike(r"(?i)(z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(own)).otherwise(F.try_to_timestamp(F.concat(own, F.lit("Z"))))
+
+    return Expr(build)
+
+
 def type_is(x: str, kind: str) -> Expr:
     """Whether a column, or each value of a variant, is of a type."""
 

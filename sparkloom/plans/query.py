@@ -47,6 +47,10 @@ class Database:
                 self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(text, args=dict(args or {}))
 
+    def param(self, name: str, value: Any) -> None:
+        """A named constant for SQL text: a session variable."""
+        self.spark.sql(f"DECLARE OR REPLACE VARIABLE {named(name)} = :value", args={"value": value})
+
     def many(self, texts: Sequence[str], args: Mapping[str, Any] | None = None) -> list[DataFrame]:
         return [self.sql(t, args) for t in texts]
 

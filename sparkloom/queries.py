@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import expressions as e
 from .functions import field, raw
@@ -13,6 +14,9 @@ from .functions import predicates as p
 from .ids import record_id
 from .operators import dml, fulltext, graph, vector
 from .plans import Database, Query
+from .sources import Table
+from .sources.store import scratch
+from .streaming import feeds
 
 # The node tables and their keys, and the edge tables as table, in-table and key, out-table and key.
 NODES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
@@ -466,3 +470,52 @@ def q_relate(db):
 def q_return_diff(db):
     own = db.tables["customer"]
     return dml.returned(own, dml.update(own, {"c_acctbal": 0.0}, p.lt("c_acctbal", 0)), dml.DIFF).select("id", "field")
+
+
+# Tables with history, feeds and streams
+
+_EVENTS = T.StructType([T.StructField("id", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+
+
+def _history(db) -> Table:
+    """Events in three commits: all, then errors without a value, then no clicks."""
+    out = Table(db.spark, scratch(db.spark, "events"), _EVENTS, originals=True)
+    out.insert(db.tables["events"].select(record_id("events", "event_id").alias("id"), "event_type", "value"))
+    out.update({"value": F.lit(None)}, p.eq("event_type", "error"))
+    out.delete(p.eq("event_type", "click"))
+    return out
+
+
+@query("SELECT 'events:' || event_id AS id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events WHERE event_type <> 'click'")
+def q_table_history(db):
+    return _history(db).read().select("id", "value")
+
+
+@query("SELECT 'events:' || event_id AS id, value FROM events")
+def q_time_travel(db):
+    return _history(db).read(1).select("id", "value")
+
+
+@query("""
+    SELECT CAST(1 AS BIGINT) AS version, 'create' AS action, count(*) AS n FROM events
+    UNION ALL SELECT 2, 'update', count(*) FILTER (event_type = 'error') FROM events
+    UNION ALL SELECT 3, 'delete', count(*) FILTER (event_type = 'click') FROM events""")
+def q_changefeed(db):
+    return _history(db).changes(1).groupBy("version", "action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT action, count(*) AS n FROM events, (SELECT unnest(['create', 'delete']) AS action) WHERE event_type = 'click' AND value > 20 GROUP BY action")
+def q_live_query(db):
+    table, name = _history(db), f"live_{abs(hash(scratch(db.spark, 'x')))}"
+    stream = feeds.live(table, p.and_(p.eq("event_type", "click"), p.gt("value", 20))).select("action")
+    running = stream.groupBy("action").agg(F.count("*").alias("n")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return db.spark.table(name)
+
+
+@query("SELECT event_type, count(*) AS total, round(sum(value), 4) AS value FROM events WHERE event_type NOT IN ('click', 'error') GROUP BY 1 UNION ALL SELECT 'error', count(*), 0.0 FROM events WHERE event_type = 'error'")
+def q_maintained_view(db):
+    kept = T.StructType([T.StructField("id", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("total", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("value", T.DoubleType())])
+    view = feeds.CountedView(_history(db), Table(db.spark, scratch(db.spark, "view"), kept), ("event_type",), ("value",))
+    feeds.Subscriptions(scratch(db.spark, "cp")).spawn("view", feeds.live(view.source), view.refresh, once=True).awaitTermination()
+    return view.read().select("event_type", "total", F.abs(F.round("value", 4)).alias("value"))

@@ -1,6 +1,7 @@
 """Tables that keep their history, and files in buckets."""
 
 from .files import Bucket, File
+from .sequences import Sequence
 from .store import Conflict, Table, Transaction
 
-__all__ = ["Bucket", "Conflict", "File", "Table", "Transaction"]
+__all__ = ["Bucket", "Conflict", "File", "Sequence", "Table", "Transaction"]

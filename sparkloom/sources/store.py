@@ -30,6 +30,16 @@ def filesystem(spark: SparkSession, path: str):
     return make, make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared one, or under a temporary one where none is set (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        import tempfile
+
+        found = f"file://{tempfile.mkdtemp()}"
+    return f"{found}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass
 class Table:
     """A table under a folder. schema has the rows' columns, `id string` among them."""

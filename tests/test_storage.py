@@ -177,3 +177,20 @@ def test_migrations(spark, tmp_path):
         m.down()
     (where / "20240102_000000_two.sql").write_text("-- @up\nSELECT 1;\n-- @down\nSELECT 2;\n")
     assert m.changed() == ["20240102_000000"] and m.down(2) == ["20240102_000000", "20240101_000000"] and m.applied() == [] and not spark.catalog.tableExists("mig")
+
+
+def test_sequences_and_params(spark, tmp_path):
+    from sparkloom.functions import expressions as e
+    from sparkloom.plans import Database
+    from sparkloom.sources import Sequence
+
+    b = Bucket(spark, f"file://{tmp_path}/bucket")
+    one, two = Sequence(b, "invoice", 500, 3), Sequence(b, "invoice", 500, 3)
+    assert [one.next(), two.next(), one.next(), one.next(), one.next(), two.next()] == [500, 503, 501, 502, 506, 504]
+    rows = one.number(spark.range(10, numPartitions=3)).collect()
+    assert sorted(r.number for r in rows) == list(range(509, 519)) and two.number(spark.range(0)).count() == 0
+    db = Database(spark)
+    db.param("app_name", "loom")
+    assert db.sql("SELECT app_name AS x").first().x == "loom"
+    times = spark.createDataFrame([("2024-01-01T10:00:00Z",), ("2024-01-01T12:00:00+02:00",), ("2024-01-01 10:00:00",), ("no",), (None,)], "t string")
+    assert [str(r[0]) for r in times.select(e.to_datetime("t").column(times).cast("string")).collect()] == ["2024-01-01 10:00:00"] * 3 + ["None"] * 2
