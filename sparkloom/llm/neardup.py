@@ -46,7 +46,9 @@ BUCKET, BLOCK, LOAD = 2_000_000, 256, 2_000_000
 HASHES, STEP, TOLERANCE = 64, 16, 1e-9
 #: Candidates whose ids are broadcast at most (16 bytes each); above, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-_LEVELS = 32767
+_LEVELS, _RANGES = 32767, 8
+#: Shingles gathered at a time when pairs are verified.
+GATHERED = 250_000
 
 
 def _name(text: str, words: np.ndarray) -> int:
@@ -142,30 +144,39 @@ def _repeated(width: int):
     """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        hashes, owners, flags, tables, n = [], [], [], [], 0
-        for row in group.to_pylist():
-            short = np.frombuffer(row["hashes"], np.uint8).reshape(-1, width)
-            eight = np.zeros((len(short), 8), np.uint8)
-            eight[:, :width] = short
-            hashes.append(eight.view("<i8").ravel())
-            owners.append(np.frombuffer(row["owners"], np.uint16).astype(np.int32) + n)
-            flags.append(np.unpackbits(np.frombuffer(row["forced"], np.uint8), count=len(short)).astype(bool))
-            tables.append(np.frombuffer(row["table"], np.int64).reshape(-1, 2))
-            n += len(tables[-1])
-        table = np.concatenate(tables)
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        n = 0
+        for batch in group.to_batches():
+            for row in zip(*(batch.column(c) for c in ("hashes", "owners", "forced", "table")), strict=True):
+                short, owners, forced, table = (x.as_buffer() for x in row)
+                eight = np.zeros((len(short) // width, 8), np.uint8)
+                eight[:, :width] = np.frombuffer(short, np.uint8).reshape(-1, width)
+                table = np.frombuffer(table, np.int64).reshape(-1, 2)
+                for c, v in zip(parts, (eight.view("<i8").ravel(), np.frombuffer(owners, np.uint16).astype(np.int32) + n, np.unpackbits(np.frombuffer(forced, np.uint8), count=len(eight)).astype(bool), table), strict=True):
+                    c.append(v)
+                n += len(table)
+        hashes, owners, flags, table = (np.concatenate(c) for c in parts)
+        del parts
         names, number = np.unique(table[:, 0], return_inverse=True)
-        h, f = np.concatenate(hashes), np.concatenate(flags)
-        own = number.astype(np.int32)[np.concatenate(owners)]
-        order = np.lexsort((own, h))
-        h, own, f = h[order], own[order], f[order]
-        once = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
-        h, own, f = h[once], own[once], f[once]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        held = np.repeat(np.diff(starts, append=len(h)), np.diff(starts, append=len(h)))
-        keep = (held > 1) | f
-        level = np.where(f[keep], _LEVELS, np.minimum(held[keep], _LEVELS - 1))
+        owners = number.astype(np.int32)[owners]
         told = table[:, 1] >= 0
-        return pa.table({"class": np.concatenate((names[own[keep]], table[told, 0])), "code": np.concatenate((level << 48 | h[keep], table[told, 1]))})
+        classes, codes = [table[told, 0]], [table[told, 1]]
+        low, high = int(hashes.min()), int(hashes.max()) + 1
+        for k in range(_RANGES):  # a range of hashes at a time, to bound memory
+            some = np.flatnonzero((hashes >= low + (high - low) * k // _RANGES) & (hashes < low + (high - low) * (k + 1) // _RANGES))
+            some = some[np.lexsort((owners[some], hashes[some]))]
+            h, own, f = hashes[some], owners[some], flags[some]
+            if not len(h):
+                continue
+            once = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
+            h, own, f = h[once], own[once], f[once]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            held = np.repeat(np.diff(starts, append=len(h)), np.diff(starts, append=len(h)))
+            keep = (held > 1) | f
+            level = np.where(f[keep], _LEVELS, np.minimum(held[keep], _LEVELS - 1))
+            classes.append(names[own[keep]])
+            codes.append(level << 48 | h[keep])
+        return pa.table({"class": np.concatenate(classes), "code": np.concatenate(codes)})
 
     return run
 
@@ -236,9 +247,11 @@ def link_block(copies: np.ndarray, sides: np.ndarray | None, shingles: list[np.n
             continue
         marker[flat[starts[i] : ends[i]]] = 1
         sizes = n[pick]
-        stops = np.cumsum(sizes)
-        places = np.arange(stops[-1]) + np.repeat(starts[pick] - (stops - sizes), sizes)
-        shared = np.add.reduceat(marker[flat[places]], stops - sizes)
+        shared = np.empty(len(pick), np.int64)
+        for some in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(np.cumsum(sizes) // GATHERED)) + 1):
+            stops = np.cumsum(sizes[some])
+            places = np.arange(stops[-1]) + np.repeat(starts[pick[some]] - (stops - sizes[some]), sizes[some])
+            shared[some] = np.add.reduceat(marker[flat[places]], stops - sizes[some])
         marker[flat[starts[i] : ends[i]]] = 0
         pick = pick[shared * (ratio.numerator + ratio.denominator) >= ratio.numerator * (sizes + n[i])]
         links[i] += copies[pick].sum()
