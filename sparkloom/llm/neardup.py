@@ -215,9 +215,11 @@ def _least_matches(t: float, hashes: int = HASHES, tolerance: float = TOLERANCE)
 def minhashes(shingles: np.ndarray, n: int = HASHES) -> np.ndarray:
     """n MinHash values of a set of shingles, as the upper halves of mixed hashes."""
     keys = mix(np.arange(1, n + 1, dtype=np.uint64))
-    out = np.empty(n, np.uint64)
-    for at in range(0, n, 8):
-        out[at : at + 8] = ((shingles.view(np.uint64)[None, :] ^ keys[at : at + 8, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).min(axis=1)
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for some in np.array_split(shingles.view(np.uint64), len(shingles) // 65_536 + 1):
+        for at in range(0, n, 8):
+            values = (some[None, :] ^ keys[at : at + 8, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+            out[at : at + 8] = np.minimum(out[at : at + 8], values.min(axis=1))
     return (out & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
