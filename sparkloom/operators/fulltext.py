@@ -126,7 +126,7 @@ def _equal(token: str):
 
 
 def fused(rankings: Sequence[DataFrame], key: str, order: str, k: int = 60, name: str = "score") -> DataFrame:
-    """Reciprocal rank fusion of rankings, each ordered by a column, larger first."""
+    """Reciprocal rank fusion of short rankings (top-k results), each ordered by a column, larger first."""
     ranked = [r.select(key, F.row_number().over(Window.orderBy(F.desc(order), key)).alias("_rank")) for r in rankings]
     all_ = ranked[0]
     for r in ranked[1:]:

@@ -109,29 +109,71 @@ class Table:
         base = self.version() if base is None else base
         return self.commit(self._changes(self.read(base), after), base)
 
+    def _shaped(self, rows: DataFrame) -> DataFrame:
+        """id, and the row with the table's columns; columns that rows lack are null."""
+        own = [(F.col(c) if c in rows.columns else F.lit(None)).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]
+        return rows.select(F.col("id"), F.struct(*own).alias("row"))
+
+    def _of(self, changed: DataFrame, action: str | None = None) -> DataFrame:
+        """The log's columns from (id, row, original): only rows that a change touches come here."""
+        kind = F.when(F.col("original").isNull(), "create").when(F.col("row").isNull(), "delete").otherwise("update")
+        return changed.withColumn("action", F.lit(action) if action else kind).select(*self.logged.names)
+
+    def _current(self, rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.struct(*self.schema.names).alias("original"))
+
     def insert(self, rows: DataFrame) -> int:
-        """New rows; an id that exists is an error."""
-        own = self.read()
-        if not rows.join(own.select("id"), "id", "left_semi").isEmpty():
+        """New rows; an id that exists is an error. Nothing else is rewritten."""
+        base = self.version()
+        if base and not rows.join(self.read(base).select("id"), "id", "left_semi").isEmpty():
             raise ValueError("an id exists already")
-        return self.write(dml.insert(own, rows))
+        return self.commit(self._of(self._shaped(rows).withColumn("original", F.lit(None).cast(self.schema)), "create"), base)
 
     def upsert(self, rows: DataFrame) -> int:
-        return self.write(dml.upsert(self.read(), rows))
+        base = self.version()
+        both = self._shaped(rows).join(self._current(self.read(base)), "id", "left")
+        return self.commit(self._of(both.where(F.col("original").isNull() | ~F.col("row").eqNullSafe(F.col("original")))), base)
+
+    def _updated(self, base: int, hit: DataFrame, after: DataFrame) -> int:
+        """Commits rows of after, which has the column _original, that differ."""
+        both = self._shaped(after).join(self._current(hit), "id") if "_original" not in after.columns else after.select("id", F.struct(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]).alias("row"), F.col("_original").alias("original"))
+        return self.commit(self._of(both.where(~F.col("row").eqNullSafe(F.col("original"))), "update"), base)
 
     def update(self, values: dict[str, Any], condition: Any = None) -> int:
-        return self.write(dml.update(self.read(), values, condition))
+        """Reads the table, and writes only the rows that change."""
+        base = self.version()
+        own = self.read(base)
+        hit = own.where(dml.holds(condition, own)).withColumn("_original", F.struct(*self.schema.names))
+        return self._updated(base, hit, dml.update(hit, values))
 
     def merge(self, patch: DataFrame) -> int:
-        return self.write(dml.merge(self.read(), patch))
+        base = self.version()
+        hit = self.read(base).join(patch.select("id"), "id", "left_semi")
+        return self._updated(base, hit, dml.merge(hit, patch))
 
     def delete(self, condition: Any = None) -> int:
         """Deletes rows; the tables that refer here follow, each with a commit of its own."""
-        after, others = dml.delete_referenced(self.read(), condition, {n: (t.read(), link, action) for n, (t, link, action) in self.references.items()})
-        version = self.write(after)
-        for n, rows in others.items():
-            self.references[n][0].write(rows)
-        return version
+        base = self.version()
+        own = self.read(base)
+        hit = own.where(dml.holds(condition, own))
+        gone = hit.select(F.col("id").alias("_gone"))
+        found = {}
+        for n, (other, link, action) in self.references.items():
+            rows = other.read()
+            on = F.array_contains(F.col(link), F.col("_gone")) if other.schema[link].dataType.typeName() == "array" else F.col(link) == F.col("_gone")
+            found[n] = rows.join(gone, on, "left_semi")
+            if action == "reject" and not found[n].isEmpty():
+                raise dml.Rejected(f"{n}.{link} refers to what is to be deleted")
+        for n, (other, link, action) in self.references.items():
+            if action == "cascade":
+                other._remove(found[n], other.version())
+            elif action == "unset":
+                _, out = dml.delete_referenced(own, condition, {n: (found[n], link, action)})
+                other._updated(other.version(), found[n], out[n])
+        return self._remove(hit, base)
+
+    def _remove(self, hit: DataFrame, base: int) -> int:
+        return self.commit(self._of(self._current(hit).withColumn("row", F.lit(None).cast(self.schema)), "delete"), base)
 
     def returned(self, version: int, form: str = dml.AFTER) -> DataFrame:
         """What the statement that made a version returns."""

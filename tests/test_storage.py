@@ -65,6 +65,16 @@ def test_references_between_tables(spark, tmp_path):
     other.insert(spark.createDataFrame([("l:1", "n:1"), ("l:2", "n:2")], links))
     own.delete("id = 'n:1'")
     assert [r.id for r in other.read().collect()] == ["l:2"]
+    third = Table(spark, f"file://{tmp_path}/third", links)
+    third.insert(spark.createDataFrame([("t:1", "n:2"), ("t:2", None)], links))
+    own.references = {"third": (third, "note", "reject")}
+    with pytest.raises(dml.Rejected):
+        own.delete()
+    own.references = {"third": (third, "note", "unset")}
+    own.delete()
+    assert {tuple(r) for r in third.read().collect()} == {("t:1", None), ("t:2", None)} and own.read().isEmpty()
+    assert third.merge(spark.createDataFrame([("t:1", "x"), ("t:9", "y")], links)) == 3
+    assert {tuple(r) for r in third.read().collect()} == {("t:1", "x"), ("t:2", None)} and third.changes(3).count() == 1
 
 
 def test_live_queries(spark, table, tmp_path):
