@@ -8,7 +8,7 @@ distance to it.
 
 For a query q and an entry v under routing object p, the triangle inequality
 gives q.v <= q.p + |q| d(v, p), and for all of a node q.p + |q| r.  Nodes are taken
-best bound first, and an inner product is computed only if the stored distance
+best bound of a block's queries first, and an inner product is computed only if the stored distance
 lets it reach the k-th best so far.  Queries first search their own routing
 object's pages; the k-th scores found there spare most others.
 
@@ -104,33 +104,35 @@ def search_page(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, ids: np
     parent, radius = nodes[m + 1 : m + 1 + n].view(float), nodes[m + 1 + n : 2 * m + 1 + n].view(float)
     routing = nodes[2 * m + 1 + n :].reshape(m, queries.shape[1])
     length = np.sqrt((queries.astype(float) ** 2).sum(1))
+    if queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) < 2**53:
+        queries, vectors, routing = queries.astype(float), vectors.astype(float), routing.astype(float)  # exact, and faster
     to_routing = queries @ routing.T
     bound = to_routing + length[:, None] * radius
-    order = np.argsort(-bound, axis=1, kind="stable")
     low = np.iinfo(np.int64).min
     best, best_id = np.full((len(queries), k), low), np.full((len(queries), k), np.iinfo(np.int64).max)
     needed = floor.astype(float)
-    computed = queries.size // max(1, queries.shape[1]) * m
-    for step in range(m):
-        at = order[:, step]
-        live = np.flatnonzero(bound[np.arange(len(queries)), at] >= needed)
-        if not len(live):
-            break
-        for node in np.unique(at[live]):
-            some = live[at[live] == node]
-            entries = np.arange(start[node], stop[node])
-            reach = to_routing[some, node][:, None] + length[some][:, None] * parent[entries] >= needed[some][:, None]
-            entries, reach = entries[reach.any(0)], reach[:, reach.any(0)]
-            if not len(entries):
-                continue
-            score = queries[some] @ vectors[entries].T
-            computed += score.size
-            score = np.where(reach & (own[some][:, None] != ids[entries]) & (score >= needed[some][:, None]), score, low)
-            score = np.concatenate((best[some], score), axis=1)
-            id_ = np.concatenate((best_id[some], np.broadcast_to(ids[entries], (len(some), len(entries)))), axis=1)
-            top = np.lexsort((id_, -score.clip(low + 1)), axis=1)[:, :k]
-            best[some], best_id[some] = np.take_along_axis(score, top, 1), np.take_along_axis(id_, top, 1)
-            needed[some] = np.maximum(needed[some], np.where(best[some, -1] == low, -np.inf, best[some, -1]))
+    computed = len(queries) * m
+    for node in np.argsort(-bound.max(axis=0, initial=-np.inf), kind="stable"):
+        some = np.flatnonzero(bound[:, node] >= needed)
+        if not len(some):
+            continue
+        entries = np.arange(start[node], stop[node])
+        reach = (needed[some] - to_routing[some, node])[:, None] <= length[some][:, None] * parent[entries]
+        kept = reach.any(0)
+        entries, reach = entries[kept], reach[:, kept]
+        score = queries[some] @ vectors[entries].T
+        computed += score.size
+        hit = reach & (score >= needed[some][:, None]) & (own[some][:, None] != ids[entries])
+        rows, columns = hit.any(1), hit.any(0)
+        if not rows.any():
+            continue
+        some, entries = some[rows], entries[columns]
+        score = np.where(hit[rows][:, columns], score[rows][:, columns].astype(np.int64), low)
+        score = np.concatenate((best[some], score), axis=1)
+        id_ = np.concatenate((best_id[some], np.broadcast_to(ids[entries], (len(some), len(entries)))), axis=1)
+        top = np.lexsort((id_, -score.clip(low + 1)), axis=1)[:, :k]
+        best[some], best_id[some] = np.take_along_axis(score, top, 1), np.take_along_axis(id_, top, 1)
+        needed[some] = np.maximum(needed[some], np.where(best[some, -1] == low, -np.inf, best[some, -1]))
     return best, best_id, computed
 
 
