@@ -51,3 +51,9 @@ def by_slices(step: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512)
 def whole(name: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def sampled(df: DataFrame, rows: int, n: int, *columns: str) -> DataFrame:
+    """At most `rows` of df's n rows, chosen by a hash of columns; no task sends more than its share of them."""
+    share = min(1.0, 1.5 * rows / max(1, n))
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < share * (1 << 30)).limit(rows)

@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices
+from .common import by_slices, sampled
 from .shingles import word_hashes
 
 #: Pages sampled for training, invented pages, passes, and hidden units of each direction.
 SAMPLE, INVENTED, PASSES, HIDDEN = 150, 450, 14, 16
+#: Code points of the longest page that is sampled for training.
+LONGEST = 200_000
 #: Dimensions of the path's and the words' hashed vectors, and of the measures.
 PATH_DIM, WORD_DIM, MEASURES = 32, 12, 8
 DIM = PATH_DIM + WORD_DIM + MEASURES
@@ -355,7 +357,7 @@ def invented(n: int = INVENTED, seed: int = 11) -> list[tuple[str, list[int]]]:
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """A labeller from at most `sample` pages whose tags tell, chosen by hash, and from invented layouts."""
-    chosen = pages.where(F.col("html").isNotNull()).select(F.substring("html", 1, 200_000).alias("html"), F.xxhash64("html").alias("h")).orderBy("h").limit(sample)
+    chosen = sampled(pages.where(F.length("html") <= LONGEST), sample, pages.count(), "page_id", "html").select("html")
     rows, labels = [], []
     for r in chosen.collect():
         own = blocks(r["html"])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, sampled
 
 #: Routing objects at most, vectors of a page, entries of a node, and queries of a block.
 PIVOTS, PAGE, NODE, BLOCK = 512, 4096, 64, 256
@@ -184,7 +184,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     sizes = {r["dim"]: r["n"] for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each length
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
-        some = distinct.where(F.size("v") == dim).orderBy(F.xxhash64("v")).limit(min(PIVOTS, math.ceil(n / PAGE))).select("v").collect()  # PIVOTS vectors at most
+        own = distinct.where(F.size("v") == dim).select("v")
+        some = sampled(own, min(PIVOTS, math.ceil(n / PAGE)), n, "v").collect() or own.limit(1).collect()  # PIVOTS vectors at most
         pivots[dim] = np.array([r["v"] for r in some], np.int64).reshape(len(some), dim)
     assigned = cut(distinct.mapInArrow(_nearest(pivots), "v array<bigint>, ids array<bigint>, dim int, pivot int"))
     counts = assigned.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages"))

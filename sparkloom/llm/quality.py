@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices
+from .common import by_slices, sampled
 from .shingles import word_hashes
 
 #: Labelled rows that a model is fitted on at most: the bound on training data.
@@ -142,7 +142,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     quality, toxic = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))
     grade = (F.when(quality > 0, 1).otherwise(0) + F.when(toxic > 0, 0).otherwise(1)).cast("int")
     rated = labels.where(quality.isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # `rows` ids and grades at most
+    chosen = sampled(rated, rows, labels.count(), "doc_id")  # `rows` ids and grades at most
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column("grade"), pa.array(features(batch.column("text").to_pylist()), pa.list_(pa.int32()))], ["grade", "features"])
