@@ -59,13 +59,19 @@ def _matches(rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(F.slice(found, 1, 0))
 
 
-def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind number, start, end) of what the rules find in the texts of distinct blobs."""
-    found = blobs.select("blob", F.explode(F.flatten(F.array(*(_matches(r, k) for k, r in enumerate(rules))))).alias("m")).select("blob", "m.*")
+def _located(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, kind number, start, end, counts) of all matches in distinct blobs; one row without a kind for a blob that has none."""
+    found = blobs.select("blob", F.explode_outer(F.flatten(F.array(*(_matches(r, k) for k, r in enumerate(rules))))).alias("m")).select("blob", "m.*")
     before = Window.partitionBy("blob", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("len")).over(before)
     least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("kind") + 1)
-    return found.select("blob", "kind", "part", "len", end.alias("end")).where(F.col("part") >= least).select("blob", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
+    counts = F.coalesce(F.col("part") >= least, F.lit(False))
+    return found.select("blob", "kind", "len", end.alias("end"), counts.alias("counts")).select("blob", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "counts")
+
+
+def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, kind number, start, end) of what the rules find in the texts of distinct blobs."""
+    return _located(blobs, rules).where("counts").select("blob", "kind", "start", "end")
 
 
 def unseen(blobs: DataFrame, ledger: DataFrame | None, version: str = RULE_VERSION) -> DataFrame:
@@ -78,9 +84,8 @@ def unseen(blobs: DataFrame, ledger: DataFrame | None, version: str = RULE_VERSI
 
 def ledger_rows(texts: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows: blob, rule_version and all its findings in order, for texts with findings or without."""
-    found = scan(texts, rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("findings"))
-    empty = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("end"))), 1, 0)
-    return texts.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("findings", empty).alias("findings"))
+    one = F.when(F.col("counts"), F.struct("start", "kind", "end"))
+    return _located(texts, rules).groupBy("blob").agg(F.sort_array(F.collect_list(one)).alias("findings")).select("blob", F.lit(version).alias("rule_version"), "findings")
 
 
 def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
@@ -96,6 +101,12 @@ def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, v
     return spark.read.parquet(path)
 
 
+def known(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION) -> DataFrame:
+    """Every row's doc_id and blob with its findings (null for none), all from a ledger that has docs' blobs."""
+    found = ledger.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
+    return blobs_of(docs).select("doc_id", "blob").join(found, "blob", "left")
+
+
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """Every row's doc_id and blob with its findings, from the ledger where it has them.
 
