@@ -17,8 +17,8 @@ class and are handled once.
    only a spanning forest leaves the task, so no pairs are written.
 
 Null texts count as empty.  Texts without a word are linked to equal texts only.
-Rows that repeat a doc_id count as documents of their own.  An empty table gives
-an empty result.
+Rows that repeat a doc_id, or have none, count as documents of their own.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_slices, cut
 from .components import components
@@ -307,10 +308,30 @@ def _tasks(groups: DataFrame) -> DataFrame:
     return placed.select("class", "component", F.explode(pairs).alias("p")).select("class", "component", "p.*")
 
 
+def _without_id(docs: DataFrame) -> DataFrame:
+    """The rows that have no doc_id, with their class as _class; in each slice one row of a class."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first: dict[int, int] = {}
+        for k, (name, _) in enumerate(_named(batch.column("text").to_pylist())):
+            first.setdefault(name, k)
+        some = batch.take(pa.array(list(first.values()), pa.int64()))
+        return pa.record_batch([*some.columns, pa.array(list(first), pa.int64())], [*some.schema.names, "_class"])
+
+    return docs.where("doc_id is null").mapInArrow(by_slices(step, 2048), T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+
+
 def near_duplicates(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, class_id (the least doc_id of all that links tie together),
     copy_id (the least doc_id of its copies) and n_links (the other documents it is linked to, copies too).
+
+    Ids are null where none of these documents has one.
     """
+    return _grouped(docs, t).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def _grouped(docs: DataFrame, t: float) -> DataFrame:
+    """near_duplicates with each document's class and its group's least class (group)."""
     spark = docs.sparkSession
     first = cut(classes(docs))
     found = first.where("doc = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), "n")
@@ -323,9 +344,13 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     tied = components(keyed.join(root, "key").select(F.col("class").alias("a"), "b"))
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / t) + 1e-6).cast("int")
     groups = cut(tied.select(F.col("node").alias("class"), "component").join(kinds, "class").withColumn("size", step))
-    totals = groups.agg(F.count("*").alias("m"), F.sum("n").alias("n")).first()
-    ids = groups.select(F.col("rep").alias("doc_id"), "class")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if totals["m"] <= BROADCAST_ROWS else ids, "doc_id")
+    totals = groups.agg(F.count("*").alias("m"), F.count("rep").alias("named")).first()
+    near = F.broadcast if totals["m"] <= BROADCAST_ROWS else lambda x: x
+    ids = groups.where("rep is not null").select(F.col("rep").alias("doc_id"), "class")
+    texts = docs.select("doc_id", "text").join(near(ids), "doc_id").select("class", "text")
+    if totals["named"] < totals["m"]:  # classes without an id are found by the names of their texts
+        unnamed = groups.where("rep is null").select(F.col("class").alias("_class"))
+        texts = texts.unionByName(_without_id(docs.select("doc_id", "text")).join(near(unnamed), "_class").select(F.col("_class").alias("class"), "text"))
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(k, x.tobytes(), minhashes(x).tobytes()) for k, (name, x) in zip(batch.column("class").to_pylist(), _named(batch.column("text").to_pylist()), strict=True) if k == name and len(x)]
@@ -333,26 +358,32 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
 
     sets = texts.mapInArrow(by_slices(shingled), "class long, shingles binary, hashes binary").dropDuplicates(["class"])
     tasks = _tasks(groups.select("class", "component", "size"))
-    load = max(1, math.ceil((totals["n"] or 0) * 3 / LOAD))
+    load = max(1, math.ceil((groups.agg(F.sum("n")).first()[0] or 0) * 3 / LOAD))
     dealt = F.pmod(F.xxhash64("component", "size", "kind", "i", "j"), F.lit(load)).cast("int")
     full = tasks.join(groups.select("class", "copies"), "class").join(sets, "class").withColumn("bucket", dealt)
     compared = cut(full.groupBy("bucket").applyInArrow(_compare(t), "edge int, a long, b long"))
     links = compared.where("edge = 0").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("links"))
     named = components(compared.where("edge = 1").select("a", "b"))
     least = named.join(kinds, named["node"] == kinds["class"]).groupBy("component").agg(F.min("rep").alias("class_id"))
-    of = named.join(least, "component").select(F.col("node").alias("class"), "class_id")
+    of = named.join(least, "component").select(F.col("node").alias("class"), F.col("component").alias("group"), "class_id")
     by_class = kinds.join(links, "class", "left").join(of, "class", "left")
-    per_class = by_class.select("class", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return found.select("doc_id", "class").join(per_class, "class").select("doc_id", "class_id", "copy_id", "n_links")
+    group = F.coalesce("group", "class").alias("group")
+    per_class = by_class.select("class", group, F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return found.select("doc_id", "class").join(per_class, "class")
 
 
 def one_of_each(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """docs without all but the least doc_id of each group; all columns stay.
 
     Equal rows become one; rows that repeat a doc_id with other texts stay or go together.
+    Of a group without any doc_id, one row stays.
     """
-    of = cut(near_duplicates(docs, t))
-    repeated = not of.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
+    of = cut(_grouped(docs, t).select("doc_id", "class", "group", "class_id"))
+    repeated = not of.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
     stay = of.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
     out = docs.join(stay, docs["doc_id"] == stay["_kept"], "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    out = out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    unnamed = of.where("class_id is null and class = group").select(F.col("class").alias("_class")).distinct()
+    if unnamed.isEmpty():
+        return out
+    return out.unionByName(_without_id(docs).join(unnamed, "_class", "left_semi").dropDuplicates(["_class"]).drop("_class"))

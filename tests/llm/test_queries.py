@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,12 +12,13 @@ import duckdb
 import pytest
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import neardup
 from sparkloom.llm.queries import ORACLE_SQL, QUERIES
 
-from .conftest import base_docs
+from .conftest import DOCS, base_docs, sentence
 
 
 def encoding(name: str) -> tiktoken.Encoding:
@@ -173,3 +175,20 @@ def test_pipeline_stages(spark, folder, tmp_path):
     packed = stages["packing"](spark, clean, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in clean.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_near_duplicates_without_ids(spark):
+    """Documents without an id are linked to each other, and one of each group stays, whatever columns there are."""
+    rng = random.Random(9)
+    one, two, alone, shared = (sentence(rng, 150).split() for _ in range(4))
+    changed = lambda words, k: " ".join([*words[:k], "changed", *words[k + 1 :]])
+    texts = [" ".join(one), changed(one, 70), " ".join(one), " ".join(two), changed(two, 3), " ".join(alone), None, ""]
+    rows = [(None, x, "en", None, None) for x in texts] + [(3, " ".join(shared), "en", None, None), (None, changed(shared, 30), "en", None, None), (4, "named", "en", None, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("class", F.lit("clash"))
+    found = neardup.near_duplicates(docs)
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in found.collect()) == brute_force(rows)
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert len(got) == 6 and {(3, " ".join(shared)), (4, "named"), (None, " ".join(alone)), (None, "")} <= set(got)
+    assert sum(x in texts[:3] for _, x in got) == 1 and sum(x in texts[3:5] for _, x in got) == 1
