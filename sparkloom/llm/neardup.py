@@ -292,11 +292,15 @@ def _compare(t: float):
 
 
 def _tasks(groups: DataFrame) -> DataFrame:
-    """Each member's block and all pairs of blocks it takes part in; lengths of one step or of neighbouring steps meet."""
+    """Each member's block and all pairs of blocks it takes part in; lengths of one step or of neighbouring steps meet.
+
+    Pairs are dealt to buckets of about LOAD shingles, each member counted once for every pair it is in.
+    """
     counted = groups.groupBy("component", "size").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     near = [counted.select("component", (F.col("size") + d).alias("size"), F.col("blocks").alias(n)) for d, n in ((0, "own"), (1, "below"), (-1, "above"))]
     wide = near[0].join(near[1], ["component", "size"], "left").join(near[2], ["component", "size"], "left").na.fill(0, ["below", "above"])
     placed = groups.join(wide, ["component", "size"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("own")).cast("int"))
+    load = placed.agg(F.sum(F.col("n") * (F.col("own") + F.col("below") + F.col("above")))).first()[0] or 0
     one = lambda size, kind, i, j, side: F.struct(size.alias("size"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     upto = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.expr("array()"))
     b, s, zero = F.col("block"), F.col("size"), F.lit(0)
@@ -305,7 +309,8 @@ def _tasks(groups: DataFrame) -> DataFrame:
         upto("above", lambda x: one(s, 1, b, x, zero)),
         upto("below", lambda x: one(s - 1, 1, x, b, zero + 1)),
     )
-    return placed.select("class", "component", F.explode(pairs).alias("p")).select("class", "component", "p.*")
+    bucket = F.pmod(F.xxhash64("component", "size", "kind", "i", "j"), F.lit(max(1, math.ceil(load / LOAD)))).alias("bucket")
+    return placed.select("class", "component", F.explode(pairs).alias("p")).select("class", "component", "p.*").select("*", bucket)
 
 
 def _without_id(docs: DataFrame) -> DataFrame:
@@ -357,10 +362,8 @@ def _grouped(docs: DataFrame, t: float) -> DataFrame:
         return _batch("class long, shingles binary, hashes binary", list(zip(*rows, strict=True)) or [[], [], []])
 
     sets = texts.mapInArrow(by_slices(shingled), "class long, shingles binary, hashes binary").dropDuplicates(["class"])
-    tasks = _tasks(groups.select("class", "component", "size"))
-    load = max(1, math.ceil((groups.agg(F.sum("n")).first()[0] or 0) * 3 / LOAD))
-    dealt = F.pmod(F.xxhash64("component", "size", "kind", "i", "j"), F.lit(load)).cast("int")
-    full = tasks.join(groups.select("class", "copies"), "class").join(sets, "class").withColumn("bucket", dealt)
+    tasks = _tasks(groups.select("class", "component", "size", "n"))
+    full = tasks.join(groups.select("class", "copies"), "class").join(sets, "class")
     compared = cut(full.groupBy("bucket").applyInArrow(_compare(t), "edge int, a long, b long"))
     links = compared.where("edge = 0").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("links"))
     named = components(compared.where("edge = 1").select("a", "b"))

@@ -132,6 +132,13 @@ def test_near_duplicates_are_exact(spark, folder, monkeypatch, block):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in rows) == brute_force(base_docs())
 
 
+def test_large_groups_are_compared_in_bounded_buckets(spark):
+    """A family of 16,384 near copies: no bucket holds much more than LOAD shingles."""
+    groups = spark.range(16_384).selectExpr("id AS class", "0L AS component", "31 AS size", "1000L AS n")
+    held = [r.n for r in neardup._tasks(groups).groupBy("bucket").agg((F.count("*") * 1000).alias("n")).collect()]
+    assert sum(held) >= 64 * 16_384 * 1000 and max(held) <= 5 * neardup.LOAD
+
+
 def test_languages_and_grades_of_every_row(spark, folder):
     rows = QUERIES["op4_language_id"](spark, folder).collect()
     assert len(rows) == len(base_docs())
