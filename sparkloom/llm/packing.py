@@ -1,7 +1,8 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm.
 
 Documents become pieces of at most `capacity` tokens; only a document's first
-piece can be shorter.  Full pieces are sequences of their own.  The others are
+piece can be shorter.  The tokenizer's added tokens are matched in the texts, as the
+tokenizers library does.  Full pieces are sequences of their own.  The others are
 dealt at random, whatever their documents, into cells of about CELL pieces; each
 cell is packed by ISLANDS populations in tasks of their own.  An individual is
 a grouping of the cell's pieces into bins.  Crossover injects a parent's
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import math
+import os
 import zlib
 from array import array
 from collections.abc import Sequence
@@ -26,6 +29,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,15 +46,40 @@ POPULATION = 4
 END = (0).to_bytes(4, "little")
 
 
+class Marked:
+    """Texts to ids, where added tokens stand for themselves and part the text."""
+
+    def __init__(self, plain: Cached, added: list[dict]) -> None:
+        for x in added:
+            if x["single_word"] or x["lstrip"] or x["rstrip"]:
+                raise NotImplementedError(f"added token {x['content']!r} that depends on its surroundings")
+        self.plain, self.added = plain, {x["content"]: int(x["id"]).to_bytes(4, "little") for x in added}
+        names = list(map(regex.escape, sorted(self.added, key=len, reverse=True)))
+        self.split = regex.compile(f"({'|'.join(names)})").split if names else lambda text: [text]
+
+    def ids(self, texts: Sequence[str | None]) -> list[bytes]:
+        parts = [self.split(t or "") for t in texts]  # every second one is an added token
+        own = iter(self.plain.ids([x for p in parts for x in p[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(own) for k, x in enumerate(p)) for p in parts]
+
+
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str) -> Cached:
-    """A worker's tokenizer. The rank file of the same vocabulary gives the ids of the tokenizers file in a fifth of the time."""
+def tokenizer(path: str, pattern: str) -> Marked:
+    """A worker's tokenizer. The rank file of the same vocabulary gives the ids of the tokenizers file in a fifth of the time.
+
+    Added tokens are those of the tokenizers file beside it, if there is one.
+    """
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     own = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return Cached(pattern, lambda chunks: [array("I", own.encode_ordinary(x)).tobytes() for x in chunks])
+    plain = Cached(pattern, lambda chunks: [array("I", own.encode_ordinary(x)).tobytes() for x in chunks])
+    added, file = [], os.path.splitext(path)[0] + ".json"
+    if os.path.exists(file):
+        with open(file, encoding="utf-8") as text:
+            added = json.load(text)["added_tokens"]
+    return Marked(plain, added)
 
 
 def starts(n: int, capacity: int) -> list[int]:

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import neardup
+from sparkloom.llm import neardup, packing
 from sparkloom.llm.queries import ORACLE_SQL, QUERIES
 
 from .conftest import DOCS, base_docs, sentence
@@ -81,6 +81,22 @@ def test_tokenizers_gives_the_ids_of_the_rank_file():
     assert [x.ids for x in own.encode_batch(texts, add_special_tokens=False)] == [encoding("byte_bpe_50k.tiktoken").encode_ordinary(t) for t in texts]
 
 
+def test_packing_gives_the_ids_of_tokenizers(spark):
+    """At the library's default settings, on whole texts; added tokens are matched in the text."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    marked = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "a\n\n<|endoftext|>\n<|endoftext", "x" * 3000 + "  <|endoftext|>  " + "y" * 3000]
+    texts = [*marked, *(t for _, t, *_ in base_docs() if t is not None)]
+    assert own.encode(marked[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True).orderBy("doc_id", "piece").collect()
+    got = [[] for _ in texts]
+    for r in rows:
+        got[r.doc_id] += r.ids
+    assert got == [[*x.ids, 0] for x in own.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_is_tiktoken_and_decodes(spark, folder):
     own = encoding("byte_bpe_multi_50k.tiktoken")
     want = Counter()
