@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -86,20 +87,29 @@ def knn(rows: DataFrame, column: str, vector: Sequence[float], k: int, metric: s
 
 
 def knn_hashed(rows: DataFrame, column: str, vector: Sequence[float], k: int, key: str = "id", tables: int = 8, bucket: float = 1.0, name: str = "distance") -> DataFrame:
-    """Near rows by random projections, then exact Euclidean distances; falls back on all rows if too few share a bucket.
+    """The k rows nearest by Euclidean distance, found by random projections, whatever the vectors' lengths.
 
-    On unit vectors this orders as cosine does.
+    The k-th distance among rows that share a bucket bounds how far a nearer row's projections can be from the
+    vector's; all rows within that bound are compared. If too few share a bucket, all rows are. On unit vectors
+    this orders as cosine does.
     """
     import numpy as np
 
+    near = np.array(vector, float)
     rng = np.random.default_rng(len(vector))
     planes = rng.normal(0, 1, (tables, len(vector)))
     offsets = rng.uniform(0, bucket, tables)
     own = _doubles(F.col(column))
-    same = [F.floor((_dot(own, literal(p.tolist())) + float(b)) / bucket) == int(np.floor((p @ np.array(vector) + b) / bucket)) for p, b in zip(planes, offsets, strict=True)]
-    some = rows.where(reduce(lambda a, b: a | b, same))
-    found = knn(some, column, vector, k, "euclidean", key, name=name)
-    return found if len(found.select(key).take(k)) == k else knn(rows, column, vector, k, "euclidean", key, name=name)
+    across, at = [_dot(own, literal(p.tolist())) for p in planes], planes @ near
+    reach = math.inf
+    if np.all(np.abs(at + offsets) < bucket * 2.0**62):  # buckets have numbers
+        same = [F.floor((x + float(b)) / bucket) == int(np.floor((y + b) / bucket)) for x, y, b in zip(across, at, offsets, strict=True)]
+        first = knn(rows.where(reduce(lambda a, b: a | b, same)), column, vector, k, "euclidean", key, name=name).select(name).collect()
+        reach = first[-1][0] if len(first) == k else math.inf
+    if math.isfinite(reach):
+        room = np.linalg.norm(planes, axis=1) * (reach + 1e-9 * (reach + np.linalg.norm(near)))  # with what rounding may add
+        rows = rows.where(reduce(lambda a, b: a & b, [F.abs(x - float(y)) <= float(r) for x, y, r in zip(across, at, room, strict=True)]))
+    return knn(rows, column, vector, k, "euclidean", key, name=name)
 
 
 def knn_join(queries: DataFrame, rows: DataFrame, column: str, k: int, metric: str = "cosine", key: str = "id") -> DataFrame:

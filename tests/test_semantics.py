@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +145,18 @@ def test_vectors(spark):
         vector.knn(axis, "v", [1.0], 1, "mahalanobis")
 
 
+@pytest.mark.parametrize("norm", [0.01, 1, 10, 100])
+def test_hashed_search_finds_the_nearest(spark, norm):
+    """Recall at 10 over the rows whose id is divisible by 100, at several norms."""
+    rng = random.Random(4)
+    vectors = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(400)]
+    vectors = [[norm * x / math.sqrt(sum(y * y for y in v)) for x in v] for v in vectors]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>").cache()
+    for k in range(0, 400, 100):
+        want = [r.id for r in vector.knn(rows, "v", vectors[k], 10, "euclidean").collect()]
+        assert [r.id for r in vector.knn_hashed(rows, "v", vectors[k], 10).collect()] == want
+
+
 def test_full_text(db, spark):
     found = lambda q, **k: [r.id for r in Query().from_table("doc").fulltext_search("content", q, **k).to_df(db).orderBy("id").collect()]
     assert found("insider") == ["doc:1", "doc:3"] and found("cryptocurrency") == [] and found("insider desk") == ["doc:1"] and found("desk nothing", any_=True) == ["doc:1", "doc:2"]
