@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # The metrics by name.
 METRICS = ("cosine", "euclidean", "manhattan", "minkowski", "chebyshev", "hamming", "jaccard", "pearson", "mahalanobis")
 #: The order of the Minkowski distance.
 MINKOWSKI_P = 3
+#: Vectors of a block in a join, and queries up to which their blocks are broadcast.
+BLOCK, BROADCAST_ROWS = 512, 100_000
 
 
 def _sum(x: Column) -> Column:
@@ -93,8 +100,6 @@ def knn_hashed(rows: DataFrame, column: str, vector: Sequence[float], k: int, ke
     vector's; all rows within that bound are compared. If too few share a bucket, all rows are. On unit vectors
     this orders as cosine does.
     """
-    import numpy as np
-
     near = np.array(vector, float)
     rng = np.random.default_rng(len(vector))
     planes = rng.normal(0, 1, (tables, len(vector)))
@@ -112,9 +117,83 @@ def knn_hashed(rows: DataFrame, column: str, vector: Sequence[float], k: int, ke
     return knn(rows, column, vector, k, "euclidean", key, name=name)
 
 
+def _packed(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that packs slices of rows of (key, vector): by length, the keys in order and the vectors' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                part = part.take(pc.sort_indices(part.column(0)))
+                sizes = pc.list_value_length(part.column(1)).to_numpy()
+                for n in np.unique(sizes):
+                    own = part.take(pa.array(np.flatnonzero(sizes == n)))
+                    keys = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(0))
+                    raw = own.column(1).flatten().to_numpy().astype(float).tobytes()
+                    yield pa.record_batch([pa.array([n], pa.int32()), keys, pa.array([raw], pa.binary())], [f"{name}_size", f"{name}_keys", name])
+
+    return run
+
+
+def _closest(k: int, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow over pairs of a block of queries and one of rows: each query's k nearest in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                cell = lambda c: batch.column(c)[at]  # noqa: E731, B023
+                n = cell("asked_size").as_py()
+                if n != cell("rows_size").as_py():
+                    continue
+                queries, names = cell("asked_keys").values, cell("rows_keys").values
+                q, x = (np.frombuffer(cell(c).as_buffer(), float).reshape(len(own), n) for c, own in (("asked", queries), ("rows", names)))
+                away = np.zeros((len(q), len(x)))
+                with np.errstate(all="ignore"):
+                    for j in range(n):  # one component after the other, as distance() adds them
+                        away += np.square(q[:, j, None] - x[None, :, j])
+                away = np.sqrt(away)
+                places: dict = defaultdict(list)
+                for m, name in enumerate(names.to_pylist()):
+                    places[name].append(m)
+                found: list[list[np.ndarray]] = [[], []]
+                for m, name in enumerate(queries.to_pylist()):
+                    some = np.delete(np.arange(len(x)), places.get(name, []))
+                    if len(some) > k:
+                        last = np.partition(away[m, some], k - 1)[k - 1]
+                        some = some if np.isnan(last) else some[away[m, some] <= last]
+                    some = some[np.argsort(away[m, some], kind="stable")[:k]]  # rows are in the order of their keys
+                    found[0].append(np.full(len(some), m))
+                    found[1].append(some)
+                a, b = map(np.concatenate, found)
+                yield pa.record_batch([queries.take(pa.array(a)), names.take(pa.array(b)), pa.array(away[a, b])], ["query", key, "distance"])
+
+    return run
+
+
+def _nearest_in_blocks(queries: DataFrame, rows: DataFrame, column: str, k: int, key: str) -> DataFrame:
+    """query, key and Euclidean distance of the k nearest rows of each query in every block of rows."""
+    whole = F.col(column).isNotNull() & F.forall(F.col(column), lambda v: v.isNotNull()) & F.col(key).isNotNull()
+    packed = []
+    asked = queries.where(whole).select(key, _doubles(F.col(column)))
+    n = asked.count()
+    for name, df in (("asked", asked.repartition(max(1, math.ceil(n / BLOCK)))), ("rows", rows.where(whole).select(key, _doubles(F.col(column))))):
+        kind = T.ArrayType(df.schema[key].dataType)
+        packed.append(df.mapInArrow(_packed(name), T.StructType([T.StructField(f"{name}_size", T.IntegerType()), T.StructField(f"{name}_keys", kind), T.StructField(name, T.BinaryType())])))
+    pairs = packed[1].crossJoin(F.broadcast(packed[0]) if n <= BROADCAST_ROWS else packed[0])
+    found = T.StructType([T.StructField("query", queries.schema[key].dataType), T.StructField(key, rows.schema[key].dataType), T.StructField("distance", T.DoubleType())])
+    return pairs.mapInArrow(_closest(k, key), found)
+
+
 def knn_join(queries: DataFrame, rows: DataFrame, column: str, k: int, metric: str = "cosine", key: str = "id") -> DataFrame:
-    """query, key, distance, rank of the k nearest rows of each query; queries are a stated set, broadcast if below Spark's threshold."""
-    asked = queries.select(F.col(key).alias("query"), F.col(column).alias("_asked"))
-    all_ = asked.join(rows.select(key, column), F.col("query") != F.col(key)).withColumn("distance", distance(metric, F.col("_asked"), F.col(column)))
+    """query, key, distance, rank of the k nearest rows of each query.
+
+    By Euclidean distance, blocks of queries meet blocks of rows and k rows of each leave a task; by other
+    metrics every pair is a row, and queries are broadcast if below Spark's threshold.
+    """
+    if metric.lower() == "euclidean":
+        all_ = _nearest_in_blocks(queries, rows, column, k, key)
+    else:
+        asked = queries.select(F.col(key).alias("query"), F.col(column).alias("_asked"))
+        all_ = asked.join(rows.select(key, column), F.col("query") != F.col(key)).withColumn("distance", distance(metric, F.col("_asked"), F.col(column)))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
     return all_.where(F.col("distance").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= k).select("query", key, "distance", "rank")

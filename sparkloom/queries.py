@@ -359,6 +359,12 @@ def q_knn_join(db):
     return vector.knn_join(asked, db.tables["embeddings"], "embedding", 3, "euclidean", "vec_id").select("query", "vec_id", "rank")
 
 
+@query(f"SELECT q.vec_id AS query, c.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCES['euclidean']}, c.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id QUALIFY rank <= 3")
+def q_knn_join_hundredth(db):
+    asked = db.tables["embeddings"].where("vec_id % 100 = 0")
+    return vector.knn_join(asked, db.tables["embeddings"], "embedding", 3, "euclidean", "vec_id").select("query", "vec_id", "rank")
+
+
 @query(None)
 def q_knn_hashed(db):
     near = db.tables["embeddings"].where("vec_id = 0").first()["embedding"]

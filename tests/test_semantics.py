@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +158,24 @@ def test_hashed_search_finds_the_nearest(spark, norm):
         assert [r.id for r in vector.knn_hashed(rows, "v", vectors[k], 10).collect()] == want
 
 
+def test_nearest_neighbour_join_in_blocks(spark, monkeypatch):
+    """Blocks give what all pairs give, with ties, copies, several lengths, nulls and non-finite values; a block, not a pair, is a row."""
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    rng = random.Random(6)
+    own = [(f"k{k}", [float(rng.randint(-2, 2)) for _ in range(3 + k % 2)]) for k in range(120)]
+    own += [("k5", [1.0, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), ("n1", None), ("n2", [1.0, None, 0.0]), ("n3", [math.nan] * 3), ("n4", [math.inf, 0.0, 0.0]), ("n5", []), ("n6", [])]
+    rows = spark.createDataFrame(own, "id string, v array<double>").repartition(3)
+    asked = rows.where("substring(id, 2) % 3 = 0 or id like 'n%'")
+    pairs = asked.select(F.col("id").alias("query"), F.col("v").alias("q")).join(rows, F.col("query") != F.col("id"))
+    best = defaultdict(list)
+    for r in pairs.withColumn("d", vector.distance("euclidean", F.col("q"), F.col("v"))).where("d is not null").collect():
+        best[r.query].append((math.isnan(r.d), 0.0 if math.isnan(r.d) else r.d, r.id))
+    want = {(q, i, n + 1) for q, x in best.items() for n, (_, _, i) in enumerate(sorted(x)[:4])}
+    found = vector.knn_join(asked, rows, "v", 4, "euclidean")
+    assert {(r.query, r.id, r["rank"]) for r in found.collect()} == want
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+
+
 def test_full_text(db, spark):
     found = lambda q, **k: [r.id for r in Query().from_table("doc").fulltext_search("content", q, **k).to_df(db).orderBy("id").collect()]
     assert found("insider") == ["doc:1", "doc:3"] and found("cryptocurrency") == [] and found("insider desk") == ["doc:1"] and found("desk nothing", any_=True) == ["doc:1", "doc:2"]
