@@ -13,7 +13,7 @@ lets it reach the k-th best so far.  Queries first search their own routing
 object's pages; the k-th scores found there spare most others.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do
-rows without an id.  Rows that repeat a query's id are the query's own.  Only
+rows without an id.  Rows that repeat a query's id are the query's own, however many.  Only
 vectors of the same length meet.  Ties go to the smaller id.  With no queries or
 no candidates there are no rows.
 """
@@ -179,8 +179,9 @@ def _visits(pivots: dict[int, np.ndarray], radius: dict[int, np.ndarray]):
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each query; both have columns vec_id and v."""
     low = np.iinfo(np.int64).min
-    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    distinct = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))  # k + 1 ids at most; a query's own may be one
+    each = rows.withColumn("n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("n") <= k)
+    few = each.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    distinct = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))  # k + 1 ids at most, each k times; a query's own may be one
     sizes = {r["dim"]: r["n"] for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each length
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():

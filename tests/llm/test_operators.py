@@ -67,6 +67,13 @@ def test_top_k_is_exact(spark, monkeypatch, page, node, pivots):
     assert got == want
 
 
+def test_top_k_with_a_query_id_repeated_more_than_k_times(spark):
+    same = [4, 4, 4]
+    rows = spark.createDataFrame([*[(0, same)] * 9, *[(1, same)] * 3, (2, same), (3, same), (4, [1, 1, 1])], "vec_id long, v array<long>")
+    got = [(r.rank, r.vec_id, r.score) for r in mtree.top_k(rows, rows.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(1, 1, 48), (2, 1, 48), (3, 1, 48), (4, 2, 48), (5, 3, 48)]
+
+
 def test_page_search_spares_computations(spark):
     rng = np.random.default_rng(4)
     v = (rng.normal(0, 400, (8, 6))[rng.integers(0, 8, 2000)] + rng.normal(0, 3, (2000, 6))).astype(int)
