@@ -22,20 +22,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.select(b.alias("a"), F.col("m").alias("b")).unionByName(tied.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); a component is named by its least node.
 
     Nodes are longs. Self-edges and repeated edges change nothing; a node with
-    only self-edges isn't listed. No edges give no rows.
+    only self-edges isn't listed. No edges give no rows.  The steps go on until one
+changes nothing; their number grows with the logarithm of a component's size.
     """
     a, b = F.col("a"), F.col("b")
     now = cut(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         now = cut(_star(_star(now, True), False))
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if mark == (seen["n"], seen["s"]):
+        if mark == seen:
             break
-        mark = (seen["n"], seen["s"])
+        mark = seen
     stars = now.select(a.alias("node"), b.alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import by_slices, cut
 from .components import components
-from .shingles import each, mix
+from .shingles import each, mix, word_hashes
 
 THRESHOLD = 0.8
 #: A shingle is heavy if it makes up about this share of all; such are ordered last.
@@ -48,6 +48,8 @@ HASHES, STEP, TOLERANCE = 64, 16, 1e-9
 #: Candidates whose ids are broadcast at most (16 bytes each); above, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _LEVELS, _RANGES = 32767, 8
+#: Copies of a text count as hot if they are more than one in so many documents.
+HOT = 1000
 #: Shingles gathered at a time when pairs are verified.
 GATHERED = 250_000
 
@@ -65,6 +67,16 @@ def _named(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         yield _name(text or "", words), own
 
 
+def names(texts: list[str | None]) -> list[int]:
+    """The names of whole texts: equal for texts of the same words in the same order."""
+    out: list[int] = []
+    for at in range(0, len(texts), 64):
+        own = [t or "" for t in texts[at : at + 64]]
+        words, counts = word_hashes(own)
+        out += [_name(t, w) for t, w in zip(own, np.split(words, np.cumsum(counts)[:-1]), strict=True)]
+    return out
+
+
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [x.split() for x in schema.split(",")]
@@ -313,17 +325,17 @@ def _tasks(groups: DataFrame) -> DataFrame:
     return placed.select("class", "component", F.explode(pairs).alias("p")).select("class", "component", "p.*").select("*", bucket)
 
 
-def _without_id(docs: DataFrame) -> DataFrame:
-    """The rows that have no doc_id, with their class as _class; in each slice one row of a class."""
+def _classed(docs: DataFrame) -> DataFrame:
+    """docs with the class of each row as _class; in each slice one row of a doc_id and class."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        first: dict[int, int] = {}
-        for k, (name, _) in enumerate(_named(batch.column("text").to_pylist())):
-            first.setdefault(name, k)
+        first: dict[tuple, int] = {}
+        for k, own in enumerate(zip(batch.column("doc_id").to_pylist(), names(batch.column("text").to_pylist()), strict=True)):
+            first.setdefault(own, k)
         some = batch.take(pa.array(list(first.values()), pa.int64()))
-        return pa.record_batch([*some.columns, pa.array(list(first), pa.int64())], [*some.schema.names, "_class"])
+        return pa.record_batch([*some.columns, pa.array([name for _, name in first], pa.int64())], [*some.schema.names, "_class"])
 
-    return docs.where("doc_id is null").mapInArrow(by_slices(step, 2048), T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+    return docs.mapInArrow(by_slices(step, 2048), T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
 
 
 def near_duplicates(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -355,7 +367,7 @@ def _grouped(docs: DataFrame, t: float) -> DataFrame:
     texts = docs.select("doc_id", "text").join(near(ids), "doc_id").select("class", "text")
     if totals["named"] < totals["m"]:  # classes without an id are found by the names of their texts
         unnamed = groups.where("rep is null").select(F.col("class").alias("_class"))
-        texts = texts.unionByName(_without_id(docs.select("doc_id", "text")).join(near(unnamed), "_class").select(F.col("_class").alias("class"), "text"))
+        texts = texts.unionByName(_classed(docs.where("doc_id is null").select("doc_id", "text")).join(near(unnamed), "_class").select(F.col("_class").alias("class"), "text"))
 
     def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(k, x.tobytes(), minhashes(x).tobytes()) for k, (name, x) in zip(batch.column("class").to_pylist(), _named(batch.column("text").to_pylist()), strict=True) if k == name and len(x)]
@@ -371,22 +383,20 @@ def _grouped(docs: DataFrame, t: float) -> DataFrame:
     of = named.join(least, "component").select(F.col("node").alias("class"), F.col("component").alias("group"), "class_id")
     by_class = kinds.join(links, "class", "left").join(of, "class", "left")
     group = F.coalesce("group", "class").alias("group")
-    per_class = by_class.select("class", group, F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return found.select("doc_id", "class").join(per_class, "class")
+    per_class = cut(by_class.select("class", "copies", group, F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    # Classes with more than one in HOT of all documents, HOT at most, are broadcast; the others' rows are dealt by class.
+    hot = F.broadcast(per_class.where(F.col("copies") * HOT > (kinds.agg(F.sum("copies")).first()[0] or 0)))
+    many = found.select("doc_id", "class").join(hot, "class")
+    few = found.select("doc_id", "class").join(hot.select("class"), "class", "left_anti").join(per_class, "class")
+    return many.unionByName(few).drop("copies")
 
 
 def one_of_each(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """docs without all but the least doc_id of each group; all columns stay.
+    """One row of docs for each group: of those with the least doc_id (null only if none has one) one of the least class.
 
-    Equal rows become one; rows that repeat a doc_id with other texts stay or go together.
-    Of a group without any doc_id, one row stays.
+    All columns stay.  Of equal rows, and of copies under one doc_id, any one stays.
     """
-    of = cut(_grouped(docs, t).select("doc_id", "class", "group", "class_id"))
-    repeated = not of.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
-    stay = of.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(stay, docs["doc_id"] == stay["_kept"], "left_semi")
-    out = out.dropDuplicates(["doc_id", "text"]) if repeated else out
-    unnamed = of.where("class_id is null and class = group").select(F.col("class").alias("_class")).distinct()
-    if unnamed.isEmpty():
-        return out
-    return out.unionByName(_without_id(docs).join(unnamed, "_class", "left_semi").dropDuplicates(["_class"]).drop("_class"))
+    of = _grouped(docs, t).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("class").alias("_class"))).alias("x"))
+    keys = ["_none", "_id", "_class"]
+    rows = _classed(docs).withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))})
+    return rows.join(of.select("x.*"), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

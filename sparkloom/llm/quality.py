@@ -5,10 +5,15 @@ few measures of its form.  One weight a feature serves all grades; ordered
 thresholds turn the weights' sum into the probability of each grade or better.
 That gives an expected grade, and a tail probability for selection.
 
-The model is fitted on the driver on a sample of at most `rows` labelled rows.
-A null text counts as empty.  Rows with a null quality teach nothing; of several
-labels of a document the lowest grade holds.  Without labelled rows of two
-grades there is nothing to tell apart, and every text has the top grade.
+The model is fitted on the driver on a sample of at most `rows` labelled rows;
+which features tell grades apart is counted in Spark, and only those reach the driver.
+A null text counts as empty.  Rows with a null quality or without an id teach nothing; of several
+labels of a document the lowest grade holds, of several texts under an id the one of least hash.
+Rows with equal scores have equal results, repeated rows stay, and no column but
+doc_id and text is read; where other columns are called like the results, they
+are left out of rate() and stay in select().  An empty table gives an empty
+result.  Without labelled rows of two grades there is nothing to tell apart, and
+every text has the top grade.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, sampled
+from .common import by_slices, cut, sampled
 from .shingles import word_hashes
 
 #: Labelled rows that a model is fitted on at most: the bound on training data.
@@ -100,21 +105,10 @@ def fit(rows: Sequence[np.ndarray], grades: np.ndarray, steps: int = 300, rate:
     size = (1 << WORD_BITS) + OTHER
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(size, np.float32), np.full(GRADES - 1, -50.0))
-    # Copies of a text count once: their words would all seem to matter.
-    _, first = np.unique([zlib.crc32(r.tobytes()) << 8 | g for r, g in zip(rows, grades.tolist(), strict=True)], return_index=True)
-    rows, grades = [rows[i] for i in first], grades[first]
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    k = np.arange(1, GRADES)
-    above = grades[:, None] >= k
-    docs = np.maximum(1, np.bincount(flat, minlength=size))
-    z = np.zeros(size)
-    for own in above.T:
-        share = min(max(own.mean(), 1e-3), 1 - 1e-3)
-        z = np.maximum(z, np.abs(np.bincount(flat, own[owner], minlength=size) - docs * share) / np.sqrt(docs * share * (1 - share)))
-    keep = z[flat] >= LEAST_Z
-    used, flat = np.unique(flat[keep], return_inverse=True)
-    owner = owner[keep]
+    above = grades[:, None] >= np.arange(1, GRADES)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    used, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    flat = flat.astype(np.int32)
     x = np.zeros(len(used) + GRADES - 1)
     x[len(used)] = -2.0
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -138,24 +132,57 @@ def fit(rows: Sequence[np.ndarray], grades: np.ndarray, steps: int = 300, rate:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """grade and features of at most `rows` labelled documents, chosen by hash."""
+    """grade and features of at most `rows` labelled documents, chosen by a hash of their ids.
+
+    Copies of a text with the same grade count once: their words would all seem to matter.
+    """
     quality, toxic = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))
     grade = (F.when(quality > 0, 1).otherwise(0) + F.when(toxic > 0, 0).otherwise(1)).cast("int")
     rated = labels.where(quality.isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    chosen = sampled(rated, rows, labels.count(), "doc_id")  # `rows` ids and grades at most
+    chosen = sampled(rated, rows, rated.count(), "doc_id").select("doc_id", "grade")  # `rows` ids and grades at most
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("grade"), pa.array(features(batch.column("text").to_pylist()), pa.list_(pa.int32()))], ["grade", "features"])
+        own = pa.array(features(batch.column("text").to_pylist()), pa.list_(pa.int32()))
+        return pa.record_batch([batch.column("doc_id"), batch.column("grade"), own], ["doc_id", "grade", "features"])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    each = texts.mapInArrow(by_slices(step), "doc_id long, grade int, features array<int>").where(F.size("features") > 0)
+    one = each.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("features"), "grade", "features")).alias("x"))
+    return one.groupBy(F.xxhash64("x.features"), "x.grade").agg(F.min("x.features").alias("features")).select("grade", "features")
+
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
-    return texts.mapInArrow(by_slices(step), "grade int, features array<int>").limit(2 * rows)
+def telling(rated: DataFrame, least: float = LEAST_Z) -> np.ndarray:
+    """The features of (grade, features) rows whose documents' grades are `least` standard deviations from all rows', ascending.
+
+    They are counted in Spark; there are no more of them than buckets.
+    """
+    n = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}  # a row for each grade
+    each = rated.select("grade", F.explode("features").alias("feature")).groupBy("feature")
+    counts = each.agg(F.count("*").alias("docs"), *(F.count_if(F.col("grade") >= k).alias(f"above{k}") for k in range(1, GRADES)))
+    z = [F.lit(0.0)]
+    for k in range(1, GRADES):
+        share = min(max(sum(x for g, x in n.items() if g >= k) / max(1, sum(n.values())), 1e-3), 1 - 1e-3)
+        z.append(F.abs(F.col(f"above{k}") - F.col("docs") * share) / F.sqrt(F.col("docs") * (share * (1 - share))))
+    return np.sort(counts.where(F.greatest(*z) >= least).select("feature").toPandas()["feature"].to_numpy(np.int32))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    found = sample(docs, labels, rows).toArrow()
-    each = [(c.field("features"), c.field("grade")) for c in map(pa.RecordBatch.to_struct_array, found.to_batches())]
-    own = [x for f, _ in each for x in np.split(f.flatten().to_numpy(zero_copy_only=False), np.cumsum(f.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(f)]
-    grades = np.concatenate([np.empty(0, np.int64), *(g.to_numpy(zero_copy_only=False) for _, g in each)]).astype(np.int64)
+    """A model from a sample; only the features that tell grades apart come to the driver."""
+    rated = cut(sample(docs, labels, rows))
+    used = telling(rated)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("features")
+        flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        keep = np.isin(flat, used)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n)))))
+        return pa.record_batch([batch.column("grade"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[keep], pa.int32()))], ["grade", "features"])
+
+    found = rated.mapInArrow(by_slices(step), "grade int, features array<int>").toArrow()
+    lists, grades = found.column("features").combine_chunks(), found.column("grade").to_numpy().astype(np.int64)
+    if not len(grades):
+        return fit([], grades)
+    own = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
     return fit(own, grades)
 
 

@@ -134,9 +134,11 @@ def _of_kind(k: int):
 def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every secret span replaced by its kind in brackets; other columns stay.
 
+    A ledger must have docs' blobs (update_ledger); without one the texts are scanned now.
     Overlapping spans become one, named by the first.  A null text stays null.
     """
-    found = findings(docs.select("doc_id", "text"), ledger, rules).where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")).dropDuplicates(["_blob"])
+    own = docs.select("doc_id", "text")
+    found = (findings(own, None, rules) if ledger is None else known(own, ledger)).where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")).dropDuplicates(["_blob"])
     kinds, text = F.array(*(F.lit(f"[{r.kind}]") for r in rules)), F.col("text")
     piece = lambda a, x: F.concat(a["out"], F.substring(text, a["pos"] + 1, x["start"].cast("int") - a["pos"]), F.element_at(kinds, x["kind"] + 1))
     step = lambda a, x: F.struct(F.greatest(a["pos"], x["end"].cast("int")).alias("pos"), F.when(x["start"] >= a["pos"], piece(a, x)).otherwise(a["out"]).alias("out"))

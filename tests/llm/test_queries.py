@@ -191,7 +191,7 @@ def test_pipeline_stages(spark, folder, tmp_path):
     assert {4, 6, 7}.isdisjoint(r[0] for r in rows) and len(rows) > 60
     one = stages["near_duplicates"](spark, known, str(tmp_path))
     groups = {c for (_, c, _) in brute_force([r for r in rows if r[0] != 5])}
-    assert {r.doc_id for r in one.select("doc_id").collect()} - {5} == groups - {None}
+    assert {r.doc_id for r in one.select("doc_id").collect()} - {5} == groups
     clean = stages["secrets"](spark, one, str(tmp_path))
     assert clean.count() == one.count() and clean.columns == one.columns == docs.columns
     assert "[assign]" in clean.where("doc_id = 16").first().text
@@ -200,6 +200,15 @@ def test_pipeline_stages(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
 
 
+def test_one_of_each_goes_by_rows(spark):
+    """An id that has another text, too, doesn't keep its copy; equal rows become one."""
+    rng = random.Random(4)
+    one, two = (sentence(rng, 40) for _ in range(2))
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in ((1, one), (2, one), (2, two), (3, two), (3, "short"), (1, one), (None, "short"), (None, "alone"), (None, "alone"))], DOCS)
+    got = sorted(((r.doc_id or 0, r.text) for r in neardup.one_of_each(docs).collect()))
+    assert got == sorted([(1, one), (2, two), (3, "short"), (0, "alone")])
+
+
 def test_near_duplicates_without_ids(spark):
     """Documents without an id are linked to each other, and one of each group stays, whatever columns there are."""
     rng = random.Random(9)
