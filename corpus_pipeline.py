@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All stages but the last
 return the columns of documents.
+
+A null text is an empty one: it has no language and goes with that stage.  Equal
+rows, and rows with equal texts, are one group of copies, of which one row stays.
+An empty table, or one whose rows all go, gives no sequences.
 """
 
 from __future__ import annotations
@@ -34,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by their kinds."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Replaces secrets by their kinds, by a ledger of the documents' blobs that begins empty."""
+    ledger = secrets.update_ledger(docs.select("doc_id", "text"), f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    return secrets.redact(docs, ledger).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
