@@ -1,14 +1,20 @@
 """Language identification by language-bitmask n-gram filters.
 
-All languages share one bit-sliced Bloom filter: a slot holds a bit for every
-language, and the AND of an n-gram's slots is the set of languages that have it.
-A text's n-grams are looked up together; each language's popcount, less the hits
-that chance alone gives at its share of set bits, decides.
-
-The filters are learnt from rows with a language, from n-grams that make up
-enough of a language and are not much more frequent in another.  A text without
-a letter, or null, is `und` with score 0.  Ties go to the first language in
-order.  With nothing to learn from, every text is `und`.
+All languages share one bit-sliced Bloom filter: a slot holds two bits for every
+language, and the AND of an n-gram's slots is the set of all languages that have
+it, and of those that it is typical of, too.  A text's n-grams are looked up
+together; each language's popcounts, less the hits that chance alone gives at
+its share of set bits, decide.  The score is the part of the text's n-grams that
+the language has.
+
+The filters are learnt from all n-grams of a sample of distinct texts of each
+language.  An n-gram is typical of a language if its share there is at least
+LEAST_PART of its largest share in any.
+
+A text without a letter, or null, is `und` with score 0.  Ties go to the first
+language in order.  Repeated rows stay, each with the same result; other columns
+are not read.  With nothing to learn from, every text is `und`; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import by_slices, cut
 from .shingles import mix
@@ -29,16 +34,14 @@ from .shingles import mix
 UNKNOWN = "und"
 #: Code points of an n-gram; words count with a space before and after.
 SIZES = (3, 4)
-#: Rows of each language that the filters are learnt from, about, chosen by hash. A bound on training data.
+#: Distinct texts of each language that the filters are learnt from, about, chosen by hash. A bound on training data.
 LEARN_ROWS = 3000
-#: A language's n-gram makes up this share of it at least, and this part of its share in any other language.
-LEAST_SHARE, LEAST_PART = 2e-5, 0.35
-#: N-grams kept for a language at most: the most frequent.
-MOST_GRAMS = 20_000
-#: log2 of the slots, and slots of an n-gram.
-SLOT_BITS, PROBES = 20, 2
-#: The least score of a text that is kept; a text in one of two equally likely languages has 0.5.
-KEEP = 0.3
+#: An n-gram is typical of a language if its share is at least this part of its share in any other.
+LEAST_PART = 0.35
+#: log2 of the slots, slots of an n-gram, and log2 of the slots that are built at a time.
+SLOT_BITS, PROBES, RANGE_BITS = 22, 2, 16
+#: The least score of a text that is kept.
+KEEP = 0.6
 #: Code points in a slice.
 SLICE = 1 << 20
 
@@ -92,7 +95,10 @@ def grams(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 @dataclass(frozen=True)
 class Filters:
-    """The languages, and words of 64 languages each by slot; `chance` is a language's share of set bits to the power of the probes."""
+    """The languages; bytes with the bits of 8 sets each by slot; each set's chance, its share of set bits to the power of the probes.
+
+    Set k is language k's n-grams; the sets after the last language's, if there are any, hold typical ones in the same order.
+    """
 
     languages: tuple[str, ...]
     slots: np.ndarray
@@ -102,66 +108,96 @@ class Filters:
     def positions(hashes: np.ndarray) -> list[np.ndarray]:
         return [(hashes >> np.uint64(64 - SLOT_BITS * (k + 1)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for k in range(PROBES)]
 
+    @classmethod
+    def of_slots(cls, languages: Sequence[str], sets: int, slots: np.ndarray) -> Filters:
+        chance = [(slots[k // 8] >> np.uint8(k % 8) & 1).mean() ** PROBES for k in range(sets)]
+        return cls(tuple(languages), slots, np.array(chance))
+
     @classmethod
     def build(cls, languages: Sequence[str], hashes: Sequence[np.ndarray]) -> Filters:
-        words = -(-len(languages) // 8)
-        slots = np.zeros((words, 1 << SLOT_BITS), np.uint8)
-        chance = np.zeros(len(languages))
+        slots = np.zeros((-(-len(hashes) // 8), 1 << SLOT_BITS), np.uint8)
         for k, own in enumerate(hashes):
             for at in cls.positions(own.astype(np.uint64)):
                 slots[k // 8, at] |= np.uint8(1 << k % 8)
-            chance[k] = (slots[k // 8] >> np.uint8(k % 8) & 1).mean() ** PROBES
-        return cls(tuple(languages), slots, chance)
+        return cls.of_slots(languages, len(hashes), slots)
 
     def count(self, hashes: np.ndarray, owners: np.ndarray, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For n texts from number first: hits by language, corrected for false positives, and n-grams."""
+        """For n texts from number first: hits by set, corrected for false positives, and n-grams."""
         total = np.bincount(owners - first, minlength=n).astype(float)
-        out = np.zeros((n, len(self.languages)))
+        out = np.zeros((n, len(self.chance)))
         at = self.positions(hashes)
         for w, slots in enumerate(self.slots):
             mask = functools.reduce(np.bitwise_and, (slots[x] for x in at))
             hit = np.flatnonzero(mask)
             both = np.bincount((owners[hit] - first) * 256 + mask[hit], minlength=256 * n).reshape(n, 256)
-            for b in range(min(8, len(self.languages) - 8 * w)):
+            for b in range(min(8, len(self.chance) - 8 * w)):
                 out[:, 8 * w + b] = both[:, np.arange(256) >> b & 1 == 1].sum(axis=1)
         return (out - total[:, None] * self.chance) / (1 - self.chance), total
 
 
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, gram, n) of a batch's texts."""
+    langs = np.array(batch.column("lang").to_pylist(), object)
+    found: dict[str, list[np.ndarray]] = {}
+    for hashes, owners, _ in grams(batch.column("text").to_pylist()):
+        own = langs[owners]
+        for k in set(langs[owners.min(initial=0) : owners.max(initial=0) + 1]):
+            found.setdefault(k, []).append(hashes[own == k])
+    columns: list[list] = [[], [], []]
+    for k, parts in found.items():
+        values, n = np.unique(np.concatenate(parts).view(np.int64), return_counts=True)
+        for c, x in zip(columns, ([k] * len(values), values, n), strict=True):
+            c.extend(x)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["lang", "gram", "n"])
+
+
+def _placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(range, slot in it, set) for every probe of (gram, set) rows."""
+    at = np.concatenate([np.empty(0, np.int64), *Filters.positions(batch.column("gram").to_numpy().view(np.uint64))])
+    sets = np.tile(batch.column("set").to_numpy(), PROBES)
+    columns = (at >> RANGE_BITS, at & (1 << RANGE_BITS) - 1, sets)
+    return pa.record_batch([pa.array(c.astype(np.int32)) for c in columns], ["range", "slot", "set"])
+
+
+def _slots(words: int):
+    """A function for applyInArrow: the bytes of a range of slots."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        out = np.zeros((words, 1 << RANGE_BITS), np.uint8)
+        sets, slot = group.column("set").to_numpy(), group.column("slot").to_numpy()
+        for k in np.unique(sets):
+            out[k // 8, slot[sets == k]] |= np.uint8(1 << k % 8)
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "slots": pa.array([out.tobytes()], pa.binary())})
+
+    return run
+
+
 def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> Filters:
-    """Filters for the values of lang, from about `rows` texts of each."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # as many as there are languages
+    """Filters for the values of lang, from about `rows` distinct texts of each, or all where there are fewer."""
+    hash_ = F.xxhash64("text").alias("hash")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", hash_)
+    distinct = known.select("lang", "hash").distinct().groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in distinct.collect()}  # as many as there are languages
     if not counts:
         return Filters((), np.zeros((0, 1 << SLOT_BITS), np.uint8), np.zeros(0))
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n)))), F.col("lang"))
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        found: dict[str, list[np.ndarray]] = {}
-        for hashes, owners, _ in grams(batch.column("text").to_pylist()):
-            own = langs[owners]
-            for k in set(langs[owners.min(initial=0) : owners.max(initial=0) + 1]):
-                found.setdefault(k, []).append(hashes[own == k])
-        columns: list[list] = [[], [], []]
-        for k, parts in found.items():
-            values, n = np.unique(np.concatenate(parts).view(np.int64), return_counts=True)
-            for c, x in zip(columns, ([k] * len(values), values, n), strict=True):
-                c.extend(x)
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["lang", "gram", "n"])
-
-    seen = cut(known.where(chosen).mapInArrow(by_slices(step, 2048), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    chosen = known.where(F.pmod("hash", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "hash"]).select("lang", "text")
+    seen = cut(chosen.mapInArrow(by_slices(_counted, 2048), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
         return Filters((), np.zeros((0, 1 << SLOT_BITS), np.uint8), np.zeros(0))
-    part = seen.withColumn("share", F.col("n") / F.element_at(F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, float(n)))), F.col("lang")))
-    by_gram = part.where(F.col("share") >= LEAST_SHARE).groupBy("gram").agg(F.collect_list(F.struct("share", "lang")).alias("of"))  # at most a row a language
-    fit = by_gram.select("gram", F.explode(F.filter("of", lambda x: x["share"] >= LEAST_PART * F.array_max("of")["share"])).alias("x")).select("gram", "x.*")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))
-    top = fit.withColumn("rank", rank).where(F.col("rank") <= MOST_GRAMS).select("lang", "gram").toPandas()  # MOST_GRAMS a language at most
-    kept = [top.loc[top["lang"] == k, "gram"].to_numpy(np.int64).view(np.uint64) for k in languages]
-    return Filters.build(languages, kept)
+    of = F.element_at(F.create_map(*(F.lit(x) for k, lang in enumerate(languages) for x in (lang, F.struct(F.lit(k).alias("set"), F.lit(float(totals[lang])).alias("total"))))), F.col("lang"))
+    part = seen.select("gram", of.alias("of"), "n").select("gram", "of.set", (F.col("n") / F.col("of.total")).alias("share"))
+    by_gram = part.groupBy("gram").agg(F.collect_list(F.struct("set", "share")).alias("of"))  # at most a row a language
+    typical = F.transform(F.filter("of", lambda x: x["share"] >= LEAST_PART * F.array_max(F.col("of.share"))), lambda x: x["set"] + len(languages))
+    sets = by_gram.select("gram", F.explode(F.concat("of.set", typical)).alias("set"))
+    words = -(-2 * len(languages) // 8)
+    built = sets.mapInArrow(by_slices(_placed, 1 << 16), "range int, slot int, set int").groupBy("range").applyInArrow(_slots(words), "range int, slots binary")
+    slots = np.zeros((words, 1 << SLOT_BITS - RANGE_BITS, 1 << RANGE_BITS), np.uint8)
+    for r in built.collect():  # the filter's bytes, whose number is fixed
+        slots[:, r["range"]] = np.frombuffer(r["slots"], np.uint8).reshape(words, -1)
+    return Filters.of_slots(languages, 2 * len(languages), slots.reshape(words, -1))
 
 
 def predict(texts: Sequence[str | None], own: Filters) -> tuple[list[str], list[float]]:
@@ -174,17 +210,18 @@ def predict(texts: Sequence[str | None], own: Filters) -> tuple[list[str], list[
             langs += [UNKNOWN] * n
             scores += [0.0] * n
             continue
-        counts, _ = own.count(hashes, owners, first, n)
+        counts, total = own.count(hashes, owners, first, n)
         counts = np.maximum(counts, 0)
-        best, total = counts.argmax(axis=1), counts.sum(axis=1)
+        held = counts[:, : len(own.languages)]
+        best = counts.reshape(n, -1, len(own.languages)).sum(axis=1).argmax(axis=1)
         langs += [own.languages[b] if has else UNKNOWN for b, has in zip(best, lettered, strict=True)]
-        scores += np.where(lettered & (total > 0), counts[np.arange(n), best] / np.maximum(total, 1e-9), 0.0).clip(0, 1).tolist()
+        scores += np.where(lettered, held[np.arange(n), best] / np.maximum(total, 1), 0.0).clip(0, 1).tolist()
     return langs, scores
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """doc_id, lang_pred and score of every text. The score is the language's part of all languages' corrected counts."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of slots for every 8 languages
+    """doc_id, lang_pred and score of every text."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)  # a fixed number of slots for every 4 languages
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores = predict(batch.column("text").to_pylist(), held.value)
