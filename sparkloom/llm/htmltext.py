@@ -1,16 +1,20 @@
 """HTML main text by a recurrent block labeller.
 
 A page is a sequence of blocks: the text between block-level tags.  Each block is
-read as a vector of its tag path (tags, classes and ids, hashed), of its words
-(hashed), and of a few measures.  A bidirectional LSTM in numpy reads a page's
-whole sequence and labels every block as main text or not.
-
-The labeller learns on the driver, from a bounded sample of pages whose tags
-themselves tell main text from the rest, and from invented layouts where classes,
-ids, places and forms tell it.  Scripts, styles, comments and what else is never
-shown are no blocks.
-
-Null or empty html gives the empty text.  Repeated rows stay.
+read as a vector of its tag path (tags, classes and ids, hashed; and which kinds
+of elements it stands in), of its words (hashed), and of a few measures.  A
+bidirectional LSTM in numpy reads a page's whole sequence and labels every block
+as main text or not.
+
+The labeller learns on the driver, from a bounded sample of pages whose elements
+themselves tell main text from the rest, and from invented layouts where names,
+places, links and phrases tell it: menus, forms, notices, adverts and readers'
+comments stand around articles and inside them.  Scripts, styles, comments in
+the markup and what else is never shown are no blocks.
+
+Null or empty html gives the empty text.  Repeated rows stay; equal pages have
+equal texts.  A page of any length is read whole.  Other columns are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,24 +36,28 @@ from .common import by_slices, sampled
 from .shingles import word_hashes
 
 #: Pages sampled for training, invented pages, passes, and hidden units of each direction.
-SAMPLE, INVENTED, PASSES, HIDDEN = 150, 450, 14, 16
-#: Code points of the longest page that is sampled for training.
-LONGEST = 200_000
-#: Dimensions of the path's and the words' hashed vectors, and of the measures.
-PATH_DIM, WORD_DIM, MEASURES = 32, 12, 8
-DIM = PATH_DIM + WORD_DIM + MEASURES
+SAMPLE, INVENTED, PASSES, HIDDEN = 150, 1200, 14, 20
+#: Blocks of a page that training reads, in one run from a place that the page's hash gives; a bound on training data.
+TRAINED_BLOCKS = 2000
+#: Dimensions of the path's and the words' hashed vectors, of what a block stands in, and of the measures.
+PATH_DIM, WORD_DIM, KINDS, MEASURES = 32, 20, 6, 8
+DIM = PATH_DIM + WORD_DIM + KINDS + MEASURES
+#: Steps of a sequence whose inputs are weighted at a time.
+STEPS = 4096
 
 # Elements that don't end a block, that hold nothing to read, and that have no end tag.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN_TAGS = frozenset("head title noscript template svg math canvas iframe object audio video select button textarea datalist map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements and words of classes that make up a page around its article, and those of articles.
-AROUND_TAGS = ("nav", "header", "footer", "aside", "form", "menu")
-AROUND_WORDS = tuple("nav menu navbar breadcrumb header masthead topbar footer copyright legal sidebar aside widget ad ads advert advertisement banner promo sponsor sponsored cookie consent notice alert popup modal subscribe newsletter signup login form search comment comments reply discussion respond related recommended share social tags toolbar pagination disclaimer".split())
+AROUND_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "dialog")
+AROUND_WORDS = tuple("nav navigation menu navbar breadcrumb breadcrumbs header masthead topbar foot footer copyright legal sidebar aside widget ad ads adv advert advertisement banner promo sponsor sponsored cookie cookies consent gdpr notice notification alert popup modal overlay subscribe subscription newsletter signup signin login form search comment comments reply replies discussion respond disqus related recommended share sharing social tags toolbar pagination pager disclaimer".split())
+AROUND_STEMS = ("navig", "breadcrumb", "footer", "copyright", "sidebar", "advert", "sponsor", "cookie", "newsletter", "subscri", "comment", "discuss", "recommend", "paginat", "toolbar", "disclaim", "notific")
+AROUND_ENDS = ("nav", "navbar", "menu", "footer", "sidebar", "topbar", "sharebar", "adbox", "banner", "comments")
 MAIN_WORDS = tuple("article content main post entry story body text article-body post-content entry-content story-body page-content prose".split())
 
 _TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*)|<(?:script|style)\b[^>]*>(?:.*?</(?:script|style)\s*>|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+|[^<>]*)>""",
+    r"""<!--(?:.*?-->|.*)|<script\b[^>]*>(?:.*?</script\b[^>]*>|.*)|<style\b[^>]*>(?:.*?</style\b[^>]*>|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+|[^<>]*)>""",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -62,29 +70,55 @@ def _table(rows: int, dim: int, seed: int) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=20_000)
-def _element(tag: str, attributes: str) -> np.ndarray:
-    """The hashed vector of a tag and the words of its class, id and role."""
+def _element(tag: str, attributes: str) -> tuple[np.ndarray, str]:
+    """The hashed vector of a tag and the words of its class, id and role, and what the words say: "around", "main" or ""."""
     names = {w for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w}
     table = _table(4096, PATH_DIM, 1)
     out = table[zlib.crc32(tag.encode()) % 4096].copy()
     for w in names:
-        out += 1.5 * table[zlib.crc32(b"." + w.encode()) % 4096]
-    return out
+        out += table[zlib.crc32(b"." + w.encode()) % 4096] + table[zlib.crc32(b"^" + w[:4].encode()) % 4096]
+    around = any(w in AROUND_WORDS or w.startswith(AROUND_STEMS) or w.endswith(AROUND_ENDS) for w in names)
+    return out, "around" if around else "main" if not names.isdisjoint(MAIN_WORDS) else ""
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a block stands: the path's vector, the kinds of elements around it, and the innermost that tells: "main", "around" or "".
+
+    Kinds: an element of a page's surroundings, a form, a name of surroundings, an article, a name of articles.
+    """
+
+    path: np.ndarray
+    kinds: tuple[bool, ...] = (False,) * (KINDS - 1)
+    inside: str = ""
+
+    def within(self, tag: str, attributes: str) -> Place:
+        own, said = _element(tag, attributes)
+        here = (tag in AROUND_TAGS and tag != "form", tag == "form", said == "around", tag in ("article", "main"), said == "main")
+        inside = self.inside
+        if tag in AROUND_TAGS or said == "around":
+            inside = "around"
+        elif tag == "main" or (tag == "article" and (inside != "around" or self.kinds[1])):
+            inside = "main"
+        return Place(np.float32(0.6) * self.path + own, tuple(a or b for a, b in zip(self.kinds, here, strict=True)), inside)
 
 
 @dataclass
 class Block:
     text: str
-    path: np.ndarray
+    place: Place
     linked: int
-    inside: str  # the innermost element that tells main text ("main") from the rest ("around"), or ""
+
+    @property
+    def inside(self) -> str:
+        return self.place.inside
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, each with its path."""
+    """The page's blocks in order, each with its place."""
     out: list[Block] = []
-    root = np.zeros(PATH_DIM, np.float32)
-    stack: list[tuple[str, np.ndarray, str]] = []
+    root = Place(np.zeros(PATH_DIM, np.float32))
+    stack: list[tuple[str, Place]] = []
     hidden, link = "", 0
     parts: list[str] = []
     linked = 0
@@ -93,8 +127,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, link
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            _, path, inside = stack[-1] if stack else ("", root, "")
-            out.append(Block(text, path, linked, inside))
+            out.append(Block(text, stack[-1][1] if stack else root, linked))
         parts.clear()
         linked = link = 0
 
@@ -128,9 +161,7 @@ def blocks(page: str) -> list[Block]:
             elif tag not in VOID:
                 if tag in ("p", "li", "td", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
                     stack.pop()
-                above, inside = (stack[-1][1], stack[-1][2]) if stack else (root, "")
-                inside = "main" if tag in ("article", "main") else "around" if tag in AROUND_TAGS else inside
-                stack.append((tag, np.float32(0.6) * above + _element(tag, m[3]), inside))
+                stack.append((tag, (stack[-1][1] if stack else root).within(tag, m[3])))
     if at < len(page) and not hidden:
         parts.append(page[at:])
     close()
@@ -154,7 +185,8 @@ def vectors(pages: Sequence[list[Block]]) -> list[np.ndarray]:
     place = np.concatenate([np.linspace(0, 1, len(p)) for p in pages if p])
     ended = np.array([b.text[-1] in ".!?" for b in flat], float)
     measures = np.column_stack((np.log1p(chars) / 4, np.log1p(counts) / 3, linked / chars, marks / np.maximum(counts, 1) * 4, place, place == 0, place == 1, ended))
-    whole = np.concatenate(([b.path for b in flat], words, measures), axis=1).astype(np.float32)
+    kinds = np.array([(*b.place.kinds, (b.inside == "main") - (b.inside == "around")) for b in flat], float)
+    whole = np.concatenate(([b.place.path for b in flat], words, kinds, measures), axis=1).astype(np.float32)
     return np.split(whole, np.cumsum([len(p) for p in pages])[:-1])
 
 
@@ -180,22 +212,28 @@ class Labeller:
         w["z"] = np.zeros(1, np.float32)
         return cls(w)
 
-    def _pass(self, d: str, x: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states over time of (time, page, dimension) inputs; where `here` is 0, the state is zero."""
+    def _pass(self, d: str, x: np.ndarray, here: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Hidden states over time of (time, page, dimension) inputs; where `here` is 0, the state is zero.
+
+        Gates are kept for training only.
+        """
         time, n, _ = x.shape
         h = c = np.zeros((n, HIDDEN), np.float32)
-        given = x @ self.w["x" + d] + self.w["c" + d]
         out, kept = np.zeros((time, n, HIDDEN), np.float32), []
         for t in range(time):
-            g = given[t] + h @ self.w["h" + d]
-            i, f, o = (_sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+            if t % STEPS == 0:
+                given = x[t : t + STEPS] @ self.w["x" + d] + self.w["c" + d]
+            g = given[t % STEPS] + h @ self.w["h" + d]
+            gates = _sigmoid(g[:, : 3 * HIDDEN])
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             u = np.tanh(g[:, 3 * HIDDEN :])
             before, held = c, h
             c = (f * c + i * u) * here[t]
             tc = np.tanh(c)
             h = o * tc * here[t]
             out[t] = h
-            kept.append((i, f, o, u, before, tc, held))
+            if keep:
+                kept.append((i, f, o, u, before, tc, held))
         return out, kept
 
     def _back(self, d: str, x: np.ndarray, here: np.ndarray, kept: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
@@ -221,8 +259,8 @@ class Labeller:
         here = np.zeros((time, len(rows), 1), np.float32)
         for k, r in enumerate(rows):
             x[: len(r), k], back[: len(r), k], here[: len(r), k] = r, r[::-1], 1
-        f, kf = self._pass("f", x, here)
-        b, kb = self._pass("b", back, here)
+        f, kf = self._pass("f", x, here, keep is not None)
+        b, kb = self._pass("b", back, here, keep is not None)
         b = self._turned(b, rows)
         both = np.concatenate((f, b), axis=2)
         out = both @ self.w["o"] + x @ self.w["i"] + self.w["z"]
@@ -287,6 +325,27 @@ def fit(rows: Sequence[np.ndarray], labels: Sequence[np.ndarray], passes: int =
     return out
 
 
+# What menus, feet, notices, forms, adverts and comments say, in the languages of the sample.
+SAYS = {
+    "foot": "All rights reserved.|© 2024 {}|Copyright 2019 {}|Privacy policy|Terms of use|Imprint|Contact us|Alle Rechte vorbehalten.|Impressum|Tous droits réservés|Mentions légales|Todos los derechos reservados|Powered by {}".split("|"),
+    "notice": "We use cookies to improve your experience.|This site uses cookies.|Accept all cookies|By continuing you agree to our terms.|Please enable JavaScript.|Diese Website verwendet Cookies.|Ce site utilise des cookies.|You have 3 free articles left.|Sign in to continue reading.".split("|"),
+    "form": "Your name|E-mail address|Password|Search|Send|Subscribe to our newsletter|Sign up for updates|Enter your e-mail address to subscribe.|Required fields are marked|Absenden|Envoyer|Enviar|Remember me".split("|"),
+    "ad": "Advertisement|Sponsored|Buy now|Shop now and save 20%|Limited offer|Anzeige|Publicité|Promoted content|Learn more about our offers".split("|"),
+    "comment": "Comments|3 comments|Leave a comment|Leave a reply|Reply|Posted by {} 2 hours ago|{} says:|{} wrote:|{} schrieb am 3. Mai:|12 likes|Report|Log in to comment|Show more comments".split("|"),
+    "more": "Related articles|Read more|You may also like|More from {}|Share this article|Share on Facebook|Tweet|Tags: {}|Most read|Next article|Previous|Back to top|Home|About|Contact|Log in|Sign up".split("|"),
+}
+PLAIN_NAMES = tuple("box inner wrap row col c1 left right center x block section item area pane container layout group unit".split())
+NAMED = {
+    "foot": "footer foot copyright legal bottom site-footer page-foot".split(),
+    "notice": "notice cookie consent alert popup modal banner cookie-bar gdpr overlay".split(),
+    "form": "form signup newsletter subscribe login search respond newsletter-box".split(),
+    "ad": "ad ads advert advertisement promo sponsored banner ad-slot adv".split(),
+    "comment": "comments comment discussion replies comment-list commentlist responses disqus thread".split(),
+    "more": "related share social tags sidebar recommended toolbar widget pagination share-bar".split(),
+    "menu": "nav menu navbar navigation breadcrumbs topnav header masthead main-menu".split(),
+}
+
+
 def invented(n: int = INVENTED, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages of invented layouts, each with the label of every block."""
     rng = random.Random(seed)
@@ -299,77 +358,129 @@ def invented(n: int = INVENTED, seed: int = 11) -> list[tuple[str, list[int]]]:
         own = [word() + ("," if mark and rng.random() < 0.08 else "") for _ in range(rng.randint(low, high))]
         return " ".join(own).capitalize() + ("." if mark else "")
 
-    def named(tag: str, pool: Sequence[str]) -> str:
+    def opened(tag: str, pool: Sequence[str] = ()) -> str:
+        if not pool:
+            return f"<{tag}>"
         name = rng.choice(pool)
-        name += rng.choice(("", "", "", "-" + rng.choice(("box", "area", "wrap", "inner", "section", "list", "block", "1", "top"))))
+        name += rng.choice(("", "", "", "-" + rng.choice(PLAIN_NAMES), " " + rng.choice(PLAIN_NAMES), " " + word()))
         return f'<{tag} {rng.choice(("class", "class", "id"))}="{name}">'
 
-    def around(y: list[int], inside: bool = False) -> str:
-        plain = rng.random() < 0.35 and not inside
-        tag = rng.choice(AROUND_TAGS) if plain else rng.choice(("div", "div", "section", "ul", "p", "aside", "nav", "footer"))
-        out = [f"<{tag}>" if plain else named(tag, AROUND_WORDS)]
-        for _ in range(rng.randint(1, 6)):
-            kind = rng.random()
-            low, high = rng.choice(((1, 3), (2, 8), (6, 40)))
-            text = words(low, high, rng.random() < 0.5)
-            if kind < 0.45:
-                text = f'<a href="/{word()}">{text}</a>'
-            out.append(f"<{'li' if tag in ('ul', 'menu', 'nav') else rng.choice(('p', 'div', 'li', 'span', 'h3', 'h4', 'label'))}>{text}")
-            inline = out[-1].startswith("<span") or out[-1].startswith("<label")
-            out.append("</span>" if out[-1].startswith("<span") else "</label>" if out[-1].startswith("<label") else f"</{out[-1][1:].split('>')[0]}>")
-            if inline:
-                out.append("<br><div></div>")
+    def link(text: str) -> str:
+        return f'<a href="/{word()}">{text}</a>'
+
+    def said(kind: str) -> str:
+        return rng.choice(SAYS[kind]).format(word().capitalize())
+
+    def around(y: list[int], kind: str, deep: bool = False) -> str:
+        """Something that isn't main text; without a telling name or element, its phrases and links tell."""
+        tags = {"menu": ("nav", "ul", "div", "header"), "foot": ("footer", "div", "div", "p"), "form": ("form", "form", "div"), "more": ("aside", "div", "ul", "section"), "comment": ("div", "section", "ul", "ol")}.get(kind, ("div", "div", "aside", "section"))
+        tag = rng.choice(tags)
+        telling = tag in AROUND_TAGS and rng.random() < 0.5
+        plain = not telling and rng.random() < (0.2 if kind in ("foot", "menu", "ad", "notice") else 0.1)
+        out = [opened(tag, () if telling or (plain and rng.random() < 0.5) else PLAIN_NAMES if plain else NAMED[kind])]
+
+        def add(own: str, text: str) -> None:
+            out.append(f"<{own}>{text}</{own}>")
             y.append(0)
+
+        if kind == "menu" and rng.random() < 0.3:
+            add(rng.choice(("div", "p", "li")), rng.choice((" ", " | ", "<br>")).join(link(words(1, 2, False)) for _ in range(rng.randint(2, 7))))
+        elif kind == "menu":
+            for _ in range(rng.randint(2, 9)):
+                add("li" if tag in ("ul", "nav") else rng.choice(("div", "li", "p")), link(words(1, 3, False) if rng.random() < 0.8 else said("more")))
+        elif kind == "comment":
+            if rng.random() < 0.7 or plain:
+                add(rng.choice(("h2", "h3", "h4", "p")), said("comment"))
+            for _ in range(rng.randint(1, 5)):
+                own = "li" if tag in ("ul", "ol") else rng.choice(("div", "div", "article"))
+                out.append(opened(own, NAMED["comment"] if rng.random() < 0.6 and not plain else ()))
+                if rng.random() < 0.8 or plain:
+                    add(rng.choice(("p", "div", "h5", "header")), rng.choice((said("comment"), words(1, 2, False), link(word()))))
+                for _ in range(rng.randint(1, 2)):
+                    add(rng.choice(("p", "p", "div")), words(*rng.choice(((2, 9), (6, 60))), True))
+                out.append(f"</{own}>")
+        elif kind == "form":
+            for _ in range(rng.randint(1, 4)):
+                add(rng.choice(("p", "div", "p", "h3")), said("form") if rng.random() < 0.6 or plain else words(2, 25, rng.random() < 0.6))
+                out.append(rng.choice(("<input type=text>", "<input><br>", "")))
+        elif kind == "more":
+            if rng.random() < 0.6 or plain:
+                add(rng.choice(("h3", "h4", "p")), said("more"))
+            for _ in range(rng.randint(1, 6)):
+                text = words(2, 10, False) if rng.random() < 0.8 else said("more")
+                add("li" if tag == "ul" else rng.choice(("p", "div", "h4")), link(text) if rng.random() < 0.7 or plain else words(3, 30, True))
+        else:
+            for k in range(rng.randint(1, 3)):
+                text = said(kind) if (k == 0 and plain) or rng.random() < 0.6 else words(2, 30, True)
+                add(rng.choice(("p", "div", "span", "p")) if tag != "p" else "span", link(text) if rng.random() < 0.25 else text)
+                if out[-1].startswith("<span"):
+                    out.append("<hr>" if tag != "p" else "")
+                    if tag == "p":
+                        break
         return "".join(out) + f"</{tag}>"
 
     def article(y: list[int]) -> str:
-        kind = rng.random()
-        tag = rng.choice(("article", "main")) if kind < 0.5 else rng.choice(("div", "section", "td"))
-        out = [f"<{tag}>" if kind < 0.4 else named(tag, MAIN_WORDS)]
+        shape = rng.random()
+        tag = rng.choice(("article", "main")) if shape < 0.4 else rng.choice(("div", "section", "td", "div"))
+        out = [opened(tag, () if shape < 0.3 or 0.4 < shape < 0.5 else MAIN_WORDS if shape < 0.8 else PLAIN_NAMES)]
+        wrapped = rng.random() < 0.25
+        out.append(opened("div", PLAIN_NAMES if rng.random() < 0.6 else MAIN_WORDS) if wrapped else "")
         if rng.random() < 0.75:
             out.append(f"<h1>{words(2, 10, rng.random() < 0.4)}</h1>")
             y.append(1)
         for _ in range(rng.randint(1, 12)):
-            shape = rng.random()
+            kind = rng.random()
             low, high = rng.choice(((1, 4), (5, 30), (20, 120)))
             text = words(low, high, True)
             if rng.random() < 0.2:
                 text = text.replace(" ", f' <a href="/{word()}">', 1) + "</a>"
-            own = "p" if shape < 0.72 else rng.choice(("h2", "h3", "li", "blockquote", "pre", "div", "td"))
+            own = "p" if kind < 0.72 else rng.choice(("h2", "h3", "li", "blockquote", "pre", "div", "td", "figcaption", "dd"))
             out.append(f"<{own}>{text}" + ("" if own == "p" and rng.random() < 0.1 else f"</{own}>"))
             y.append(1)
-            if rng.random() < 0.05:
-                out.append(around(y, True))
-        return "".join(out) + f"</{tag}>"
+            if rng.random() < 0.12:
+                outer, own = rng.choice((("ul", "li"), ("ul", "li"), ("ol", "li"), ("table", "td"), ("dl", "dd"), ("figure", "figcaption")))
+                out.append(f"<{outer}>")
+                for _ in range(rng.randint(1, 5)):
+                    out.append(f"<{own}>{words(*rng.choice(((1, 6), (4, 40))), rng.random() < 0.7)}</{own}>")
+                    y.append(1)
+                out.append(f"</{outer}>")
+            if rng.random() < 0.13:
+                out.append(around(y, rng.choice(("ad", "form", "notice", "more", "comment"))))
+        if rng.random() < 0.3:
+            out.append(around(y, rng.choice(("comment", "comment", "more", "form"))))
+        return "".join(out) + "</div>" * wrapped + f"</{tag}>"
 
     pages = []
     for _ in range(n):
         y: list[int] = []
-        body = [around(y) for _ in range(rng.randint(0, 4))]
+        body = [around(y, k) for k in rng.choices(("menu", "notice", "ad", "form", "more"), (6, 2, 2, 1, 1), k=rng.randint(0, 3))]
         body.append(article(y))
-        body += [around(y) for _ in range(rng.randint(0, 4))]
+        body += [around(y, k) for k in rng.choices(("comment", "more", "ad", "form", "notice", "foot"), (3, 2, 1, 1, 1, 1), k=rng.randint(0, 3))]
+        body += [around(y, "foot")] if rng.random() < 0.6 else []
         page = "".join(body)
         if rng.random() < 0.4:
-            page = named("div", ("page", "wrapper", "container", "site", "layout")) + page + "</div>"
+            tag = rng.choice(("div", "div", "div", "form"))
+            page = opened(tag, PLAIN_NAMES + ("page", "wrapper", "site")) + page + f"</{tag}>"
         pages.append((f"<html><head><title>{words(2, 6, False)}</title></head><body>{page}</body></html>", y))
     return pages
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """A labeller from at most `sample` pages whose tags tell, chosen by hash, and from invented layouts."""
-    chosen = sampled(pages.where(F.length("html") <= LONGEST), sample, pages.count(), "page_id", "html").select("html")
+    """A labeller from at most `sample` pages whose elements tell, chosen by hash, and from invented layouts."""
+    chosen = sampled(pages.where(F.col("html").isNotNull()), sample, pages.count(), "page_id", "html").select("html")
     rows, labels = [], []
-    for r in chosen.collect():
+    for r in chosen.toLocalIterator():  # a page at a time, as pages may be long
         own = blocks(r["html"])
+        at = zlib.crc32(r["html"].encode("utf-8", "surrogatepass")) % max(1, len(own) - TRAINED_BLOCKS + 1)
         if any(b.inside == "main" for b in own):
-            rows.append(own)
-            labels.append(np.array([b.inside == "main" for b in own], np.float32))
+            rows.append(vectors([own])[0][at : at + TRAINED_BLOCKS])
+            labels.append(np.array([b.inside == "main" for b in own[at : at + TRAINED_BLOCKS]], np.float32))
     for page, y in invented():
         own = blocks(page)
         if len(own) == len(y):
-            rows.append(own)
+            rows.append(vectors([own])[0])
             labels.append(np.array(y, np.float32))
-    return fit(vectors(rows), labels)
+    return fit(rows, labels)
 
 
 def main_texts(pages: Sequence[str | None], labeller: Labeller) -> list[str]:
