@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -76,13 +77,56 @@ def test_top_k_with_a_query_id_repeated_more_than_k_times(spark):
     assert got == [(1, 1, 48), (2, 1, 48), (3, 1, 48), (4, 2, 48), (5, 3, 48)]
 
 
+@pytest.mark.parametrize("scale", [50, 9.5e7, 3e8, 1.2e9])
+def test_top_k_of_large_integers_is_exact(spark, monkeypatch, scale):
+    """Components whose products pass 2**53, where a float no longer holds a score; some differ by one only."""
+    for name, x in (("PAGE", 32), ("NODE", 8), ("PIVOTS", 6), ("BLOCK", 7)):
+        monkeypatch.setattr(mtree, name, x)
+    rng = np.random.default_rng(3)
+    v = np.rint(rng.uniform(0.9, 1, (160, 3)) * scale).astype(np.int64)
+    v[80:, 0] = v[:80, 0] + 1
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(v.tolist())], "vec_id long, v array<long>")
+    got = [tuple(r) for r in mtree.top_k(rows, rows.where("vec_id % 4 = 0"), 5).orderBy("query_id", "rank").collect()]
+    big = v.astype(object)
+    want = []
+    for q in range(0, 160, 4):
+        best = sorted((-int(big[q] @ big[k]), k) for k in range(160) if k != q)[:5]
+        want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(best)]
+    assert all(abs(w[3]) < 2**63 for w in want) and got == want
+
+
+def test_bounds_are_outward():
+    rng = np.random.default_rng(6)
+    for scale in (10, 3 * 10**8, 2**60):
+        v, p = (np.array([[int(x) for x in r] for r in rng.uniform(-1, 1, (40, 8)) * scale], dtype=np.int64) for _ in range(2))
+        exact = [math.sqrt(sum((int(a) - int(b)) ** 2 for a, b in zip(x, y, strict=True))) for x, y in zip(v, p, strict=True)]
+        assert (mtree._away(v, p) * (1 + 1e-15) >= exact).all()
+        products = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in p] for x in v], object)
+        assert all(a >= b for a, b in zip(mtree._bound(v, p, np.zeros(40)).ravel().tolist(), products.ravel().tolist(), strict=True))
+
+
+def test_work_grows_slower_than_rows(spark, monkeypatch):
+    """Four times the rows, the same queries: fewer than four times the inner products, and pages are left out."""
+    for name, x in (("PAGE", 64), ("NODE", 8)):
+        monkeypatch.setattr(mtree, name, x)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 300, (64, 8))
+    v = (centres[np.arange(8192) % 64] + rng.normal(0, 10, (8192, 8))).astype(int).tolist()
+    rows = spark.createDataFrame(list(enumerate(v)), "vec_id long, v array<long>")
+    took = []
+    for n in (2048, 8192):
+        some = rows.where(f"vec_id < {n}")
+        took.append(mtree.search(some, rows.where("vec_id < 64"), 5).agg({"computed": "sum"}).first()[0])
+    assert took[1] < 3 * took[0] and took[1] < 64 * 8192 / 2
+
+
 def test_page_search_spares_computations(spark):
     rng = np.random.default_rng(4)
     v = (rng.normal(0, 400, (8, 6))[rng.integers(0, 8, 2000)] + rng.normal(0, 3, (2000, 6))).astype(int)
     import pyarrow as pa
 
     group = pa.table({"v": v.tolist(), "ids": [[k] for k in range(2000)], "away": [1.0] * 2000})
-    page = mtree._build((pa.scalar(6), pa.scalar(0), pa.scalar(0)), group).to_pylist()[0]
+    page = mtree._page(6, 0, group).to_pylist()[0]
     raw = [np.frombuffer(page[c], np.int64) for c in ("ids", "vectors", "nodes")]
     best, ids, computed = mtree.search_page(v[:20], np.arange(20), np.full(20, np.iinfo(np.int64).min), raw[0], raw[1].reshape(-1, 6), raw[2], 5)
     assert computed < 20 * 2000 / 2
