@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table of the data folder, whatever else the table holds."""
@@ -16,21 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's, or a new one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(f"file://{found}")
-        found = f"file://{found}"
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once, into the shared folder, and forgets how it was made."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The shared folder for cut lineage and for what a run writes."""
+    return shared_dir(spark)
 
 
 def partitions(df: DataFrame) -> int:

@@ -69,7 +69,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     wave = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     shards = sharding.ShardSet(spark, f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}")
-    return sharding.ingest([docs.where(wave == 0), docs.where(wave == 1)], shards).read().select("doc_id", "shard")
+    rows = sharding.ingest([docs.where(wave == 0), docs.where(wave == 1)], shards).read()
+    return rows.select("doc_id", F.col(rows.columns[-1]).alias("shard"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

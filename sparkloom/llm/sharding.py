@@ -2,13 +2,16 @@
 
 Arrivals are appended as small immutable Parquet shards.  Shards belong to tiers
 by size; where a tier has FANOUT shards or more, they are merged into files of
-about the target size.  Every append and every merge ends with a manifest of the
-next version, which a rename to a name that must not exist makes visible at once;
-until then readers see the old version whole, and a failed job leaves nothing but
-files that no manifest names.
-
-A shard set keeps every row and column as it came, nulls, repeated rows and empty
-texts included.  An empty arrival makes a version without new shards.
+about the target size, and a shard of more than twice the target is split.
+Every append and every merge ends with a manifest of the next version, which a
+rename to a name that must not exist makes visible at once, so of several writers
+of a version one gets it and the others fail; until then readers see the old
+version whole, and a failed job leaves nothing but files that no manifest names.
+
+A shard set keeps every row and column as it came, nulls (in ids, too), repeated
+rows and empty texts included, whatever the columns are called; the order of rows
+is not kept.  An empty arrival makes a version without new shards; only a set's
+first has an empty shard, which holds the columns.
 """
 
 from __future__ import annotations
@@ -20,8 +23,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bytes of a finished shard, the ratio of sizes in a tier and the shards that fill it, bytes of the lowest tier.
-TARGET, FANOUT, LOWEST = 128 << 20, 4, 1 << 20
+from ..sources.shared import publish
+
+#: Bytes of a finished shard on disk (three to five times as many when read), the ratio of sizes in a tier and the shards that fill it, bytes of the lowest tier.
+TARGET, FANOUT, LOWEST = 32 << 20, 4, 1 << 20
+#: Shards that a round merges at most, about; the next round goes on. Their names are on the driver and broadcast.
+ROUND = 20_000
+#: Rows of a manifest's file.
+LISTED = 200_000
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as it takes."""
+    while name.lower() in (c.lower() for c in taken):
+        name = f"_{name}"
+    return name
 
 
 class ShardSet:
@@ -48,9 +64,8 @@ class ShardSet:
     def _commit(self, shards: DataFrame, base: int) -> int:
         """Publishes shards as the version after base; fails if another writer was first."""
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(staged)  # a row for each file
-        to = self._path(f"{self.root}/manifests/{base + 1}")
-        if self._files.exists(to) or not self._files.rename(self._path(staged), to):
+        shards.write.option("maxRecordsPerFile", LISTED).parquet(staged)  # a row for each file
+        if not publish(self.spark, staged, f"{self.root}/manifests/{base + 1}"):
             self._files.delete(self._path(staged), True)
             raise RuntimeError(f"version {base + 1} exists: another writer committed first")
         return base + 1
@@ -65,36 +80,49 @@ class ShardSet:
         """Writes arrivals as shards, one for each of its partitions, and commits them."""
         base, folder = self.version(), f"{self.root}/data/{uuid.uuid4().hex}"
         arrivals.write.option("compression", "zstd").parquet(folder)
-        return self._commit(self.manifest(base).unionByName(self._listed(folder)), base)
+        known = self.manifest(base)
+        nothing = self.spark.read.parquet(folder).isEmpty() and not known.isEmpty()
+        return self._commit(known if nothing else known.unionByName(self._listed(folder)), base)
 
     def plan(self, version: int | None = None) -> DataFrame:
-        """file, part: shards below half the target, in tiers that are full, dealt in order to parts of about the target size."""
-        small = self.manifest(version).where(F.col("bytes") < self.target / 2)
-        tier = Window.partitionBy("tier")
-        before = F.sum("bytes").over(tier.orderBy("bytes", "file").rowsBetween(Window.unboundedPreceding, -1))
-        full = small.withColumn("n", F.count("*").over(tier)).where(F.col("n") >= self.fanout)
-        part = full.withColumn("part", F.concat_ws("-", "tier", F.floor(F.coalesce(before, F.lit(0)) / self.target)))
-        return part.withColumn("m", F.count("*").over(Window.partitionBy("part"))).where("m > 1").select("file", "part")
+        """file, part and split: shards below half the target, in tiers that are full, dealt in order to parts of about the
+        target size, and shards above twice the target. A part is written as `split` shards.
+        """
+        known = self.manifest(version)
+        small, large = known.where(F.col("bytes") < self.target / 2), known.where(F.col("bytes") > 2 * self.target)
+        full = small.join(F.broadcast(small.groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout)), "tier")  # a row for each tier
+        round_ = full.orderBy("tier", "bytes", "file").limit(ROUND)
+        before = F.sum("bytes").over(Window.partitionBy("tier").orderBy("bytes", "file").rowsBetween(Window.unboundedPreceding, -1))  # ROUND rows at most
+        part = round_.withColumn("part", F.concat_ws("-", "tier", F.floor(F.coalesce(before, F.lit(0)) / self.target)))
+        merged = part.withColumn("m", F.count("*").over(Window.partitionBy("part"))).where("m > 1").select("file", "part", F.lit(1).alias("split"))
+        split = large.select("file", F.col("file").alias("part"), F.ceil(F.col("bytes") / self.target).cast("int").alias("split"))
+        return merged.unionByName(split.orderBy("file").limit(ROUND))
 
     def compact(self) -> int:
-        """One round of merges; returns the number of shards that were merged.
+        """One round of merges and splits; returns the number of shards that were rewritten.
 
-        Rows move once, to the part their shard belongs to; parts are of bounded size, whatever the rows' keys.
+        Rows move once, to the part their shard belongs to; each part is a task of bounded size, whatever the rows' keys.
         """
         base = self.version()
-        planned = self.plan(base).collect()  # names of small files, as a file listing is
+        planned = self.plan(base).collect()  # ROUND names of small and of large files at most
         if not planned:
             return 0
-        files = [r["file"] for r in planned]
-        parts = self.spark.createDataFrame(planned, "_of_file string, _part string")
-        rows = self._rows(files)
+        first, parts = {}, 0
+        for r in planned:
+            if r["part"] not in first:
+                first[r["part"]], parts = parts, parts + r["split"]
+        numbered = self.spark.createDataFrame([(r["file"], first[r["part"]], r["split"]) for r in planned], "file string, first int, split int")
+        rows = self._rows([r["file"] for r in planned])
         columns = rows.columns
-        merged = rows.withColumn("_file", F.col("_metadata.file_path")).join(F.broadcast(parts), F.col("_file") == F.col("_of_file")).select(*columns, "_part")
+        of, first_, split, part = (_free(c, columns) for c in ("_of_file", "_first", "_split", "_part"))
+        place = F.broadcast(numbered.select(F.col("file").alias(of), F.col("first").alias(first_), F.col("split").alias(split)))
+        own = rows.withColumn(part, F.col("_metadata.file_path")).join(place, F.col(part) == F.col(of))
+        dealt = own.withColumn(part, F.col(first_) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(split)).cast("int"))
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        merged.repartition(len({r["part"] for r in planned}), "_part").write.option("compression", "zstd").partitionBy("_part").parquet(folder)
-        old = self.manifest(base).join(F.broadcast(parts), F.col("file") == F.col("_of_file"), "left_anti")
+        dealt.select(*columns, part).repartitionById(parts, part).drop(part).write.option("compression", "zstd").parquet(folder)
+        old = self.manifest(base).join(F.broadcast(numbered.select("file")), "file", "left_anti")
         self._commit(old.unionByName(self._listed(folder)), base)
-        return len(files)
+        return len(planned)
 
     def _rows(self, files: list[str]) -> DataFrame:
         """The rows of some shards; their folders' names are no columns."""
@@ -115,13 +143,16 @@ class ShardSet:
             if path.getName().endswith(".parquet") and path.toUri().getPath() not in plain:
                 self._files.delete(path, False)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """A version's rows, with the name of each one's shard in the column shard."""
+    def read(self, version: int | None = None, shard: str = "shard") -> DataFrame:
+        """A version's rows with all their columns, and the name of each one's shard in one more, the last.
+
+        It is called `shard`, with underscores before it where the rows have such a column.
+        """
         files = [r["file"] for r in self.manifest(version).select("file").collect()]
         if not files:
             raise ValueError("the version has no shards")
         rows = self._rows(files)
-        return rows.select(*[c for c in rows.columns if c != "shard"], F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1).alias("shard"))
+        return rows.withColumn(_free(shard, rows.columns), F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1))
 
 
 def ingest(arrivals: list[DataFrame], shards: ShardSet) -> ShardSet:
