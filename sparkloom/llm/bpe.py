@@ -2,14 +2,16 @@
 
 The distinct pieces of a batch are put in matrices by length.  In each round
 every row merges its leftmost pair of minimum rank, found by a hashed pair
-lookup, closes the gap, and rows without a pair left are taken out.  Pieces
-longer than LONGEST bytes go through a heap of pairs instead, which gives the
-same ids in n log n steps.
+lookup, closes the gap, and rows without a pair left are taken out.  A piece
+longer than LONGEST bytes is a matrix of one row, whose equal pairs merge
+together where that gives the same ids.
 
 Texts split into chunks at spaces where no piece of the pattern can cross;
 chunks recur, and their ids are kept in a bounded cache of the worker.
 
-Null texts count as empty: no ids, and nothing to decode.
+Null texts count as empty: no ids, and nothing to decode.  Repeated rows stay,
+and equal texts have equal results; columns but doc_id and text are not read.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import re
 from collections.abc import Callable, Iterable, Sequence
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .common import by_slices
 
-#: Bytes of the longest piece that is merged in a matrix.
+#: Bytes of the longest piece that is merged in a matrix with others.
 LONGEST = 128
 #: Cells of the largest matrix.
 CELLS = 1 << 20
@@ -114,7 +115,7 @@ class Vocabulary:
             if (own := self.ranks.get(x)) is not None:
                 out[i] = own.to_bytes(4, "little")
             elif len(x) > LONGEST:
-                out[i] = self._long(x)
+                out[i] = self._row(x)
             elif x:
                 by_room.setdefault((len(x) + 3) & -4, []).append(i)
         for room, rows in by_room.items():
@@ -162,28 +163,43 @@ class Vocabulary:
             ranks[before, at[before] - 1] = self.pairs.get(ids[before, at[before] - 1], ids[before, at[before]])
         return done
 
-    def _long(self, piece: bytes) -> bytes:
-        """The same merges for one long piece: a heap of (rank, place), places linked to their neighbours."""
-        ids = self.bytes_id[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        text = [piece[i : i + 1] for i in range(len(ids))]
-        rank = self.ranks.get
-        heap = [(r, i) for i in range(len(ids) - 1) if (r := rank(text[i] + text[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i] if text[i] else len(ids)
-            if j >= len(ids) or rank(text[i] + text[j]) != r:
-                continue
-            text[i], text[j], ids[i] = text[i] + text[j], b"", r
-            after[i] = after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-                if (s := rank(text[i] + text[after[i]])) is not None:
-                    heapq.heappush(heap, (s, i))
-            if (h := before[i]) >= 0 and (s := rank(text[h] + text[i])) is not None:
-                heapq.heappush(heap, (s, h))
-        return np.array([x for x, t in zip(ids, text, strict=True) if t], "<u4").tobytes()
+    def _row(self, piece: bytes) -> bytes:
+        """The same merges for a matrix of one long row, whose places are linked to their neighbours and compacted by halves.
+
+        A round merges all places of the minimum rank from left to right, up to the first that makes a pair of
+        lower rank: just what merging the leftmost again and again does.
+        """
+        ids = np.append(self.bytes_id[np.frombuffer(piece, np.uint8)], np.int32(-1))
+        alive = len(ids) - 1
+        after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        ranks = np.append(self.pairs.get(ids[:-1], ids[1:]), np.int32(_NONE))
+        while (rank := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == rank)
+            # In a run of overlapping pairs every second one is taken.
+            first = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            begun = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begun) % 2 == 0]
+            right = after[after[at]]
+            left = ids[before[at]]
+            left[1:][right[:-1] == at[1:]] = rank
+            merged = np.full(len(at), rank, np.int32)
+            lower = (self.pairs.get(left, merged) < rank) | (self.pairs.get(merged, ids[right]) < rank)
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            gone = after[at]
+            right = after[gone]
+            ids[at], ids[gone], ranks[gone] = rank, -1, _NONE
+            after[at], before[right] = right, at
+            ranks[at] = self.pairs.get(ids[at], ids[right])
+            left = before[at]
+            own = left >= 0
+            ranks[left[own]] = self.pairs.get(ids[left[own]], ids[at[own]])
+            alive -= len(at)
+            if 2 * alive < len(ids):
+                stay = np.append(np.flatnonzero(ids >= 0), len(ids) - 1)
+                ids, ranks = ids[stay], ranks[stay]
+                after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        return ids[ids >= 0].astype("<u4").tobytes()
 
 
 def chunks(text: str, pattern: regex.Pattern) -> list[str]:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
@@ -107,6 +108,22 @@ def test_bpe_is_tiktoken_and_decodes(spark, folder):
     assert Counter(map(tuple, rows)) == want
 
 
+def test_bpe_of_long_pieces():
+    """Pieces of one row's matrix: runs, repeats, random letters and other scripts, at every length around the limit."""
+    from sparkloom.llm import bpe
+
+    for name in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"):
+        own, coder = encoding(name), bpe.coder(public_tokenizers.path(name), public_tokenizers.PATTERN)
+        rng = random.Random(12)
+        letters = lambda k, n: "".join(rng.choices("etaoinshrdluabcäßçжшя漢字"[:k], k=n))
+        texts = ["x" * 70_000, "ab" * 999 + "a", "-" * 4097, "the" * 700, "öä" * 400, *(letters(k, n) for k in (2, 3, 6, 12, 20, 24) for n in (127, 128, 129, 130, 200, 257, 1000, 9000))]
+        assert [list(np.frombuffer(x, "<u4")) for x in coder.ids(texts)] == [own.encode_ordinary(t) for t in texts]
+        raw = [t.encode() for t in texts]
+        assert coder.vocabulary.encode_pieces(raw) == [np.array(own._encode_single_piece(x), "<u4").tobytes() for x in raw]
+        small = [x for x in raw if len(x) <= 2000]
+        assert [coder.vocabulary._row(x) for x in small] == [np.array(own._encode_single_piece(x), "<u4").tobytes() if x not in coder.vocabulary.ranks else coder.vocabulary._row(x) for x in small]
+
+
 def test_media_digests(spark, folder):
     rows = QUERIES["op8_media_columns"](spark, folder).collect()
     want = Counter()
