@@ -9,7 +9,10 @@ a grouping of the cell's pieces into bins.  Crossover injects a parent's
 well-filled bins whole into the other parent, takes out the bins that hold a
 piece twice, and puts the displaced pieces where they fit best.  After each
 epoch every island's elite also goes to the next island; at the end the best
-island's grouping stays.
+island's grouping stays.  Then the bins with room left, of all cells, are dealt
+to new cells and evolve once more, from the grouping they have, so a cell loses
+no bin by being packed alone.  An island stops early only at the fewest bins that
+its pieces' lengths allow.
 
 A null text is an empty document: one piece, the end token.  Repeated rows are
 packed each on its own.  An empty table gives an empty result.
@@ -39,9 +42,11 @@ from .common import by_slices, cut
 
 CAPACITY = 2048
 #: Pieces of a cell, islands of a cell, epochs, and children of an island in an epoch.
-CELL, ISLANDS, EPOCHS, CHILDREN = 4096, 2, 2, 24
+CELL, ISLANDS, EPOCHS, CHILDREN = 4096, 2, 2, 60
 #: Individuals of an island.
-POPULATION = 4
+POPULATION = 6
+#: A bin filled to less than this has room left.
+FILLED = 0.98
 #: Tokens that end a document.
 END = (0).to_bytes(4, "little")
 
@@ -175,57 +180,115 @@ def crossover(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, capacity: int
     return best_fit(sizes, rest[np.argsort(-sizes[rest], kind="stable")], capacity, bins, out)
 
 
+def mutated(bins: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """bins without its emptiest and some others, whose pieces go in anew, in an order with some noise."""
+    _, own = np.unique(bins, return_inverse=True)
+    fill = np.bincount(own, sizes)
+    out = np.zeros(len(fill), bool)
+    out[np.argsort(fill)[: max(1, len(fill) // 20)]] = True
+    out[rng.integers(0, len(fill), max(1, len(fill) // 10))] = True
+    loose = np.flatnonzero(out[own])
+    _, kept = np.unique(own[~out[own]], return_inverse=True)
+    new = np.full(len(bins), -1)
+    new[~out[own]] = kept
+    found = Bins(capacity)
+    for room in (capacity - np.bincount(new[new >= 0], sizes[new >= 0], minlength=int(kept.max(initial=-1)) + 1)).astype(int).tolist():
+        found.add(room)
+    noisy = sizes[loose] * rng.uniform(0.8, 1.2, len(loose))
+    return best_fit(sizes, loose[np.argsort(-noisy, kind="stable")], capacity, found, new)
+
+
 def evolve(sizes: np.ndarray, seeds: Sequence[np.ndarray], capacity: int, rng: np.random.Generator, children: int = CHILDREN) -> np.ndarray:
     """The fittest grouping after a number of children; stops early at the fewest bins there can be."""
+    return _evolved(sizes, seeds, capacity, rng, children)[0]
+
+
+def _evolved(sizes: np.ndarray, seeds: Sequence[np.ndarray], capacity: int, rng: np.random.Generator, children: int = CHILDREN) -> tuple[np.ndarray, int, int]:
+    """evolve()'s grouping, the crossovers that were made, and the bins of best fit alone."""
     least = math.ceil(sizes.sum() / capacity)
     people = [(fitness(s, sizes, capacity), k, s) for k, s in enumerate(seeds)]
+    plain = best_fit(sizes, np.argsort(-sizes, kind="stable"), capacity)
+    people.append((fitness(plain, sizes, capacity), len(people), plain))
+    bins = people[-1][0][0]
+    people.sort(key=lambda x: x[:2])
+    if people[0][0][0] <= least:
+        return people[0][2], 0, bins
     for k in range(len(people), POPULATION):
-        noise = rng.uniform(0, 0.02 * capacity, len(sizes)) * (k > 0)
-        own = best_fit(sizes, np.argsort(-(sizes + noise), kind="stable"), capacity)
+        own = best_fit(sizes, np.argsort(-(sizes + rng.uniform(0, 0.1 * (k + 1) * capacity, len(sizes))), kind="stable"), capacity)
         people.append((fitness(own, sizes, capacity), k, own))
     people.sort(key=lambda x: x[:2])
+    made = 0
     for k in range(children):
         if people[0][0][0] <= least:
             break
         one, two = rng.choice(len(people), 2, replace=False)
-        child = crossover(people[min(one, two)][2], people[max(one, two)][2], sizes, capacity, rng)
-        people[-1] = (fitness(child, sizes, capacity), POPULATION + k, child)
-        people.sort(key=lambda x: x[:2])
-    return people[0][2]
+        child = crossover(people[one][2], people[two][2], sizes, capacity, rng)
+        child = mutated(child, sizes, capacity, rng) if k % 3 == 2 else child
+        made += 1
+        # The child takes the place of the least fit, unless it is less fit still.
+        people = sorted([*people, (fitness(child, sizes, capacity), len(seeds) + POPULATION + k, child)], key=lambda x: x[:2])[: max(POPULATION, len(seeds) + 1)]
+    return people[0][2], made, bins
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """parts (with a column length) with sequence_id and offset; every row in exactly one sequence.
+_PLACED = "_row long, length long, cell long, island int, own long, bins long, made long, plain long"
 
-    Lengths are from 1 to the capacity.  parts is computed once.
-    """
-    numbered = cut(parts.withColumn("_row", F.monotonically_increasing_id()))
-    short = numbered.where(F.col("length") < capacity)
-    cells = max(1, math.ceil(short.count() / cell))
-    items = short.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    bins = items.withColumn("own", F.lit(-1).cast("long")).withColumn("guest", F.lit(-1).cast("long"))
 
-    def epoch(k: int):
-        def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-            own = own.sort_values("_row", ignore_index=True)
-            sizes = own["length"].to_numpy()
-            seeds = [own[c].to_numpy() for c in ("own", "guest") if k]
-            best = evolve(sizes, seeds, capacity, np.random.default_rng([int(key[0]), int(key[1]), k]))
-            _, best = np.unique(best, return_inverse=True)
-            return own.assign(own=best, bins=int(best.max()) + 1)[["_row", "length", "cell", "island", "own", "bins"]]
+def _epoch(k: int, capacity: int):
+    """A function for applyInPandas over an island: its pieces in the fittest grouping, with the bins, crossovers and bins of best fit."""
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_row", ignore_index=True)
+        sizes = own["length"].to_numpy()
+        seeds = [own[c].to_numpy() for c in ("own", "guest") if (own[c] >= 0).all()]
+        best, made, plain = _evolved(sizes, seeds, capacity, np.random.default_rng([int(key[0]), int(key[1]) + 1, k]))
+        _, best = np.unique(best, return_inverse=True)
+        return own.assign(own=best, bins=int(best.max()) + 1, made=own["made"] + made, plain=plain)[[x.split()[0] for x in _PLACED.split(", ")]]
 
-        return run
+    return run
 
+
+def grouped(short: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """The best island's grouping of (_row, length): cell and own name a bin; bins, made and plain are the cell's bins, crossovers and bins of best fit."""
+    cells = max(1, math.ceil(short.count() / cell))
+    items = short.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    none = F.lit(-1).cast("long")
+    bins = items.withColumns({"own": none, "guest": none, "made": F.lit(0).cast("long")})
     for k in range(epochs):
-        found = bins.groupBy("cell", "island").applyInPandas(epoch(k), "_row long, length long, cell long, island int, own long, bins long")
+        found = bins.groupBy("cell", "island").applyInPandas(_epoch(k, capacity), _PLACED)
         if k + 1 < epochs:
             # A row for the island itself and one for the next; they meet again as own and guest.
             both = found.withColumn("to", F.explode(F.array(F.lit(0), F.lit(1))))
             at = F.pmod(F.col("island") + F.col("to"), F.lit(islands))
-            bins = both.groupBy("cell", at.alias("island"), "_row", "length").agg(F.max(F.when(F.col("to") == 0, F.col("own"))).alias("own"), F.max(F.when(F.col("to") == 1, F.col("own"))).alias("guest"))
+            bins = both.groupBy("cell", at.alias("island"), "_row", "length").agg(*(F.max(F.when(F.col("to") == to, F.col(c))).alias(n) for to, c, n in ((0, "own", "own"), (1, "own", "guest"), (0, "made", "made"))))
     best = F.min(F.struct("bins", "island")).over(Window.partitionBy("cell"))
-    final = found.withColumn("best", best).where(F.col("island") == F.col("best.island"))
-    before = F.sum("length").over(Window.partitionBy("cell", "own").orderBy("_row")) - F.col("length")
-    placed = final.select("_row", (F.col("cell") * (1 << 24) + F.col("own")).alias("sequence_id"), before.alias("offset"))
+    return found.withColumn("best", best).where(F.col("island") == F.col("best.island")).drop("best")
+
+
+def repacked(found: DataFrame, capacity: int = CAPACITY, cell: int = CELL) -> DataFrame:
+    """found (grouped), with the bins that have room left, of all cells, packed once more together; never into more bins."""
+    found = cut(found)
+    fill = F.sum("length").over(Window.partitionBy("cell", "own"))
+    marked = found.withColumn("loose", fill < FILLED * capacity)
+    loose = marked.where("loose").withColumn("bin", F.struct("cell", "own"))
+    cells = max(1, math.ceil(loose.count() / cell))
+    # A bin's pieces stay together, and their new cell knows their grouping by the place of its first piece.
+    first = F.min("_row").over(Window.partitionBy("cell", "own"))
+    again = loose.withColumn("own", first).withColumn("cell", F.pmod(F.xxhash64("bin"), F.lit(cells))).withColumns({"guest": F.lit(-1).cast("long"), "island": F.lit(-1)})
+    named = F.dense_rank().over(Window.partitionBy("cell").orderBy("own")).cast("long")  # a cell's pieces
+    packed = again.withColumn("own", named).groupBy("cell", "island").applyInPandas(_epoch(99, capacity), _PLACED)
+    return marked.where("not loose").drop("loose").unionByName(packed)
+
+
+def pack(parts: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """parts (with a column length) with sequence_id and offset; every row in exactly one sequence.
+
+    Lengths are from 1 to the capacity.  parts is computed once.
+    """
+    numbered = cut(parts.withColumn("_row", F.monotonically_increasing_id()))
+    short = numbered.where(F.col("length") < capacity)
+    final = repacked(grouped(short, capacity, cell, islands, epochs), capacity, cell)
+    before = F.sum("length").over(Window.partitionBy("island", "cell", "own").orderBy("_row")) - F.col("length")
+    last = F.when(F.col("island") < 0, 1).otherwise(0)  # bins of the last round have numbers of their own
+    placed = final.select("_row", (((F.col("cell") * 2 + last) * (1 << 24)) + F.col("own")).alias("sequence_id"), before.alias("offset"))
     full = numbered.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long"))
     return short.join(placed, "_row").unionByName(full).drop("_row")

@@ -44,6 +44,38 @@ def test_groupings_hold_every_piece_once():
     assert (child >= 0).all() and np.bincount(child, sizes).max() <= 2048
 
 
+def triplets(n: int, seed: int = 0) -> np.ndarray:
+    """3 n sizes that fill n bins of 1000 to the brim, three each: hard for best fit."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(380, 490, n)
+    b = rng.integers(250, (1000 - a) // 2 + 1)
+    return rng.permutation(np.concatenate((a, b, 1000 - a - b)))
+
+
+def test_evolution_beats_best_fit_where_that_is_not_optimal():
+    for seed in range(3):
+        sizes = triplets(20, seed)
+        best, made, plain = packing._evolved(sizes, [], 1000, np.random.default_rng(seed), 1500)
+        assert np.bincount(best, sizes).max() <= 1000 and made > 0
+        assert 20 <= len(np.unique(best)) < plain
+
+
+def test_cells_report_crossovers_and_share_their_last_bins(spark):
+    sizes = np.concatenate([triplets(40, k) for k in range(4)])
+    short = spark.createDataFrame([(k, int(x)) for k, x in enumerate(sizes)], "_row long, length long")
+    alone = packing.grouped(short, 1000, cell=60)
+    of = alone.groupBy("cell").agg({"bins": "max", "made": "max", "plain": "max"}).collect()
+    assert all(r["max(made)"] > 0 and r["max(bins)"] <= r["max(plain)"] for r in of)
+    bins = sum(r["max(bins)"] for r in of)
+    packed = packing.pack(short.select("length"), 1000, cell=60)
+    rows = packed.collect()
+    assert len(rows) == len(sizes)
+    fills = Counter()
+    for r in rows:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 1000 and len(fills) < bins
+
+
 def test_pieces_with_ids(spark):
     import public_tokenizers
 
