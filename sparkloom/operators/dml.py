@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import operand, resolve
+from ..shared import cut
 
 NONE, DIFF, FULL, BEFORE, AFTER = "none", "diff", "full", "before", "after"
 # What deleting a record does to the rows that link to it.
@@ -106,27 +107,57 @@ def returned(before: DataFrame, after: DataFrame, form: str = AFTER) -> DataFram
     return both.select("id", F.explode(F.filter(changes, lambda x: x["old"] != x["new"])).alias("x")).select("id", "x.*")
 
 
-def delete_referenced(table: DataFrame, condition: Any, referrers: Mapping[str, tuple[DataFrame, str, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+def linked(rows: DataFrame, link: str) -> DataFrame:
+    """(id, _link): each row's links, of a column with an id or an array of ids."""
+    many = rows.schema[link].dataType.typeName() == "array"
+    return rows.select("id", (F.explode(link) if many else F.col(link)).alias("_link"))
+
+
+def referring(rows: DataFrame, link: str, gone: DataFrame) -> DataFrame:
+    """The rows with a link to one of gone's ids (_gone); arrays of links are joined link by link."""
+    if rows.schema[link].dataType.typeName() != "array":
+        return rows.join(gone, F.col(link) == F.col("_gone"), "left_semi")
+    hit = linked(rows, link).join(gone, F.col("_link") == F.col("_gone"), "left_semi").select("id").distinct()
+    return rows.join(hit, "id", "left_semi")
+
+
+def unset(rows: DataFrame, link: str, gone: DataFrame) -> DataFrame:
+    """rows without their links to gone's ids (_gone): null, or arrays without them, in order of the ids."""
+    gone = gone.select("_gone").distinct()
+    if rows.schema[link].dataType.typeName() != "array":
+        return rows.join(gone, F.col(link) == F.col("_gone"), "left").withColumn(link, F.when(F.col("_gone").isNull(), F.col(link))).drop("_gone")
+    parts = linked(rows, link).join(gone, F.col("_link") == F.col("_gone"), "left_anti").groupBy("id").agg(F.sort_array(F.collect_list("_link")).alias("_left"))
+    return rows.join(parts, "id", "left").withColumn(link, F.when(F.col(link).isNotNull(), F.coalesce("_left", F.slice(F.col(link), 1, 0)))).drop("_left")
+
+
+def delete_referenced(table: DataFrame, condition: Any, referrers: Mapping[str, tuple[DataFrame, str, str] | tuple[DataFrame, str, str, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Deletes from table, and lets each referrer (rows, link, action) follow; returns the new table and referrers.
 
-    A link may be an id or an array of ids.
+    A link may be an id or an array of ids.  A referrer may name another one as what it refers to: (rows, link, action, name);
+    then deletions go on from there, until nothing more is deleted.
     """
-    gone = table.where(holds(condition, table)).select(F.col("id").alias("_gone"))
+    for _, _, action, *_ in referrers.values():
+        if action not in ACTIONS:
+            raise ValueError(f"no such action: {action}")
+    gone: dict[str, DataFrame] = {"": cut(table.where(holds(condition, table)).select(F.col("id").alias("_gone")))}
+    new = dict(gone)
+    while new:
+        found: dict[str, DataFrame] = {}
+        for name, (rows, link, action, *of) in referrers.items():
+            at = of[0] if of else ""
+            if action == "cascade" and at in new:
+                more = referring(rows, link, new[at]).select(F.col("id").alias("_gone"))
+                more = cut(more.join(gone[name], "_gone", "left_anti") if name in gone else more)
+                if not more.isEmpty():
+                    found[name] = more
+        for name, more in found.items():
+            gone[name] = gone[name].unionByName(more) if name in gone else more
+        new = found
     out: dict[str, DataFrame] = {}
-    for name, (rows, link, action) in referrers.items():
-        many = rows.schema[link].dataType.typeName() == "array"
-        hit = (F.array_contains(F.col(link), F.col("_gone")) if many else F.col(link) == F.col("_gone"))
-        if action == "reject" and not rows.join(gone, hit, "left_semi").isEmpty():
+    for name, (rows, link, action, *of) in referrers.items():
+        left = rows.join(gone[name], F.col("id") == F.col("_gone"), "left_anti") if name in gone else rows
+        at = of[0] if of else ""
+        if at in gone and action == "reject" and not referring(left, link, gone[at]).isEmpty():
             raise Rejected(f"{name}.{link} refers to what is to be deleted")
-        if action == "cascade":
-            rows = rows.join(gone, hit, "left_anti")
-        elif action == "unset" and many:
-            parts = rows.select("id", F.explode(link).alias("_link")).join(gone, F.col("_link") == F.col("_gone"), "left_anti").groupBy("id").agg(F.sort_array(F.collect_list("_link")).alias("_left"))
-            empty = F.slice(F.col(link), 1, 0)
-            rows = rows.join(parts, "id", "left").withColumn(link, F.when(F.col(link).isNotNull(), F.coalesce("_left", empty))).drop("_left")
-        elif action == "unset":
-            rows = rows.join(gone, hit, "left").withColumn(link, F.when(F.col("_gone").isNull(), F.col(link))).drop("_gone")
-        elif action not in ACTIONS:
-            raise ValueError(f"no such action: {action}")
-        out[name] = rows
+        out[name] = unset(left, link, gone[at]) if at in gone and action == "unset" else left
     return delete(table, condition), out

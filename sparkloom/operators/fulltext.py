@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import cut
+
 # What the tokenizers split at.
 TOKENIZERS = {"blank": r"\s+", "punct": r"\p{Punct}+|\s+", "class": r"[^\p{L}\p{N}]+", "camel": r"\s+|(?<=\p{Ll})(?=\p{Lu})"}
 # Letters with marks, and the letters they become.
@@ -19,6 +21,10 @@ K1, B = 1.2, 0.75
 ENDINGS = (("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ization", "ize"), ("ingly", ""), ("edly", ""), ("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
 
 
+#: Filters that change letters, but not where the tokenizers other than camel split.
+WHOLE = {"lowercase": F.lower, "uppercase": F.upper, "ascii": lambda x: F.translate(x, MARKED, PLAIN)}
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """A tokenizer, then filters in order: ascii, lowercase, uppercase, (edgengram, least, most), (ngram, least, most), snowball."""
@@ -36,11 +42,14 @@ class Analyzer:
 
     def tokens(self, text: Column) -> Column:
         """The tokens of a text; null for null."""
-        out = F.array(text)
-        for t in self.tokenizers:
+        filters, own = list(self.filters), text
+        while filters and filters[0] in WHOLE and "camel" not in self.tokenizers:  # the same on a whole text, and faster
+            own = WHOLE[filters.pop(0)](own)
+        out = F.split(own, TOKENIZERS[self.tokenizers[0]]) if self.tokenizers else F.array(own)
+        for t in self.tokenizers[1:]:
             out = F.flatten(F.transform(out, _splitter(t)))
-        out = F.filter(out, lambda x: x != "")
-        for f in self.filters:
+        out = F.array_remove(out, "")
+        for f in filters:
             out = _filtered(out, f)
         return F.when(text.isNotNull(), out)
 
@@ -50,12 +59,8 @@ def _splitter(name: str):
 
 
 def _filtered(tokens: Column, f: str | tuple[str, int, int]) -> Column:
-    if f == "lowercase":
-        return F.transform(tokens, F.lower)
-    if f == "uppercase":
-        return F.transform(tokens, F.upper)
-    if f == "ascii":
-        return F.transform(tokens, lambda x: F.translate(x, MARKED, PLAIN))
+    if f in WHOLE:
+        return F.transform(tokens, WHOLE[f])
     if f == "snowball":
         return F.transform(tokens, stem)
     kind, least, most = f
@@ -106,28 +111,64 @@ def search(rows: DataFrame, column: str, query: str, analyzer: Analyzer = STANDA
 def bm25(rows: DataFrame, column: str, query: str, analyzer: Analyzer = STANDARD, any_: bool = False, name: str = "score") -> DataFrame:
     """Matching rows with their BM25 score.
 
-    Document frequencies and the mean length come from one aggregate of all rows; it has one row, which joins as a scalar.
+    Document frequencies and the mean length come from one aggregate of the texts alone, which runs now; one test of the
+    tokens filters, and only what matches is counted.
     """
     tokens = query_tokens(rows, query, analyzer)
-    own = rows.withColumn("_tokens", analyzer.tokens(F.col(column)))
-    tf = [F.size(F.filter("_tokens", _equal(t))).cast("double") for t in tokens]
-    kept = own.withColumn("_n", F.size("_tokens")).withColumn("_tf", F.array(*tf)).drop("_tokens")
-    df = [F.count_if(F.col("_tf")[i] > 0).cast("double") for i in range(len(tokens))]
-    totals = kept.where(F.col(column).isNotNull()).agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), F.array(*df).alias("_df"))
-    hit = F.exists("_tf", lambda x: x > 0) if any_ else F.forall("_tf", lambda x: x > 0)
-    idf = lambda i: F.log(1 + (F.col("_docs") - F.col("_df")[i] + 0.5) / (F.col("_df")[i] + 0.5))
-    part = lambda i: idf(i) * F.col("_tf")[i] * (K1 + 1) / (F.col("_tf")[i] + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))
-    score = sum((part(i) for i in range(len(tokens))), F.lit(0.0))
-    return kept.where(hit).crossJoin(F.broadcast(totals)).withColumn(name, score).drop("_n", "_tf", "_docs", "_mean", "_df")
+    held = rows.select(analyzer.tokens(F.col(column)).alias("t")).where("t IS NOT NULL")
+    totals = held.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"), *[F.count_if(F.array_contains("t", t)).alias(f"df{i}") for i, t in enumerate(tokens)]).first()
+    own, n = rows.where(matches(F.col(column), tokens, analyzer, any_)), F.size("_tokens")
+    score = F.lit(0.0)
+    for i, t in enumerate(tokens):
+        score = score + _part(F.lit(float(totals["docs"])), F.lit(float(totals[f"df{i}"])), (n - F.size(F.array_remove("_tokens", t))).cast("double"), n, F.lit(totals["mean"]))
+    return own.withColumn("_tokens", analyzer.tokens(F.col(column))).withColumn(name, score).drop("_tokens")
 
 
-def _equal(token: str):
-    return lambda x: x == token
+def _part(docs: Column, df: Column, tf: Column, n: Column, mean: Column) -> Column:
+    """A token's part of a BM25 score."""
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
 
 
-def fused(rankings: Sequence[DataFrame], key: str, order: str, k: int = 60, name: str = "score") -> DataFrame:
-    """Reciprocal rank fusion of short rankings (top-k results), each ordered by a column, larger first."""
-    ranked = [r.select(key, F.row_number().over(Window.orderBy(F.desc(order), key)).alias("_rank")) for r in rankings]
+@dataclass(frozen=True)
+class TextIndex:
+    """An inverted index under a folder: postings in order of their tokens, so that a search reads its tokens' row groups only."""
+
+    spark: SparkSession
+    root: str
+    analyzer: Analyzer = STANDARD
+
+    def build(self, rows: DataFrame, key: str, column: str) -> TextIndex:
+        """Indexes rows with a text: (token, key, tf, n, places), where places are the token's numbers in the text, from 0."""
+        own = cut(rows.select(F.col(key).alias("key"), self.analyzer.tokens(F.col(column)).alias("t")).where("t IS NOT NULL"))
+        each = own.select("key", F.size("t").alias("n"), F.posexplode("t").alias("place", "token"))
+        postings = each.groupBy("token", "key").agg(F.count("*").alias("tf"), F.first("n").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+        postings.repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.mode("overwrite").parquet(f"{self.root}/postings")
+        own.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean")).write.mode("overwrite").parquet(f"{self.root}/totals")
+        return self
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/postings")
+
+    def search(self, query: str, any_: bool = False, name: str = "score") -> DataFrame:
+        """key, the BM25 score and the matches (token and its places) of the texts that have all tokens, or any."""
+        totals = self.spark.read.parquet(f"{self.root}/totals").first()
+        tokens = query_tokens(self.postings(), query, self.analyzer)
+        hit = self.postings().where(F.col("token").isin(tokens))
+        df = {r["token"]: r["df"] for r in hit.groupBy("token").agg(F.count("*").alias("df")).collect()}  # a row for each token of the query
+        if not df:
+            return hit.select("key", F.lit(0.0).alias(name), F.array(F.struct("token", "places")).alias("matches")).limit(0)
+        own = F.element_at(F.create_map(*[F.lit(x) for t, n in df.items() for x in (t, float(n))]), F.col("token"))
+        part = _part(F.lit(float(totals["docs"])), own, F.col("tf").cast("double"), F.col("n"), F.lit(totals["mean"]))
+        found = hit.groupBy("key").agg(F.sum(part).alias(name), F.sort_array(F.collect_list(F.struct("token", "places"))).alias("matches"), F.count("*").alias("_found"))
+        return (found if any_ else found.where(F.col("_found") == len(tokens))).drop("_found")
+
+
+def fused(rankings: Sequence[DataFrame], key: str, order: str, k: int = 60, name: str = "score", most: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of the first `most` rows of each ranking, ordered by a column, larger first."""
+    ranked = []
+    for r in rankings:
+        first = r.select(key, order).orderBy(F.desc(order), key).limit(most)  # so what is numbered is short
+        ranked.append(first.select(key, F.row_number().over(Window.orderBy(F.desc(order), key)).alias("_rank")))
     all_ = ranked[0]
     for r in ranked[1:]:
         all_ = all_.unionByName(r)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import resolve
+from ..shared import cut
 
+#: Ids of a frontier that is broadcast to the edges at most; a larger one is dealt as they are.
+BROADCAST_NODES = 100_000
 OUT, IN, BOTH = "out", "in", "both"
 
 
@@ -76,24 +79,25 @@ def reverse_references(rows: DataFrame, source: DataFrame, link: str, name: str,
     return out.withColumn(name, F.coalesce(name, F.expr(f"filter({name}, x -> false)"), F.from_json(F.lit("[]"), by_target.schema[name].dataType.simpleString())))
 
 
-def distances(edges: DataFrame, start: str, most: int, direction: str = OUT) -> DataFrame:
-    """(node, hops) for every node within `most` hops: a frontier that grows by one hop, each node once, at its least distance.
+def distances(edges: DataFrame, start: str | Sequence[str], most: int, direction: str = OUT) -> DataFrame:
+    """(node, hops) for every node within `most` hops of the start, or of the nearest of several: a frontier that grows by
+    one hop, each node once, at its least distance.
 
+    The edges are dealt by their beginnings and written once; only frontiers and the nodes seen move at each hop.
     Each frontier is checkpointed, so that plans stay short; what it holds is ids alone.
     """
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    steps = oriented(edges, direction).distinct()
-    seen = spark.createDataFrame([(start, 0)], "node string, hops int")
-    frontier = seen
+    steps = cut(oriented(edges, direction).repartition("_from"))
+    seen = frontier = spark.createDataFrame([(x, 0) for x in dict.fromkeys([start] if isinstance(start, str) else start)], "node string, hops int")
+    n = len(frontier.take(1))
     for k in range(1, most + 1):
-        far = frontier.join(steps, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
-        frontier = far.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)).checkpoint()
-        if frontier.isEmpty():
+        if not n:
             break
+        at = frontier.select(F.col("node").alias("_at"))
+        at = F.broadcast(at) if n <= BROADCAST_NODES else at
+        far = steps.join(at, F.col("_from") == F.col("_at")).select(F.col("_to").alias("node")).distinct()
+        frontier = cut(far.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)))
+        n = frontier.count()
         seen = seen.unionByName(frontier)
     return seen
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import Expr, resolve
+from ..ids import RecordId
 from ..operators import dml, fulltext, graph, vector
 from . import hints as hinting
 
@@ -33,6 +34,17 @@ class Database:
     edges: set[str] = default(default_factory=set)
     views: dict[str, Query] = default(default_factory=dict)
     permissions: dict[str, Any] = default(default_factory=dict)
+    #: The column whose value is the key in a table's ids, and edges by such keys in place of ids.
+    keys: dict[str, str] = default(default_factory=dict)
+    keyed: dict[str, DataFrame] = default(default_factory=dict)
+
+    def record(self, name: str, record: str) -> DataFrame:
+        """The row of a record id: by its key, so that the scan can skip what doesn't hold it."""
+        df = self.table(name)
+        if name not in self.keys:
+            return df.where(F.col("id") == record)
+        column = self.keys[name]
+        return df.where(F.col(column) == F.lit(RecordId.parse(record).key).cast(df.schema[column].dataType))
 
     def table(self, name: str) -> DataFrame:
         """A table or view, with the rows that its permission lets through."""
@@ -173,24 +185,32 @@ class Query:
         df = db.table(self.sources[0])
         for name in self.sources[1:]:
             df = df.unionByName(db.table(name), allowMissingColumns=True)
-        return df.where(F.col("id") == self.record) if self.record else df
+        return db.record(self.sources[0], self.record) if self.record else df
+
+    def _walked(self, db: Database, df: DataFrame) -> DataFrame:
+        """The rows of the path's end, once for every path; without a table there, their ids. Where all steps have keys, keys are joined."""
+        nodes = [self.sources[0], *(n for _, n in self.path if n not in db.edges)]
+        short = len(self.sources) == 1 and self.path[-1][1] not in db.edges and all(n in db.keys for n in nodes) and all(a != "<->" and n in db.keyed for a, n in self.path if n in db.edges)
+        key = lambda name: db.keys[name] if short else "id"
+        at = graph.starts(df, key(self.sources[0]))
+        for k, (arrow, name) in enumerate(self.path):
+            if name in db.edges:
+                at = graph.hop(at, db.keyed[name] if short else db.table(name), {"->": graph.OUT, "<-": graph.IN, "<->": graph.BOTH}[arrow])
+            elif k + 1 < len(self.path):  # the nodes of a table
+                at = at.join(db.table(name).select(F.col(key(name)).alias("_node")), F.col("node") == F.col("_node"), "left_semi")
+        last = self.path[-1][1]
+        if last in db.edges:
+            return at.select(F.col("node").alias("id"))
+        rows = db.table(last)
+        return at.select("node").join(rows, F.col("node") == rows[key(last)]).drop("node")
 
     def to_df(self, db: Database) -> DataFrame:
         """The query's plan; nothing runs, but a hashed or full-text search first reads its query."""
         df = self._source(db)
         for table, on, how in self.joins:
             df = df.join(db.table(table), resolve(on, df) if not isinstance(on, (str, list)) else on if isinstance(on, list) else F.expr(on), how)
-        at = None
-        for arrow, name in self.path:
-            direction = {"->": graph.OUT, "<-": graph.IN, "<->": graph.BOTH}[arrow]
-            at = graph.starts(df) if at is None else at
-            if name in db.edges:
-                at = graph.hop(at, db.table(name), direction)
-            else:  # the nodes of a table
-                at = at.join(db.table(name).select("id"), F.col("node") == F.col("id"), "left_semi")
-        if at is not None:
-            last = self.path[-1][1]
-            df = at.select("node").join(db.table(last), F.col("node") == F.col("id")).drop("node") if last not in db.edges else at.select(F.col("node").alias("id"))
+        if self.path:
+            df = self._walked(db, df)
         for c in self.conditions:
             df = df.where(resolve(c, df))
         if self.match:

@@ -31,8 +31,10 @@ def database(spark: SparkSession, sf_dir: str) -> Database:
         db.tables[name] = read(name)
         if name in NODES:
             db.tables[name] = db.tables[name].withColumn("id", record_id(name, NODES[name]))
+            db.keys[name] = NODES[name]
     for name, (table, a, a_key, b, b_key) in EDGES.items():
         db.tables[name] = read(table).select(record_id(a, a_key).alias("in"), record_id(b, b_key).alias("out"))
+        db.keyed[name] = read(table).select(F.col(a_key).alias("in"), F.col(b_key).alias("out"))
         db.edges.add(name)
     db.tables["supplies"] = read("lineitem").select(record_id("supplier", "l_suppkey").alias("in"), record_id("part", "l_partkey").alias("out")).distinct()
     db.edges.add("supplies")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import filesystem
+from ..shared import filesystem, publish
 
 
 @dataclass(frozen=True)
@@ -45,17 +46,28 @@ class Bucket:
         if self.readonly:
             raise PermissionError("the bucket is read-only")
 
+    def _placed(self, write, key: str, overwrite: bool) -> bool:
+        """Writes a file under another name and renames it: it is there whole or not, and what exists stays unless overwritten."""
+        staged, to = f"{self.root}/.staged-{uuid.uuid4().hex}", self._at(key)
+        write(self._path(staged))
+        self._files.mkdirs(to.getParent())
+        if publish(self.spark, staged, to.toString(), overwrite):
+            return True
+        self._files.delete(self._path(staged), False)
+        return False
+
     def put(self, key: str, data: bytes | str, overwrite: bool = True) -> bool:
         """Whether it was written; a file that exists is left alone without overwrite."""
         self._writing()
-        if not overwrite and self.exists(key):
-            return False
-        out = self._files.create(self._at(key), overwrite)
-        try:
-            out.write(bytearray(data.encode() if isinstance(data, str) else data))
-        finally:
-            out.close()
-        return True
+
+        def write(at) -> None:
+            out = self._files.create(at, False)
+            try:
+                out.write(bytearray(data.encode() if isinstance(data, str) else data))
+            finally:
+                out.close()
+
+        return self._placed(write, key, overwrite)
 
     def put_if_not_exists(self, key: str, data: bytes | str) -> bool:
         return self.put(key, data, overwrite=False)
@@ -85,10 +97,8 @@ class Bucket:
         self._writing()
         if not self.exists(key):
             raise FileNotFoundError(key)
-        if not overwrite and self.exists(to):
-            return False
-        util = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
-        return util.copy(self._files, self._at(key), self._files, self._at(to), False, True, self.spark.sparkContext._jsc.hadoopConfiguration())
+        util, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil, self.spark.sparkContext._jsc.hadoopConfiguration()
+        return self._placed(lambda at: util.copy(self._files, self._at(key), self._files, at, False, True, conf), to, overwrite)
 
     def copy_if_not_exists(self, key: str, to: str) -> bool:
         return self.copy(key, to, overwrite=False)
@@ -97,11 +107,8 @@ class Bucket:
         self._writing()
         if not self.exists(key):
             raise FileNotFoundError(key)
-        if self.exists(to):
-            if not overwrite:
-                return False
-            self.delete(to)
-        return self._files.rename(self._at(key), self._at(to))
+        self._files.mkdirs(self._at(to).getParent())
+        return publish(self.spark, self._at(key).toString(), self._at(to).toString(), overwrite)
 
     def rename_if_not_exists(self, key: str, to: str) -> bool:
         return self.rename(key, to, overwrite=False)

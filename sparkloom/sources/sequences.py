@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import Bucket
+from ..shared import cut
 
 
 @dataclass
@@ -28,12 +29,16 @@ class Sequence:
             raise ValueError("batch must be 1 or more")
 
     def _claim(self, batches: int = 1) -> int:
-        """The first number of some new batches in a row."""
-        done = [f.getPath().getName() for f in self.bucket._files.listStatus(self.bucket._at(self.name))] if self.bucket.exists(self.name) else []
-        at = max((int(n.split("-")[0]) + int(n.split("-")[1]) for n in done if "-" in n), default=0)
-        while not self.bucket.put_if_not_exists(f"{self.name}/{at}-{batches}", b""):
-            at += batches
-        return self.start + at * self.batch
+        """The first number of some new batches in a row.
+
+        Claims are files called by their place, whatever their size, so of two writers at a place one goes on to the next.
+        """
+        while True:
+            done = [f.getPath().getName() for f in self.bucket._files.listStatus(self.bucket._at(self.name))] if self.bucket.exists(self.name) else []
+            last = max((int(n) for n in done if n.isdigit()), default=None)
+            at = 0 if last is None else last + int(self.bucket.get_text(f"{self.name}/{last:020}"))
+            if self.bucket.put_if_not_exists(f"{self.name}/{at:020}", str(batches)):
+                return self.start + at * self.batch
 
     def next(self) -> int:
         if not self._claimed:
@@ -42,8 +47,8 @@ class Sequence:
         return self._claimed.pop(0)
 
     def number(self, rows: DataFrame, name: str = "number") -> DataFrame:
-        """rows with numbers of their own, one for each: partitions get ranges by their sizes, so rows stay where they are."""
-        marked = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        """rows with numbers of their own, one for each: they are written once, and partitions get ranges by their sizes."""
+        marked = cut(rows).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         sizes = sorted((r["_part"], r["count"]) for r in marked.groupBy("_part").count().collect())  # a row for each partition
         total = sum(n for _, n in sizes)
         if not total:

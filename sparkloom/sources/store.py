@@ -4,7 +4,8 @@ A commit holds rows with an id, the action (create, update or delete) and, if th
 table keeps originals, the row as it was. A read takes each id's last change. The
 commits are the change feed and the source of live queries too. A commit is
 published by renaming its folder to the next version, which fails if another
-writer has taken that version.
+writer has taken that version. A snapshot holds all rows as of a version, and
+spares reads the commits before it.
 """
 
 from __future__ import annotations
@@ -18,28 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import dml
+from ..shared import cut, filesystem, publish, scratch
+
+__all__ = ["Conflict", "Table", "Transaction", "filesystem", "scratch"]
 
 
 class Conflict(RuntimeError):
     """Another writer has committed first."""
 
 
-def filesystem(spark: SparkSession, path: str):
-    """Hadoop's path class and file system for a path."""
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return make, make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared one, or under a temporary one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp()}"
-    return f"{found}/{name}-{uuid.uuid4().hex}"
-
-
 @dataclass
 class Table:
     """A table under a folder. schema has the rows' columns, `id string` among them."""
@@ -49,12 +37,14 @@ class Table:
     schema: T.StructType
     originals: bool = False
     references: dict[str, tuple[Table, str, str]] = field(default_factory=dict)
+    unique: tuple[tuple[str, ...], ...] = ()
 
     def __post_init__(self) -> None:
         if "id" not in self.schema.names:
             raise ValueError("rows need an id")
         self._path, self._files = filesystem(self.spark, self.root)
         self._files.mkdirs(self._path(f"{self.root}/log"))
+        self._files.mkdirs(self._path(f"{self.root}/snapshots"))
 
     @property
     def logged(self) -> T.StructType:
@@ -62,26 +52,49 @@ class Table:
         out = T.StructType([T.StructField("id", T.StringType()), T.StructField("action", T.StringType()), T.StructField("row", self.schema)])
         return out.add("original", self.schema) if self.originals else out
 
-    def versions(self) -> list[int]:
-        names = [f.getPath().getName() for f in self._files.listStatus(self._path(f"{self.root}/log"))]
+    def _numbers(self, folder: str) -> list[int]:
+        names = [f.getPath().getName() for f in self._files.listStatus(self._path(f"{self.root}/{folder}"))]
         return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
 
+    def versions(self) -> list[int]:
+        """The versions that can be read: those of commits, and where older ones have expired the snapshot's."""
+        commits, held = self._numbers("log"), self._numbers("snapshots")
+        return commits if not held or commits[:1] == [1] else sorted({*commits, held[0]})
+
     def version(self) -> int:
         return max(self.versions(), default=0)
 
     def log(self, since: int = 1, until: int | None = None) -> DataFrame:
         """Changes of versions from `since` on, with the column version. Only their folders are read."""
         until = self.version() if until is None else until
-        if not self.versions():
+        if not self._numbers("log"):
             return self.spark.createDataFrame([], self.logged).withColumn("version", F.lit(0).cast("long"))
         own = self.spark.read.schema(T.StructType([*self.logged.fields, T.StructField("version", T.LongType())])).parquet(f"{self.root}/log")
         return own.where((F.col("version") >= since) & (F.col("version") <= until))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows as of a version: each id's last change, unless that was its end."""
-        last = self.log(1, version).groupBy("id").agg(F.max_by(F.struct("action", "row"), "version").alias("x"))
+        """The rows as of a version: the last snapshot's, and each id's last change since, unless that was its end."""
+        version = self.version() if version is None else version
+        base = max((v for v in self._numbers("snapshots") if v <= version), default=0)
+        if version and not base and self._numbers("log")[:1] != [1]:
+            raise ValueError(f"version {version} has expired")
+        changes = self.log(base + 1, version)
+        if base:
+            held = self.spark.read.schema(self.schema).parquet(f"{self.root}/snapshots/version={base}")
+            changes = changes.unionByName(held.select("id", F.lit("create").alias("action"), F.struct(*self.schema.names).alias("row"), F.lit(base).cast("long").alias("version")), allowMissingColumns=True)
+        last = changes.groupBy("id").agg(F.max_by(F.struct("action", "row"), "version").alias("x"))
         return last.where(F.col("x.action") != "delete").select("x.row.*")
 
+    def snapshot(self, version: int | None = None) -> int:
+        """Writes all rows as of a version, for reads from there on."""
+        version = self.version() if version is None else version
+        if version and version not in self._numbers("snapshots"):
+            staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+            self.read(version).write.parquet(staged)
+            if not publish(self.spark, staged, f"{self.root}/snapshots/version={version}"):
+                self._files.delete(self._path(staged), True)  # another writer's, with the same rows
+        return version
+
     def _changes(self, before: DataFrame, after: DataFrame) -> DataFrame:
         """What turned before into after, row by row."""
         columns = [F.col(c).cast(self.schema[c].dataType).alias(c) if c in after.columns else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]
@@ -98,16 +111,30 @@ class Table:
         base = self.version() if base is None else base
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
         changes.write.parquet(staged)
-        to = self._path(f"{self.root}/log/version={base + 1}")
-        if self._files.exists(to) or not self._files.rename(self._path(staged), to):
+        if not publish(self.spark, staged, f"{self.root}/log/version={base + 1}"):
             self._files.delete(self._path(staged), True)
             raise Conflict(f"version {base + 1} exists")
         return base + 1
 
+    def _checked(self, changes: DataFrame, base: int) -> DataFrame:
+        """changes, once no unique key of theirs is held by another row of what they make of the version base."""
+        if not self.unique:
+            return changes
+        changes = cut(changes)
+        new = changes.where(F.col("row").isNotNull()).select("row.*")
+        rows = self.read(base).join(changes.select("id"), "id", "left_anti").unionByName(new)
+        for columns in self.unique:
+            keys = new.select(*columns).distinct()
+            held = rows.join(keys, list(columns), "left_semi").groupBy(*columns).agg(F.count("*").alias("n"))
+            twice = held.where("n > 1").first()  # rows with a null in the key are joined to none
+            if twice:
+                raise ValueError(f"{', '.join(columns)} {tuple(twice)[:-1]} is held by {twice['n']} rows")
+        return changes
+
     def write(self, after: DataFrame, base: int | None = None) -> int:
         """Commits whatever differs from the version base."""
         base = self.version() if base is None else base
-        return self.commit(self._changes(self.read(base), after), base)
+        return self.commit(self._checked(self._changes(self.read(base), after), base), base)
 
     def _shaped(self, rows: DataFrame) -> DataFrame:
         """id, and the row with the table's columns; columns that rows lack are null."""
@@ -127,17 +154,17 @@ class Table:
         base = self.version()
         if base and not rows.join(self.read(base).select("id"), "id", "left_semi").isEmpty():
             raise ValueError("an id exists already")
-        return self.commit(self._of(self._shaped(rows).withColumn("original", F.lit(None).cast(self.schema)), "create"), base)
+        return self.commit(self._checked(self._of(self._shaped(rows).withColumn("original", F.lit(None).cast(self.schema)), "create"), base), base)
 
     def upsert(self, rows: DataFrame) -> int:
         base = self.version()
         both = self._shaped(rows).join(self._current(self.read(base)), "id", "left")
-        return self.commit(self._of(both.where(F.col("original").isNull() | ~F.col("row").eqNullSafe(F.col("original")))), base)
+        return self.commit(self._checked(self._of(both.where(F.col("original").isNull() | ~F.col("row").eqNullSafe(F.col("original")))), base), base)
 
     def _updated(self, base: int, hit: DataFrame, after: DataFrame) -> int:
         """Commits rows of after, which has the column _original, that differ."""
         both = self._shaped(after).join(self._current(hit), "id") if "_original" not in after.columns else after.select("id", F.struct(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]).alias("row"), F.col("_original").alias("original"))
-        return self.commit(self._of(both.where(~F.col("row").eqNullSafe(F.col("original"))), "update"), base)
+        return self.commit(self._checked(self._of(both.where(~F.col("row").eqNullSafe(F.col("original"))), "update"), base), base)
 
     def update(self, values: dict[str, Any], condition: Any = None) -> int:
         """Reads the table, and writes only the rows that change."""
@@ -152,28 +179,57 @@ class Table:
         return self._updated(base, hit, dml.merge(hit, patch))
 
     def delete(self, condition: Any = None) -> int:
-        """Deletes rows; the tables that refer here follow, each with a commit of its own."""
+        """Deletes rows; the tables that refer here follow, and those that refer there, each with a commit of its own.
+
+        What follows is found first: a row that stays and rejects the deletion leaves all tables as they were.
+        """
         base = self.version()
         own = self.read(base)
-        hit = own.where(dml.holds(condition, own))
-        gone = hit.select(F.col("id").alias("_gone"))
-        found = {}
-        for n, (other, link, action) in self.references.items():
-            rows = other.read()
-            on = F.array_contains(F.col(link), F.col("_gone")) if other.schema[link].dataType.typeName() == "array" else F.col(link) == F.col("_gone")
-            found[n] = rows.join(gone, on, "left_semi")
-            if action == "reject" and not found[n].isEmpty():
-                raise dml.Rejected(f"{n}.{link} refers to what is to be deleted")
-        for n, (other, link, action) in self.references.items():
-            if action == "cascade":
-                other._remove(found[n], other.version())
-            elif action == "unset":
-                _, out = dml.delete_referenced(own, condition, {n: (found[n], link, action)})
-                other._updated(other.version(), found[n], out[n])
-        return self._remove(hit, base)
-
-    def _remove(self, hit: DataFrame, base: int) -> int:
-        return self.commit(self._of(self._current(hit).withColumn("row", F.lit(None).cast(self.schema)), "delete"), base)
+        tables, gone = {self.root: self}, {self.root: cut(own.where(dml.holds(condition, own)).select(F.col("id").alias("_gone")))}
+        new = dict(gone)
+        while new:
+            found: dict[str, DataFrame] = {}
+            for at, ids in new.items():
+                for other, link, action in tables[at].references.values():
+                    tables.setdefault(other.root, other)
+                    if action == "cascade":
+                        more = dml.referring(other.read(), link, ids).select(F.col("id").alias("_gone"))
+                        for known in (gone.get(other.root), found.get(other.root)):
+                            more = more if known is None else more.join(known, "_gone", "left_anti")
+                        more = cut(more)
+                        if not more.isEmpty():
+                            found[other.root] = found[other.root].unionByName(more) if other.root in found else more
+            for at, more in found.items():
+                gone[at] = gone[at].unionByName(more) if at in gone else more
+            new = found
+        left = {at: t.read().join(gone[at], F.col("id") == F.col("_gone"), "left_anti") if at in gone else t.read() for at, t in tables.items()}
+        after: dict[str, DataFrame] = {}
+        for at in gone:
+            for n, (other, link, action) in tables[at].references.items():
+                hit = dml.referring(left[other.root], link, gone[at])
+                if action == "reject" and not hit.isEmpty():
+                    raise dml.Rejected(f"{n}.{link} refers to what is to be deleted")
+                if action == "unset":
+                    now = after.get(other.root)
+                    rows = hit if now is None else now.unionByName(hit.join(now.select("id"), "id", "left_anti"))
+                    after[other.root] = dml.unset(rows, link, gone[at])
+        out = base
+        for at, table in tables.items():
+            then = table.version() if table is not self else base
+            hit = table.read(then).join(gone[at], F.col("id") == F.col("_gone"), "left_semi") if at in gone else None
+            changes = None if hit is None else table._removed(hit)
+            if at in after:
+                both = table._shaped(after[at]).join(table._current(table.read(then)), "id")
+                more = table._of(both.where(~F.col("row").eqNullSafe(F.col("original"))), "update")
+                changes = more if changes is None else changes.unionByName(more)
+            if changes is not None:
+                made = table.commit(changes, then)
+                out = made if table is self else out
+        return out
+
+    def _removed(self, hit: DataFrame) -> DataFrame:
+        """The log's rows of what is deleted."""
+        return self._of(self._current(hit).withColumn("row", F.lit(None).cast(self.schema)), "delete")
 
     def returned(self, version: int, form: str = dml.AFTER) -> DataFrame:
         """What the statement that made a version returns."""
@@ -183,29 +239,24 @@ class Table:
         """The change feed: (version, changes) of the versions from `since` on, in order."""
         if limit is not None and limit < 1:
             raise ValueError("limit must be 1 or more")
-        kept = [v for v in self.versions() if v >= since][:limit]
+        kept = [v for v in self._numbers("log") if v >= since][:limit]
         if not kept:
             return self.spark.createDataFrame([], self.logged).withColumn("version", F.lit(0).cast("long"))
         return self.log(kept[0], kept[-1]).orderBy("version", "id")
 
     def expire(self, keep: int) -> int:
-        """Replaces all but the newest `keep` versions by one that holds the rows as of the oldest of them; returns it.
+        """Deletes all commits but the newest `keep`, once a snapshot holds what they made; returns the oldest version left.
 
-        The replaced versions stay readable until the new one is in place.
+        A reader sees the table whole at any time: the snapshot is in place before anything goes.
         """
         now = self.versions()
         if len(now) <= keep:
             return now[0] if now else 0
-        at = now[-keep - 1]
-        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        rows = self.read(at).select(F.col("id"), F.lit("create").alias("action"), F.struct(*self.schema.names).alias("row"))
-        (rows.withColumn("original", F.lit(None).cast(self.schema)) if self.originals else rows).write.parquet(staged)
-        old = f"{self.root}/expired-{uuid.uuid4().hex}"
-        self._files.rename(self._path(f"{self.root}/log/version={at}"), self._path(old))
-        self._files.rename(self._path(staged), self._path(f"{self.root}/log/version={at}"))
-        for v in now[: -keep - 1]:
-            self._files.delete(self._path(f"{self.root}/log/version={v}"), True)
-        self._files.delete(self._path(old), True)
+        at = self.snapshot(now[-keep - 1])
+        for folder, last in (("log", at), ("snapshots", at - 1)):
+            for v in self._numbers(folder):
+                if v <= last:
+                    self._files.delete(self._path(f"{self.root}/{folder}/version={v}"), True)
         return at
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.core import resolve
 from ..operators import dml
+from ..shared import cut
 from ..sources.store import Table
 
 
@@ -77,7 +78,7 @@ def trigger(table: Table, condition: Any, action: Callable[[DataFrame], None]) -
 class CountedView:
     """An aggregate that follows a table: counts and sums by group, kept as a table of their own.
 
-    Each batch is aggregated first and then merged, so a commit moves one row for each group that changed.
+    Each batch is aggregated first and then merged with the rows of its groups, so a commit moves one row for each that changed.
     The table must keep originals, so that what an update or delete takes away is known.
     """
 
@@ -93,10 +94,10 @@ class CountedView:
         sign = lambda side, n: new.where(F.col(side).isNotNull()).select(F.col(f"{side}.*"), F.lit(n).alias("_sign"), "version")
         both = sign("row", 1).unionByName(sign("original", -1))
         changes = both.groupBy(*self.groups).agg(F.sum("_sign").alias("total"), F.max("version").alias("seen"), *[F.sum(F.col(c) * F.col("_sign")).alias(c) for c in self.sums])
-        key = F.concat_ws("|", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in self.groups])
-        changes = changes.withColumn("id", F.concat(F.lit("view:"), key))
-        merged = changes.unionByName(self.target.read(), allowMissingColumns=True).groupBy("id", *self.groups).agg(F.sum("total").alias("total"), F.max("seen").alias("seen"), *[F.sum(c).alias(c) for c in self.sums])
-        self.target.write(merged.where("total > 0 or seen is not null"))
+        changes = cut(changes.withColumn("id", F.concat(F.lit("view:"), F.to_json(F.struct(*self.groups)))))  # a null group lacks its field
+        held = self.target.read().join(changes.select("id"), "id", "left_semi")
+        merged = changes.unionByName(held, allowMissingColumns=True).groupBy("id", *self.groups).agg(F.sum("total").alias("total"), F.max("seen").alias("seen"), *[F.sum(c).alias(c) for c in self.sums])
+        self.target.upsert(merged)
 
     def read(self) -> DataFrame:
         return self.target.read().where("total > 0").drop("id", "seen")
