@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import publish
+from ..shared import publish
 
 #: Bytes of a finished shard on disk (three to five times as many when read), the ratio of sizes in a tier and the shards that fill it, bytes of the lowest tier.
 TARGET, FANOUT, LOWEST = 32 << 20, 4, 1 << 20
