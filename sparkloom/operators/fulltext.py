@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import porter
 from ..shared import cut
 
 # What the tokenizers split at.
@@ -17,10 +19,6 @@ TOKENIZERS = {"blank": r"\s+", "punct": r"\p{Punct}+|\s+", "class": r"[^\p{L}\p{
 MARKED, PLAIN = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ", "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
 #: BM25's saturation of term frequencies and weight of lengths.
 K1, B = 1.2, 0.75
-# Endings that the light English stemmer takes off, longest first, and what it puts instead.
-ENDINGS = (("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ization", "ize"), ("ingly", ""), ("edly", ""), ("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
-
-
 #: Filters that change letters, but not where the tokenizers other than camel split.
 WHOLE = {"lowercase": F.lower, "uppercase": F.upper, "ascii": lambda x: F.translate(x, MARKED, PLAIN)}
 
@@ -62,7 +60,7 @@ def _filtered(tokens: Column, f: str | tuple[str, int, int]) -> Column:
     if f in WHOLE:
         return F.transform(tokens, WHOLE[f])
     if f == "snowball":
-        return F.transform(tokens, stem)
+        return stems(tokens)
     kind, least, most = f
     if kind == "edgengram":
         some = lambda x: F.transform(F.sequence(F.lit(least), F.least(F.lit(most), F.length(x))), lambda n: F.substring(x, F.lit(1), n))
@@ -74,15 +72,14 @@ def _filtered(tokens: Column, f: str | tuple[str, int, int]) -> Column:
     return F.flatten(F.transform(F.filter(tokens, lambda x: F.length(x) >= least), some))
 
 
-def stem(word: Column) -> Column:
-    """A light English stemmer: one ending off, if three letters or more stay."""
-    out = word
-    for ending, other in reversed(ENDINGS):
-        fits = F.endswith(word, F.lit(ending)) & (F.length(word) >= len(ending) + 3)
-        if ending == "s":
-            fits = fits & ~F.endswith(word, F.lit("ss"))
-        out = F.when(fits, F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(other))).otherwise(out)
-    return out
+def stems(tokens: Column) -> Column:
+    """Each token's English stem (Porter2), a batch of token lists at a time."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda own: None if own is None else [porter.stem(x) for x in own])
+
+    return run(tokens)
 
 
 STANDARD = Analyzer()

@@ -44,7 +44,7 @@ class Database:
         if name not in self.keys:
             return df.where(F.col("id") == record)
         column = self.keys[name]
-        return df.where(F.col(column) == F.lit(RecordId.parse(record).key).cast(df.schema[column].dataType))
+        return df.where(F.col(column) == F.lit(RecordId.parse(record).key).try_cast(df.schema[column].dataType))
 
     def table(self, name: str) -> DataFrame:
         """A table or view, with the rows that its permission lets through."""
@@ -152,7 +152,7 @@ class Query:
         return replace(self, nearest=(field, tuple(vector_), k, metric, threshold, key))
 
     def vector_search_indexed(self, field: str, vector_: Sequence[float], k: int, key: str = "id") -> Query:
-        """The k nearest rows by Euclidean distance, by hashed search."""
+        """The k nearest rows by Euclidean distance; hashes bound what is compared, and no row is missed."""
         return replace(self, nearest=(field, tuple(vector_), k, None, None, key))
 
     def similarity_score(self, field: str, vector_: Sequence[float], metric: str, name: str) -> Query:

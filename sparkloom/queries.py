@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import results, schema
+from .cache import Cache
 from .functions import expressions as e
 from .functions import field, raw
 from .functions import predicates as p
-from .ids import record_id
+from .ids import RecordId, record_id
 from .operators import dml, fulltext, graph, vector
-from .plans import Database, Query
-from .sources import Table
-from .sources.store import scratch
+from .plans import Database, Query, helpers, hints
+from .shared import scratch
+from .sources import Bucket, Conflict, Sequence, Table, Transaction
 from .streaming import feeds
 
 # The node tables and their keys, and the edge tables as table, in-table and key, out-table and key.
@@ -367,10 +370,11 @@ def q_knn_join_hundredth(db):
     return vector.knn_join(asked, db.tables["embeddings"], "embedding", 3, "euclidean", "vec_id").select("query", "vec_id", "rank")
 
 
-@query(None)
+@query(f"SELECT c.vec_id, round({_DISTANCES['euclidean']}, 6) AS distance FROM embeddings q, embeddings c WHERE q.vec_id = 0 ORDER BY {_DISTANCES['euclidean']}, c.vec_id LIMIT 10")
 def q_knn_hashed(db):
     near = db.tables["embeddings"].where("vec_id = 0").first()["embedding"]
-    return Query().from_table("embeddings").vector_search_indexed("embedding", near, 10, key="vec_id").to_df(db).select("vec_id", "distance")
+    found = Query().from_table("embeddings").vector_search_indexed("embedding", near, 10, key="vec_id").to_df(db)
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 # Full text
@@ -400,12 +404,70 @@ def q_bm25(db):
     return q.to_df(db)
 
 
+_SCORED = ORACLE_SQL["q_bm25"]
+
+
+@query(_SCORED)
+def q_bm25_indexed(db):
+    """The same scores by an inverted index: only the asked tokens' postings are read."""
+    index = fulltext.TextIndex(db.spark, scratch(db.spark, "index")).build(db.tables["documents"], "doc_id", "text")
+    return index.search("the this").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents)
+    SELECT doc_id, CAST(list_position(t, 'the') - 1 AS INTEGER) AS first, len(list_filter(t, lambda x: x = 'the')) AS times FROM d WHERE list_contains(t, 'the')""")
+def q_match_places(db):
+    """Where a token stands in each text that has it."""
+    index = fulltext.TextIndex(db.spark, scratch(db.spark, "index")).build(db.tables["documents"], "doc_id", "text")
+    found = index.search("THE").select(F.col("key").alias("doc_id"), F.col("matches")[0]["places"].alias("p"))
+    return found.select("doc_id", F.col("p")[0].alias("first"), F.size("p").cast("long").alias("times"))
+
+
 @query("SELECT p_partkey, flatten(list_transform(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 2), lambda x: list_transform(range(2, CAST(least(4, length(x)) + 1 AS BIGINT)), lambda n: x[1:n]))) AS grams FROM part")
 def q_analyzer_ngram(db):
     own = fulltext.Analyzer(("blank",), ("lowercase", ("edgengram", 2, 4)))
     return db.tables["part"].select("p_partkey", own.tokens(F.col("p_name")).alias("grams"))
 
 
+@query("SELECT n_nationkey, ['the', 'Nation', n_name, 'sName'] AS tokens FROM nation")
+def q_analyzer_camel(db):
+    text = F.concat(F.lit("theNation "), F.col("n_name"), F.lit(" sName"))
+    own = fulltext.Analyzer(("blank", "camel"), ())
+    tokens = F.concat(F.slice(own.tokens(text), 1, 2), F.array("n_name"), F.array(F.array_join(F.slice(own.tokens(F.lit("sName")), 1, 2), "")))
+    return db.tables["nation"].select("n_nationkey", tokens.alias("tokens"))
+
+
+@query("SELECT n_nationkey, ['a', 'b', lower(n_name), 'c'] AS tokens FROM nation WHERE NOT regexp_matches(n_name, '[^A-Za-z]')")
+def q_analyzer_punct(db):
+    own = fulltext.Analyzer(("punct",), ("lowercase",))
+    rows = db.tables["nation"].where("NOT rlike(n_name, '[^A-Za-z]')")
+    return rows.select("n_nationkey", own.tokens(F.concat(F.lit("A,b. ("), F.col("n_name"), F.lit(")--C!"))).alias("tokens"))
+
+
+@query("SELECT p_partkey, flatten(list_transform(range(2, CAST(least(3, length(p_brand)) + 1 AS BIGINT)), lambda n: list_transform(range(1, CAST(length(p_brand) - n + 2 AS BIGINT)), lambda i: substr(lower(p_brand), i, n)))) AS grams FROM part")
+def q_analyzer_ngrams(db):
+    own = fulltext.Analyzer(("blank",), ("lowercase", ("ngram", 2, 3)))
+    return db.tables["part"].select("p_partkey", own.tokens(F.col("p_brand")).alias("grams"))
+
+
+@query("SELECT * FROM (VALUES ('run'), ('connect'), ('generous'), ('hope'), ('tie'), ('nation'), ('sky'), ('feed')) v(stem)")
+def q_analyzer_snowball(db):
+    own = fulltext.Analyzer(("blank",), ("lowercase", "snowball"))
+    one = db.spark.range(1).select(own.tokens(F.lit("Running connections generously hoping ties nationally skies feed")).alias("t"))
+    return one.select(F.explode("t").alias("stem"))
+
+
+@query("""
+    WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part QUALIFY r <= 1000),
+    b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r FROM part QUALIFY r <= 1000)
+    SELECT p_partkey, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
+def q_rank_fusion(db):
+    rows = db.tables["part"]
+    rankings = [rows.select("p_partkey", F.col(c).cast("double").alias("by")) for c in ("p_retailprice", "p_size")]
+    return fulltext.fused(rankings, "p_partkey", "by").select("p_partkey", F.round("score", 9).alias("score"))
+
+
 # Views and permissions
 
 
@@ -480,6 +542,300 @@ def q_return_diff(db):
     return dml.returned(own, dml.update(own, {"c_acctbal": 0.0}, p.lt("c_acctbal", 0)), dml.DIFF).select("id", "field")
 
 
+_FORMS = "SELECT 'customer:' || c_custkey AS id, c_acctbal FROM customer WHERE c_acctbal < 0"
+
+
+@query(f"""
+    SELECT 'before' AS form, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM ({_FORMS})
+    UNION ALL SELECT 'after', count(*), 0.0 FROM ({_FORMS}) UNION ALL SELECT 'full', count(*), round(sum(c_acctbal), 2) FROM ({_FORMS})
+    UNION ALL SELECT 'none', 0, 0.0""")
+def q_return_forms(db):
+    own = db.tables["customer"]
+    new = dml.update(own, {"c_acctbal": 0.0}, p.lt("c_acctbal", 0))
+    out = None
+    for form in (dml.BEFORE, dml.AFTER, dml.FULL, dml.NONE):
+        rows = dml.returned(own, new, form)
+        value = F.col("before.c_acctbal") if form == dml.FULL else F.col("c_acctbal")
+        one = rows.agg(F.lit(form).alias("form"), F.count("*").alias("n"), F.coalesce(F.round(F.sum(value), 2), F.lit(0.0)).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (1, 2, 3, 99)")
+def q_delete_many(db):
+    ids = db.spark.createDataFrame([(f"customer:{k}",) for k in (1, 2, 3, 99, 10**9)], "id string")
+    return dml.delete_ids(db.tables["customer"], ids).select("c_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 5 THEN 'changed' END AS c_name, CASE WHEN c_custkey = 5 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey IN (5, 6)")
+def q_replace_record(db):
+    own = db.tables["customer"].select("id", "c_custkey", "c_acctbal", F.lit(None).cast("string").alias("c_name"))
+    rows = db.spark.createDataFrame([("customer:5", 5, "changed"), ("customer:1000000000", 0, "nobody")], "id string, c_custkey long, c_name string")
+    return dml.replace(own, rows).where("c_custkey IN (5, 6) OR c_name = 'nobody'").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT o_custkey, CAST(NULL AS VARCHAR) AS customer, count(*) AS n FROM orders WHERE o_custkey < 5 GROUP BY 1 UNION ALL SELECT o_custkey, 'customer:' || o_custkey, count(*) FROM orders WHERE o_custkey >= 5 GROUP BY 1")
+def q_reference_unset(db):
+    orders = db.tables["orders"].withColumn("customer", record_id("customer", "o_custkey"))
+    _, others = dml.delete_referenced(db.tables["customer"], "c_custkey < 5", {"orders": (orders, "customer", "unset")})
+    return others["orders"].groupBy("o_custkey", "customer").agg(F.count("*").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_custkey = 7) > 0 AS rejected")
+def q_reference_reject(db):
+    orders = db.tables["orders"].withColumn("customer", record_id("customer", "o_custkey"))
+    try:
+        dml.delete_referenced(db.tables["customer"], "c_custkey = 7", {"orders": (orders, "customer", "reject")})
+        rejected = False
+    except dml.Rejected:
+        rejected = True
+    return db.spark.createDataFrame([(rejected,)], "rejected boolean")
+
+
+@query("SELECT r_regionkey, list_filter(list_transform(k, lambda x: 'nation:' || x), lambda x: x NOT IN ('nation:0', 'nation:1', 'nation:2')) AS nations FROM (SELECT r_regionkey, (SELECT coalesce(list(n_nationkey ORDER BY 'nation:' || n_nationkey), []) FROM nation WHERE n_regionkey = r_regionkey) AS k FROM region)")
+def q_reference_arrays(db):
+    """Links in arrays are joined link by link."""
+    of = db.tables["nation"].groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list("id")).alias("nations"))
+    regions = db.tables["region"].join(of, "r_regionkey", "left").withColumn("nations", F.coalesce("nations", F.array().cast("array<string>")))
+    _, others = dml.delete_referenced(db.tables["nation"], "n_nationkey < 3", {"region": (regions, "nations", "unset")})
+    return others["region"].select("r_regionkey", "nations")
+
+
+@query("""
+    WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n)), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c))
+    SELECT 'nation' AS name, count(*) AS n FROM n UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'orders', count(*) FROM o""")
+def q_cascade_deep(db):
+    """What refers to what was deleted goes, too, until nothing more does."""
+    link = lambda name, to, key: db.tables[name].withColumn("link", record_id(to, key))
+    referrers = {"nation": (link("nation", "region", "n_regionkey"), "link", "cascade"), "customer": (link("customer", "nation", "c_nationkey"), "link", "cascade", "nation"), "orders": (link("orders", "customer", "o_custkey"), "link", "cascade", "customer")}
+    _, others = dml.delete_referenced(db.tables["region"], "r_regionkey = 0", referrers)
+    out = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, df in others.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT DISTINCT 'orders:' || o_orderkey AS out FROM orders WHERE o_custkey = 5 AND o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 5)")
+def q_remove_relation(db):
+    own = db.tables["placed"].where(F.col("in") == "customer:5")
+    key = db.tables["orders"].where("o_custkey = 5").agg(F.min("o_orderkey")).first()[0]
+    return dml.unrelate(own, "customer:5", f"orders:{key}").select("out")
+
+
+@query("SELECT 'part:' || (p_partkey + 3) AS node FROM part WHERE p_partkey IN (1, 2, 10)")
+def q_traverse_depth(db):
+    """Three hops along a chain of parts."""
+    chain = db.tables["part"].select(record_id("part", "p_partkey").alias("in"), record_id("part", F.col("p_partkey") + 1).alias("out"))
+    at = db.tables["part"].where("p_partkey IN (1, 2, 10)")
+    return graph.hop(graph.starts(at), chain, graph.OUT, 3).select("node")
+
+
+@query("SELECT c_custkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 7")
+def q_graph_incoming(db):
+    return graph.GraphQuery("orders:7").in_("placed").to("customer").select("c_custkey", "c_name").to_df(db.tables)
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey = 11")
+def q_graph_fetch(db):
+    db.tables["orders"] = db.tables["orders"].withColumn("customer", record_id("customer", "o_custkey"))
+    found = graph.GraphQuery("customer:11").out("placed").to("orders").fetch("customer", "customer").to_df(db.tables)
+    return found.select("o_orderkey", F.col("customer.c_name").alias("c_name"))
+
+
+@query("SELECT least(3, count(*)) AS n, count(*) AS whole, count(*) > 0 AS some FROM orders WHERE o_custkey = 11")
+def q_graph_limit_count(db):
+    q = graph.GraphQuery("customer:11").out("placed")
+    return db.spark.createDataFrame([(q.limit(3).to_df(db.tables).count(), q.count(db.tables), q.exists(db.tables))], "n long, whole long, some boolean")
+
+
+@query(f"""
+    WITH RECURSIVE e AS (SELECT DISTINCT 'orders:' || l_orderkey AS a, 'part:' || l_partkey AS b FROM lineitem),
+    s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r(node, hops) AS (SELECT 'orders:' || o_orderkey, 0 FROM orders WHERE o_custkey = 11 UNION SELECT s.b, hops + 1 FROM r JOIN s ON s.a = r.node WHERE hops < 2)
+    SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node""")
+def q_reachable_from_many(db):
+    at = [r["id"] for r in db.tables["orders"].where("o_custkey = 11").select("id").collect()]
+    return graph.distances(db.tables["contains"], at, 2, graph.BOTH)
+
+
+# Definitions, typed rows, results and helpers
+
+
+@query("SELECT 'customer:' || c_custkey AS id, c_name AS name, CAST(trunc(c_acctbal) AS BIGINT) AS balance, 'active' AS state, upper(c_name) AS loud FROM customer")
+def q_schema_enforce(db):
+    kind = schema.table("customer", schema.string_field("name"), schema.int_field("balance"), schema.string_field("state", default=F.lit("active")), schema.computed_field("loud", e.upper("name"), "string"))
+    rows = db.tables["customer"].select("id", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit("not defined").alias("other"))
+    return schema.enforce(rows, kind)
+
+
+@query("SELECT 'by_nation' AS \"index\", count(*) AS keys, CAST(sum(n) AS BIGINT) AS n FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1)")
+def q_schema_violations(db):
+    kind = schema.TableDef("customer", indexes=(schema.Index("by_nation", ("c_nationkey",), "unique"), schema.Index("by_key", ("c_custkey",), "unique")))
+    return schema.violations(db.tables["customer"], kind).groupBy("index").agg(F.count("*").alias("keys"), F.sum("n").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('second key refused', true), ('null keys allowed', true), ('row replaced', true)) v(what, holds)")
+def q_unique_enforced(db):
+    kind = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())])
+    table = Table(db.spark, scratch(db.spark, "unique"), kind, unique=(("name",),))
+    rows = lambda *x: db.spark.createDataFrame(x, kind)
+    table.insert(rows(("n:1", "a"), ("n:2", None), ("n:3", None)))
+    try:
+        table.insert(rows(("n:4", "a")))
+        refused = False
+    except ValueError:
+        refused = True
+    table.upsert(rows(("n:1", "b"), ("n:5", "a")))
+    got = {r.id: r.name for r in table.read().collect()}
+    facts = [("second key refused", refused), ("null keys allowed", got["n:2"] is None and got["n:3"] is None), ("row replaced", got["n:1"] == "b" and got["n:5"] == "a")]
+    return db.spark.createDataFrame(facts, "what string, holds boolean")
+
+
+@query("SELECT n_nationkey, (SELECT coalesce(list(c_custkey ORDER BY c_custkey), []) FROM customer WHERE c_nationkey = n_nationkey) AS customers, n_nationkey * 2 AS twice FROM nation WHERE n_regionkey = 1")
+def q_computed_on_read(db):
+    """A reverse reference, a field and a permission, all on reading."""
+    kind = schema.table("nation", schema.reverse_reference_field("customers", "customer", "nation", "c_custkey"), schema.Field("twice", "int", computed="n_nationkey * 2"), permission="n_regionkey = 1")
+    customers = db.tables["customer"].withColumn("nation", record_id("nation", "c_nationkey"))
+    return schema.on_read(db.tables["nation"], kind, {"customer": customers}).select("n_nationkey", "customers", "twice")
+
+
+@query("SELECT * FROM (VALUES ('add table', 'b', ''), ('drop field', 'a', 'old'), ('modify field', 'a', 'n'), ('add function', '', 'fn::twice'), ('drop sequence', '', 'ids'), ('modify analyzer', '', 'plain')) v(kind, \"table\", name)")
+def q_schema_differences(db):
+    old, new = schema.Registry(), schema.Registry()
+    old.register(schema.table("a", schema.string_field("n"), schema.string_field("old")))
+    new.register(schema.table("a", schema.int_field("n")), schema.table("b"))
+    old.define("sequence", "ids", {"batch": 10})
+    new.define("function", "fn::twice", schema.FunctionDef("fn::twice", (("x", "int"),), "x * 2", "int"))
+    old.define("analyzer", "plain", fulltext.STANDARD)
+    new.define("analyzer", "plain", fulltext.Analyzer(("blank",)))
+    return db.spark.createDataFrame([(c.kind, c.table, c.name) for c in old.changes_to(new)], "kind string, table string, name string")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 2 + 1 AS BIGINT) AS y FROM lineitem")
+def q_defined_function(db):
+    name = schema.FunctionDef("fn::odd", (("x", "int"),), "x * 2 + 1", "int").create(db.spark)
+    return db.tables["lineitem"].select("l_orderkey", "l_linenumber", F.call_function(name, F.col("l_linenumber").cast("long")).alias("y"))
+
+
+@query("SELECT n_regionkey, count(*) AS n, CAST(max(n_nationkey) AS BIGINT) AS top FROM nation WHERE n_nationkey > 2 GROUP BY 1 ORDER BY n DESC, n_regionkey LIMIT 3")
+def q_aggregate_options(db):
+    opts = helpers.AggregateOpts({"n": e.count(), "top": e.cast(e.max_("n_nationkey"), "int")}, ("n_regionkey",), (p.gt("n_nationkey", 2),), (("n", "DESC"), ("n_regionkey", "ASC")), 3)
+    return helpers.aggregate_records(db, "nation", opts)
+
+
+@query(f"SELECT c.vec_id, round({_DISTANCES['manhattan']}, 6) AS distance FROM embeddings q, embeddings c WHERE q.vec_id = 1 ORDER BY {_DISTANCES['manhattan']}, c.vec_id LIMIT 5")
+def q_helper_search(db):
+    near = db.tables["embeddings"].where("vec_id = 1").first()["embedding"]
+    found = helpers.vector_search_query("embeddings", "embedding", near, 5, "manhattan", ("vec_id",), key="vec_id").to_df(db)
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey LIMIT 5 OFFSET 2")
+def q_helper_functions(db):
+    q = helpers.where_(helpers.from_table(helpers.select("o_orderkey"), "orders"), p.gt("o_totalprice", 1000))
+    return helpers.offset(helpers.limit(helpers.order_by(q, "o_orderkey"), 5), 2).to_df(db)
+
+
+@dataclass(frozen=True)
+class _Nation:
+    n_nationkey: int
+    n_name: str
+    note: str = "none"
+
+
+@query("SELECT n_nationkey, n_name, 'none' AS note FROM nation WHERE n_regionkey = 2")
+def q_typed_rows(db):
+    """Rows read as objects and written again by their schema."""
+    found = results.typed(db.tables["nation"].where("n_regionkey = 2"), _Nation)
+    return results.rows_of(db.spark, found, T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType()), T.StructField("note", T.StringType())]))
+
+
+@query("""
+    SELECT 'page 2 of 7' AS what, CAST(least(7, greatest(0, count(*) - 7)) AS BIGINT) AS n FROM nation UNION ALL SELECT 'pages', CAST(ceil(count(*) / 7) AS BIGINT) FROM nation
+    UNION ALL SELECT 'counted', count(*) FROM nation UNION ALL SELECT 'more', CAST(count(*) > 4 AS BIGINT) FROM nation UNION ALL SELECT 'exists', count(*) FROM nation WHERE n_nationkey = 3
+    UNION ALL SELECT 'scalar', CAST(max(n_nationkey) AS BIGINT) FROM nation UNION ALL SELECT 'related', count(*) FROM orders WHERE o_custkey = 5""")
+def q_results(db):
+    """Pages, counts, scalars and existence, on the driver."""
+    q = Query().from_table("nation").order_by("n_nationkey")
+    page = results.paged(q, db, 2, 7)
+    top = results.scalar(db.tables["nation"].agg(F.max("n_nationkey").alias("top")), "top")
+    rows = [("page 2 of 7", len(page.rows)), ("pages", page.pages), ("counted", results.count_records(db, "nation")), ("more", int(results.listed(q.limit(4), db).has_more)), ("exists", int(results.exists(db, "nation:3"))), ("scalar", int(top)), ("related", graph.count_related(db.tables["placed"], "customer:5"))]
+    return db.spark.createDataFrame(rows, "what string, n long")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'x'), ('a', 'b c'), ('n', '7'), ('t', 'x:y')) v(name, key)")
+def q_record_ids(db):
+    found = [RecordId.parse(str(RecordId(t, k))) for t, k in (("customer", "x"), ("a", "b c"), ("n", 7), ("t", "x:y"))]
+    return db.spark.createDataFrame([(r.table, str(r.key)) for r in found], "name string, key string")
+
+
+@query("SELECT * FROM (VALUES (1, 'object', true), (2, 'text', true), (3, 'number', true), (4, 'none', false)) v(k, kind, known)")
+def q_type_is_variant(db):
+    rows = db.spark.createDataFrame([(1, '{"a": 1}'), (2, '"x"'), (3, "1.5"), (4, None)], "k int, j string")
+    db.tables["v"] = rows.select("k", F.parse_json("j").alias("x"))
+    found = Query().select("k", e.as_(e.type_is("x", "string"), "text"), e.as_(e.type_is("x", "number"), "number")).from_table("v").to_df(db)
+    kind = F.when(F.col("k") == 4, "none").when(F.col("text"), "text").when(F.col("number"), "number").otherwise("object")
+    return found.select("k", kind.alias("kind"), (F.col("k") < 4).alias("known"))
+
+
+@query("SELECT event_id, value FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events) ORDER BY value DESC NULLS LAST, event_id DESC LIMIT 1")
+def q_last_with_nulls(db):
+    db.tables["e"] = db.tables["events"].withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    return Query().select("event_id", "value").from_table("e").order_by("value").order_by("event_id").last().to_df(db)
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def q_hints(db):
+    q = Query().select("o_orderstatus", e.as_(e.count(), "n")).from_table("orders").group_by("o_orderstatus")
+    return q.hint(hints.Parallel(8), hints.Index("orders", "by_status")).to_df(db)
+
+
+@query("SELECT n_regionkey, count(*) AS n, 1 AS hits, 2 AS misses FROM nation GROUP BY 1")
+def q_cached(db):
+    """The second call takes the kept frame; after the table is invalidated it is made anew."""
+    kept = Cache()
+    make = lambda: db.tables["nation"].groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    for k in range(3):
+        out = kept.get_or_set("by_region", make, ["nation"])
+        if k == 1:
+            kept.invalidate_table("nation")
+    return out.withColumns({"hits": F.lit(kept.hits), "misses": F.lit(kept.misses)})
+
+
+# Files, sequences and transactions
+
+
+@query("SELECT * FROM (VALUES ('a/one.txt', 3), ('a/two.txt', 3), ('three.txt', 5)) v(key, size)")
+def q_files(db):
+    """Files written, copied, renamed and deleted; what is left, by a listing."""
+    own = Bucket(db.spark, scratch(db.spark, "bucket"))
+    own.put("a/one.txt", "one")
+    own.copy("a/one.txt", "a/two.txt")
+    own.put("b.txt", "three")
+    own.rename("b.txt", "three.txt")
+    own.put("gone.txt", b"x")
+    own.delete("gone.txt")
+    rows = own.files("*.txt").select(F.regexp_extract("path", r"bucket-[0-9a-f]+/(.*)$", 1).alias("key"), F.col("length").cast("int").alias("size"))
+    return rows
+
+
+@query("SELECT * FROM (VALUES ('put', false, 'old'), ('copy', false, 'old'), ('rename', false, 'old'), ('new', true, 'new')) v(what, done, text)")
+def q_files_if_not_exists(db):
+    """What exists is left alone."""
+    own = Bucket(db.spark, scratch(db.spark, "bucket"))
+    own.put("old", "old")
+    own.put("other", "new")
+    done = [("put", own.put_if_not_exists("old", "new")), ("copy", own.copy_if_not_exists("other", "old")), ("rename", own.rename_if_not_exists("other", "old")), ("new", own.put_if_not_exists("new", "new"))]
+    texts = [own.get_text("old")] * 3 + [own.get_text("new")]
+    return db.spark.createDataFrame([(*d, t) for d, t in zip(done, texts, strict=True)], "what string, done boolean, text string")
+
+
+@query("SELECT count(*) AS n, CAST(1 AS BIGINT) AS low, count(*) AS kinds FROM orders")
+def q_sequence(db):
+    """A number of its own for every order, from a sequence that another writer draws from, too."""
+    numbers = Sequence(Bucket(db.spark, scratch(db.spark, "numbers")), "ids", batch=10)
+    found = numbers.number(db.tables["orders"].select("o_orderkey"))
+    return found.agg(F.count("*").alias("n"), F.min("number").alias("low"), F.count_distinct("number").alias("kinds"))
+
+
 # Tables with history, feeds and streams
 
 _EVENTS = T.StructType([T.StructField("id", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
@@ -504,6 +860,56 @@ def q_time_travel(db):
     return _history(db).read(1).select("id", "value")
 
 
+@query("SELECT 'events:' || event_id AS id, CASE WHEN event_type = 'view' THEN -1.0 WHEN event_type <> 'error' THEN value END AS value FROM events WHERE event_type <> 'click' UNION ALL SELECT 'events:new', 1.0")
+def q_transaction(db):
+    """Three statements that count together."""
+    table = _history(db)
+    new = db.spark.createDataFrame([("events:new", "new", 1.0)], _EVENTS)
+    one = Transaction(table).run(dml.insert, new).run(dml.update, {"value": -1.0}, p.eq("event_type", "view"))
+    one.commit()
+    return table.read().select("id", "value")
+
+
+@query("SELECT 'rolled back' AS what, count(*) AS n FROM events WHERE event_type <> 'click' UNION ALL SELECT 'refused', count(*) FROM events WHERE event_type <> 'click' AND event_type <> 'error'")
+def q_transaction_conflict(db):
+    """A rolled back transaction leaves nothing; of two at the same version the second is refused."""
+    table = _history(db)
+    Transaction(table).run(dml.delete).rollback()
+    rolled = table.read().count()
+    first, second = Transaction(table), Transaction(table)
+    first.run(dml.delete, p.eq("event_type", "error")).commit()
+    try:
+        second.run(dml.delete).commit()
+    except Conflict:
+        pass
+    return db.spark.createDataFrame([("rolled back", rolled), ("refused", table.read().count())], "what string, n long")
+
+
+@query("SELECT 'events:' || event_id AS id, CASE WHEN event_type = 'view' THEN 0.0 WHEN event_type <> 'error' THEN value END AS value FROM events WHERE event_type <> 'click'")
+def q_snapshot_expire(db):
+    """Commits before a snapshot go, and reads go on from it."""
+    table = _history(db)
+    table.update({"value": F.lit(0.0)}, p.eq("event_type", "view"))
+    table.expire(1)
+    return table.read().select("id", "value")
+
+
+@query("SELECT 'nation' AS name, count(*) FILTER (n_regionkey <> 0) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 0")
+def q_table_cascade(db):
+    """Tables that refer to each other: a deletion goes on through them."""
+    link = T.StructType([T.StructField("id", T.StringType()), T.StructField("link", T.StringType())])
+    make = lambda name, **more: Table(db.spark, scratch(db.spark, name), link, originals=True, **more)
+    customers = make("customers")
+    nations = make("nations", references={"customer": (customers, "link", "cascade")})
+    regions = make("regions", references={"nation": (nations, "link", "cascade")})
+    customers.insert(db.tables["customer"].select("id", record_id("nation", "c_nationkey").alias("link")))
+    nations.insert(db.tables["nation"].select("id", record_id("region", "n_regionkey").alias("link")))
+    regions.insert(db.tables["region"].select("id", F.lit(None).cast("string").alias("link")))
+    regions.delete(p.eq("id", "region:0"))
+    out = [t.read().agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in (("nation", nations), ("customer", customers))]
+    return out[0].unionByName(out[1])
+
+
 @query("""
     SELECT CAST(1 AS BIGINT) AS version, 'create' AS action, count(*) AS n FROM events
     UNION ALL SELECT 2, 'update', count(*) FILTER (event_type = 'error') FROM events

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import MISSING, dataclass, fields
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .plans import Database, Query
 
@@ -52,6 +54,23 @@ def scalar(df: DataFrame, name: str, otherwise: Any = None) -> Any:
     return otherwise if row is None else row.get(name, otherwise)
 
 
+def typed(df: DataFrame, kind: type) -> list:
+    """The rows as objects of a dataclass: its fields by name; one that a row lacks must have a default, columns besides are left out."""
+    names = {f.name: f for f in fields(kind)}
+    if missing := [n for n, f in names.items() if n not in df.columns and f.default is MISSING and f.default_factory is MISSING]:
+        raise ValueError(f"{kind.__name__} needs {', '.join(missing)}")
+    return [kind(**r.asDict(recursive=True)) for r in df.select(*[n for n in names if n in df.columns]).collect()]
+
+
+def typed_one(df: DataFrame, kind: type) -> Any:
+    return next(iter(typed(df.limit(1), kind)), None)
+
+
+def rows_of(spark: SparkSession, objects: Sequence[Any], schema: T.StructType) -> DataFrame:
+    """Objects of dataclasses as rows of a schema, to be written; what they lack is null."""
+    return spark.createDataFrame([tuple(getattr(x, n, None) for n in schema.names) for x in objects], schema)
+
+
 def listed(query: Query, db: Database, counted: bool = False) -> ListResult:
     from dataclasses import replace
 

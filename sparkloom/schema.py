@@ -7,16 +7,18 @@ with a DataFrame, and `differences` with an older definition.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field as default
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.core import operand, resolve
+from .operators.graph import reverse_references
 
 SCHEMAFULL, SCHEMALESS, DROP, RELATION = "schemafull", "schemaless", "drop", "relation"
 # Field types, and Spark's type for each.
@@ -56,6 +58,7 @@ class Field:
     target: str | None = None
     of: str | None = None
     reference: str | None = None
+    reverse: tuple[str, ...] | None = None
 
     def __post_init__(self) -> None:
         if not _NAME.fullmatch(self.name):
@@ -115,7 +118,11 @@ class TableDef:
             raise SchemaError("a field is defined twice")
 
     def stored(self) -> list[Field]:
-        return [f for f in self.fields if f.computed is None]
+        return [f for f in self.fields if f.computed is None and f.reverse is None]
+
+    def unique(self) -> tuple[tuple[str, ...], ...]:
+        """The keys that a table of these rows must enforce."""
+        return tuple(i.columns for i in self.indexes if i.kind == "unique")
 
     def struct(self) -> T.StructType:
         """The columns that are stored: id, an edge's in and out, the fields, and a variant for what a schemaless table has besides."""
@@ -154,6 +161,11 @@ def computed_field(name: str, value: Any, kind: str = "any") -> Field:
     return Field(name, kind, value=value, readonly=True)
 
 
+def reverse_reference_field(name: str, source: str, link: str, *fields: str) -> Field:
+    """On reading, the rows of source (or some of their fields) whose link points here."""
+    return Field(name, "array", reverse=(source, link, *fields))
+
+
 def table(name: str, *fields: Field, **more: Any) -> TableDef:
     return TableDef(name, fields, **more)
 
@@ -222,9 +234,15 @@ def violations(rows: DataFrame, definition: TableDef) -> DataFrame:
     return out
 
 
-def on_read(rows: DataFrame, definition: TableDef) -> DataFrame:
-    """rows with the fields that are computed on reading, and only those that the permission lets through."""
+def on_read(rows: DataFrame, definition: TableDef, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """rows with the fields that are computed on reading, and only those that the permission lets through.
+
+    Reverse references are found in tables.
+    """
     for f in definition.fields:
+        if f.reverse is not None:
+            source, link, *kept = f.reverse
+            rows = reverse_references(rows, (tables or {})[source], link, f.name, *kept)
         if f.computed is not None:
             rows = rows.withColumn(f.name, resolve(f.computed, rows))
     return rows if definition.permission is None else rows.where(F.coalesce(resolve(definition.permission, rows), F.lit(False)))
@@ -304,11 +322,106 @@ def differences(old: Iterable[TableDef], new: Iterable[TableDef]) -> list[Change
     return out
 
 
+@dataclass(frozen=True)
+class FunctionDef:
+    """A stored function: named and typed parameters, the type it returns, and SQL text over the parameters."""
+
+    name: str
+    params: tuple[tuple[str, str], ...]
+    body: str
+    returns: str = "any"
+
+    def __post_init__(self) -> None:
+        if not all(_NAME.fullmatch(x) for x in (*self.name.split("::"), *(n for n, _ in self.params))):
+            raise SchemaError(f"not a name in {self.name!r}")
+        if len({n for n, _ in self.params}) < len(self.params):
+            raise SchemaError("a parameter is defined twice")
+        if unknown := [t for t in (self.returns, *(t for _, t in self.params)) if t not in TYPES]:
+            raise SchemaError(f"no such type: {unknown[0]}")
+        if not self.body.strip():
+            raise SchemaError("a function needs a body")
+
+    def create(self, spark: SparkSession) -> str:
+        """Makes it a function of the session's SQL; returns its name there."""
+        name = self.name.replace("::", "_")
+        params = ", ".join(f"{n} {TYPES[t].simpleString()}" for n, t in self.params)
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {TYPES[self.returns].simpleString()} RETURN {self.body}")
+        return name
+
+
+#: Kinds of definitions besides tables.
+KINDS = ("function", "param", "sequence", "bucket", "analyzer", "event")
+
+
+def object_differences(old: Mapping[str, Mapping[str, Any]], new: Mapping[str, Mapping[str, Any]]) -> list[Change]:
+    """The steps between definitions other than tables', by kind and name: added, dropped, then modified."""
+    out = []
+    for kind in KINDS:
+        a, b = old.get(kind, {}), new.get(kind, {})
+        out += [Change(f"add {kind}", "", n, new=b[n]) for n in sorted(b.keys() - a.keys())]
+        out += [Change(f"drop {kind}", "", n, old=a[n]) for n in sorted(a.keys() - b.keys())]
+        out += [Change(f"modify {kind}", "", n, a[n], b[n]) for n in sorted(a.keys() & b.keys()) if repr(a[n]) != repr(b[n])]
+    return out
+
+
+def index_problems(definition: TableDef) -> list[Finding]:
+    """Indexes over fields that aren't defined, or of a kind that the field's type has no use for."""
+    by_name, out = {f.name: f for f in definition.fields}, []
+    for i in definition.indexes:
+        for c in i.columns:
+            if c not in by_name and definition.mode != SCHEMALESS and c not in ("id", "in", "out"):
+                out.append(Finding("error", definition.name, i.name, f"{c} isn't defined"))
+            elif i.kind in VECTOR_INDEXES and c in by_name and by_name[c].type != "array":
+                out.append(Finding("error", definition.name, i.name, f"{c} is no array"))
+            elif i.kind == "fulltext" and c in by_name and by_name[c].type != "string":
+                out.append(Finding("error", definition.name, i.name, f"{c} is no text"))
+    return out
+
+
+def edge_problems(definition: TableDef, registry: Registry) -> list[Finding]:
+    """Edges whose ends aren't defined, or are edges themselves."""
+    out = []
+    for end in (definition.source, definition.to) if definition.mode == RELATION else ():
+        if end not in registry.tables:
+            out.append(Finding("error", definition.name, end or "", "the end isn't defined"))
+        elif registry.tables[end].mode == RELATION:
+            out.append(Finding("warning", definition.name, end, "the end is an edge"))
+    return out
+
+
 @dataclass
 class Registry:
     """Definitions by name."""
 
     tables: dict[str, TableDef] = default(default_factory=dict)
+    objects: dict[str, dict[str, Any]] = default(default_factory=dict)
+
+    def define(self, kind: str, name: str, definition: Any) -> None:
+        """A definition other than a table's."""
+        if kind not in KINDS:
+            raise SchemaError(f"no such kind: {kind}")
+        self.objects.setdefault(kind, {})[name] = definition
+
+    def changes_to(self, other: Registry) -> list[Change]:
+        return differences(self.tables.values(), other.tables.values()) + object_differences(self.objects, other.objects)
+
+    def problems(self) -> list[Finding]:
+        """What contradicts itself among the definitions."""
+        return [x for t in self.tables.values() for x in (*index_problems(t), *edge_problems(t, self))]
+
+    def snapshot(self) -> str:
+        """The definitions as text, to be kept with a version; equal for equal definitions."""
+        return json.dumps({"tables": {n: repr(t) for n, t in sorted(self.tables.items())}, **{k: {n: repr(x) for n, x in sorted(v.items())} for k, v in sorted(self.objects.items())}}, sort_keys=True)
+
+    @staticmethod
+    def compared(old: str, new: str) -> list[tuple[str, str, str]]:
+        """(what happened, kind, name) between two snapshots, in order."""
+        a, b = json.loads(old), json.loads(new)
+        out = []
+        for kind in sorted(a.keys() | b.keys()):
+            x, y = a.get(kind, {}), b.get(kind, {})
+            out += [("added" if n not in x else "dropped" if n not in y else "modified", kind, n) for n in sorted(x.keys() | y.keys()) if x.get(n) != y.get(n)]
+        return out
 
     def register(self, *definitions: TableDef) -> None:
         for d in definitions:

@@ -125,10 +125,10 @@ class Table:
         rows = self.read(base).join(changes.select("id"), "id", "left_anti").unionByName(new)
         for columns in self.unique:
             keys = new.select(*columns).distinct()
-            held = rows.join(keys, list(columns), "left_semi").groupBy(*columns).agg(F.count("*").alias("n"))
-            twice = held.where("n > 1").first()  # rows with a null in the key are joined to none
+            held = rows.join(keys, list(columns), "left_semi").groupBy(*columns).agg(F.count("*").alias("_held"))
+            twice = held.where("_held > 1").first()  # rows with a null in the key are joined to none
             if twice:
-                raise ValueError(f"{', '.join(columns)} {tuple(twice)[:-1]} is held by {twice['n']} rows")
+                raise ValueError(f"{', '.join(columns)} {tuple(twice)[:-1]} is held by {twice['_held']} rows")
         return changes
 
     def write(self, after: DataFrame, base: int | None = None) -> int:
