@@ -4,6 +4,8 @@ Images are decoded in numpy, resized by area with an integral image, and kept as
 NPY tiles with a difference hash.  Bytes of any kind can be stored as an 8-bit
 image and read back without loss.  A null text or image counts as empty; what is
 no image of a known kind decodes to nothing, and its tile and hash are null.
+Equal texts have equal results, and repeated rows stay; a text of any length is
+one image.  Other columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,19 +106,19 @@ def decode(data: bytes | None) -> np.ndarray | None:
 
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
     """The mean of the area under each new sample, by one integral image, rounded to uint8."""
-    grey = samples.astype(np.float64) if samples.ndim == 2 else samples.astype(np.float64).mean(axis=2)
-    if samples.dtype == np.uint16:
-        grey /= 257
-    sums = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
+    grey = samples.astype(np.int64) if samples.ndim == 2 else samples.astype(np.int64).sum(axis=2)
+    sums = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1), np.int64)
     np.cumsum(np.cumsum(grey, axis=0), axis=1, out=sums[1:, 1:])
 
     def at_edges(table: np.ndarray, n: int) -> np.ndarray:
-        edges = np.arange(n + 1) * (len(table) - 1) / n
-        low = np.minimum(edges.astype(int), len(table) - 2)
-        return table[low] + (edges - low)[:, None] * (table[low + 1] - table[low])
+        """n times the table's values at n + 1 edges: whole numbers, so that halves are rounded as halves."""
+        edges = np.arange(n + 1) * (len(table) - 1)
+        low = np.minimum(edges // n, len(table) - 2)
+        return table[low] * n + (edges - low * n)[:, None] * (table[low + 1] - table[low])
 
     boxes = np.diff(np.diff(at_edges(at_edges(sums, height).T, width).T, axis=0), axis=1)
-    return np.clip(np.rint(boxes * (height * width / grey.size)), 0, 255).astype(np.uint8)
+    whole = grey.size * (257 if samples.dtype == np.uint16 else 1) * (1 if samples.ndim == 2 else samples.shape[2])
+    return np.clip(np.rint(boxes / whole), 0, 255).astype(np.uint8)
 
 
 def difference_hash(tile: np.ndarray) -> str:
@@ -125,7 +127,7 @@ def difference_hash(tile: np.ndarray) -> str:
 
 
 def npy(array: np.ndarray) -> bytes:
-    np.save(out := io.BytesIO(), array, allow_pickle=False)
+    np.save(out := io.BytesIO(), np.ascontiguousarray(array), allow_pickle=False)
     return out.getvalue()
 
 
@@ -167,24 +169,22 @@ def tiles(images: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Every text stored as an image, read back from the stored bytes, and described, in one pass.
+    """Every text stored as an image in a column, read back from the stored bytes, and described.
 
-    The feature is the difference hash of the tile and the CRC-32 of the tile's NPY form.
+    The feature is the difference hash of the tile and the CRC-32 of the tile's NPY form, which is the column tile.
     """
 
-    def one(text: str | None) -> tuple:
-        n, raw = payload(text)
-        media = encode_pgm(np.frombuffer(raw, np.uint8).reshape(-1, WIDTH))
+    def one(n: int, media: bytes) -> tuple:
         read = decode(media)
         back = read.tobytes()
-        tile = area_resize(read, *TILE)
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(tile)}:{zlib.crc32(npy(tile)):08x}"
+        tile = npy(small := area_resize(read, *TILE))
+        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(small)}:{zlib.crc32(tile):08x}", tile
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(zip(*map(one, batch.column("text").to_pylist()), strict=True)) or [[]] * len(names)
-        kinds = [pa.string() if "sha256" in n or n == "feature" else pa.int64() for n in names]
+        columns = list(zip(*map(one, batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist()), strict=True)) or [[]] * len(names)
+        kinds = [pa.string() if "sha256" in n or n == "feature" else pa.binary() if n == "tile" else pa.int64() for n in names]
         return pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(by_slices(step), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return to_images(docs).mapInArrow(by_slices(step), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -124,6 +125,17 @@ def test_bpe_of_long_pieces():
         assert [coder.vocabulary._row(x) for x in small] == [np.array(own._encode_single_piece(x), "<u4").tobytes() if x not in coder.vocabulary.ranks else coder.vocabulary._row(x) for x in small]
 
 
+def area_means(samples: bytes, width: int, rows: int, columns: int) -> list[int]:
+    """By hand: the mean over each new sample's area, where samples count by the part of them that lies in it."""
+    height, out = len(samples) // width, []
+    part = lambda k, n, size, i: max(0, min(Fraction((k + 1) * size, n), i + 1) - max(Fraction(k * size, n), i))
+    for y in range(rows):
+        for x in range(columns):
+            total = sum(part(y, rows, height, i) * part(x, columns, width, j) * samples[i * width + j] for i in range(height) if part(y, rows, height, i) for j in range(width) if part(x, columns, width, j))
+            out.append(round(total * rows * columns / (height * width)))
+    return out
+
+
 def test_media_digests(spark, folder):
     rows = QUERIES["op8_media_columns"](spark, folder).collect()
     want = Counter()
@@ -133,6 +145,20 @@ def test_media_digests(spark, folder):
         want[doc_id, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
     assert all(r.media_bytes > r.payload_bytes for r in rows)
+    raws = [(t or "").encode() for _, t, *_ in base_docs()]
+    short = {hashlib.sha256(x).hexdigest(): x for x in (raw + bytes(-len(raw) % 64 if raw else 64) for raw in raws) if len(x) <= 640}
+    seen = 0
+    for r in rows:
+        if r.payload_sha256 in short:
+            seen += 1
+            full = short[r.payload_sha256]
+            stored = f"P5\n64 {len(full) // 64}\n255\n".encode() + full
+            tile = area_means(full, 64, 8, 9)
+            bits = "".join("1" if tile[9 * y + x + 1] > tile[9 * y + x] else "0" for y in range(8) for x in range(8))
+            head = b"\x93NUMPY\x01\x00v\x00" + b"{'descr': '|u1', 'fortran_order': False, 'shape': (8, 9), }".ljust(117) + b"\n"
+            assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+            assert r.tile == head + bytes(tile) and r.feature == f"{int(bits, 2):016x}:{zlib.crc32(r.tile):08x}"
+    assert seen > 20
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in rows}) == len({r.payload_sha256 for r in rows})
 
 
