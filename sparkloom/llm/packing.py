@@ -45,8 +45,6 @@ CAPACITY = 2048
 CELL, ISLANDS, EPOCHS, CHILDREN = 4096, 2, 2, 60
 #: Individuals of an island.
 POPULATION = 6
-#: A bin filled to less than this has room left.
-FILLED = 0.98
 #: Tokens that end a document.
 END = (0).to_bytes(4, "little")
 
@@ -268,7 +266,7 @@ def repacked(found: DataFrame, capacity: int = CAPACITY, cell: int = CELL) -> Da
     """found (grouped), with the bins that have room left, of all cells, packed once more together; never into more bins."""
     found = cut(found)
     fill = F.sum("length").over(Window.partitionBy("cell", "own"))
-    marked = found.withColumn("loose", fill < FILLED * capacity)
+    marked = found.withColumn("loose", fill < capacity)
     loose = marked.where("loose").withColumn("bin", F.struct("cell", "own"))
     cells = max(1, math.ceil(loose.count() / cell))
     # A bin's pieces stay together, and their new cell knows their grouping by the place of its first piece.
