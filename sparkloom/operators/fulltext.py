@@ -42,7 +42,9 @@ class Analyzer:
         """The tokens of a text; null for null."""
         filters, own = list(self.filters), text
         while filters and filters[0] in WHOLE and "camel" not in self.tokenizers:  # the same on a whole text, and faster
-            own = WHOLE[filters.pop(0)](own)
+            f = filters.pop(0)
+            changed = WHOLE[f](own)
+            own = F.when(F.octet_length(text) == F.length(text), own).otherwise(changed) if f == "ascii" else changed  # plain texts stay
         out = F.split(own, TOKENIZERS[self.tokenizers[0]]) if self.tokenizers else F.array(own)
         for t in self.tokenizers[1:]:
             out = F.flatten(F.transform(out, _splitter(t)))
