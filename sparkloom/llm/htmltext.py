@@ -317,11 +317,12 @@ def fit(rows: Sequence[np.ndarray], labels: Sequence[np.ndarray], passes: int =
         for b in rng.permutation(len(batches)):
             grad = out.gradient([rows[k] for k in batches[b]], [labels[k] for k in batches[b]])
             step += 1
+            now = rate * (1 - (step - 1) / (passes * len(batches)))  # smaller and smaller steps, so that the last ones settle
             for k, g in grad.items():
                 g = g + 1e-4 * out.w[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                out.w[k] = (out.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                out.w[k] = (out.w[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return out
 
 
@@ -444,7 +445,7 @@ def invented(n: int = INVENTED, seed: int = 11) -> list[tuple[str, list[int]]]:
                     out.append(f"<{own}>{words(*rng.choice(((1, 6), (4, 40))), rng.random() < 0.7)}</{own}>")
                     y.append(1)
                 out.append(f"</{outer}>")
-            if rng.random() < 0.13:
+            if rng.random() < 0.18:
                 out.append(around(y, rng.choice(("ad", "form", "notice", "more", "comment"))))
         if rng.random() < 0.3:
             out.append(around(y, rng.choice(("comment", "comment", "more", "form"))))
