@@ -43,7 +43,7 @@ SLOT_BITS, PROBES, RANGE_BITS = 22, 2, 16
 #: The least score of a text that is kept.
 KEEP = 0.6
 #: Code points in a slice.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 @functools.cache
