@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import porter
+from ..generations import Generations
 from ..shared import cut
 
 # What the tokenizers split at.
@@ -19,6 +20,8 @@ TOKENIZERS = {"blank": r"\s+", "punct": r"\p{Punct}+|\s+", "class": r"[^\p{L}\p{
 MARKED, PLAIN = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ", "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
 #: BM25's saturation of term frequencies and weight of lengths.
 K1, B = 1.2, 0.75
+#: Texts of a block of postings, as a power of two; blocks that a top-k search scores first.
+BLOCK_BITS, FIRST_BLOCKS = 8, 8
 #: Filters that change letters, but not where the tokenizers other than camel split.
 WHOLE = {"lowercase": F.lower, "uppercase": F.upper, "ascii": lambda x: F.translate(x, MARKED, PLAIN)}
 
@@ -96,7 +99,9 @@ def query_tokens(rows: DataFrame, query: str, analyzer: Analyzer = STANDARD) ->
 
 
 def matches(text: Column, tokens: Sequence[str], analyzer: Analyzer = STANDARD, any_: bool = False) -> Column:
-    """Whether a text has all tokens, or any."""
+    """Whether a text has all tokens, or any; with no token, nothing matches."""
+    if not tokens:
+        return F.lit(False)
     own = analyzer.tokens(text)
     wanted = F.array(*(F.lit(t) for t in tokens))
     return F.arrays_overlap(own, wanted) if any_ else F.size(F.array_except(wanted, own)) == 0
@@ -107,20 +112,28 @@ def search(rows: DataFrame, column: str, query: str, analyzer: Analyzer = STANDA
     return rows.where(matches(F.col(column), query_tokens(rows, query, analyzer), analyzer, any_))
 
 
+def _counted(rows: DataFrame, column: str, tokens: Sequence[str], analyzer: Analyzer) -> DataFrame:
+    """rows with a text, and _count: the number of its tokens, and of those asked for. The text is split once, whatever is done with the counts."""
+    start = F.struct(F.lit(0).alias("n"), *[F.lit(0).alias(f"t{i}") for i in range(len(tokens))])
+    step = lambda a, t: F.struct((a["n"] + 1).alias("n"), *[(a[f"t{i}"] + (t == own).cast("int")).alias(f"t{i}") for i, own in enumerate(tokens)])
+    counts = F.aggregate(analyzer.tokens(F.col(column)), start, step)
+    return rows.where(F.col(column).isNotNull()).select(*rows.columns, F.explode(F.array(counts)).alias("_count"))  # no filter goes below an explode
+
+
 def bm25(rows: DataFrame, column: str, query: str, analyzer: Analyzer = STANDARD, any_: bool = False, name: str = "score") -> DataFrame:
     """Matching rows with their BM25 score.
 
-    Document frequencies and the mean length come from one aggregate of the texts alone, which runs now; one test of the
-    tokens filters, and only what matches is counted.
+    Document frequencies and the mean length come from one aggregate of the texts alone, which runs now; the plan that is
+    returned splits each text once more, to filter and to score.
     """
     tokens = query_tokens(rows, query, analyzer)
-    held = rows.select(analyzer.tokens(F.col(column)).alias("t")).where("t IS NOT NULL")
-    totals = held.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"), *[F.count_if(F.array_contains("t", t)).alias(f"df{i}") for i, t in enumerate(tokens)]).first()
-    own, n = rows.where(matches(F.col(column), tokens, analyzer, any_)), F.size("_tokens")
-    score = F.lit(0.0)
-    for i, t in enumerate(tokens):
-        score = score + _part(F.lit(float(totals["docs"])), F.lit(float(totals[f"df{i}"])), (n - F.size(F.array_remove("_tokens", t))).cast("double"), n, F.lit(totals["mean"]))
-    return own.withColumn("_tokens", analyzer.tokens(F.col(column))).withColumn(name, score).drop("_tokens")
+    found = [F.col(f"_count.t{i}") for i in range(len(tokens))]
+    totals = _counted(rows.select(column), column, tokens, analyzer).agg(F.count("*").alias("docs"), F.avg("_count.n").alias("mean"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(found)]).first()
+    score, hit = F.lit(0.0), F.lit(bool(tokens) and not any_)
+    for i, x in enumerate(found):
+        score = score + _part(F.lit(float(totals["docs"])), F.lit(float(totals[f"df{i}"])), x.cast("double"), F.col("_count.n"), F.lit(totals["mean"]))
+        hit = (hit | (x > 0)) if any_ else (hit & (x > 0))
+    return _counted(rows, column, tokens, analyzer).where(hit).withColumn(name, score).drop("_count")
 
 
 def _part(docs: Column, df: Column, tf: Column, n: Column, mean: Column) -> Column:
@@ -128,47 +141,187 @@ def _part(docs: Column, df: Column, tf: Column, n: Column, mean: Column) -> Colu
     return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
 
 
-@dataclass(frozen=True)
+@dataclass
 class TextIndex:
-    """An inverted index under a folder: postings in order of their tokens, so that a search reads its tokens' row groups only."""
+    """An inverted index under a folder, of segments that are never changed.
+
+    A segment deals its texts into blocks of 2 to the power of BLOCK_BITS. A row has a token's postings in a block, with the largest count and
+    the least length among them, which bound every score there whatever the mean length is. Rows lie in the order of
+    their tokens, so a search reads the row groups of its tokens alone, and of most blocks only the bounds. Later segments
+    name the keys that they replace or delete. Segments merge when the next older one is no more than twice as large.
+    """
 
     spark: SparkSession
     root: str
     analyzer: Analyzer = STANDARD
 
+    def __post_init__(self) -> None:
+        self.segments = Generations(self.spark, self.root)
+
     def build(self, rows: DataFrame, key: str, column: str) -> TextIndex:
-        """Indexes rows with a text: (token, key, tf, n, places), where places are the token's numbers in the text, from 0."""
-        own = cut(rows.select(F.col(key).alias("key"), self.analyzer.tokens(F.col(column)).alias("t")).where("t IS NOT NULL"))
-        each = own.select("key", F.size("t").alias("n"), F.posexplode("t").alias("place", "token"))
-        postings = each.groupBy("token", "key").agg(F.count("*").alias("tf"), F.first("n").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
-        postings.repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.mode("overwrite").parquet(f"{self.root}/postings")
-        own.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean")).write.mode("overwrite").parquet(f"{self.root}/totals")
+        """Indexes rows with a text, in place of what the index has."""
+        self._write(self._texts(rows, key, column), None, self.segments.numbers(), self.segments.latest())
         return self
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/postings")
+    def append(self, rows: DataFrame, key: str, column: str) -> int:
+        """Adds texts as a segment; a key that the index has is replaced, by no text if its text is null now."""
+        base = self.segments.latest()
+        known = self.segments.read("texts").select("key").join(rows.select(F.col(key).alias("key")), "key", "left_semi").distinct()
+        self._write(self._texts(rows, key, column), cut(known), (), base)
+        return self.merge()
+
+    def delete(self, keys: DataFrame, key: str) -> int:
+        base = self.segments.latest()
+        known = self.segments.read("texts").select("key").join(keys.select(F.col(key).alias("key")), "key", "left_semi").distinct()
+        return self._write(None, cut(known), (), base)
+
+    def merge(self, whole: bool = False) -> int:
+        """Joins the newest segments whose sizes are alike, or all: texts that count no more go. Returns the newest segment."""
+        sizes = {r["gen"]: r["docs"] for r in self._totals().select("gen", "docs").collect()}  # a row for each segment
+        numbers = self.segments.numbers()
+        some: list[int] = []
+        held = 0
+        for n in reversed(numbers):
+            if some and not whole and sizes.get(n, 0) > 2 * held:
+                break
+            some, held = [n, *some], held + sizes.get(n, 0)
+        if len(some) < 2 and not whole:
+            return numbers[-1]
+        base = self.segments.latest()
+        texts = self.segments.read("texts").where(F.col("gen").isin(some))
+        kept = cut(self.segments.alive(texts).where("NOT dead").select("key", "n", "t"))
+        dead = self.segments.read("dead")
+        older = None if dead is None or len(some) == len(numbers) else dead.where(F.col("gen").isin(some)).select("key").distinct()
+        return self._write(kept, older, some, base)
+
+    def _texts(self, rows: DataFrame, key: str, column: str) -> DataFrame:
+        """key, n and t (the tokens, by which a merge needs no text) of rows with a text; of equal keys the one with the largest text."""
+        kept = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(column).alias("_text")).where("_text IS NOT NULL")
+        return cut(kept.select("key", self.analyzer.tokens(F.col("_text")).alias("t"))).select("key", F.size("t").alias("n"), "t")
+
+    def _write(self, texts: DataFrame | None, dead: DataFrame | None, replaces: Sequence[int], base: int) -> int:
+        def write(to: str) -> None:
+            if texts is not None:
+                own = cut(texts.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
+                own.write.parquet(f"{to}/texts")
+                each = own.select("key", "n", "block", F.posexplode("t").alias("place", "token"))
+                by_text = each.groupBy("token", "block", "key").agg(F.count("*").cast("int").alias("tf"), F.first("n").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+                blocks = by_text.groupBy("token", "block").agg(F.max("tf").alias("most"), F.min("n").alias("least"), F.collect_list(F.struct("key", "tf", "n", "places")).alias("texts"))
+                blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{to}/postings")
+                own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).write.parquet(f"{to}/totals")
+            if dead is not None:
+                dead.write.parquet(f"{to}/dead")
+
+        return self.segments.commit(write, replaces, base)
+
+    def _totals(self) -> DataFrame:
+        return self.segments.read("totals")
+
+    def _counts(self) -> tuple[int, float]:
+        """The number of texts that count, and their mean length."""
+        if self.segments.read("dead") is None:
+            r = self._totals().agg(F.sum("docs").alias("docs"), F.sum("length").alias("length")).first()
+        else:
+            r = self.segments.alive(self.segments.read("texts").select("key", "n", "gen")).where("NOT dead").agg(F.count("*").alias("docs"), F.sum("n").alias("length")).first()
+        return r["docs"], (r["length"] or 0) / max(1, r["docs"])
+
+    def _frequencies(self, tokens: Sequence[str]) -> dict[str, int]:
+        """In how many texts that count each token is."""
+        hit = self.segments.read("postings").where(F.col("token").isin(list(tokens)))
+        if self.segments.read("dead") is None:
+            found = hit.groupBy("token").agg(F.sum(F.size("texts.key")).alias("df"))
+        else:
+            found = self.segments.alive(hit.select("token", "gen", F.explode("texts.key").alias("key"))).where("NOT dead").groupBy("token").agg(F.count("*").alias("df"))
+        return {r["token"]: r["df"] for r in found.collect() if r["df"]}  # a row for each token of the query
+
+    def _scored(self, hit: DataFrame, df: dict[str, int], docs: int, mean: float, tokens: Sequence[str], any_: bool, name: str) -> DataFrame:
+        """key, score and matches of the texts in some rows of postings."""
+        each = self.segments.alive(hit.select("gen", "token", F.explode("texts").alias("x")).select("gen", "token", "x.*")).where("NOT dead")
+        part = _part(F.lit(float(docs)), _lookup(df), F.col("tf").cast("double"), F.col("n"), F.lit(mean))
+        # Sums in the order of tokens, so that equal texts have equal scores.
+        found = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("token", part.alias("part"), "places"))).alias("_parts"))
+        found = found if any_ else found.where(F.size("_parts") == len(tokens))
+        score = F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x["part"])
+        return found.select("key", score.alias(name), F.transform("_parts", lambda x: F.struct(x["token"].alias("token"), x["places"].alias("places"))).alias("matches"))
 
     def search(self, query: str, any_: bool = False, name: str = "score") -> DataFrame:
-        """key, the BM25 score and the matches (token and its places) of the texts that have all tokens, or any."""
-        totals = self.spark.read.parquet(f"{self.root}/totals").first()
-        tokens = query_tokens(self.postings(), query, self.analyzer)
-        hit = self.postings().where(F.col("token").isin(tokens))
-        df = {r["token"]: r["df"] for r in hit.groupBy("token").agg(F.count("*").alias("df")).collect()}  # a row for each token of the query
-        if not df:
-            return hit.select("key", F.lit(0.0).alias(name), F.array(F.struct("token", "places")).alias("matches")).limit(0)
-        own = F.element_at(F.create_map(*[F.lit(x) for t, n in df.items() for x in (t, float(n))]), F.col("token"))
-        part = _part(F.lit(float(totals["docs"])), own, F.col("tf").cast("double"), F.col("n"), F.lit(totals["mean"]))
-        found = hit.groupBy("key").agg(F.sum(part).alias(name), F.sort_array(F.collect_list(F.struct("token", "places"))).alias("matches"), F.count("*").alias("_found"))
-        return (found if any_ else found.where(F.col("_found") == len(tokens))).drop("_found")
-
-
-def fused(rankings: Sequence[DataFrame], key: str, order: str, k: int = 60, name: str = "score", most: int = 1000) -> DataFrame:
-    """Reciprocal rank fusion of the first `most` rows of each ranking, ordered by a column, larger first."""
+        """key, the BM25 score and the matches (token and its places, from 0) of the texts that have all tokens, or any."""
+        tokens, df, (docs, mean) = self._asked(query)
+        hit = self.segments.read("postings").where(F.col("token").isin(tokens))
+        if not df or (not any_ and len(df) < len(tokens)):
+            hit, df = hit.limit(0), df or {"": 1}
+        return self._scored(hit, df, docs, mean, tokens, any_, name)
+
+    def _asked(self, query: str) -> tuple[list[str], dict[str, int], tuple[int, float]]:
+        tokens = query_tokens(self.segments.read("postings"), query, self.analyzer)
+        return tokens, self._frequencies(tokens), self._counts()
+
+    def _bounds(self, tokens: Sequence[str], df: dict[str, int], docs: int, mean: float, any_: bool) -> DataFrame:
+        """gen, block and a bound on the scores of its texts; postings' texts aren't read."""
+        own = _part(F.lit(float(docs)), _lookup(df), F.col("most").cast("double"), F.col("least"), F.lit(mean))
+        found = self.segments.read("postings").where(F.col("token").isin(list(tokens))).select("gen", "block", "token", own.alias("_own")).groupBy("gen", "block").agg((F.sum("_own") * (1 + 1e-9)).alias("bound"), F.count("*").alias("_n"))
+        return (found if any_ else found.where(F.col("_n") == len(tokens))).drop("_n")
+
+    def top(self, query: str, k: int, any_: bool = False, name: str = "score") -> DataFrame:
+        """The k rows of search() with the largest scores, ties by key.
+
+        The blocks with the largest bounds are scored first; then only blocks whose bound isn't below the k-th score found.
+        """
+        if k < 1:
+            raise ValueError("k must be 1 or more")
+        tokens, df, (docs, mean) = self._asked(query)
+        if not df or (not any_ and len(df) < len(tokens)):
+            return self.search(query, any_, name).limit(0)
+        bounds = cut(self._bounds(tokens, df, docs, mean, any_))
+        postings = self.segments.read("postings").where(F.col("token").isin(tokens))
+        # As many blocks as may hold k texts, and a few more.
+        lead = bounds.orderBy(F.desc("bound"), "gen", "block").limit(FIRST_BLOCKS + k // (1 << BLOCK_BITS))
+        best = self._scored(self._within(postings, lead), df, docs, mean, tokens, any_, name).orderBy(F.desc(name), "key").limit(k).select(name).collect()  # k numbers
+        least = best[-1][0] if len(best) == k else 0.0
+        left = bounds.where(F.col("bound") >= least)
+        return self._scored(self._within(postings, left), df, docs, mean, tokens, any_, name).orderBy(F.desc(name), "key").limit(k)
+
+    @staticmethod
+    def _within(postings: DataFrame, blocks: DataFrame) -> DataFrame:
+        return postings.join(blocks.select("gen", "block"), ["gen", "block"], "left_semi")
+
+    def blocks_scored(self, query: str, k: int, any_: bool = False) -> tuple[int, int]:
+        """How many blocks top() scores, and how many hold the query's tokens."""
+        tokens, df, (docs, mean) = self._asked(query)
+        bounds = self._bounds(tokens, df, docs, mean, any_)
+        best = self.top(query, k, any_).collect()
+        least = best[-1]["score"] if len(best) == k else 0.0
+        return bounds.where(F.col("bound") >= least).count(), bounds.count()
+
+
+def _lookup(numbers: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for t, n in numbers.items() for x in (t, float(n))]), F.col("token"))
+
+
+def fused(rankings: Sequence[DataFrame], key: str, order: str, k: int = 60, name: str = "score", most: int | None = 1000) -> DataFrame:
+    """Reciprocal rank fusion of rankings, ordered by a column, larger first.
+
+    The first `most` rows of each count, as one task numbers them; with most=None all do, and are numbered in ranges of the
+    order: a row's number is its place in its range and the rows of the ranges before.
+    """
     ranked = []
     for r in rankings:
-        first = r.select(key, order).orderBy(F.desc(order), key).limit(most)  # so what is numbered is short
-        ranked.append(first.select(key, F.row_number().over(Window.orderBy(F.desc(order), key)).alias("_rank")))
+        own = r.select(key, order)
+        if most is None:
+            ranked.append(_numbered(own, key, order))
+        else:
+            first = own.orderBy(F.desc(order), key).limit(most)  # so what is numbered is short
+            ranked.append(first.select(key, F.row_number().over(Window.orderBy(F.desc(order), key)).alias("_rank")))
     all_ = ranked[0]
     for r in ranked[1:]:
         all_ = all_.unionByName(r)
     return all_.groupBy(key).agg(F.sum(1.0 / (k + F.col("_rank"))).alias(name))
+
+
+def _numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """key and _rank of rows in order, whatever their number: sorted by ranges, each numbered by its task."""
+    dealt = cut(rows.repartitionByRange(F.desc(order), F.col(key)).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(order), key))
+    return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").select(key, (F.col("_before") + F.col("_place")).alias("_rank"))

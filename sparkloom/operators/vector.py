@@ -74,7 +74,7 @@ def distance(metric: str, a: Column, b: Column) -> Column:
         return F.pow(_sum(F.transform(gaps, lambda g: F.pow(g, F.lit(float(MINKOWSKI_P))))), F.lit(1 / MINKOWSKI_P))
     if metric == "chebyshev":
         return F.array_max(gaps)
-    return _sum(F.transform(gaps, lambda g: F.when(g > 0, 1.0).otherwise(0.0)))
+    return _sum(F.transform(gaps, lambda g: F.when(g > 0, 1.0).when(g.isNotNull(), 0.0)))  # null, as others, for vectors of different lengths
 
 
 def literal(vector: Sequence[float]) -> Column:

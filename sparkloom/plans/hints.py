@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Parallel:
-    """How many partitions the result has."""
+    """How many tasks work on the rows that a query reads; order and limits come after, and aren't touched."""
 
     workers: int = 8
 
@@ -66,11 +66,18 @@ def checked(hints: Sequence[object], table: str) -> list[object]:
     return merged(hints)
 
 
-def applied(df: DataFrame, hints: Sequence[object]) -> DataFrame:
+def spread(df: DataFrame, hints: Sequence[object]) -> DataFrame:
+    """A query's source, dealt as Parallel asks."""
     for h in merged(hints):
         if isinstance(h, Parallel):
             df = df.repartition(h.workers)
-        elif isinstance(h, Explain):
+    return df
+
+
+def explained(df: DataFrame, hints: Sequence[object]) -> DataFrame:
+    """A query's result, once its plan is printed if Explain asks for it."""
+    for h in merged(hints):
+        if isinstance(h, Explain):
             df.explain("extended" if h.full else "formatted")
     return df
 

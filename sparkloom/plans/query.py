@@ -10,9 +10,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.core import Expr, resolve
+from ..functions.core import Expr, path as at_path, resolve
 from ..ids import RecordId
 from ..operators import dml, fulltext, graph, vector
+from ..operators.vectorindex import VectorIndex
 from . import hints as hinting
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -37,6 +38,8 @@ class Database:
     #: The column whose value is the key in a table's ids, and edges by such keys in place of ids.
     keys: dict[str, str] = default(default_factory=dict)
     keyed: dict[str, DataFrame] = default(default_factory=dict)
+    #: Stored vector indexes by table and column, and text indexes; whoever changes a table appends to its indexes.
+    indexes: dict[tuple[str, str], VectorIndex] = default(default_factory=dict)
 
     def record(self, name: str, record: str) -> DataFrame:
         """The row of a record id: by its key, so that the scan can skip what doesn't hold it."""
@@ -106,6 +109,7 @@ class Query:
     where_str = where_op = where_
 
     def order_by(self, name: str, direction: str = "ASC") -> Query:
+        """By a column of the result, or a column or dotted path of the rows that it comes from; nulls last either way."""
         if direction.upper() not in ("ASC", "DESC"):
             raise ValueError(f"no such direction: {direction}")
         return replace(self, orders=(*self.orders, (name, direction.upper() == "DESC")))
@@ -151,9 +155,16 @@ class Query:
             raise ValueError("k must be 1 or more")
         return replace(self, nearest=(field, tuple(vector_), k, metric, threshold, key))
 
-    def vector_search_indexed(self, field: str, vector_: Sequence[float], k: int, key: str = "id") -> Query:
-        """The k nearest rows by Euclidean distance; hashes bound what is compared, and no row is missed."""
-        return replace(self, nearest=(field, tuple(vector_), k, None, None, key))
+    def vector_search_indexed(self, field: str, vector_: Sequence[float], k: int, key: str = "id", ef: int = 64) -> Query:
+        """The k nearest rows by the metric of the database's index on the column; ef is the breadth of its search.
+
+        Without an index, or where conditions or joins leave only some of its rows, the rows are compared by Euclidean
+        distance: hashes bound what is compared, and no row is missed.
+        """
+        vector.literal(vector_)
+        if k < 1 or ef < 1:
+            raise ValueError("k and ef must be 1 or more")
+        return replace(self, nearest=(field, tuple(vector_), k, None, ef, key))
 
     def similarity_score(self, field: str, vector_: Sequence[float], metric: str, name: str) -> Query:
         return replace(self, added=(*self.added, Expr(lambda df: vector.similarity(metric, F.col(field), vector.literal(vector_)), name)))
@@ -205,8 +216,9 @@ class Query:
         return at.select("node").join(rows, F.col("node") == rows[key(last)]).drop("node")
 
     def to_df(self, db: Database) -> DataFrame:
-        """The query's plan; nothing runs, but a hashed or full-text search first reads its query."""
+        """The query's plan; nothing runs, but a hashed, indexed or full-text search first reads its query."""
         df = self._source(db)
+        df = hinting.spread(df, hinting.checked(self.hints, self.sources[0])) if self.hints else df
         for table, on, how in self.joins:
             df = df.join(db.table(table), resolve(on, df) if not isinstance(on, (str, list)) else on if isinstance(on, list) else F.expr(on), how)
         if self.path:
@@ -218,18 +230,36 @@ class Query:
             df = fulltext.bm25(df, field, query, analyzer, any_, name) if name else fulltext.search(df, field, query, analyzer, any_)
         if self.nearest:
             field, near, k, metric, threshold, key = self.nearest
-            df = vector.knn(df, field, near, k, metric, key, threshold) if metric else vector.knn_hashed(df, field, near, k, key)
+            index = db.indexes.get((self.sources[0], field))
+            if metric:
+                df = vector.knn(df, field, near, k, metric, key, threshold)
+            elif index is None or len(self.sources) > 1 or any((self.record, self.joins, self.path, self.conditions, self.match, self.sources[0] in db.permissions)):
+                df = vector.knn_hashed(df, field, near, k, key)
+            else:
+                found = index.search(near, k, threshold).withColumnRenamed("key", "_key")  # k rows
+                df = df.join(F.broadcast(found), F.col(key) == F.col("_key")).drop("_key").orderBy("distance", key)
         for a in self.added:
             if isinstance(a, tuple):
                 df = graph.reverse_references(df, db.table(a[1]), a[2], a[3], *a[4])
         df = self._selected(df)
         for link, table in self.links:
             df = graph.fetch(df, link, db.table(table))
-        if self.orders and all(n in df.columns for n, _ in self.orders):
-            df = df.orderBy(*[F.desc_nulls_last(n) if d else F.asc_nulls_last(n) for n, d in self.orders])
+        if self.orders:
+            by = [F.col(f"_order_{k}") if f"_order_{k}" in df.columns else at_path(n, df) for k, (n, _) in enumerate(self.orders)]
+            df = df.orderBy(*[c.desc_nulls_last() if d else c.asc_nulls_last() for c, (_, d) in zip(by, self.orders, strict=True)]).drop(*[f"_order_{k}" for k in range(len(self.orders))])
         df = df.offset(self.skipped) if self.skipped else df
         df = df if self.most is None else df.limit(self.most)
-        return hinting.applied(df, hinting.checked(self.hints, self.sources[0])) if self.hints else df
+        return hinting.explained(df, self.hints)
+
+    def _ordered(self, source: DataFrame, result: DataFrame) -> list[Column]:
+        """Columns of the source that the result is ordered by and doesn't have, under names of their own."""
+        out = []
+        for k, (name, _) in enumerate(self.orders):
+            if name.partition(".")[0] not in result.columns:
+                if name.partition(".")[0] not in source.columns:
+                    raise ValueError(f"no column to order by: {name}")
+                out.append(at_path(name, source).alias(f"_order_{k}"))
+        return out
 
     def _selected(self, df: DataFrame) -> DataFrame:
         added = [a for a in self.added if not isinstance(a, tuple)]
@@ -239,16 +269,14 @@ class Query:
             keys = [] if self.whole else [resolve(g, df) for g in self.groups]
             names = {g for g in self.groups if isinstance(g, str)} if not self.whole else set()
             values = [resolve(f, df) for f in self.fields if not (isinstance(f, str) and f in names) and not (isinstance(f, Expr) and f.name is None and f in self.groups)]
-            return df.groupBy(*keys).agg(*values)
+            out = df.groupBy(*keys).agg(*values)
+            self._ordered(out, out)
+            return out
         if not self.fields and not added:
+            self._ordered(df, df)
             return df
         fields: list[Column] = [F.col(c) for c in df.columns] if not self.fields else []
         for f in (*self.fields, *added):
             fields += [F.col(c) for c in df.columns] if isinstance(f, str) and f == "*" else [resolve(f, df)]
         # What a query is ordered by may be a column that isn't selected.
-        missing = [n for n, _ in self.orders if n in df.columns]
-        out = df.select(*fields)
-        if any(n not in out.columns for n in missing):
-            ordered = df.orderBy(*[F.desc_nulls_last(n) if d else F.asc_nulls_last(n) for n, d in self.orders])
-            return ordered.select(*fields)
-        return out
+        return df.select(*fields, *self._ordered(df, df.select(*fields)))

@@ -16,6 +16,7 @@ from .functions import field, raw
 from .functions import predicates as p
 from .ids import RecordId, record_id
 from .operators import dml, fulltext, graph, vector
+from .operators.vectorindex import CodeIndex, GraphIndex, VectorIndex
 from .plans import Database, Query, helpers, hints
 from .shared import scratch
 from .sources import Bucket, Conflict, Sequence, Table, Transaction
@@ -63,6 +64,14 @@ def query(sql: str | None):
 # Scans, projections and predicates
 
 
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
+def q_order_by_path(db):
+    """Order by a path into a struct that isn't selected, in as many tasks as a hint asks for."""
+    db.tables["o"] = db.tables["orders"].select("o_orderkey", F.struct("o_totalprice", "o_orderdate").alias("paid"))
+    q = Query().select("o_orderkey").from_table("o").order_by("paid.o_totalprice", "desc").order_by("o_orderkey").limit(25)
+    return q.hint(hints.Parallel(4)).to_df(db)
+
+
 @query("SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net, l_quantity + l_tax AS mixed, l_quantity - 1 AS less, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio FROM lineitem")
 def q_project_filter(db):
     return Query().select("l_orderkey", e.as_(field("l_extendedprice") * (raw("1") - field("l_discount")), "net"), e.as_(field("l_quantity") + field("l_tax"), "mixed"), e.as_(field("l_quantity") - 1, "less"), e.as_(field("l_tax") / field("l_discount"), "ratio")).from_table("lineitem").to_df(db)
@@ -377,6 +386,62 @@ def q_knn_hashed(db):
     return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def _nearest_sql(k: int, rows: str = "true") -> str:
+    return f"SELECT q.vec_id AS query, c.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DISTANCES['euclidean']}, c.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND {rows} QUALIFY rank <= {k}"
+
+
+def _index(db, kind: type[VectorIndex], rows=None, unit: int = 128) -> VectorIndex:
+    return kind(db.spark, scratch(db.spark, "vectors"), unit=unit).build(db.tables["embeddings"] if rows is None else rows, "vec_id", "embedding")
+
+
+@query(_nearest_sql(5))
+def q_vector_index_exact(db):
+    """Graphs find rows nearby, and then only cells that may hold nearer ones are read."""
+    rows = db.tables["embeddings"]
+    found = _index(db, GraphIndex).search_many(rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 5, exact=True, but_own=True)
+    return found.select("query", F.col("key").alias("vec_id"), "rank")
+
+
+@query(_nearest_sql(5, "c.vec_id % 10 <> 7"))
+def q_vector_index_changes(db):
+    """Rows that come later, change or go: the index finds what a new one would."""
+    rows = db.tables["embeddings"]
+    turned = rows.withColumn("embedding", F.reverse("embedding"))
+    index = _index(db, CodeIndex, rows.where("vec_id % 3 = 0").unionByName(turned.where("vec_id % 3 = 1")))
+    index.append(rows.where("vec_id % 3 <> 0"), "vec_id", "embedding")
+    index.delete(rows.where("vec_id % 10 = 7"), "vec_id")
+    found = index.search_many(rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 5, exact=True, but_own=True)
+    return found.select("query", F.col("key").alias("vec_id"), "rank")
+
+
+def _recalled(db, index: VectorIndex):
+    """How many queries there are, and whether the index finds nine in ten of their ten nearest rows."""
+    rows = db.tables["embeddings"]
+    asked = rows.where("vec_id % 100 = 0")
+    true = vector.knn_join(asked, rows, "embedding", 10, "euclidean", "vec_id").select("query", "vec_id")
+    found = index.search_many(asked, "vec_id", "embedding", 10, but_own=True).select("query", F.col("key").alias("vec_id"), F.lit(1).alias("hit"))
+    return true.join(found, ["query", "vec_id"], "left").agg(F.countDistinct("query").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def q_vector_index_recall(db):
+    return _recalled(db, _index(db, GraphIndex))
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def q_vector_codes_recall(db):
+    return _recalled(db, _index(db, CodeIndex))
+
+
+@query("SELECT vec_id, CAST(0 AS DOUBLE) AS distance FROM embeddings WHERE vec_id = 0")
+def q_vector_search_indexed(db):
+    """A query that a stored index of the table answers: the row itself is the nearest."""
+    db.indexes["embeddings", "embedding"] = _index(db, GraphIndex)
+    near = db.tables["embeddings"].where("vec_id = 0").first()["embedding"]
+    found = Query().from_table("embeddings").vector_search_indexed("embedding", near, 10, key="vec_id", ef=40).order_by("distance").order_by("vec_id").first().to_df(db)
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 # Full text
 
 _TOKENS = f"list_filter(string_split_regex(translate(lower(text), '{fulltext.MARKED}', '{fulltext.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -414,6 +479,32 @@ def q_bm25_indexed(db):
     return index.search("the this").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+_CHANGED = _SCORED.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 7)", 1)
+
+
+def _changed_index(db) -> fulltext.TextIndex:
+    """An index whose texts came in three segments, were changed in part, and of which every tenth went."""
+    docs = db.tables["documents"]
+    upper = docs.withColumn("text", F.concat(F.lit("the this the this "), F.reverse("text")))
+    index = fulltext.TextIndex(db.spark, scratch(db.spark, "index")).build(docs.where("doc_id % 4 < 2").unionByName(upper.where("doc_id % 4 = 2")), "doc_id", "text")
+    index.append(docs.where("doc_id % 4 = 2 AND doc_id % 8 < 4"), "doc_id", "text")
+    index.append(docs.where("doc_id % 4 = 3 OR (doc_id % 4 = 2 AND doc_id % 8 >= 4)"), "doc_id", "text")
+    index.delete(docs.where("doc_id % 10 = 7"), "doc_id")
+    return index
+
+
+@query(_CHANGED)
+def q_text_index_segments(db):
+    return _changed_index(db).search("the this").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT * FROM ({_CHANGED}) ORDER BY score DESC, doc_id LIMIT 10")
+def q_text_index_top(db):
+    """The ten best of changed segments, where most blocks are ruled out by their bounds."""
+    best = _changed_index(db).top("the this", 10)
+    return best.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"""
     WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents)
     SELECT doc_id, CAST(list_position(t, 'the') - 1 AS INTEGER) AS first, len(list_filter(t, lambda x: x = 'the')) AS times FROM d WHERE list_contains(t, 'the')""")
@@ -458,6 +549,17 @@ def q_analyzer_snowball(db):
     return one.select(F.explode("t").alias("stem"))
 
 
+@query("""
+    WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part),
+    b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r FROM part)
+    SELECT p_partkey, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
+def q_rank_fusion_whole(db):
+    """Rankings of any length, numbered range by range."""
+    rows = db.tables["part"]
+    rankings = [rows.select("p_partkey", F.col(c).cast("double").alias("by")) for c in ("p_retailprice", "p_size")]
+    return fulltext.fused(rankings, "p_partkey", "by", most=None).select("p_partkey", F.round("score", 9).alias("score"))
+
+
 @query("""
     WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part QUALIFY r <= 1000),
     b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r FROM part QUALIFY r <= 1000)
