@@ -33,6 +33,8 @@ from ..shared import cut
 UNIT, PIVOTS = 1024, 4096
 #: Bytes of pivots, and of the sample that they and codebooks are fitted on, on the driver at most.
 PIVOT_BYTES, SAMPLE_BYTES = 1 << 25, 1 << 26
+#: Random nodes that a node's long links are chosen from, how many it has room for, and how much nearer, in squares, a kept neighbour may be to them.
+FAR, LONG, WIDER = 8, 2, 1.44
 #: Queries that meet a unit in one task, and cells up to which a search names them to the scan.
 BLOCK, NAMED = 1024, 1000
 
@@ -77,15 +79,20 @@ class Graph:
 
     @classmethod
     def build(cls, x: np.ndarray, levels: Sequence[int], degree: int, candidates: int) -> Graph:
-        """From the nearest nodes of each layer, those that no kept neighbour is nearer to, both ways; then whatever is cut off is linked."""
-        d = _squares(x, x)
+        """From the nearest nodes of each layer, those that no kept neighbour is nearer to, and from some random ones, for the long
+        way, those that none is much nearer to; both ways. Then whatever is cut off is linked."""
+        d, rng = _squares(x, x), np.random.default_rng(len(x))
         links: list[list[Sequence[int]]] = [[[] for _ in range(v + 1)] for v in levels]
         for layer in range(max(levels, default=-1) + 1):
             own = np.flatnonzero(np.asarray(levels) >= layer)
             most = degree * (1 if layer else 2)
             part = d[np.ix_(own, own)]
             near = np.argsort(part, axis=1, kind="stable")[:, : candidates + 1]
-            out: list[list[int]] = [cls._spread(part, k, [j for j in near[k].tolist() if j != k], degree) for k in range(len(own))]
+            far = rng.integers(0, len(own), (len(own), FAR))
+            out: list[list[int]] = []
+            for k in range(len(own)):
+                kept = cls._spread(part, k, [j for j in near[k].tolist() if j != k], degree - LONG)
+                out.append(cls._spread(part, k, sorted({*far[k].tolist()} - {k, *kept}, key=lambda j: part[k, j]), degree, kept))  # noqa: B023
             for k, some in enumerate([list(o) for o in out]):
                 for j in some:
                     if k not in out[j]:
@@ -99,15 +106,15 @@ class Graph:
         return cls(x, links)
 
     @staticmethod
-    def _spread(d: np.ndarray, k: int, near: list[int], most: int) -> list[int]:
-        kept: list[int] = []
+    def _spread(d: np.ndarray, k: int, near: list[int], most: int, held: Sequence[int] = ()) -> list[int]:
+        kept, slack = list(held), WIDER if held else 1.0
         for j in near:
-            if len(kept) == most:
+            if len(kept) >= most:
                 break
-            if not kept or d[j, kept].min() >= d[k, j]:
+            if not kept or slack * d[j, kept].min() >= d[k, j]:
                 kept.append(j)
-        for j in near:  # what is left of the room goes to the nearest
-            if len(kept) >= most // 2:
+        for j in near:  # what is left of half the room goes to the nearest
+            if held or len(kept) >= most // 2:
                 break
             if j not in kept:
                 kept.append(j)
