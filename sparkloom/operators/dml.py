@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.core import operand, resolve
 from ..shared import cut
@@ -28,6 +29,13 @@ def holds(condition: Any, df: DataFrame) -> Column:
     return F.lit(True) if condition is None else F.coalesce(resolve(condition, df), F.lit(False))
 
 
+def single(rows: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """rows, whose plan raises if a key comes twice, as it isn't said which of its rows is meant."""
+    n, own = F.count("*").over(Window.partitionBy(*keys)), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))
+    kept = rows.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.concat(own, F.lit(" comes twice"))).cast("boolean")).otherwise(F.lit(True)))
+    return kept.drop("_n")
+
+
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     """table with rows; columns that either lacks are null."""
     return table.unionByName(rows, allowMissingColumns=True)
@@ -50,7 +58,8 @@ def update(table: DataFrame, values: Mapping[str, Any], condition: Any = None) -
 
 
 def merge(table: DataFrame, patch: DataFrame) -> DataFrame:
-    """Rows with the fields of patch, by id; fields that patch lacks stay, and a null in patch is a value."""
+    """Rows with the fields of patch, by id; fields that patch lacks stay, and a null in patch is a value. An id that comes twice in patch raises."""
+    patch = single(patch)
     own = [c for c in patch.columns if c != "id"]
     new = patch.select("id", F.struct(*own).alias("_new"))
     out = table.join(new, "id", "left")
@@ -58,7 +67,8 @@ def merge(table: DataFrame, patch: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Rows take the place of those with the same keys; the others are added."""
+    """Rows take the place of those with the same keys; the others are added. Keys that come twice in rows raise."""
+    rows = single(rows, keys)
     return insert(table.join(rows.select(*keys), list(keys), "left_anti"), rows)
 
 
@@ -81,7 +91,7 @@ def relate(edges: DataFrame, pairs: DataFrame, nodes_in: DataFrame | None = None
         if nodes is not None:
             pairs = pairs.join(nodes.select(F.col("id").alias(side)), side, "left_semi")
     if "id" not in pairs.columns and "id" in edges.columns:
-        pairs = pairs.withColumn("id", F.concat(F.lit("edge:"), F.sha2(F.concat_ws("|", "in", "out"), 256)))
+        pairs = pairs.withColumn("id", F.concat(F.lit("edge:"), F.sha2(F.to_json(F.array("in", "out")), 256)))
     return insert(edges, pairs)
 
 

@@ -19,7 +19,7 @@ from .operators import dml, fulltext, graph, vector
 from .operators.vectorindex import CodeIndex, GraphIndex, VectorIndex
 from .plans import Database, Query, helpers, hints
 from .shared import scratch
-from .sources import Bucket, Conflict, Sequence, Table, Transaction
+from .sources import Bucket, Conflict, Sequence, Store, Table, Transaction, Work
 from .streaming import feeds
 
 # The node tables and their keys, and the edge tables as table, in-table and key, out-table and key.
@@ -1012,6 +1012,84 @@ def q_table_cascade(db):
     return out[0].unionByName(out[1])
 
 
+_LINK = T.StructType([T.StructField("id", T.StringType()), T.StructField("link", T.StringType())])
+
+
+def _linked_store(db) -> Store:
+    """Regions, nations and customers, each with a link to the one above, that change together."""
+    store = Store(db.spark, scratch(db.spark, "store"))
+    customers = store.table("customer", _LINK, originals=True)
+    nations = store.table("nation", _LINK, originals=True, references={"customer": (customers, "link", "cascade")})
+    store.table("region", _LINK, originals=True, references={"nation": (nations, "link", "cascade")})
+    above = {"customer": record_id("nation", "c_nationkey"), "nation": record_id("region", "n_regionkey"), "region": F.lit(None).cast("string")}
+    one = Work(store)
+    for name, link in above.items():
+        one.insert(name, db.tables[name].select("id", link.alias("link")))
+    one.commit()
+    return store
+
+
+def _rows_of(store: Store):
+    out = [t.read().agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in store.tables.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT 'region' AS name, count(*) - 1 AS n FROM region UNION ALL SELECT 'nation', count(*) FILTER (n_regionkey <> 0) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 0")
+def q_store_cascade(db):
+    """A deletion that goes through three tables is one commit."""
+    store = _linked_store(db)
+    store.tables["region"].delete(p.eq("id", "region:0"))
+    if store.version() != 2:
+        raise AssertionError("more than one commit")
+    return _rows_of(store)
+
+
+@query("""
+    SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) - 1 FROM nation
+    UNION ALL SELECT 'customer', count(*) FILTER (c_nationkey <> 1 AND c_custkey % 7 <> 0) FROM customer""")
+def q_store_transactions(db):
+    """Writers of different rows both succeed, over snapshots; one that has read what another changed is refused, and leaves nothing."""
+    store = _linked_store(db)
+    store.tables["customer"].snapshot()
+    first, second, third = Work(store), Work(store), Work(store)
+    first.delete("customer", "cast(substring_index(id, ':', -1) AS int) % 7 = 0 AND link <> 'nation:1'")
+    second.delete("customer", p.eq("link", "nation:1"))
+    second.delete("nation", p.eq("id", "nation:1"))
+    third.update("nation", {"link": "region:9"}, p.eq("id", "nation:1")).delete("region")
+    first.commit()
+    try:
+        second.commit()
+    except Conflict:  # its deletion of a nation read every customer, to see which ones go
+        Work(store).delete("nation", p.eq("id", "nation:1")).commit()
+    try:
+        third.commit()
+    except Conflict:
+        pass
+    return _rows_of(store)
+
+
+@query("""
+    SELECT 'before' AS at, count(*) AS n, count(value) AS v FROM events
+    UNION ALL SELECT 'between', count(*), count(value) FILTER (event_type <> 'error') FROM events
+    UNION ALL SELECT 'since', count(*), count(CASE WHEN event_type <> 'error' THEN value END) FROM events WHERE event_type = 'click' OR event_type = 'error'""")
+def q_as_of_time(db):
+    """Reads as of the times of commits, and the feed since one."""
+    table = _history(db)
+    when = table.times()
+    out = [table.read(when[k]).agg(F.lit(n).alias("at"), F.count("*").alias("n"), F.count("value").alias("v")) for k, n in ((1, "before"), (2, "between"))]
+    feed = table.changes(when[1])
+    return out[0].unionByName(out[1]).unionByName(feed.agg(F.lit("since").alias("at"), F.count("*").alias("n"), F.count(F.coalesce("row.value", "original.value")).alias("v")))
+
+
+@query("SELECT 'events:' || event_id AS id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events WHERE event_type <> 'click' AND event_id % 500 = 3")
+def q_snapshot_lookup(db):
+    """Some rows, by a condition on their ids, which goes below what puts a snapshot and later changes together."""
+    table = _history(db)
+    table.snapshot(2)
+    out = table.read().where("cast(substring_index(id, ':', -1) AS long) % 500 = 3")
+    return out.select("id", "value")
+
+
 @query("""
     SELECT CAST(1 AS BIGINT) AS version, 'create' AS action, count(*) AS n FROM events
     UNION ALL SELECT 2, 'update', count(*) FILTER (event_type = 'error') FROM events

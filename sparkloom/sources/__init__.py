@@ -2,6 +2,6 @@
 
 from .files import Bucket, File
 from .sequences import Sequence
-from .store import Conflict, Table, Transaction
+from .store import Conflict, Store, Table, Transaction, Work
 
-__all__ = ["Bucket", "Conflict", "File", "Sequence", "Table", "Transaction"]
+__all__ = ["Bucket", "Conflict", "File", "Sequence", "Store", "Table", "Transaction", "Work"]

@@ -80,8 +80,7 @@ def test_texts_are_split_once_to_filter(spark):
     rows = spark.createDataFrame([(1, "the cat THE hat"), (2, "a cat"), (3, None), (4, "")], "k int, t string")
     found = fulltext.bm25(rows, "t", "the cat")
     assert [r.k for r in found.collect()] == [1]
-    condition = plan(found).split("Filter")[1].split("\n")[0]
-    assert condition.count("split(") == 1
+    assert plan(found).count("split(") == 1  # to filter and to score
 
 
 def test_index_gives_the_scores_of_a_scan(spark, tmp_path):
