@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .shared import filesystem, publish
 
 
+class Taken(RuntimeError):
+    """Another writer has published the generation."""
+
+
 @dataclass
 class Generations:
     """The generations under a folder. One that replaces others holds what counted in them, and they are read no more."""
@@ -63,7 +67,7 @@ class Generations:
             self._files.mkdirs(self._path(f"{staged}/replaces/{x}"))
         if not publish(self.spark, staged, f"{self.root}/gen={n}"):
             self._files.delete(self._path(staged), True)
-            raise RuntimeError(f"another writer has published generation {n}")
+            raise Taken(f"another writer has published generation {n}")
         return n
 
     def latest(self) -> int:

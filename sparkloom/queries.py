@@ -1078,7 +1078,7 @@ def q_as_of_time(db):
     when = table.times()
     out = [table.read(when[k]).agg(F.lit(n).alias("at"), F.count("*").alias("n"), F.count("value").alias("v")) for k, n in ((1, "before"), (2, "between"))]
     feed = table.changes(when[1])
-    return out[0].unionByName(out[1]).unionByName(feed.agg(F.lit("since").alias("at"), F.count("*").alias("n"), F.count(F.coalesce("row.value", "original.value")).alias("v")))
+    return out[0].unionByName(out[1]).unionByName(feed.agg(F.lit("since").alias("at"), F.count("*").alias("n"), F.expr("count(if(row IS NOT NULL, row.value, original.value))").alias("v")))
 
 
 @query("SELECT 'events:' || event_id AS id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events WHERE event_type <> 'click' AND event_id % 500 = 3")
