@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import zlib
 
@@ -30,7 +31,10 @@ KINDS = {b"P1": (0, True), b"P2": (1, True), b"P3": (3, True), b"P4": (0, False)
 
 
 def decode_netpbm(data: bytes) -> np.ndarray | None:
-    """PBM, PGM or PPM, plain or raw, as (height, width) or (height, width, 3) of uint8 or uint16."""
+    """PBM, PGM or PPM, plain or raw, as (height, width) or (height, width, 3) of uint8, or uint16 where samples go beyond 255.
+
+    Samples are scaled so that the file's largest value is the type's. A sample above that value breaks an image, as a missing one does.
+    """
     if data[:2] not in KINDS:
         return None
     channels, plain = KINDS[data[:2]]
@@ -50,21 +54,32 @@ def decode_netpbm(data: bytes) -> np.ndarray | None:
         at = end
     width, height, most = (*head, 1)[:3]
     shape = (height, width, 3) if channels == 3 else (height, width)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
+    if not 0 < most <= 0xFFFF or n > 8 * len(data):  # a sample takes a bit at least
+        return None
     kind = np.dtype(">u2") if most > 255 else np.dtype("u1")
     if plain:
         body = b" ".join(x.partition(b"#")[0] for x in data[at:].split(b"\n"))
-        found = [x - 48 for x in body if x in b"01"] if not channels else body.split()
-        out = np.array(found[:n], np.int64).astype(kind.newbyteorder("="))
+        found = [x - 48 for x in body if x in b"01"] if not channels else body.split()[:n]
+        if channels and not all(x.isdigit() and len(x) <= 5 for x in found):
+            return None
+        out = np.array(found[:n], np.int64)
+    elif at >= len(data):
+        return None
     elif not channels:
         row = -(-width // 8)
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, min(row * height, len(data) - at - 1), at + 1))
-        out = bits.reshape(-1, row * 8)[:, :width].ravel()
+        if len(data) - at - 1 < row * height:
+            return None
+        out = np.unpackbits(np.frombuffer(data, np.uint8, row * height, at + 1)).reshape(height, row * 8)[:, :width].ravel()
     else:
-        out = np.frombuffer(data, kind, min(n, (len(data) - at - 1) // kind.itemsize), at + 1).astype(kind.newbyteorder("="))
-    if len(out) < n:
+        out = np.frombuffer(data, kind, min(n, (len(data) - at - 1) // kind.itemsize), at + 1)
+    if len(out) < n or (channels and n and out.max() > most):
         return None
-    return out.reshape(shape) if channels else (1 - out.reshape(shape)).astype(np.uint8) * np.uint8(255)
+    if not channels:
+        return (1 - out.reshape(shape)).astype(np.uint8) * np.uint8(255)
+    full = 0xFFFF if most > 255 else 0xFF
+    out = out if most == full else (out.astype(np.int64) * full + most // 2) // most
+    return out.astype(np.uint16 if most > 255 else np.uint8).reshape(shape)
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -72,22 +87,40 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % samples.shape[::-1] + samples.tobytes()
 
 
+def _field(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask as values from 0 to 255."""
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return ((((pixels & mask) >> low) * 255 + most // 2) // most).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray | None:
-    """An uncompressed BMP of 8, 24 or 32 bits a pixel; a grey palette gives (height, width), else RGB."""
+    """An uncompressed BMP of 8, 16, 24 or 32 bits a pixel; a grey palette gives (height, width), else RGB. Bit fields are scaled to 8 bits; alpha is left out."""
     if data[:2] != b"BM" or len(data) < 54:
         return None
     start, size, width, height, _, bits, packed, _, _, _, colours = struct.unpack_from("<IIiiHHIIiiI", data, 10)
-    if bits not in (8, 24, 32) or packed not in (0, 3) or width <= 0 or height == 0:
-        return None
-    row = (width * bits // 8 + 3) // 4 * 4
-    if len(data) < start + row * abs(height):
+    row, rows = (width * bits // 8 + 3) // 4 * 4, abs(height)
+    if size < 40 or (bits, packed) not in ((8, 0), (16, 0), (16, 3), (24, 0), (32, 0), (32, 3)) or width <= 0 or not rows or len(data) < start + row * rows or start < 14 + size:
         return None
-    body = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)[:: -1 if height > 0 else 1]
-    if bits > 8:
-        return np.ascontiguousarray(body[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1])
-    palette = np.frombuffer(data, np.uint8, 4 * (colours or 256), 14 + size).reshape(-1, 4)[:, 2::-1]
-    out = palette[body[:, :width]]
-    return np.ascontiguousarray(out[:, :, 0] if (palette == palette[:, :1]).all() else out)
+    body = np.frombuffer(data, np.uint8, row * rows, start).reshape(rows, row)[:: -1 if height > 0 else 1]
+    if bits == 8:
+        most = colours or 256
+        if most > 256 or 14 + size + 4 * most > start:
+            return None
+        palette = np.frombuffer(data, np.uint8, 4 * most, 14 + size).reshape(-1, 4)[:, 2::-1]
+        if body[:, :width].max() >= most:
+            return None
+        out = palette[body[:, :width]]
+        return np.ascontiguousarray(out[:, :, 0] if (palette == palette[:, :1]).all() else out)
+    if bits == 16 or packed == 3:
+        if packed == 3 and start < 66:
+            return None
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x03E0, 0x001F)
+        if not all(masks) or any(m >> bits or (m // (m & -m)) & (m // (m & -m) + 1) for m in masks):  # each must be bits in a row
+            return None
+        pixels = np.ascontiguousarray(body[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        return np.stack([_field(pixels, m) for m in masks], axis=2)
+    return np.ascontiguousarray(body[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1])
 
 
 def encode_bmp(samples: np.ndarray) -> bytes:
@@ -101,6 +134,7 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
+    """The image, or nothing if the bytes are none, or a broken or cut one."""
     return decode_netpbm(data or b"") if (data or b"")[:1] == b"P" else decode_bmp(data or b"")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import random
 from collections import Counter
@@ -21,7 +22,8 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = secrets.update_ledger(docs((1, secret), (4, "new " + secret), (5, None)), path)
     assert ledger.count() == ledger.select("blob").distinct().count() == 4
     assert secrets.unseen(secrets.blobs_of(docs((9, secret), (8, "unseen"))), ledger).select("text").collect() == [("unseen",)]
-    assert secrets.unseen(secrets.blobs_of(docs((9, secret))), ledger, "2").count() == 1
+    changed = (secrets.RULES[0], dataclasses.replace(secrets.RULES[1], least=17))
+    assert [tuple(r) for r in secrets.unseen(secrets.blobs_of(docs((9, secret))), ledger, changed).select("rules").collect()] == [([changed[1].version],)]
     got = {r.doc_id: r.spans for r in secrets.report(secrets.findings(docs((7, secret), (8, "clean")), ledger)).collect()}
     assert got == {7: "assign:0:18", 8: ""}
 
