@@ -1,16 +1,17 @@
 """HTML main text by a recurrent block labeller.
 
 A page is a sequence of blocks: the text between block-level tags.  Each block is
-read as a vector of its tag path (tags, classes and ids, hashed; and which kinds
-of elements it stands in), of its words (hashed), and of a few measures.  A
-bidirectional LSTM in numpy reads a page's whole sequence and labels every block
-as main text or not.
+read as a vector of its tag path (tags, classes and ids, hashed), of its words
+(hashed), and of a few measures.  A bidirectional LSTM in numpy reads a page's
+whole sequence and labels every block as main text or not.
 
 The labeller learns on the driver, from a bounded sample of pages whose elements
 themselves tell main text from the rest, and from invented layouts where names,
 places, links and phrases tell it: menus, forms, notices, adverts and readers'
-comments stand around articles and inside them.  Scripts, styles, comments in
-the markup and what else is never shown are no blocks.
+comments stand around articles and inside them.  What elements tell is a label to
+learn from and no input; some pages are read with their names, or their names and
+telling elements, hidden, so that the labeller learns to do without them.  Scripts,
+styles, comments in the markup and what else is never shown are no blocks.
 
 Null or empty html gives the empty text.  Repeated rows stay; equal pages have
 equal texts.  A page of any length is read whole.  Other columns are not read.
@@ -36,20 +37,25 @@ from .common import by_slices, sampled
 from .shingles import word_hashes
 
 #: Pages sampled for training, invented pages, passes, and hidden units of each direction.
-SAMPLE, INVENTED, PASSES, HIDDEN = 150, 1200, 14, 20
+SAMPLE, INVENTED, PASSES, HIDDEN = 150, 1500, 14, 24
 #: Blocks of a page that training reads, in one run from a place that the page's hash gives; a bound on training data.
 TRAINED_BLOCKS = 2000
-#: Dimensions of the path's and the words' hashed vectors, of what a block stands in, and of the measures.
-PATH_DIM, WORD_DIM, KINDS, MEASURES = 32, 20, 6, 8
-DIM = PATH_DIM + WORD_DIM + KINDS + MEASURES
+#: Pages of a training step.
+BATCH = 32
+#: Dimensions of the path's and the words' hashed vectors, and of the measures.
+PATH_DIM, WORD_DIM, MEASURES = 48, 24, 11
+DIM = PATH_DIM + WORD_DIM + MEASURES
 #: Steps of a sequence whose inputs are weighted at a time.
 STEPS = 4096
 
-# Elements that don't end a block, that hold nothing to read, and that have no end tag.
+# Elements that don't end a block, that hold nothing to read (in some of those tags are text), and that have no end tag.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN_TAGS = frozenset("head title noscript template svg math canvas iframe object audio video select button textarea datalist map".split())
+HIDDEN_TAGS = frozenset("title noscript template svg math canvas iframe object audio video select button textarea datalist map".split())
+RAW_TAGS = frozenset("title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements and words of classes that make up a page around its article, and those of articles.
+# Elements that tell what a block is; elements and words of classes that make up a page around its article, and those of
+# articles. They label pages to learn from, and are no inputs.
+TELLING_TAGS = frozenset("nav header footer aside form menu dialog main article section".split())
 AROUND_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "dialog")
 AROUND_WORDS = tuple("nav navigation menu navbar breadcrumb breadcrumbs header masthead topbar foot footer copyright legal sidebar aside widget ad ads adv advert advertisement banner promo sponsor sponsored cookie cookies consent gdpr notice notification alert popup modal overlay subscribe subscription newsletter signup signin login form search comment comments reply replies discussion respond disqus related recommended share sharing social tags toolbar pagination pager disclaimer".split())
 AROUND_STEMS = ("navig", "breadcrumb", "footer", "copyright", "sidebar", "advert", "sponsor", "cookie", "newsletter", "subscri", "comment", "discuss", "recommend", "paginat", "toolbar", "disclaim", "notific")
@@ -81,26 +87,27 @@ def _element(tag: str, attributes: str) -> tuple[np.ndarray, str]:
     return out, "around" if around else "main" if not names.isdisjoint(MAIN_WORDS) else ""
 
 
+#: What of a page's markup can be read: all, all but classes, ids and roles, or neither those nor which elements tell.
+SHOWN, NAMELESS, PLAIN = 0, 1, 2
+
+
 @dataclass(frozen=True)
 class Place:
-    """Where a block stands: the path's vector, the kinds of elements around it, and the innermost that tells: "main", "around" or "".
-
-    Kinds: an element of a page's surroundings, a form, a name of surroundings, an article, a name of articles.
-    """
+    """Where a block stands: the path's vector; and for labels to learn from, whether in a form, and the innermost that tells: "main", "around" or ""."""
 
     path: np.ndarray
-    kinds: tuple[bool, ...] = (False,) * (KINDS - 1)
+    form: bool = False
     inside: str = ""
 
-    def within(self, tag: str, attributes: str) -> Place:
-        own, said = _element(tag, attributes)
-        here = (tag in AROUND_TAGS and tag != "form", tag == "form", said == "around", tag in ("article", "main"), said == "main")
+    def within(self, tag: str, attributes: str, shown: int) -> Place:
+        said = _element(tag, attributes)[1]
+        own = _element("div" if shown == PLAIN and tag in TELLING_TAGS else tag, "" if shown else attributes)[0]
         inside = self.inside
         if tag in AROUND_TAGS or said == "around":
             inside = "around"
-        elif tag == "main" or (tag == "article" and (inside != "around" or self.kinds[1])):
+        elif tag == "main" or (tag == "article" and (inside != "around" or self.form)):
             inside = "main"
-        return Place(np.float32(0.6) * self.path + own, tuple(a or b for a, b in zip(self.kinds, here, strict=True)), inside)
+        return Place(np.float32(0.6) * self.path + own, self.form or tag == "form", inside)
 
 
 @dataclass
@@ -108,26 +115,30 @@ class Block:
     text: str
     place: Place
     linked: int
+    opened: int
+    closed: int
 
     @property
     def inside(self) -> str:
         return self.place.inside
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, each with its place."""
+def blocks(page: str, shown: int = SHOWN) -> list[Block]:
+    """The page's blocks in order, each with its place, and how many elements open and close between it and the one before."""
     out: list[Block] = []
     root = Place(np.zeros(PATH_DIM, np.float32))
     stack: list[tuple[str, Place]] = []
     hidden, link = "", 0
+    nested: dict[str, int] = {}
     parts: list[str] = []
-    linked = 0
+    linked = opened = closed = 0
 
     def close() -> None:
-        nonlocal linked, link
+        nonlocal linked, link, opened, closed
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, stack[-1][1] if stack else root, linked))
+            out.append(Block(text, stack[-1][1] if stack else root, linked, opened, closed))
+            opened = closed = 0
         parts.clear()
         linked = link = 0
 
@@ -142,10 +153,24 @@ def blocks(page: str) -> list[Block]:
             continue
         end, tag = bool(m[1]), m[2].lower()
         if hidden:
-            if (end and tag == hidden) or tag == "body":
+            if hidden in RAW_TAGS:
+                hidden = "" if (end and tag == hidden) or tag == "body" else hidden
+                continue
+            if not end and tag != "body":
+                nested[tag] = nested.get(tag, 0) + (tag not in VOID and not m[3].endswith("/"))
+                continue
+            if end and nested.get(tag):
+                nested[tag] -= 1
+                continue
+            if tag == hidden:
                 hidden = ""
-        elif tag in HIDDEN_TAGS:
+                continue
+            if tag != "body" and all(t != tag for t, _ in stack):
+                continue
+            hidden = ""  # the element around it ends, and so does what was left open
+        if tag in HIDDEN_TAGS:
             close()
+            nested.clear()
             hidden = "" if end or m[3].endswith("/") else tag
         elif tag == "br":
             parts.append(" ")
@@ -153,15 +178,20 @@ def blocks(page: str) -> list[Block]:
             link = (0 if end else 1) if tag == "a" else link
         else:
             close()
+            if tag in ("html", "head"):
+                continue
             if end:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
+                        closed += len(stack) - k
                         del stack[k:]
                         break
             elif tag not in VOID:
                 if tag in ("p", "li", "td", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
                     stack.pop()
-                stack.append((tag, (stack[-1][1] if stack else root).within(tag, m[3])))
+                    closed += 1
+                stack.append((tag, (stack[-1][1] if stack else root).within(tag, m[3], shown)))
+                opened += 1
     if at < len(page) and not hidden:
         parts.append(page[at:])
     close()
@@ -184,9 +214,9 @@ def vectors(pages: Sequence[list[Block]]) -> list[np.ndarray]:
     linked = np.array([b.linked for b in flat], float)
     place = np.concatenate([np.linspace(0, 1, len(p)) for p in pages if p])
     ended = np.array([b.text[-1] in ".!?" for b in flat], float)
-    measures = np.column_stack((np.log1p(chars) / 4, np.log1p(counts) / 3, linked / chars, marks / np.maximum(counts, 1) * 4, place, place == 0, place == 1, ended))
-    kinds = np.array([(*b.place.kinds, (b.inside == "main") - (b.inside == "around")) for b in flat], float)
-    whole = np.concatenate(([b.place.path for b in flat], words, kinds, measures), axis=1).astype(np.float32)
+    moves = np.array([(b.opened, b.closed, b.closed > 1) for b in flat], float)
+    measures = np.column_stack((np.log1p(chars) / 4, np.log1p(counts) / 3, linked / chars, marks / np.maximum(counts, 1) * 4, place, place == 0, place == 1, ended, np.log1p(moves[:, :2]), moves[:, 2]))
+    whole = np.concatenate(([b.place.path for b in flat], words, measures), axis=1).astype(np.float32)
     return np.split(whole, np.cumsum([len(p) for p in pages])[:-1])
 
 
@@ -309,7 +339,7 @@ def fit(rows: Sequence[np.ndarray], labels: Sequence[np.ndarray], passes: int =
     rng = np.random.default_rng(7)
     out = Labeller.fresh(rng)
     order = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: len(rows[k]))
-    batches = [order[k : k + 24] for k in range(0, len(order), 24)]
+    batches = [order[k : k + BATCH] for k in range(0, len(order), BATCH)]
     m = {k: np.zeros_like(v) for k, v in out.w.items()}
     v = {k: np.zeros_like(x) for k, x in out.w.items()}
     step = 0
@@ -467,17 +497,18 @@ def invented(n: int = INVENTED, seed: int = 11) -> list[tuple[str, list[int]]]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """A labeller from at most `sample` pages whose elements tell, chosen by hash, and from invented layouts."""
+    """A labeller from at most `sample` pages whose elements tell, chosen by hash, and from invented layouts; both also with names or elements hidden."""
     chosen = sampled(pages.where(F.col("html").isNotNull()), sample, pages.count(), "page_id", "html").select("html")
     rows, labels = [], []
     for r in chosen.toLocalIterator():  # a page at a time, as pages may be long
         own = blocks(r["html"])
         at = zlib.crc32(r["html"].encode("utf-8", "surrogatepass")) % max(1, len(own) - TRAINED_BLOCKS + 1)
         if any(b.inside == "main" for b in own):
-            rows.append(vectors([own])[0][at : at + TRAINED_BLOCKS])
-            labels.append(np.array([b.inside == "main" for b in own[at : at + TRAINED_BLOCKS]], np.float32))
-    for page, y in invented():
-        own = blocks(page)
+            for shown in (SHOWN, PLAIN):
+                rows.append(vectors([blocks(r["html"], shown) if shown else own])[0][at : at + TRAINED_BLOCKS])
+                labels.append(np.array([b.inside == "main" for b in own[at : at + TRAINED_BLOCKS]], np.float32))
+    for k, (page, y) in enumerate(invented()):
+        own = blocks(page, (SHOWN, SHOWN, SHOWN, PLAIN, SHOWN, NAMELESS)[k % 6])
         if len(own) == len(y):
             rows.append(vectors([own])[0])
             labels.append(np.array(y, np.float32))

@@ -79,3 +79,22 @@ def test_main_text_where_elements_tell(spark):
     assert len(got) == len(rows)
     want = {r.page_id: " ".join(b.text for b in htmltext.blocks(r.html or "") if b.inside == "main") for r in rows}
     assert sum(got[k] == w for k, w in want.items()) >= 0.99 * len(want)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Pages, and a labeller that has learnt from some of them; the others."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    part = lambda own: F.pmod(F.xxhash64("page_id"), F.lit(5)) == 0 if own else F.pmod(F.xxhash64("page_id"), F.lit(5)) != 0
+    return htmltext.train(pages.where(part(False))), [r.html or "" for r in pages.where(part(True)).orderBy("page_id").collect()]
+
+
+@needs_data
+@pytest.mark.parametrize("shown", [htmltext.NAMELESS, htmltext.PLAIN])
+def test_main_text_where_names_and_elements_are_hidden(labelled, shown):
+    """Of pages not learnt from: no class or id, and then plain divisions for all that tells."""
+    labeller, pages = labelled
+    own = [htmltext.blocks(p, shown) for p in pages]
+    found = labeller.label(htmltext.vectors(own))
+    whole = [all(k == (b.inside == "main") for k, b in zip(ks, bs, strict=True)) for ks, bs in zip(found, own, strict=True)]
+    assert np.mean(whole) >= 0.9

@@ -55,13 +55,35 @@ def test_long_pages_are_read_whole(labeller):
     assert htmltext.main_texts([page], labeller) == [" ".join(many)]
 
 
-def test_agrees_with_elements_that_tell(spark, labeller):
-    """Pages whose elements tell: the same text as a parse by elements alone."""
-    pages = [p for p, _ in htmltext.invented(80, seed=99)]
-    got = htmltext.main_texts(pages, labeller)
+@pytest.mark.parametrize("shown", [htmltext.SHOWN, htmltext.NAMELESS, htmltext.PLAIN])
+def test_agrees_with_the_labels_of_layouts_not_seen(labeller, shown):
+    """Against what the blocks are, as what elements tell is wrong in some of these pages."""
     agree = 0
-    for page, text in zip(pages, got, strict=True):
-        own = htmltext.blocks(page)
-        want = " ".join(b.text for b in own if b.inside == "main")
-        agree += not any(b.inside == "main" for b in own) or len(set(want.split()) & set(text.split())) >= 0.8 * len(set(want.split()))
-    assert agree >= 76
+    pages = htmltext.invented(80, seed=99)
+    own = [htmltext.blocks(p, shown) for p, _ in pages]
+    for blocks, found, (_, y) in zip(own, labeller.label(htmltext.vectors(own)), pages, strict=True):
+        want, got = ({w for b, k in zip(blocks, ks, strict=True) if k for w in b.text.split()} for ks in (y, found))
+        agree += len(want & got) >= 0.8 * len(want)
+    assert agree >= (70 if shown == htmltext.PLAIN else 76)  # without any name or telling element, some layouts are a guess
+
+
+def test_elements_whose_ends_are_left_out_keep_what_follows():
+    texts = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert texts("<head><title>T</title><p>Hello world, main text.</p>") == ["Hello world, main text."]
+    assert texts("<html><head><meta charset=x><title>T</title><link rel=a>Bare text<p>more") == ["Bare text", "more"]
+    assert texts("<div><p>a<button>x</p><p>b</p></div><p>c</p>") == ["a", "b", "c"]
+    for tag in ("object", "map", "select", "svg", "video"):
+        assert texts(f"<div><{tag}><p>fallback</p> <b>x</div><p>after</p>") == ["after"]
+        assert texts(f"<p>a</p><div><{tag}><div>in</div>in</{tag}>b</div>") == ["a", "b"]
+    assert texts("<svg><svg>x</svg>y</svg>z") == ["z"] and texts("<div><textarea></div><p>typed</textarea>b") == ["b"]
+    assert texts("<button/>a<body><p>b") == ["a", "b"]
+
+
+def test_names_can_be_hidden():
+    page = "<nav class='menu'><a href=x>Home</a></nav><article id='story'><p>Text.</p></article>"
+    shown, nameless, plain = ([b.place.path for b in htmltext.blocks(page, s)] for s in (htmltext.SHOWN, htmltext.NAMELESS, htmltext.PLAIN))
+    same = [b.place.path for b in htmltext.blocks("<div><a href=x>Home</a></div><div><p>Text.</p></div>")]
+    assert all((a == b).all() for a, b in zip(plain, same, strict=True))
+    assert all((a != b).any() and (b != c).any() for a, b, c in zip(shown, nameless, plain, strict=True))
+    assert [b.inside for b in htmltext.blocks(page, htmltext.PLAIN)] == ["around", "main"]  # a label, and no input
+    assert (htmltext.vectors([htmltext.blocks(page, htmltext.PLAIN)])[0] == htmltext.vectors([htmltext.blocks("<div><a href=x>Home</a></div><div><p>Text.</p></div>")])[0]).all()
