@@ -85,46 +85,40 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Each part's nearest entry and exact distance, and how many exact distances that took."""
     n, k = len(x), len(entries)
     each = np.arange(n)
-    if not x.shape[1]:
+    if not x.shape[1] or not n:
         return np.zeros(n, np.int64), np.zeros(n, x.dtype), 0
     x, entries = (x.astype(object), entries.astype(object)) if object in (x.dtype, entries.dtype) else (x, entries)
-    exact = lambda a, b: ((gap := x[a] - entries[b]) * gap).sum(axis=1)
-    row, entry = np.repeat(each, k), np.tile(np.arange(k), n)  # pairs that are left
-    done, computed = np.zeros((n, k), bool), 0
-    distances = np.zeros((n, k), x.dtype)
-    for level, m in enumerate(_levels(x.shape[1])):
+    none = 1 << 4200 if x.dtype == object else np.iinfo(np.int64).max  # above any distance
+    distances = np.full((n, k), none, x.dtype)
+    left, computed = np.ones((n, k), bool), 0
+
+    def exact(rows: np.ndarray, which: np.ndarray) -> None:
+        nonlocal computed
+        gap = x[rows] - entries[which]
+        distances[rows, which] = (gap * gap).sum(axis=1)
+        computed += len(rows)
+
+    large = x.dtype == object and any(abs(v) >> 500 for some in (x, entries) for v in some.ravel())  # no float holds their squares
+    for level, m in enumerate([] if large else _levels(x.shape[1])):
         mean, rest, size = _block_measures(x, m)
         mean_e, rest_e, size_e = _block_measures(entries, m)
-        bound = np.zeros(len(row))
-        for b in range(mean.shape[1]):
-            bound += np.square(mean[row, b] - mean_e[entry, b]) + np.square(rest[row, b] - rest_e[entry, b])
-        bound -= SLACK * (size[row] + size_e[entry]) + 1e-6
-        bound[np.isnan(bound)] = -np.inf  # squares above the largest float tell nothing
-        if not level:
-            first = bound.reshape(n, k).argmin(axis=1)
-            best = distances[each, first] = exact(each, first)
-            done[each, first] = True
-            computed += n
-        else:  # the least bound of what is left gives one more distance
-            order = np.lexsort((bound, row))
-            lead = order[np.concatenate(([True], row[order][1:] != row[order][:-1]))]
-            lead = lead[~done[row[lead], entry[lead]]]
-            distances[row[lead], entry[lead]] = exact(row[lead], entry[lead])
-            done[row[lead], entry[lead]] = True
-            computed += len(lead)
-            best[row[lead]] = np.minimum(best[row[lead]], distances[row[lead], entry[lead]])
-        kept = bound <= best[row].astype(np.float64) * (1 + SLACK)
-        row, entry = row[kept], entry[kept]
-    left = ~done[row, entry]
-    distances[row[left], entry[left]] = exact(row[left], entry[left])
-    done[row[left], entry[left]] = True
-    computed += int(left.sum())
-    # The least exact distance, and its first entry.
-    held = np.flatnonzero(done.ravel())
-    own, which, d = held // k, held % k, distances.ravel()[held]
-    order = np.lexsort((which, d, own)) if x.dtype != object else np.array(sorted(range(len(held)), key=lambda i: (own[i], d[i], which[i])))
-    lead = order[np.concatenate(([True], own[order][1:] != own[order][:-1]))]
-    return which[lead], d[lead], computed
+        bounds = np.full((n, k), np.inf)
+        if level:
+            row, entry = np.nonzero(left)
+            bound = sum(np.square(mean[row, b] - mean_e[entry, b]) + np.square(rest[row, b] - rest_e[entry, b]) for b in range(mean.shape[1])) - (SLACK * (size[row] + size_e[entry]) + 1e-6)
+        else:
+            row, entry = slice(None), slice(None)
+            bound = np.square(mean - mean_e[:, 0]) + np.square(rest - rest_e[:, 0]) - (SLACK * (size[:, None] + size_e) + 1e-6)
+        bounds[row, entry] = np.where(np.isnan(bound), -np.inf, bound)  # squares above the largest float tell nothing
+        first = bounds.argmin(axis=1)
+        new = np.flatnonzero(distances[each, first] == none)
+        exact(new, first[new])
+        least = distances.min(axis=1)
+        left = bounds <= least.astype(np.float64)[:, None] * (1 + SLACK)
+    rows, which = np.nonzero(left & (distances == none))
+    exact(rows, which)
+    code = distances.argmin(axis=1)  # the first of equal ones; entries that went are farther
+    return code, distances[each, code], computed
 
 
 def _sums(codebooks: list[np.ndarray], scale: int):
@@ -139,9 +133,11 @@ def _sums(codebooks: list[np.ndarray], scale: int):
                 for p, part in enumerate(np.split(x, len(codebooks), axis=1)):
                     codes, _, _ = nearest(part, codebooks[p])
                     counts[p] += np.bincount(codes, minlength=len(counts[p]))
-                    own = np.zeros(sums[p].shape, part.dtype)
-                    np.add.at(own, codes, part)
-                    sums[p] = sums[p] + own.astype(object)
+                    if part.dtype == object:
+                        np.add.at(sums[p], codes, part)
+                    else:  # sums of a batch are below 2 ** 53
+                        own = [np.bincount(codes, part[:, j], len(counts[p])) for j in range(part.shape[1])]
+                        sums[p] = sums[p] + np.array(own).T.reshape(sums[p].shape).astype(np.int64).astype(object)
         rows = [(p, e, int(c), [str(v) for v in sums[p][e]]) for p, own in enumerate(counts) for e, c in enumerate(own) if c]
         if rows:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())), strict=True)], ["part", "entry", "n", "sums"])
