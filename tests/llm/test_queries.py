@@ -36,10 +36,10 @@ def test_empty_tables_give_no_rows(spark, empty, name):
     assert QUERIES[name](spark, empty).collect() == []
 
 
-@pytest.mark.parametrize("name", list(ORACLE_SQL))
+@pytest.mark.parametrize("name", [n for n in ORACLE_SQL if n != "op11_vector_codes"])  # its vectors are longer: test_codes_audit_counts.py
 def test_sql_gives_the_same(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     if name == "op2_mtree_top_k":
         con.execute("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '" + folder + "/embeddings.parquet/*.parquet' WHERE len(embedding) = 4")
