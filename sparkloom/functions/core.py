@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from typing import Any
 
@@ -16,6 +17,10 @@ class Expr:
     def __init__(self, build: Callable[[DataFrame], Column], name: str | None = None) -> None:
         self.build, self.name = build, name
 
+    def __repr__(self) -> str:
+        """The operators and operands that it was made of: equal for equal expressions, in every run."""
+        return _described(self.build) + (f" AS {self.name}" if self.name else "")
+
     def alias(self, name: str) -> Expr:
         return Expr(self.build, name)
 
@@ -49,6 +54,17 @@ class Expr:
         return Expr(lambda df: ~self.build(df))
 
 
+def _described(x: Any) -> str:
+    """A function as its name, its code and what it has taken from around it; anything else as it prints."""
+    if isinstance(x, list | tuple):
+        return f"[{', '.join(map(_described, x))}]"
+    code = getattr(x, "__code__", None)
+    if code is None:
+        return repr(x)
+    held = [c.cell_contents for c in x.__closure__ or ()] + list(x.__defaults__ or ())
+    return f"{x.__qualname__}#{zlib.crc32(code.co_code + repr(code.co_names).encode()):08x}({', '.join(map(_described, held))})"
+
+
 def operand(x: Any, df: DataFrame) -> Column:
     """A right-hand side: expressions and columns as they are, all else a literal."""
     return x.build(df) if isinstance(x, Expr) else x if isinstance(x, Column) else F.lit(x)

@@ -132,11 +132,12 @@ def cast(x: Any, kind: str) -> Expr:
 
 
 def to_datetime(x: Any) -> Expr:
-    """A text with a zone, or without one as UTC, as a time; null where it is none."""
+    """A text with a zone, or without one as UTC, as a time; a date is its midnight; null where it is none."""
 
     def build(df: DataFrame) -> Column:
         own = F.trim(_of(x, df))
-        return F.when(own.rlike(r"(?i)(z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(own)).otherwise(F.try_to_timestamp(F.concat(own, F.lit("Z"))))
+        own = F.when(own.rlike(r"^\d+-\d\d-\d\d$"), F.concat(own, F.lit("T00:00:00"))).otherwise(own)
+        return F.when(own.rlike(r"(?i)(z|T.*[+-]\d\d:?\d\d| .*[+-]\d\d:?\d\d)$"), F.try_to_timestamp(own)).otherwise(F.try_to_timestamp(F.concat(own, F.lit("Z"))))
 
     return Expr(build)
 

@@ -29,12 +29,12 @@ class RecordId:
 
     @classmethod
     def parse(cls, text: str) -> RecordId:
-        """`t:key`; keys in <> or ⟨⟩ lose their brackets, and digits become an integer."""
+        """`t:key`; digits become an integer, but keys in <> or ⟨⟩ are text without their brackets. A text of digits prints as the integer does, so it is read back as one."""
         table, colon, key = text.partition(":")
         if not colon:
             raise IdError(f"not a record id: {text!r}")
         if len(key) > 1 and (key[0], key[-1]) in (("<", ">"), ("⟨", "⟩")):
-            key = key[1:-1]
+            return cls(table, key[1:-1])
         return cls(table, int(key) if _DIGITS.fullmatch(key) else key)
 
     def __str__(self) -> str:

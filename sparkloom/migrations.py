@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from .sources.store import Table
 
+# Fixed value: the form of a migration's file name.
 _FILE = re.compile(r"(\d{8}_\d{6})_(\w+)\.sql")
 HISTORY = T.StructType([T.StructField("id", T.StringType()), T.StructField("description", T.StringType()), T.StructField("checksum", T.StringType()), T.StructField("milliseconds", T.LongType())])
 
@@ -38,9 +39,9 @@ class Migration:
 
 
 def statements(text: str) -> tuple[str, ...]:
-    """The statements of a text; semicolons inside quotes don't end one."""
-    found = re.findall(r"(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|[^;'\"])+", text)
-    return tuple(s for x in found if (s := re.sub(r"^\s*--[^\n]*$", "", x, flags=re.M).strip()))
+    """The statements of a text; semicolons inside quotes and comments don't end one."""
+    found = re.findall(r"(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?(?:\*/|\Z)|[^;'\"])+", text, re.S)
+    return tuple(s for x in found if (s := re.sub(r"^\s*--[^\n]*$|\A\s*/\*.*?(?:\*/|\Z)\s*", "", x, flags=re.M | re.S).strip()))
 
 
 def discover(folder: str | Path) -> list[Migration]:

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 METRICS = ("cosine", "euclidean", "manhattan", "minkowski", "chebyshev", "hamming", "jaccard", "pearson", "mahalanobis")
 #: The order of the Minkowski distance.
 MINKOWSKI_P = 3
-#: Vectors of a block in a join, and queries up to which their blocks are broadcast.
-BLOCK, BROADCAST_ROWS = 512, 100_000
+#: Vectors of a block in a join, and bytes of queries up to which their blocks are broadcast.
+BLOCK, BROADCAST_BYTES = 512, 1 << 26
 
 
 def _sum(x: Column) -> Column:
@@ -174,12 +174,12 @@ def _nearest_in_blocks(queries: DataFrame, rows: DataFrame, column: str, k: int,
     """query, key and Euclidean distance of the k nearest rows of each query in every block of rows."""
     whole = F.col(column).isNotNull() & F.forall(F.col(column), lambda v: v.isNotNull()) & F.col(key).isNotNull()
     packed = []
-    asked = queries.where(whole).select(key, _doubles(F.col(column)))
-    n = asked.count()
+    asked = queries.where(whole).select(key, _doubles(F.col(column)).alias(column))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0)) * 8).first()
     for name, df in (("asked", asked.repartition(max(1, math.ceil(n / BLOCK)))), ("rows", rows.where(whole).select(key, _doubles(F.col(column))))):
         kind = T.ArrayType(df.schema[key].dataType)
         packed.append(df.mapInArrow(_packed(name), T.StructType([T.StructField(f"{name}_size", T.IntegerType()), T.StructField(f"{name}_keys", kind), T.StructField(name, T.BinaryType())])))
-    pairs = packed[1].crossJoin(F.broadcast(packed[0]) if n <= BROADCAST_ROWS else packed[0])
+    pairs = packed[1].crossJoin(F.broadcast(packed[0]) if size <= BROADCAST_BYTES else packed[0])
     found = T.StructType([T.StructField("query", queries.schema[key].dataType), T.StructField(key, rows.schema[key].dataType), T.StructField("distance", T.DoubleType())])
     return pairs.mapInArrow(_closest(k, key), found)
 

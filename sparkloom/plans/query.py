@@ -38,6 +38,8 @@ class Database:
     #: The column whose value is the key in a table's ids, and edges by such keys in place of ids.
     keys: dict[str, str] = default(default_factory=dict)
     keyed: dict[str, DataFrame] = default(default_factory=dict)
+    #: The tables at the ends of such edges: in and out.
+    ends: dict[str, tuple[str, str]] = default(default_factory=dict)
     #: Stored vector indexes by table and column, and text indexes; whoever changes a table appends to its indexes.
     indexes: dict[tuple[str, str], VectorIndex] = default(default_factory=dict)
 
@@ -55,6 +57,27 @@ class Database:
         rule = self.permissions.get(name)
         return df if rule is None else df.where(dml.holds(rule, df))
 
+    def edges_at(self, name: str, record: str, direction: str = graph.OUT) -> DataFrame:
+        """The edges (in, out) at a record: by keys, which the scan can use, where the database has them."""
+        if name not in self.ends or name in self.permissions:
+            return graph.edges_of(self.table(name), record, direction)
+        parsed, df, out = RecordId.parse(record), self.keyed[name], F.lit(False)
+        for side, table in zip(("in", "out"), self.ends[name], strict=True):
+            if parsed.table == table and direction in (graph.BOTH, graph.OUT if side == "in" else graph.IN):
+                out = out | (F.col(side) == F.lit(parsed.key).try_cast(df.schema[side].dataType))
+        return df.where(out)
+
+    def related(self, name: str, record: str, direction: str = graph.OUT) -> DataFrame:
+        """The rows at the other ends of a record's edges, once for every edge."""
+        if name not in self.ends or any(t in self.views for t in self.ends[name]):
+            raise ValueError(f"the database has no keys for {name}")
+        if direction == graph.BOTH:
+            raise ValueError("related records go one way: out or in")
+        side, table = ("out", self.ends[name][1]) if direction == graph.OUT else ("in", self.ends[name][0])
+        rows = self.table(table)
+        at = self.edges_at(name, record, direction).select(F.col(side).alias("_far"))
+        return at.join(rows, F.col("_far") == rows[self.keys[table]]).drop("_far")
+
     def sql(self, text: str, args: Mapping[str, Any] | None = None) -> DataFrame:
         """Spark SQL over the tables and views; `:name` are bound values."""
         for name in [*self.tables, *self.views]:

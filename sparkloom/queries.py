@@ -40,6 +40,7 @@ def database(spark: SparkSession, sf_dir: str) -> Database:
         db.tables[name] = read(table).select(record_id(a, a_key).alias("in"), record_id(b, b_key).alias("out"))
         db.keyed[name] = read(table).select(F.col(a_key).alias("in"), F.col(b_key).alias("out"))
         db.edges.add(name)
+        db.ends[name] = (a, b)
     db.tables["supplies"] = read("lineitem").select(record_id("supplier", "l_suppkey").alias("in"), record_id("part", "l_partkey").alias("out")).distinct()
     db.edges.add("supplies")
     return db
@@ -285,12 +286,12 @@ def q_both(db):
 
 @query("SELECT count(*) AS n FROM orders WHERE o_custkey = 5")
 def q_count_related(db):
-    return graph.edges_of(db.tables["placed"], "customer:5").agg(F.count("*").alias("n"))
+    return db.edges_at("placed", "customer:5").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 5")
 def q_related(db):
-    return graph.related(db.tables["placed"], db.tables["orders"], "customer:5").select("o_orderkey", "o_totalprice")
+    return db.related("placed", "customer:5").select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 5 AND o_totalprice > 2000")
@@ -758,6 +759,70 @@ def q_reachable_from_many(db):
     return graph.distances(db.tables["contains"], at, 2, graph.BOTH)
 
 
+@query("""
+    WITH e AS (SELECT l_orderkey AS o, l_partkey AS p, count(*) AS n FROM lineitem GROUP BY ALL),
+    one AS (SELECT p, n FROM e WHERE o = 1),
+    two AS (SELECT e.o, sum(one.n * e.n) AS n FROM one JOIN e USING (p) GROUP BY 1),
+    three AS (SELECT e.p, sum(two.n * e.n) AS n FROM two JOIN e USING (o) GROUP BY 1)
+    SELECT 'orders:' || e.o AS node, CAST(sum(three.n * e.n) AS BIGINT) AS paths FROM three JOIN e USING (p) GROUP BY 1""")
+def q_paths_counted(db):
+    """How many paths of four hops lead from an order to each order that shares parts with it: numbers, not rows."""
+    at = db.tables["orders"].where("o_orderkey = 1")
+    return graph.counted(graph.starts(at), db.tables["contains"], graph.BOTH, 4).select("node", "paths")
+
+
+@query("""
+    WITH e AS (SELECT l_orderkey AS o, l_partkey AS p, count(*) AS n FROM lineitem GROUP BY ALL),
+    two AS (SELECT e.o, sum(one.n * e.n) AS n FROM e one JOIN e USING (p) WHERE one.o = 1 GROUP BY 1)
+    SELECT 'part:' || e.p AS node, CAST(sum(two.n * e.n) AS BIGINT) AS times FROM two JOIN e USING (o) GROUP BY 1""")
+def q_paths_repeated(db):
+    """The same by rows: a node is there once for every path of three hops."""
+    found = graph.GraphQuery("orders:1").out("contains").in_("contains").out("contains").to_df(db.tables)
+    return found.groupBy("node").agg(F.count("*").alias("times"))
+
+
+@query("""
+    WITH RECURSIVE e AS (
+      SELECT 'customer:' || o_custkey AS a, 'orders:' || o_orderkey AS b FROM orders
+      UNION SELECT 'orders:' || l_orderkey, 'part:' || l_partkey FROM lineitem),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r(node, hops) AS (SELECT 'customer:11', 0 UNION SELECT s.b, hops + 1 FROM r JOIN s ON s.a = r.node WHERE hops < 4)
+    SELECT node, CAST(min(hops) AS INTEGER) AS hops, true AS along_edges FROM r WHERE node IN ('customer:1', 'customer:2', 'part:7') GROUP BY node""")
+def q_shortest_paths_both_ends(db):
+    """Least hops along edges in either direction, by frontiers from both ends; each path's edges exist."""
+    e = db.tables["placed"].unionByName(db.tables["contains"])
+    both = e.unionByName(e.select(F.col("out").alias("in"), F.col("in").alias("out"))).distinct()
+    known = both.select(F.struct("in", "out").alias("edge"))
+    out = None
+    for end in ("customer:1", "customer:2", "part:7"):
+        path = graph.shortest(both, "customer:11", end, 4)
+        steps = path.select(F.lit(end).alias("node"), "hops", F.explode("edges").alias("edge"))
+        held = steps.join(known, "edge", "left_semi").groupBy("node", "hops").agg((F.count("*") == F.col("hops")).alias("along_edges"))
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
+@query("""
+    WITH a AS (SELECT l_orderkey AS o, list(l_partkey ORDER BY l_linenumber, l_partkey) || [-1] AS keys FROM lineitem GROUP BY 1)
+    SELECT o, list(p_name ORDER BY place) AS names
+    FROM (SELECT o, unnest(keys) AS k, unnest(range(len(keys))) AS place FROM a) LEFT JOIN part ON p_partkey = k GROUP BY o""")
+def q_fetch_array(db):
+    """An order's parts in the order of its lines, repeats among them, in place of an array of links; one link has no record."""
+    links = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("part:"), x["l_partkey"].cast("string")))
+    rows = db.tables["lineitem"].groupBy(F.col("l_orderkey").alias("o")).agg(F.concat(links, F.array(F.lit("part:-1"))).alias("parts"))
+    found = graph.fetch(rows, "parts", db.tables["part"].select("id", "p_name"))
+    return found.select("o", F.transform("parts", lambda x: x["p_name"]).alias("names"))
+
+
+@query("SELECT o_orderkey, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+def q_fetch_path(db):
+    """A link inside a record that was fetched."""
+    customers = db.tables["customer"].select("id", record_id("nation", "c_nationkey").alias("nation"))
+    rows = db.tables["orders"].select("o_orderkey", record_id("customer", "o_custkey").alias("customer"))
+    both = graph.fetch(graph.fetch(rows, "customer", customers), "customer.nation", db.tables["nation"].select("id", "n_name"))
+    return both.select("o_orderkey", F.col("customer.nation.n_name").alias("n_name"))
+
+
 # Definitions, typed rows, results and helpers
 
 
@@ -1107,6 +1172,44 @@ def q_live_query(db):
     return db.spark.table(name)
 
 
+@query("""
+    WITH e AS (SELECT event_type, CASE WHEN event_type <> 'error' THEN value END AS value FROM events WHERE event_type <> 'click'
+               AND NOT (event_type = 'view' AND value >= (SELECT max(value) FROM events WHERE event_type = 'view')))
+    SELECT event_type, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, count(DISTINCT round(value)) AS kinds FROM e GROUP BY 1""")
+def q_view_extremes(db):
+    """Least, largest, mean and distinct values follow updates and the deletion of the extremes; groups that end go."""
+    table = Table(db.spark, scratch(db.spark, "events"), _EVENTS, originals=True)
+    table.insert(db.tables["events"].select(record_id("events", "event_id").alias("id"), "event_type", "value"))
+    values = {"least": F.min("value"), "most": F.max("value"), "mean": F.round(F.avg("value"), 6), "kinds": F.count_distinct(F.round("value"))}
+    view = feeds.QueryView({"e": table}, scratch(db.spark, "view"), lambda t: t["e"], ("event_type",), values)
+    view.refresh()
+    table.update({"value": F.lit(None)}, p.eq("event_type", "error"))
+    top = table.read().where("event_type = 'view'").agg(F.max("value")).first()[0]
+    table.delete(p.and_(p.eq("event_type", "view"), p.gte("value", top)))
+    view.refresh()
+    table.delete(p.eq("event_type", "click"))
+    view.refresh()
+    return view.read()
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, max(o_totalprice) AS most, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 10 <> 3 AND o_orderkey % 7 <> 0 GROUP BY 1")
+def q_view_of_join(db):
+    """A view of a join, both of whose sides change before it follows."""
+    kind = lambda *more: T.StructType([T.StructField("id", T.StringType()), *(T.StructField(n, t) for n, t in more)])
+    customers = Table(db.spark, scratch(db.spark, "customers"), kind(("segment", T.StringType()), ("k", T.LongType())), originals=True)
+    orders = Table(db.spark, scratch(db.spark, "orders"), kind(("customer", T.StringType()), ("price", T.DoubleType()), ("k", T.LongType())), originals=True)
+    customers.insert(db.tables["customer"].select("id", F.when(F.col("c_custkey") % 5 == 0, "none").otherwise(F.col("c_mktsegment")).alias("segment"), F.col("c_custkey").alias("k")))
+    orders.insert(db.tables["orders"].select("id", record_id("customer", "o_custkey").alias("customer"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderkey").alias("k")))
+    joined = lambda t: t["o"].join(t["c"].select(F.col("id").alias("customer"), "segment"), "customer")
+    view = feeds.QueryView({"o": orders, "c": customers}, scratch(db.spark, "view"), joined, ("segment",), {"n": F.count("*"), "most": F.max("price"), "customers": F.count_distinct("customer")})
+    view.refresh()
+    customers.merge(db.tables["customer"].where("c_custkey % 5 = 0").select("id", F.col("c_mktsegment").alias("segment")))
+    customers.delete("k % 10 = 3")
+    orders.delete("k % 7 = 0")
+    view.refresh()
+    return view.read()
+
+
 @query("SELECT event_type, count(*) AS total, round(sum(value), 4) AS value FROM events WHERE event_type NOT IN ('click', 'error') GROUP BY 1 UNION ALL SELECT 'error', count(*), 0.0 FROM events WHERE event_type = 'error'")
 def q_maintained_view(db):
     kept = T.StructType([T.StructField("id", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("total", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("value", T.DoubleType())])

@@ -8,6 +8,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: File systems on which a rename is one step, and fails if the name exists.
+ONE_STEP = ("hdfs", "viewfs", "webhdfs", "abfs", "abfss", "file")
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's path class and file system for a path."""
     make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -40,7 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def publish(spark: SparkSession, staged: str, to: str, overwrite: bool = False) -> bool:
-    """Renames a file or folder in one step. Whether it did: a name that exists stays as it is, unless overwritten."""
+    """Renames a file or folder in one step. Whether it did: a name that exists stays as it is, unless overwritten.
+
+    Only file systems that rename in one step will do; on one machine's own two writers at the very same moment are not told apart.
+    """
+    scheme = filesystem(spark, to)[1].getScheme()
+    if scheme not in ONE_STEP:
+        raise NotImplementedError(f"{scheme} doesn't rename in one step: keep tables with a history on one of {', '.join(ONE_STEP)}")
     jvm = spark.sparkContext._jvm
     path, options = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options.Rename
     how = spark.sparkContext._gateway.new_array(options, int(overwrite))

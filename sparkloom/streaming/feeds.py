@@ -103,6 +103,69 @@ class CountedView:
         return self.target.read().where("total > 0").drop("id", "seen")
 
 
+@dataclass
+class QueryView:
+    """Any grouped query over tables, kept current: only groups that changed rows belong to are computed again.
+
+    `rows` makes of the tables' rows, by name, those that are grouped, such as a join; `values` are any aggregates by name.
+    The groups of changed rows are found among what the tables had and have, so a join whose sides change together misses none.
+    """
+
+    sources: dict[str, Table]
+    root: str
+    rows: Callable[[dict[str, DataFrame]], DataFrame]
+    groups: tuple[str, ...]
+    values: dict[str, Column]
+
+    def _query(self, rows: DataFrame) -> DataFrame:
+        own = rows.groupBy(*self.groups).agg(*[v.alias(n) for n, v in self.values.items()])
+        return own.withColumn("id", F.concat(F.lit("view:"), F.to_json(F.struct(*self.groups))))  # a null group lacks its field
+
+    @property
+    def target(self) -> Table:
+        kind = self._query(self.rows({n: t.read(0) for n, t in self.sources.items()})).schema
+        return Table(next(iter(self.sources.values())).spark, self.root, T.StructType([*kind.fields, T.StructField("seen", T.LongType())]))
+
+    def refresh(self) -> int:
+        """Brings the view to the tables' versions now, by one commit; returns how many groups were computed."""
+        target = self.target
+        held, now = target.read(), {n: t.version() for n, t in self.sources.items()}
+        seen = {r["id"]: r["seen"] for r in held.where("id LIKE 'seen:%'").select("id", "seen").collect()}  # a row for each table
+        whole = {n: t.read(now[n]) for n, t in self.sources.items()}
+        touched = None
+        if seen:
+            moved = {n: self._moved(t, seen[f"seen:{n}"], now[n]) for n, t in self.sources.items()}
+            wide = {n: whole[n].unionByName(moved[n]) for n in whole}
+            for n in self.sources:
+                if seen[f"seen:{n}"] < now[n]:
+                    some = self.rows({**wide, n: moved[n]}).select(*self.groups)
+                    touched = some if touched is None else touched.unionByName(some)
+            if touched is None:
+                return 0
+            touched = cut(touched.distinct())
+        rows = self.rows(whole)
+        if touched is not None:
+            same = [rows[g].eqNullSafe(touched[g]) for g in self.groups]
+            rows = rows.join(touched, same, "left_semi")
+        fresh = cut(self._query(rows).withColumn("seen", F.lit(None).cast("long")))
+        marks = held.sparkSession.createDataFrame([(f"seen:{n}", v) for n, v in now.items()], "id string, seen long")
+        before = held if touched is None else held.join(touched.select(F.concat(F.lit("view:"), F.to_json(F.struct(*self.groups))).alias("id")), "id", "left_semi").unionByName(held.where("id LIKE 'seen:%'"))
+        target.commit(target._changes(before, fresh.unionByName(marks, allowMissingColumns=True)), target.version())
+        return fresh.count()
+
+    @staticmethod
+    def _moved(table: Table, since: int, until: int) -> DataFrame:
+        """All rows that changes since a version have made or ended."""
+        if not table.originals:
+            raise ValueError("a view needs tables that keep originals")
+        log = table.log(since + 1, until)
+        sides = [log.where(F.col(s).isNotNull()).select(f"{s}.*") for s in ("row", "original")]
+        return sides[0].unionByName(sides[1])
+
+    def read(self) -> DataFrame:
+        return self.target.read().where("id NOT LIKE 'seen:%'").drop("id", "seen")
+
+
 def windowed(stream: DataFrame, time: str, length: str, late: str, *keys: Any, slide: str | None = None, **values: Column) -> DataFrame:
     """Aggregates by time window, tumbling or sliding, of rows that are at most `late` behind."""
     own = stream.withWatermark(time, late)
