@@ -7,7 +7,8 @@ dealt at random, whatever their documents, into cells of about CELL pieces; each
 cell is packed by ISLANDS populations in tasks of their own.  An individual is
 a grouping of the cell's pieces into bins.  Crossover injects a parent's
 well-filled bins whole into the other parent, takes out the bins that hold a
-piece twice, and puts the displaced pieces where they fit best.  After each
+piece twice, and puts the displaced pieces where they fit best, or in place of
+smaller ones where that fills a bin better.  After each
 epoch every island's elite also goes to the next island; at the end the best
 island's grouping stays.  Then the bins with room left, of all cells, are dealt
 to new cells and evolve once more, from the grouping they have, so a cell loses
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import json
 import math
 import os
@@ -50,9 +52,14 @@ END = (0).to_bytes(4, "little")
 
 
 class Marked:
-    """Texts to ids, where added tokens stand for themselves and part the text."""
+    """Texts to ids, where added tokens stand for themselves and part the text.
 
-    def __init__(self, plain: Cached, added: list[dict]) -> None:
+    The two libraries know different versions of Unicode: a text with a code point that they don't put into the same class
+    gets its ids from the tokenizers library itself.
+    """
+
+    def __init__(self, plain: Cached, added: list[dict], file: str | None = None) -> None:
+        self.file, self.differs = file, {}
         for x in added:
             if x["single_word"] or x["lstrip"] or x["rstrip"]:
                 raise NotImplementedError(f"added token {x['content']!r} that depends on its surroundings")
@@ -60,7 +67,31 @@ class Marked:
         names = list(map(regex.escape, sorted(self.added, key=len, reverse=True)))
         self.split = regex.compile(f"({'|'.join(names)})").split if names else lambda text: [text]
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
+    def _own(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _differs(self, point: str) -> bool:
+        """Whether the libraries part letters, digits or marks and a code point in different ways."""
+        if point not in self.differs:
+            tries = [x + point for x in "a1!"]
+            self.differs[point] = self.plain.ids(tries) != [self._own(x) for x in tries]
+        return self.differs[point]
+
     def ids(self, texts: Sequence[str | None]) -> list[bytes]:
+        if self.file:
+            odd = {k for k, t in enumerate(texts) if t and not t.isascii() and any(self._differs(c) for c in set(t) if not c.isascii())}
+            if odd:
+                rest = iter(self._marked([t for k, t in enumerate(texts) if k not in odd]))
+                return [self._own(t) if k in odd else next(rest) for k, t in enumerate(texts)]
+        return self._marked(texts)
+
+    def _marked(self, texts: Sequence[str | None]) -> list[bytes]:
         parts = [self.split(t or "") for t in texts]  # every second one is an added token
         own = iter(self.plain.ids([x for p in parts for x in p[::2]]))
         return [b"".join(self.added[x] if k % 2 else next(own) for k, x in enumerate(p)) for p in parts]
@@ -82,7 +113,7 @@ def tokenizer(path: str, pattern: str) -> Marked:
     if os.path.exists(file):
         with open(file, encoding="utf-8") as text:
             added = json.load(text)["added_tokens"]
-    return Marked(plain, added)
+    return Marked(plain, added, file if os.path.exists(file) else None)
 
 
 def starts(n: int, capacity: int) -> list[int]:
@@ -147,6 +178,44 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int, bins: Bins | N
     return out
 
 
+def exchanged(sizes: np.ndarray, loose: np.ndarray, capacity: int, out: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """out with the loose pieces placed (theirs are -1), before any new bin is begun.
+
+    The largest loose piece goes where it fits best. Where it fits nowhere, it takes the place of the smallest piece that it can
+    stand for, in the room of that piece's bin; the bin gets fuller, and the smaller piece is loose instead. What is left in the
+    end is placed by best fit.
+    """
+    n = int(out.max(initial=-1)) + 1
+    rooms = capacity - np.bincount(out[out >= 0], sizes[out >= 0], minlength=n).astype(np.int64)
+    queue = [(-int(sizes[i]), int(i)) for i in loose]
+    heapq.heapify(queue)
+    left = []
+    for _ in range(4 * len(loose) + 40 if steps is None else steps):
+        if not queue:
+            break
+        size, i = queue[0][0] * -1, queue[0][1]
+        fits = np.flatnonzero(rooms >= size)
+        if len(fits):
+            heapq.heappop(queue)
+            out[i] = fits[rooms[fits].argmin()]
+            rooms[out[i]] -= size
+            continue
+        gain = size - sizes
+        gain[(out < 0) | (gain <= 0) | (gain > rooms[out])] = 0
+        j = int(gain.argmax())
+        if not gain[j]:
+            left.append(heapq.heappop(queue)[1])
+            continue
+        out[i], out[j] = out[j], -1
+        rooms[out[i]] -= gain[j]
+        heapq.heapreplace(queue, (-int(sizes[j]), j))
+    rest = np.array([*left, *(i for _, i in queue)], np.int64)
+    bins = Bins(capacity)
+    for room in rooms.tolist():
+        bins.add(room)
+    return best_fit(sizes, rest[np.argsort(-sizes[rest], kind="stable")], capacity, bins, out)
+
+
 def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones: the mean of squared fills. The smaller, the fitter."""
     fill = np.bincount(bins, sizes) / capacity
@@ -155,11 +224,11 @@ def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, fl
 
 
 def crossover(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """one, with a share of two's well-filled bins injected."""
-    fill = np.bincount(two, sizes)
-    good = np.flatnonzero(fill >= np.quantile(fill[fill > 0], 0.5))
+    """one, with some of two's bins injected, of those that are fuller than most bins of both."""
+    fill, other = np.bincount(two, sizes), np.bincount(one, sizes)
+    good = np.flatnonzero(fill >= np.quantile(np.concatenate((fill[fill > 0], other[other > 0])), 0.5))
     injected = np.zeros(len(fill), bool)
-    injected[rng.permutation(good)[: max(1, int(len(good) * rng.uniform(0.1, 0.5)))]] = True
+    injected[rng.permutation(good)[: max(1, int(len(good) * rng.uniform(0.02, 0.2)))]] = True
     given = injected[two]
     broken = np.zeros(one.max() + 1, bool)
     broken[one[given]] = True
@@ -170,30 +239,20 @@ def crossover(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, capacity: int
     out[stay] = out_kept
     new, out_new = np.unique(two[given], return_inverse=True)
     out[given] = out_new + len(kept)
-    rooms = capacity - np.bincount(out[out >= 0], sizes[out >= 0], minlength=len(kept) + len(new)).astype(int)
-    bins = Bins(capacity)
-    for room in rooms.tolist():
-        bins.add(room)
-    rest = np.flatnonzero(loose)
-    return best_fit(sizes, rest[np.argsort(-sizes[rest], kind="stable")], capacity, bins, out)
+    return exchanged(sizes, np.flatnonzero(loose), capacity, out)
 
 
 def mutated(bins: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """bins without its emptiest and some others, whose pieces go in anew, in an order with some noise."""
+    """bins without its emptiest and a few others, whose pieces go in anew."""
     _, own = np.unique(bins, return_inverse=True)
     fill = np.bincount(own, sizes)
     out = np.zeros(len(fill), bool)
-    out[np.argsort(fill)[: max(1, len(fill) // 20)]] = True
-    out[rng.integers(0, len(fill), max(1, len(fill) // 10))] = True
-    loose = np.flatnonzero(out[own])
+    out[np.argsort(fill)[: rng.integers(1, 4)]] = True
+    out[rng.integers(0, len(fill), rng.integers(1, 6))] = True
     _, kept = np.unique(own[~out[own]], return_inverse=True)
     new = np.full(len(bins), -1)
     new[~out[own]] = kept
-    found = Bins(capacity)
-    for room in (capacity - np.bincount(new[new >= 0], sizes[new >= 0], minlength=int(kept.max(initial=-1)) + 1)).astype(int).tolist():
-        found.add(room)
-    noisy = sizes[loose] * rng.uniform(0.8, 1.2, len(loose))
-    return best_fit(sizes, loose[np.argsort(-noisy, kind="stable")], capacity, found, new)
+    return exchanged(sizes, np.flatnonzero(out[own]), capacity, new)
 
 
 def evolve(sizes: np.ndarray, seeds: Sequence[np.ndarray], capacity: int, rng: np.random.Generator, children: int = CHILDREN) -> np.ndarray:

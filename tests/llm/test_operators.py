@@ -296,3 +296,33 @@ def test_shards_merge_by_tier_and_commit_once(spark, tmp_path):
     assert shards.version() == version and shards.manifest().collect() == before
     shards.append(part(9).limit(0))
     assert shards.version() == version + 1 and shards.read().count() == 4000
+
+
+def test_crossovers_win_bins():
+    """Sizes that best fit is bad at: crossovers and exchanges beat it by far; every piece stays once."""
+    for low, high, gain in ((400, 1100, 20), (600, 1000, 30), (500, 900, 40)):
+        sizes = np.random.default_rng(5).integers(low, high, 2000)
+        best, made, plain = packing._evolved(sizes, [], 2048, np.random.default_rng(1))
+        assert made == packing.CHILDREN and len(np.unique(best)) <= plain - gain * 2000 // 4096
+        assert len(best) == 2000 and np.bincount(best, sizes).max() <= 2048 and best.min() >= 0
+
+
+def test_exchanges_make_room():
+    sizes = np.array([1000, 900, 1000, 900, 140, 140])
+    out = np.array([0, 0, 1, 1, -1, -1])
+    got = packing.exchanged(sizes, np.array([4, 5]), 2048, out.copy())
+    assert got.max() == 1 and np.bincount(got, sizes).max() <= 2048
+    got = packing.exchanged(np.array([1000, 1000, 1040, 1030, 48]), np.array([2, 3, 4]), 2048, np.array([0, 0, -1, -1, -1]))
+    assert (got >= 0).all() and np.bincount(got, [1000, 1000, 1040, 1030, 48]).max() <= 2048
+    assert packing.exchanged(np.array([5, 7]), np.array([0, 1]), 10, np.array([-1, -1])).tolist() in ([1, 0], [0, 1])
+
+
+def test_code_points_that_libraries_class_differently():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    texts = ["a՘b", "՘՘ x", "꟒ <|endoftext|> é", "\U00010940!", *("".join(rng.choices(["a", " ", "՘", "࢏", "1", "é", "漢", "\U000107bb"], k=20)) for _ in range(200))]
+    assert [len(x) // 4 for x in own.ids(texts)] == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
