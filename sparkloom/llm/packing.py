@@ -178,7 +178,7 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int, bins: Bins | N
     return out
 
 
-def exchanged(sizes: np.ndarray, loose: np.ndarray, capacity: int, out: np.ndarray, steps: int | None = None) -> np.ndarray:
+def exchanged(sizes: np.ndarray, loose: np.ndarray, capacity: int, out: np.ndarray) -> np.ndarray:
     """out with the loose pieces placed (theirs are -1), before any new bin is begun.
 
     The largest loose piece goes where it fits best. Where it fits nowhere, it takes the place of the smallest piece that it can
@@ -190,8 +190,8 @@ def exchanged(sizes: np.ndarray, loose: np.ndarray, capacity: int, out: np.ndarr
     queue = [(-int(sizes[i]), int(i)) for i in loose]
     heapq.heapify(queue)
     left = []
-    for _ in range(4 * len(loose) + 40 if steps is None else steps):
-        if not queue:
+    for _ in range(4 * len(loose) + 40):
+        if not queue or not n:
             break
         size, i = queue[0][0] * -1, queue[0][1]
         fits = np.flatnonzero(rooms >= size)
