@@ -37,6 +37,17 @@ class Cache:
             self.evictions += 1
         return df
 
+    def plan(self, df: DataFrame, tables: Iterable[str] = (), ttl: float | None = None) -> DataFrame:
+        """df, kept under what its plan computes: another plan that computes the same finds it, whoever has made it.
+
+        A read of a table with a history names its version, so after a commit the plan is another one. Of files that are
+        written anew under the same path the plan knows nothing: name their tables, and invalidate them.
+        """
+        key = f"plan:{df.semanticHash()}"
+        while key in self.entries and not self.entries[key][0].sameSemantics(df):  # plans that share a number
+            key += "+"
+        return self.get_or_set(key, lambda: df, tables, ttl)
+
     def drop(self, key: str) -> bool:
         if key not in self.entries:
             return False

@@ -18,6 +18,7 @@ from .ids import RecordId, record_id
 from .operators import dml, fulltext, graph, vector
 from .operators.vectorindex import CodeIndex, GraphIndex, VectorIndex
 from .plans import Database, Query, helpers, hints
+from .plans.session import Forbidden, Session
 from .shared import scratch
 from .sources import Bucket, Conflict, Sequence, Store, Table, Transaction, Work
 from .streaming import feeds
@@ -1133,6 +1134,50 @@ def q_store_transactions(db):
     return _rows_of(store)
 
 
+@query("""
+    SELECT who, count(*) FILTER (NOT (who = 'BUILDING' AND k % 3 = 0)) AS seen, CAST(sum(changed) FILTER (NOT (who = 'BUILDING' AND k % 3 = 0)) AS BIGINT) AS changed, sum(placed) FILTER (NOT (who = 'BUILDING' AND k % 3 = 0)) AS placed
+    FROM (SELECT c_custkey AS k, c_mktsegment AS who, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS changed, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS placed FROM customer)
+    WHERE who IN ('BUILDING', 'MACHINERY') GROUP BY who""")
+def q_caller_session(db):
+    """Two callers see, change and follow different rows of the same tables; neither may write the other's."""
+    kind = T.StructType([T.StructField("id", T.StringType()), T.StructField("segment", T.StringType()), T.StructField("k", T.LongType()), T.StructField("changed", T.LongType())])
+    table = Table(db.spark, scratch(db.spark, "customers"), kind, originals=True)
+    table.insert(db.tables["customer"].select("id", F.col("c_mktsegment").alias("segment"), F.col("c_custkey").cast("long").alias("k"), F.lit(0).cast("long").alias("changed")))
+    own = lambda caller: p.eq("segment", caller["segment"])
+    rules = {"customer": {"select": own, "create": own, "update": own, "delete": own}}
+    one, two = (Session(db, {"segment": s}, rules, {"customer": table}) for s in ("BUILDING", "MACHINERY"))
+    one.delete("customer", "k % 3 = 0")
+    two.update("customer", {"changed": F.lit(1).cast("long")})
+    for s in (one, two):
+        try:
+            s.insert("customer", db.spark.createDataFrame([("customer:-1", "FURNITURE", -1, 5)], kind))
+        except Forbidden:
+            continue
+        raise AssertionError("a row of nobody's")
+    out = None
+    for s in (one, two):
+        shown = s.read("customer").agg(F.count("*").alias("seen"), F.sum("changed").alias("changed"))
+        placed = s.run(Query().from_table("customer").traverse("->placed->orders")).agg(F.count("*").alias("placed"))
+        row = shown.join(F.broadcast(placed), F.lit(True)).select(F.lit(s.caller["segment"]).alias("who"), "seen", "changed", "placed")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS v FROM events WHERE event_type <> 'click' AND event_type <> 'error' GROUP BY 1")
+def q_cached_by_plan(db):
+    """The same plan twice is computed once; after a commit to its table it is another plan."""
+    table, cache = _history(db), Cache()
+    make = lambda: table.read().groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"))
+    first = cache.plan(make())
+    if cache.plan(make()) is not first or (cache.hits, cache.misses) != (1, 1):
+        raise AssertionError("an equal plan wasn't found")
+    table.delete(p.eq("event_type", "error"))
+    out = cache.plan(make())
+    if cache.misses != 2:
+        raise AssertionError("a commit wasn't seen")
+    return out
+
+
 @query("""
     SELECT 'before' AS at, count(*) AS n, count(value) AS v FROM events
     UNION ALL SELECT 'between', count(*), count(value) FILTER (event_type <> 'error') FROM events
