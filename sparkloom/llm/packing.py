@@ -51,6 +51,15 @@ POPULATION = 6
 END = (0).to_bytes(4, "little")
 
 
+def _beyond_latin(text: str) -> bool:
+    """Whether a text has code points above 255, whose classes may change from one version of Unicode to the next."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
+
+
 class Marked:
     """Texts to ids, where added tokens stand for themselves and part the text.
 
@@ -85,7 +94,7 @@ class Marked:
 
     def ids(self, texts: Sequence[str | None]) -> list[bytes]:
         if self.file:
-            odd = {k for k, t in enumerate(texts) if t and not t.isascii() and any(self._differs(c) for c in set(t) if not c.isascii())}
+            odd = {k for k, t in enumerate(texts) if t and _beyond_latin(t) and any(self._differs(c) for c in set(t) if c > "\xff")}
             if odd:
                 rest = iter(self._marked([t for k, t in enumerate(texts) if k not in odd]))
                 return [self._own(t) if k in odd else next(rest) for k, t in enumerate(texts)]
