@@ -309,12 +309,10 @@ class Table:
         return dml.returned(self.read(version - 1), self.read(version), form)
 
     def changes(self, since: int | datetime, limit: int | None = None) -> DataFrame:
-        """The change feed: (version, changes) of the versions from `since` on, or written after a time, in order."""
+        """The change feed: (version, changes) of the versions from `since` on, or written after a time, in order; of what hasn't expired."""
         if limit is not None and limit < 1:
             raise ValueError("limit must be 1 or more")
         since = self.version_at(since) + 1 if isinstance(since, datetime) else since
-        if since < self._oldest():
-            raise ValueError(f"changes before version {self._oldest()} have expired")
         kept = [v for v in self._numbers("log") if v >= since][:limit]
         if not kept:
             return self.spark.createDataFrame([], self.logged).withColumn("version", F.lit(0).cast("long"))
