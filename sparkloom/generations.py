@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .shared import filesystem, publish
 
 
+#: Keys of changes that are broadcast to the rows at most; more are met by a shuffle of both.
+BROADCAST_KEYS = 500_000
+
+
 class Taken(RuntimeError):
     """Another writer has published the generation."""
 
@@ -55,6 +59,7 @@ class Generations:
         if dead is None:
             return rows.withColumn("dead", F.lit(False))
         last = dead.groupBy("key").agg(F.max("gen").alias("_dead"))
+        last = F.broadcast(last) if dead.count() <= BROADCAST_KEYS else last
         return rows.join(last, "key", "left").withColumn("dead", F.coalesce(F.col("_dead") > F.col("gen"), F.lit(False))).drop("_dead")
 
     def commit(self, write: Callable[[str], None], replaces: Sequence[int] = (), base: int | None = None) -> int:

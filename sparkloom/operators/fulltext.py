@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import porter
@@ -21,7 +26,9 @@ MARKED, PLAIN = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃ
 #: BM25's saturation of term frequencies and weight of lengths.
 K1, B = 1.2, 0.75
 #: Texts of a block of postings, as a power of two; blocks that a top-k search scores first.
-BLOCK_BITS, FIRST_BLOCKS = 8, 8
+BLOCK_BITS, FIRST_BLOCKS = 12, 8
+#: Keys with several texts that are broadcast at most, to pick their rows; if there are more, all rows are dealt by key.
+AGAIN = 100_000
 #: Filters that change letters, but not where the tokenizers other than camel split.
 WHOLE = {"lowercase": F.lower, "uppercase": F.upper, "ascii": lambda x: F.translate(x, MARKED, PLAIN)}
 
@@ -141,11 +148,39 @@ def _part(docs: Column, df: Column, tf: Column, n: Column, mean: Column) -> Colu
     return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A function for mapInArrow from texts (key, n, t) to rows of postings, a block of texts at a time."""
+    block = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1 << BLOCK_BITS):
+            part = batch.slice(at, 1 << BLOCK_BITS)
+            lists, sizes = part.column("t"), part.column("n").to_numpy()
+            if not sizes.sum():
+                continue
+            tokens = lists.flatten().dictionary_encode()
+            text, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            token = tokens.indices.to_numpy()
+            order = np.argsort(token, kind="stable")  # by token, and there by text and place
+            token, text = token[order], text[order]
+            new = np.diff(token, prepend=-1) != 0
+            first = np.flatnonzero(new | (np.diff(text, prepend=-1) != 0))  # where a text's places begin
+            rows = np.flatnonzero(new[first])  # where a token's texts begin
+            tf, n = np.diff(first, append=len(token)), sizes[text[first]]
+            bounds, begins = np.append(rows, len(first)), np.append(first[rows], len(token))
+            listed = lambda x, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+            ints = lambda x, ends: listed(pa.array(x, pa.int32()), ends)
+            columns = [tokens.dictionary.take(pa.array(token[first[rows]])), pa.array(np.full(len(rows), block), pa.int64()), pa.array(np.maximum.reduceat(tf, rows), pa.int32()), pa.array(np.minimum.reduceat(n, rows), pa.int32())]
+            last = first + tf - np.repeat(first[rows], np.diff(bounds))  # where a text's places end in the row's
+            yield pa.record_batch([*columns, listed(part.column("key").take(pa.array(text[first])), bounds), ints(n, bounds), ints(last, bounds), ints(place[order], begins)], ["token", "block", "most", "least", "keys", "ns", "ends", "places"])
+            block += 1
+
+
 @dataclass
 class TextIndex:
     """An inverted index under a folder, of segments that are never changed.
 
-    A segment deals its texts into blocks of 2 to the power of BLOCK_BITS. A row has a token's postings in a block, with the largest count and
+    A segment has its texts in blocks of at most 2 to the power of BLOCK_BITS, those of a task. A row has a token's postings in a block as arrays: keys,
+    ns (lengths), places, and ends, where each text's places end. It has the largest count and
     the least length among them, which bound every score there whatever the mean length is. Rows lie in the order of
     their tokens, so a search reads the row groups of its tokens alone, and of most blocks only the bounds. Later segments
     name the keys that they replace or delete. Segments merge when the next older one is no more than twice as large.
@@ -189,25 +224,35 @@ class TextIndex:
             return numbers[-1]
         base = self.segments.latest()
         texts = self.segments.read("texts").where(F.col("gen").isin(some))
-        kept = cut(self.segments.alive(texts).where("NOT dead").select("key", "n", "t"))
+        kept = self.segments.alive(texts).where("NOT dead").select("key", "n", "t")
         dead = self.segments.read("dead")
         older = None if dead is None or len(some) == len(numbers) else dead.where(F.col("gen").isin(some)).select("key").distinct()
         return self._write(kept, older, some, base)
 
     def _texts(self, rows: DataFrame, key: str, column: str) -> DataFrame:
-        """key, n and t (the tokens, by which a merge needs no text) of rows with a text; of equal keys the one with the largest text."""
-        kept = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(column).alias("_text")).where("_text IS NOT NULL")
-        return cut(kept.select("key", self.analyzer.tokens(F.col("_text")).alias("t"))).select("key", F.size("t").alias("n"), "t")
+        """key, n and t (the tokens, by which a merge needs no text) of rows with a text; of equal keys the one with the largest text.
+
+        Keys are read first: only rows of a key that comes again are dealt by it.
+        """
+        own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(column).alias("_text"))
+        again = cut(own.groupBy("key").count().where("count > 1").select("key"))
+        n = again.count()
+        largest = lambda some: some.groupBy("key").agg(F.max("_text").alias("_text"))
+        if n > AGAIN:
+            own = largest(own)
+        elif n:
+            own = own.join(F.broadcast(again), "key", "left_anti").unionByName(largest(own.join(F.broadcast(again), "key", "left_semi")))
+        return own.where("_text IS NOT NULL").select("key", self.analyzer.tokens(F.col("_text")).alias("t")).select("key", F.size("t").alias("n"), "t")
 
     def _write(self, texts: DataFrame | None, dead: DataFrame | None, replaces: Sequence[int], base: int) -> int:
         def write(to: str) -> None:
             if texts is not None:
-                own = cut(texts.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
-                own.write.parquet(f"{to}/texts")
-                each = own.select("key", "n", "block", F.posexplode("t").alias("place", "token"))
-                by_text = each.groupBy("token", "block", "key").agg(F.count("*").cast("int").alias("tf"), F.first("n").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
-                blocks = by_text.groupBy("token", "block").agg(F.max("tf").alias("most"), F.min("n").alias("least"), F.collect_list(F.struct("key", "tf", "n", "places")).alias("texts"))
-                blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{to}/postings")
+                texts.write.option("compression", "zstd").parquet(f"{to}/texts")
+                own = self.spark.read.schema(texts.schema).parquet(f"{to}/texts")
+                ints = T.ArrayType(T.IntegerType())
+                kinds = {"token": T.StringType(), "block": T.LongType(), "most": T.IntegerType(), "least": T.IntegerType(), "keys": T.ArrayType(texts.schema["key"].dataType), "ns": ints, "ends": ints, "places": ints}
+                blocks = own.mapInArrow(_inverted, T.StructType([T.StructField(*x) for x in kinds.items()]))
+                blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.option("compression", "zstd").parquet(f"{to}/postings")
                 own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).write.parquet(f"{to}/totals")
             if dead is not None:
                 dead.write.parquet(f"{to}/dead")
@@ -229,15 +274,18 @@ class TextIndex:
         """In how many texts that count each token is."""
         hit = self.segments.read("postings").where(F.col("token").isin(list(tokens)))
         if self.segments.read("dead") is None:
-            found = hit.groupBy("token").agg(F.sum(F.size("texts.key")).alias("df"))
+            found = hit.groupBy("token").agg(F.sum(F.size("keys")).alias("df"))
         else:
-            found = self.segments.alive(hit.select("token", "gen", F.explode("texts.key").alias("key"))).where("NOT dead").groupBy("token").agg(F.count("*").alias("df"))
+            found = self.segments.alive(hit.select("token", "gen", F.explode("keys").alias("key"))).where("NOT dead").groupBy("token").agg(F.count("*").alias("df"))
         return {r["token"]: r["df"] for r in found.collect() if r["df"]}  # a row for each token of the query
 
     def _scored(self, hit: DataFrame, df: dict[str, int], docs: int, mean: float, tokens: Sequence[str], any_: bool, name: str) -> DataFrame:
         """key, score and matches of the texts in some rows of postings."""
-        each = self.segments.alive(hit.select("gen", "token", F.explode("texts").alias("x")).select("gen", "token", "x.*")).where("NOT dead")
-        part = _part(F.lit(float(docs)), _lookup(df), F.col("tf").cast("double"), F.col("n"), F.lit(mean))
+        before = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
+        one = lambda i: F.struct(F.get("keys", i).alias("key"), F.get("ns", i).alias("n"), F.slice("places", before(i) + 1, F.get("ends", i) - before(i)).alias("places"))
+        texts = F.transform(F.sequence(F.lit(0), F.size("keys") - 1), one)
+        each = self.segments.alive(hit.select("gen", "token", F.explode(texts).alias("x")).select("gen", "token", "x.*")).where("NOT dead")
+        part = _part(F.lit(float(docs)), _lookup(df), F.size("places").cast("double"), F.col("n"), F.lit(mean))
         # Sums in the order of tokens, so that equal texts have equal scores.
         found = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("token", part.alias("part"), "places"))).alias("_parts"))
         found = found if any_ else found.where(F.size("_parts") == len(tokens))
