@@ -19,7 +19,7 @@ from .operators import dml, fulltext, graph, vector
 from .operators.vectorindex import CodeIndex, GraphIndex, VectorIndex
 from .plans import Database, Query, helpers, hints
 from .plans.session import Forbidden, Session
-from .shared import scratch
+from .shared import cut, scratch
 from .sources import Bucket, Conflict, Sequence, Store, Table, Transaction, Work
 from .streaming import feeds
 
@@ -792,15 +792,14 @@ def q_paths_repeated(db):
 def q_shortest_paths_both_ends(db):
     """Least hops along edges in either direction, by frontiers from both ends; each path's edges exist."""
     e = db.tables["placed"].unionByName(db.tables["contains"])
-    both = e.unionByName(e.select(F.col("out").alias("in"), F.col("in").alias("out"))).distinct()
-    known = both.select(F.struct("in", "out").alias("edge"))
-    out = None
+    both = e.unionByName(e.select(F.col("out").alias("in"), F.col("in").alias("out")))
+    steps = None
     for end in ("customer:1", "customer:2", "part:7"):
-        path = graph.shortest(both, "customer:11", end, 4)
-        steps = path.select(F.lit(end).alias("node"), "hops", F.explode("edges").alias("edge"))
-        held = steps.join(known, "edge", "left_semi").groupBy("node", "hops").agg((F.count("*") == F.col("hops")).alias("along_edges"))
-        out = held if out is None else out.unionByName(held)
-    return out
+        own = graph.shortest(both, "customer:11", end, 4).select(F.lit(end).alias("node"), "hops", F.explode("edges").alias("edge"))
+        steps = own if steps is None else steps.unionByName(own)
+    steps = cut(steps)  # a row for each hop
+    known = both.select(F.struct("in", "out").alias("edge")).join(F.broadcast(steps.select("edge").distinct()), "edge").distinct()
+    return steps.join(known, "edge", "left_semi").groupBy("node", "hops").agg((F.count("*") == F.col("hops")).alias("along_edges"))
 
 
 @query("""
