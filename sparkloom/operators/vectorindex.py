@@ -21,6 +21,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,8 @@ PIVOT_BYTES, SAMPLE_BYTES = 1 << 25, 1 << 26
 FAR, LONG, WIDER = 8, 2, 1.44
 #: Queries that meet a unit in one task, and cells up to which a search names them to the scan.
 BLOCK, NAMED = 1024, 1000
+#: Cells that an exact search reads first, to know how far it must look; pairs of a query and a cell in a batch; bytes of queries that are broadcast.
+LEAD, PAIRS, BROADCAST_BYTES = 16, 1 << 16, 1 << 24
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -66,6 +69,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, some rows at a time."""
+    return np.concatenate([_squares(x[at : at + 4096], centres).argmin(axis=1) for at in range(0, len(x), 4096)])
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
@@ -325,13 +333,13 @@ class VectorIndex:
         if k < 1 or ef < 1:
             raise ValueError("k and ef must be 1 or more")
         asked = cut(self._whole(queries, key, column).where(F.size("vector") == self.pivots.shape[1]).select(F.col("key").alias("query"), "vector").dropDuplicates(["query"]))
-        pairs = self._pairs(asked, probes)
-        found = self._best(self._met(pairs, k + but_own, max(ef, k + but_own), False), k, but_own)
+        first = self._pairs(asked, probes or (min(LEAD, self.probes) if exact else None))
+        found = self._best(self._met(asked, first, k + but_own, max(ef, k + but_own), False), k, but_own)
         if exact:
             found = cut(found)
             reach = found.groupBy("query").agg(F.count("*").alias("_n"), F.max("distance").alias("_last"))
             ask = asked.join(reach, "query", "left").withColumn("reach", F.when(F.col("_n") >= k, self._euclidean("_last")).otherwise(F.lit(float("inf"))))
-            found = self._best(self._met(self._within(ask.select("query", "vector", "reach")), k + but_own, ef, True), k, but_own)
+            found = self._best(self._met(asked, self._within(ask.select("query", "vector", "reach")), k + but_own, ef, True), k, but_own)
         return found
 
     def _euclidean(self, name: str):
@@ -345,38 +353,47 @@ class VectorIndex:
         return kept.withColumn("distance", distance).withColumn("rank", rank).where(F.col("rank") <= k).select("query", "key", "distance", "rank")
 
     def _pairs(self, asked: DataFrame, probes: int | None) -> DataFrame:
-        """query, vector and cell: the nearest cells of each query."""
+        """query, cell and reach (none yet): the nearest cells of each query."""
         pivots, most = self.spark.sparkContext.broadcast(self.pivots), probes or self.probes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                step = max(1, PAIRS // len(pivots.value))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     cells = np.argsort(_squares(_matrix(part.column(1)), pivots.value), axis=1, kind="stable")[:, :most]
                     rows = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
-                    yield pa.record_batch([*(c.take(rows) for c in part.columns), pa.array(cells.ravel(), pa.int32())], ["query", "vector", "cell"])
+                    yield pa.record_batch([part.column(0).take(rows), pa.array(cells.ravel(), pa.int32()), pa.array(np.full(cells.size, np.inf))], ["query", "cell", "reach"])
 
-        return asked.mapInArrow(run, T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())]))
+        return asked.mapInArrow(run, self._paired(asked))
+
+    @staticmethod
+    def _paired(asked: DataFrame) -> T.StructType:
+        return T.StructType([asked.schema.fields[0], T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
 
     def _within(self, asked: DataFrame) -> DataFrame:
-        """query, vector and cell: all cells that may have a row within the query's reach."""
+        """query, cell and reach: all cells that may have a row within the query's reach."""
         radii = dict(self._units().groupBy("cell").agg(F.max("radius")).collect())  # at most PIVOTS rows
         held = self.spark.sparkContext.broadcast((self.pivots, np.array([radii.get(k, -np.inf) for k in range(len(self.pivots))])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivots, radius = held.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                step = max(1, PAIRS // len(pivots))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     reach = part.column(2).to_numpy(zero_copy_only=False)
                     room = (reach[:, None] + radius) * (1 + 1e-9) + 1e-6
                     rows, cells = np.nonzero(np.sqrt(_squares(_matrix(part.column(1)), pivots)) <= room)
-                    yield pa.record_batch([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(cells, pa.int32())], ["query", "vector", "cell"])
+                    yield pa.record_batch([part.column(0).take(pa.array(rows)), pa.array(cells, pa.int32()), pa.array(reach[rows])], ["query", "cell", "reach"])
+
+        return asked.mapInArrow(run, self._paired(asked))
 
-        return asked.mapInArrow(run, T.StructType([*asked.schema.fields[:2], T.StructField("cell", T.IntegerType())]))
+    def _met(self, asked: DataFrame, pairs: DataFrame, k: int, ef: int, exact: bool) -> DataFrame:
+        """query, key and squared distance of the best of each query in each unit of its cells, none beyond its reach.
 
-    def _met(self, pairs: DataFrame, k: int, ef: int, exact: bool) -> DataFrame:
-        """query, key and squared distance of the best of each query in each unit of its cells. Queries come to a unit in bounded blocks."""
+        Queries come to a unit in bounded blocks. Pairs have no vectors: tasks know few queries' vectors by a broadcast, and those of many come by a join.
+        """
         pairs = cut(pairs)
         cells = [r["cell"] for r in pairs.select("cell").distinct().limit(NAMED + 1).collect()]
         nodes = self._live(cells if len(cells) <= NAMED else None)
@@ -385,10 +402,14 @@ class VectorIndex:
         units = self._units().select("cell", "unit", "gen").distinct()
         dealt = pairs.join(F.broadcast(load), "cell").withColumn("block", F.pmod(F.xxhash64("query"), F.col("_blocks")).cast("int")).drop("_blocks")
         left = self._wanted(nodes, exact).join(F.broadcast(blocks), "cell")
-        right = dealt.join(F.broadcast(units) if len(cells) <= NAMED else units, "cell")
+        right, held = dealt.join(F.broadcast(units) if len(cells) <= NAMED else units, "cell"), None
+        if asked.count() * 8 * self.pivots.shape[1] <= BROADCAST_BYTES:
+            held = self.spark.sparkContext.broadcast(asked.select("query", "vector").toArrow().combine_chunks())  # at most BROADCAST_BYTES
+        else:
+            right = right.join(asked, "query")
         names = ["gen", "cell", "unit", "block"]
         schema = T.StructType([T.StructField("query", pairs.schema["query"].dataType), T.StructField("key", nodes.schema["key"].dataType), T.StructField("square", T.DoubleType())])
-        return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(self._meeting(k, ef, exact), schema)
+        return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(_with_vectors(self._meeting(k, ef, exact), held), schema)
 
     def _wanted(self, nodes: DataFrame, exact: bool) -> DataFrame:
         """The columns of nodes that a search reads."""
@@ -398,19 +419,41 @@ class VectorIndex:
         raise NotImplementedError
 
 
+def _with_vectors(run, held):
+    """A cogrouped function whose queries have vectors: their own, or those of a broadcast table."""
+
+    def whole(nodes: pa.Table, asked: pa.Table) -> pa.Table:
+        if held is not None and len(asked):
+            at = pc.index_in(asked.column("query").combine_chunks(), value_set=held.value.column("query").combine_chunks())
+            asked = asked.append_column("vector", held.value.column("vector").combine_chunks().take(at))
+        return run(nodes, asked)
+
+    return whole
+
+
 def _met_rows(asked: pa.Table, nodes: pa.Table, hits: list[tuple[int, int, float]]) -> pa.Table:
     """A table of (row of asked, row of nodes, squared distance)."""
     a, b, d = (list(c) for c in zip(*hits, strict=True)) if hits else ([], [], [])
     return pa.table([asked.column("query").take(pa.array(a, pa.int64())), nodes.column("key").take(pa.array(b, pa.int64())), pa.array(d, pa.float64())], ["query", "key", "square"])
 
 
-def _scan(x: np.ndarray, alive: np.ndarray, asked: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest rows of each query, and all at the last one's distance, by all distances."""
+def _scan(x: np.ndarray, alive: np.ndarray, asked: np.ndarray, k: int, reach: np.ndarray) -> list[tuple[int, int, float]]:
+    """The k nearest rows of each query, and all at the last one's distance, but none beyond its reach.
+
+    Products of matrices, with room for their rounding, say which rows may be among them; these get exact distances.
+    """
     hits, own = [], np.flatnonzero(alive)
-    for i, q in enumerate(asked):
-        d = np.square(x[own] - q).sum(axis=1)
-        some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(own) > k else np.arange(len(own))
-        hits += [(i, int(own[j]), float(d[j])) for j in some]
+    x = x[own]
+    for at in range(0, len(asked), 256):
+        q, far = asked[at : at + 256], np.square(reach[at : at + 256]) * (1 + 1e-9) + 1e-12
+        with np.errstate(all="ignore"):
+            d = _squares(q, x)
+            last = np.partition(d, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(q), np.inf)
+            room = 1e-9 * (np.square(q).sum(axis=1) + np.square(x).sum(axis=1).max(initial=0))
+            a, b = np.nonzero(~(d > (np.minimum(last, far) + room)[:, None]))  # what is too large to square stays
+            true = np.square(x[b] - q[a]).sum(axis=1)
+        good = ~(true > far[a])
+        hits += zip((a[good] + at).tolist(), own[b[good]].tolist(), true[good].tolist(), strict=True)
     return hits
 
 
@@ -443,7 +486,7 @@ class GraphIndex(VectorIndex):
             x, alive = _matrix(nodes.column("vector").combine_chunks()), ~nodes.column("dead").to_numpy()
             q = _matrix(asked.column("vector").combine_chunks())
             if exact:
-                return _met_rows(asked, nodes, _scan(x, alive, q, k))
+                return _met_rows(asked, nodes, _scan(x, alive, q, k, asked.column("reach").to_numpy()))
             graph, hits = Graph(x, nodes.column("links").to_pylist()), []
             for i, v in enumerate(q):
                 width = ef
@@ -465,6 +508,7 @@ class CodeIndex(VectorIndex):
     parts: int = 16
     entries: int = 256
     rerank: int = 10
+    accuracy: float = 0.98
 
     @cached_property
     def codebooks(self) -> list[np.ndarray]:
@@ -473,9 +517,28 @@ class CodeIndex(VectorIndex):
 
     def _fit(self, sample: np.ndarray) -> None:
         split = np.array_split(sample, min(self.parts, sample.shape[1]), axis=1)
-        rows = [(p, e, v.tolist()) for p, own in enumerate(split) for e, v in enumerate(_means(own, self.entries))]
+        books = [_means(own, self.entries) for own in split]
+        rows = [(p, e, v.tolist()) for p, own in enumerate(books) for e, v in enumerate(own)]
         self.spark.createDataFrame(rows, "part int, entry int, values array<double>").write.mode("overwrite").parquet(f"{self.root}/codebooks")
+        self.spark.createDataFrame([(self._share_for(sample, books),)], "share double").write.mode("overwrite").parquet(f"{self.root}/ranks")
         self.__dict__.pop("codebooks", None)
+        self.__dict__.pop("share", None)
+
+    @cached_property
+    def share(self) -> float:
+        """The share of all rows, the nearest by codes, whose vectors a search for ten reads."""
+        return self.spark.read.parquet(f"{self.root}/ranks").first()["share"]
+
+    def _share_for(self, sample: np.ndarray, books: list[np.ndarray], k: int = 10, queries: int = 256) -> float:
+        """In how large a share of the sample, the nearest by codes, a share `accuracy` of the k nearest are."""
+        split = np.array_split(sample, len(books), axis=1)
+        near = np.hstack([b[_nearest(x, b)] for x, b in zip(split, books, strict=True)])
+        ranks = []
+        for i in np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int):
+            true, coded = (_squares(sample[i][None], x)[0] for x in (sample, near))
+            own = np.argsort(true, kind="stable")[: k + 1]
+            ranks += (coded[None] <= coded[own][:, None]).sum(axis=1).tolist() if len(own) else []
+        return float(np.quantile(ranks, self.accuracy, method="higher")) / len(sample) if ranks else 1.0
 
     def _stored(self, units: DataFrame) -> DataFrame:
         """Rows with their codes; a scan of the codes doesn't read the vectors, which are columns of their own."""
@@ -491,17 +554,21 @@ class CodeIndex(VectorIndex):
 
         return units.mapInArrow(run, T.StructType([*units.schema.fields, T.StructField("code", T.BinaryType())]))
 
-    def _met(self, pairs: DataFrame, k: int, ef: int, exact: bool) -> DataFrame:
-        """The best by codes in each unit, then exact distances: a row's vector is read by its place."""
+    def _met(self, asked: DataFrame, pairs: DataFrame, k: int, ef: int, exact: bool) -> DataFrame:
+        """The best by codes in each unit, then exact distances: a row's vector is read by its place.
+
+        More rows are read anew as the index grows, as more come between by their codes.
+        """
         if exact:
-            return super()._met(pairs, k, ef, True)
-        best = super()._met(pairs, k * self.rerank, ef, False)
+            return super()._met(asked, pairs, k, ef, True)
+        rows = self._units().agg(F.sum("rows")).first()[0] or 0
+        most = max(ef, k * self.rerank, math.ceil(self.share * rows * k / 10))
+        best = super()._met(asked, pairs, k, min(most, max(2 * k, math.ceil(4 * most / self.probes))), False)
         rank = F.row_number().over(Window.partitionBy("query").orderBy("square", "key"))
-        best = best.withColumn("_rank", rank).where(F.col("_rank") <= max(ef, k * self.rerank)).select("query", "key")
-        asked = pairs.select("query", F.col("vector").alias("_asked")).dropDuplicates(["query"])
+        best = best.withColumn("_rank", rank).where(F.col("_rank") <= most).select("query", "key")
         rows = self._live([r["cell"] for r in pairs.select("cell").distinct().limit(NAMED + 1).collect()]).where("NOT dead").select("key", "vector")
         gaps = F.zip_with("vector", "_asked", lambda a, b: (a - b) * (a - b))
-        return cut(best).join(rows, "key").join(asked, "query").select("query", "key", F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v).alias("square"))
+        return cut(best).join(rows, "key").join(asked.select("query", F.col("vector").alias("_asked")), "query").select("query", "key", F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v).alias("square"))
 
     def _wanted(self, nodes: DataFrame, exact: bool) -> DataFrame:
         return nodes.drop("code" if exact else "vector")
@@ -514,14 +581,15 @@ class CodeIndex(VectorIndex):
                 return _met_rows(asked, nodes, [])
             alive, q = ~nodes.column("dead").to_numpy(), _matrix(asked.column("vector").combine_chunks())
             if exact:
-                return _met_rows(asked, nodes, _scan(_matrix(nodes.column("vector").combine_chunks()), alive, q, k))
+                return _met_rows(asked, nodes, _scan(_matrix(nodes.column("vector").combine_chunks()), alive, q, k, asked.column("reach").to_numpy()))
             codes = np.frombuffer(b"".join(nodes.column("code").to_pylist()), np.uint8).reshape(len(nodes), -1)
             hits, own = [], np.flatnonzero(alive)
-            for i, v in enumerate(q):
-                tables = [_squares(x[None], b)[0] for x, b in zip(np.array_split(v, len(held.value)), held.value, strict=True)]
-                d = sum(t[codes[own, p]] for p, t in enumerate(tables))
-                some = np.argpartition(d, k - 1)[:k] if len(own) > k else np.arange(len(own))
-                hits += [(i, int(own[j]), float(d[j])) for j in some]
+            for at in range(0, len(q), 256):
+                tables = [_squares(x, b) for x, b in zip(np.array_split(q[at : at + 256], len(held.value), axis=1), held.value, strict=True)]
+                d = sum(t[:, codes[own, p]] for p, t in enumerate(tables))
+                some = np.argpartition(d, ef - 1, axis=1)[:, :ef] if len(own) > ef else np.tile(np.arange(len(own)), (len(d), 1))
+                a = np.repeat(np.arange(len(d)), some.shape[1])
+                hits += zip((a + at).tolist(), own[some.ravel()].tolist(), d[a, some.ravel()].tolist(), strict=True)
             return _met_rows(asked, nodes, hits)
 
         return run
