@@ -29,7 +29,7 @@ import math
 import os
 import zlib
 from array import array
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,16 +39,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import Cached
-from .common import by_slices, cut
+from .common import by_bytes, cut, text_buffers
 
 CAPACITY = 2048
 #: Pieces of a cell, islands of a cell, epochs, and children of an island in an epoch.
-CELL, ISLANDS, EPOCHS, CHILDREN = 4096, 2, 2, 24
+CELL, ISLANDS, EPOCHS, CHILDREN = 4096, 2, 2, 60
 #: Individuals of an island.
 POPULATION = 6
 #: Tokens that end a document.
 END = (0).to_bytes(4, "little")
+#: Bytes of the texts whose distinct chunks are encoded together.
+SLICE = 1 << 23
+#: Bytes that begin a visible character: all but those of controls and of the blocks with white space (U+0080, U+1000, U+2000, U+3000).
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = _VISIBLE[0xC3:0xE1] = _VISIBLE[0xE4:] = True
 
 
 def _beyond_latin(text: str) -> bool:
@@ -60,6 +64,50 @@ def _beyond_latin(text: str) -> bool:
     return False
 
 
+class Joined:
+    """Texts to ids, as little-endian unsigned 32-bit bytes, by their distinct chunks, which are encoded as one text.
+
+    A text is cut before each space that a visible character follows. There the pattern begins a piece, whatever comes before
+    and after, so chunks that begin so have the same ids alone, in their texts and in any order.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], lengths: np.ndarray) -> None:
+        self.encode, self.lengths = encode, lengths  # of a token: its bytes
+
+    def _chunks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks, and where and how many each chunk's are."""
+        raw, at = text_buffers(words)
+        joins = (np.diff(at) > 1) & (raw[at[:-1]] == 32) & _VISIBLE[raw[np.minimum(at[:-1] + 1, len(raw) - 1)]]
+        text, ends = text_buffers(words.filter(pa.array(joins)))
+        found = [np.array(self.encode(text.tobytes().decode()), np.uint32)]
+        counts = np.zeros(len(words), np.int64)
+        counts[joins] = np.diff(np.searchsorted(np.cumsum(self.lengths[found[0]]), ends, "right"))
+        for k in np.flatnonzero(~joins).tolist():
+            found.append(np.array(self.encode(words[k].as_py()), np.uint32))
+            counts[k] = len(found[-1])
+        order = np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins)))
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(found), begin, counts
+
+    def ids(self, texts: Sequence[str | None]) -> list[bytes]:
+        raw, at = text_buffers(pa.array([t or "" for t in texts], pa.large_string()))
+        if not len(raw):
+            return [b""] * len(texts)
+        cuts = np.zeros(len(raw) + 1, bool)
+        cuts[: len(raw) - 1] = (raw[:-1] == 32) & _VISIBLE[raw[1:]]
+        cuts[at[1:][at[1:] > at[:-1]] - 1] = False  # a text's last byte is followed by nothing
+        cuts[at] = True
+        places = np.flatnonzero(cuts)
+        own = pa.Array.from_buffers(pa.large_string(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)]).dictionary_encode()
+        found, begin, counts = self._chunks(own.dictionary)
+        of = own.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(counts[of])))
+        out = found[np.arange(ends[-1]) + np.repeat(begin[of] - ends[:-1], counts[of])].astype("<u4").tobytes()
+        bounds = (4 * ends[np.searchsorted(places, at)]).tolist()
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 class Marked:
     """Texts to ids, where added tokens stand for themselves and part the text.
 
@@ -67,7 +115,7 @@ class Marked:
     gets its ids from the tokenizers library itself.
     """
 
-    def __init__(self, plain: Cached, added: list[dict], file: str | None = None) -> None:
+    def __init__(self, plain: Joined, added: list[dict], file: str | None = None) -> None:
         self.file, self.differs = file, {}
         for x in added:
             if x["single_word"] or x["lstrip"] or x["rstrip"]:
@@ -117,7 +165,9 @@ def tokenizer(path: str, pattern: str) -> Marked:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     own = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    plain = Cached(pattern, lambda chunks: [array("I", own.encode_ordinary(x)).tobytes() for x in chunks])
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    lengths[list(ranks.values())] = list(map(len, ranks))
+    plain = Joined(own.encode_ordinary, lengths)
     added, file = [], os.path.splitext(path)[0] + ".json"
     if os.path.exists(file):
         with open(file, encoding="utf-8") as text:
@@ -148,7 +198,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, k
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(by_slices(step, 256), schema)
+    return docs.select("doc_id", "text").mapInArrow(by_bytes(step, "text", SLICE), schema)
 
 
 class Bins:

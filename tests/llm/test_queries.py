@@ -99,6 +99,25 @@ def test_packing_gives_the_ids_of_tokenizers(spark):
     assert got == [[*x.ids, 0] for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_distinct_chunks_are_encoded_in_one_call():
+    """Chunks of all texts are one text to tiktoken, whatever white space and scripts meet at the cuts; each text has its own ids."""
+    own, rng = encoding("byte_bpe_50k.tiktoken"), random.Random(3)
+    joined = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).plain
+    asked, encode = [], joined.encode
+    joined.encode = lambda text: asked.append(text) or encode(text)
+    try:
+        texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(2000)) for _ in range(3)]
+        ids = lambda text: b"".join(i.to_bytes(4, "little") for i in own.encode_ordinary(text or ""))
+        assert joined.ids(texts) == list(map(ids, texts))
+        assert len(asked) <= 1 + len(texts) and len(asked[0].split()) == len(set(asked[0].split()))
+        odd = [" "] * 9 + list("ab1.'s\n\t\r\x00\x0b\x1c\x1f\x7f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\ufeff\u0300\u2019\u3042éж漢🙂")
+        for _ in range(300):
+            texts = [None if rng.random() < 0.05 else "".join(rng.choices(odd, k=rng.randrange(30))) for _ in range(rng.randrange(12))]
+            assert joined.ids(texts) == list(map(ids, texts))
+    finally:
+        joined.encode = encode
+
+
 def test_bpe_is_tiktoken_and_decodes(spark, folder):
     own = encoding("byte_bpe_multi_50k.tiktoken")
     want = Counter()
